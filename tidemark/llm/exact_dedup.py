@@ -28,6 +28,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    # many small stores: preallocated log and manifest files would outweigh the state itself
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
