@@ -12,6 +12,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -183,6 +184,12 @@ class Encoder:
                 yield " ".join([x[0] for x in of]), sum([x[1] for x in of]), b"".join([x[2] for x in of])
 
 
+@lru_cache(maxsize=2)
+def encoder_of(ranks_path: str, pattern: str) -> Encoder:
+    """One for each worker process: tasks that follow each other in it share the cache."""
+    return Encoder(read_ranks(ranks_path), pattern)
+
+
 def batches_of(texts: list[str], most_chars: int = 4_000_000) -> Iterator[list[str]]:
     """Slices of at most most_chars characters, or one text."""
     part, size = [], 0
@@ -202,16 +209,14 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "do
     Whole texts; null and empty texts have no ids. The file of ranks must lie at the same path on
     every executor.
     """
-    made: dict = {}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not made:
-            made["encoder"] = Encoder(read_ranks(ranks_path), pattern)
+        encoder = encoder_of(ranks_path, pattern)
         for pdf in frames:
             texts = [t or "" for t in pdf.pop("_text")]
             rows = []
             for part in batches_of(texts):
-                rows += [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()) for ids, n, plain in made["encoder"].encode_batch(part)]
+                rows += [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()) for ids, n, plain in encoder.encode_batch(part)]
             yield pd.concat([pdf, pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=pdf.index)], axis=1)
 
     schema = docs.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
@@ -223,7 +228,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
     kept = docs.drop("ids")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(read_ranks(ranks_path), pattern)
+        encoder = encoder_of(ranks_path, pattern)
         for pdf in frames:
             out = []
             for part in batches_of([t or "" for t in pdf[text_col]]):

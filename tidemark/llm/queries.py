@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, quality_rules
-from .common import documents
+import public_tokenizers
+
+from . import byte_bpe, exact_dedup, language_id, quality_rules, token_files
+from .common import documents, scratch
+
+
+#: Ids of the public byte-level vocabulary, its end-of-text token included.
+VOCABULARY, END_ID = 50_257, 2
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, shape = scratch(spark, "token-files"), {"vocabulary": VOCABULARY, "end_id": END_ID}
+    parts = token_files.write(documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), **shape)
+    return token_files.read(spark, folder, parts, **shape)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,14 +32,20 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parque[t]", documents(spark, sf_dir).schema)
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language_id.predict(docs, language_id.fit(docs))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
     "op10_language_id": op10_language_id,
 }
 
