@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, exact_dedup, language_id, quality_rules, token_files
-from .common import documents, scratch
+from . import byte_bpe, exact_dedup, language_id, line_dedup, packing, quality_rules, token_files, url_filters
+from .common import SPACE, documents, scratch, text_or_empty
 
 
 #: Ids of the public byte-level vocabulary, its end-of-text token included.
@@ -32,10 +32,48 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parque[t]", documents(spark, sf_dir).schema)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", line_dedup.host_of("url").alias("host"), line_dedup.html_text("html").alias("text"))
+    rest = line_dedup.drop_frequent_lines(pages)
+    squeezed = F.trim(F.regexp_replace("text", SPACE, " "))
+    return rest.select("page_id", "host", "n_lines", "n_dropped", F.sha2(squeezed, 256).alias("text_sha256"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def with_packing_columns(docs: DataFrame) -> DataFrame:
+    """n_words of each document and its duplicate cluster: the hash of its text without white space and case."""
+    text = text_or_empty()
+    words = F.length(F.regexp_replace(F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "w"), SPACE, ""))
+    return docs.select("doc_id", "source", words.alias("n_words"), F.xxhash64(F.lower(F.regexp_replace(text, SPACE, ""))).alias("cluster"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(with_packing_columns(documents(spark, sf_dir)), capacity=1024, length_col="n_words")
+
+
+def captures_and_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Captures from ``pages`` (fetched on a day that follows from page_id) and dated list entries from the hosts seen."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    captures = pages.select("page_id", line_dedup.host_of("url").alias("host"), F.regexp_extract(F.coalesce("url", F.lit("")), r"://[^/?#]+/([^/?#]*)", 1).alias("segment"), F.expr("date_add(DATE'2024-01-01', cast(page_id % 366 AS int))").alias("fetched_on"))
+    number = lambda at: F.conv(F.substring(F.md5("pattern"), at, 4), 16, 10).cast("int")
+    hosts = captures.filter("host <> ''").select("host").distinct()
+    parents = hosts.select(F.regexp_extract("host", r"^[^.]+\.(.+\..+\..+)$", 1).alias("pattern")).filter("pattern <> ''").distinct()
+    paths = captures.filter("host <> '' AND segment <> ''").select(F.concat("host", F.lit("/"), "segment").alias("pattern")).distinct()
+    patterns = hosts.select(F.col("host").alias("pattern")).union(parents).union(paths).distinct()
+    turn = F.explode(F.sequence(F.lit(0), number(1) % 5))
+    dated = patterns.withColumn("turn", turn).withColumn("list", F.when(number(5) % 4 == 0, F.lit("allow")).when(number(5) % 4 == 1, F.lit("malware")).otherwise(F.lit("adult")))
+    entries = dated.select("list", "pattern", F.when(F.col("turn") % 2 == 0, F.lit("add")).otherwise(F.lit("remove")).alias("action"), F.expr("date_add(DATE'2023-11-01', cast(conv(substring(md5(pattern), 9, 4), 16, 10) AS int) % 200 + turn * 45)").alias("listed_on"))
+    return captures, entries
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, entries = captures_and_entries(spark, sf_dir)
+    return url_filters.judge(captures, entries)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language_id.predict(docs, language_id.fit(docs))
@@ -45,7 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_url_filters": op9_url_filters,
     "op10_language_id": op10_language_id,
 }
 
@@ -58,4 +99,49 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op5_line_dedup": r"""
+        WITH a AS (
+            SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+                   regexp_replace(coalesce(html, ''), '(?is)<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->', ' ', 'g') AS bare
+            FROM pages
+        ), b AS (
+            SELECT page_id, host, string_split(regexp_replace(regexp_replace(bare, '(?i)</?(?:p|br|li|ul|ol|h[1-6]|div|tr|table|title|article|nav|header|footer|section)\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), chr(10)) AS lines
+            FROM a
+        ), c AS (
+            SELECT page_id, host, list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM b
+        ), n AS (
+            SELECT host, line, count(*) AS pages FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM c) GROUP BY ALL
+        ), f AS (
+            SELECT n.host, list(line) AS keys FROM n JOIN (SELECT host, count(*) AS total FROM c GROUP BY 1) t ON n.host = t.host
+            WHERE pages >= 5 AND pages > 0.05 * total GROUP BY 1
+        ), r AS (
+            SELECT page_id, c.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(keys, []), x)) AS kept FROM c LEFT JOIN f ON c.host = f.host
+        )
+        SELECT page_id, host, len(lines)::INT AS n_lines, (len(lines) - len(kept))::INT AS n_dropped, sha256(coalesce(array_to_string(kept, ' '), '')) AS text_sha256 FROM r
+    """,
+    "op9_url_filters": r"""
+        WITH c AS (
+            SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+                   regexp_extract(coalesce(url, ''), '://[^/?#]+/([^/?#]*)', 1) AS segment, DATE '2024-01-01' + (page_id % 366)::INT AS fetched_on
+            FROM pages
+        ), p AS (
+            SELECT host AS pattern FROM c WHERE host <> ''
+            UNION SELECT regexp_extract(host, '^[^.]+\.(.+\..+\..+)$', 1) FROM c WHERE regexp_extract(host, '^[^.]+\.(.+\..+\..+)$', 1) <> ''
+            UNION SELECT host || '/' || segment FROM c WHERE host <> '' AND segment <> ''
+        ), h AS (
+            SELECT pattern, ('0x' || substr(md5(pattern), 1, 4))::INT AS a, ('0x' || substr(md5(pattern), 5, 4))::INT AS b, ('0x' || substr(md5(pattern), 9, 4))::INT AS d FROM p
+        ), e AS (
+            SELECT CASE b % 4 WHEN 0 THEN 'allow' WHEN 1 THEN 'malware' ELSE 'adult' END AS list, pattern, turn,
+                   DATE '2023-11-01' + (d % 200 + turn * 45)::INT AS since FROM (SELECT *, unnest(range(0, a % 5 + 1)) AS turn FROM h)
+        ), s AS (
+            SELECT *, coalesce(lead(since) OVER (PARTITION BY list, pattern ORDER BY since), DATE '2100-01-01') AS until FROM e
+        ), m AS (
+            SELECT c.*, s.pattern, s.list, s.since AS listed,
+                   row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, list, pattern, s.since) AS rn, count(*) OVER (PARTITION BY page_id) AS n
+            FROM c JOIN s ON turn % 2 = 0 AND fetched_on >= s.since AND fetched_on < until
+             AND (host = pattern OR ends_with(host, '.' || pattern) OR host || '/' || segment = pattern OR (contains(pattern, '/') AND ends_with(host || '/' || segment, '.' || pattern)))
+        )
+        SELECT c.page_id, c.host, c.segment, c.fetched_on, coalesce(n, 0) AS n_active, pattern AS decided_by, list AS decided_list, listed AS since, coalesce(list, 'allow') <> 'allow' AS blocked
+        FROM c LEFT JOIN (SELECT * FROM m WHERE rn = 1) m ON c.page_id = m.page_id
+    """,
 }
