@@ -42,3 +42,48 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def perhaps_in(df: DataFrame, key: str, members: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows of ``df`` whose key may be in ``members`` (which has the same column), with few others.
+
+    A bitmap of fixed size (``bits`` / 8 bytes, 1 MB by default, whatever the number of members) is
+    broadcast, so an exact join that follows need not shuffle the rest. With many more members than
+    bits it stops filtering, and only that.
+    """
+    place = lambda name: F.pmod(F.xxhash64(F.col(name)), F.lit(bits)) + 1
+    bitmap = members.select(place(key).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (F.bitmap_bit_position("_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright({0}, cast(bitmap_bit_position(_p) % 8 AS int)) & 1".format("_byte"))
+    joined = df.withColumn("_p", place(key)).join(F.broadcast(bitmap), F.bitmap_bucket_number("_p") == F.col("_bucket"))
+    return joined.withColumn("_byte", byte).filter(bit == 1).drop("_p", "_bucket", "_map", "_byte")
+
+
+def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node reachable. ``edges``: a and b, long.
+
+    Alternating large-star and small-star steps. A node's smallest neighbour comes from a partial
+    aggregate and is joined back as a table of its own, so a hub's edges can be split.
+    """
+
+    def star(both: DataFrame, keep) -> DataFrame:
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
+        return both.join(least, "u").filter(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
+
+    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
+    before = None
+    for _ in range(most_rounds):
+        mirrored = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        large = star(mirrored, F.col("v") > F.col("u")).filter("a <> b").distinct()
+        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        small = star(down.unionByName(down.select("u", F.col("u").alias("v"))), F.lit(True)).filter("a <> b").distinct()
+        now = cut(small, f"{name}-edges")
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == before:
+            break
+        before = mark
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    least = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
+    return least.unionByName(roots.join(least, "node", "left_anti"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, packing, quality_rules, token_files, url_filters
+from . import byte_bpe, exact_dedup, language_id, line_dedup, ngram_join, packing, quality_rules, token_files, url_filters
 from .common import SPACE, documents, scratch, text_or_empty
 
 
@@ -43,6 +43,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(documents(spark, sf_dir))
+
+
 def with_packing_columns(docs: DataFrame) -> DataFrame:
     """n_words of each document and its duplicate cluster: the hash of its text without white space and case."""
     text = text_or_empty()
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filters": op9_url_filters,
     "op10_language_id": op10_language_id,
