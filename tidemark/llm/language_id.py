@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Result for a text without a letter.
 UNDETERMINED = "und"
 
@@ -45,7 +47,7 @@ def fit(docs: DataFrame, *, docs_per_lang: int = 400, passage_chars: int = 2000,
     hashed = F.xxhash64(F.col(id_col).cast("string"))
     rows = docs.filter(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull() & ~held_out(id_col))
     rows = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, passage_chars).alias("passage"), hashed.alias("h"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")  # a table of known, small size: rows stay where they are
     share = F.least(F.lit(1.0), F.lit(3.0 * docs_per_lang) / F.col("n"))
     drawn = rows.join(counts, "lang").filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
     out: dict[str, list] = {}

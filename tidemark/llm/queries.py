@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, ngram_join, packing, quality_rules, token_files, url_filters
+from . import byte_bpe, exact_dedup, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, token_files, url_filters
 from .common import SPACE, documents, scratch, text_or_empty
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 #: Ids of the public byte-level vocabulary, its end-of-text token included.
 VOCABULARY, END_ID = 50_257, 2
 
@@ -84,6 +88,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
