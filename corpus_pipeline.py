@@ -1,3 +1,67 @@
-"""The corpus pipeline (stages follow)."""
-STAGES = []
+"""From raw documents to packed sequences: language ID, quality rules, line dedup, near dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a table, which is written as Parquet to the shared
+folder and read again as the next stage's documents. All but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import language_id, line_dedup, ngram_join, packing, quality_rules
+from tidemark.llm.common import cut, documents, without
+from tidemark.llm.queries import with_packing_columns
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those between two languages, go."""
+    judged = language_id.classify(docs, language_id.fit(docs))
+    return judged.filter("accepted").select(docs.columns)
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failures of the rules and robust outliers go; rows that repeat an id go if one of them does."""
+    verdicts = quality_rules.apply_rules(docs)
+    return without(docs, "doc_id", cut(verdicts.filter("NOT kept").select("doc_id").distinct(), "pipeline-rejected")).select(docs.columns)
+
+
+def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document's source is its site. What has no word left goes."""
+    rest = line_dedup.drop_frequent_lines(docs, host_col="source")
+    left = rest.filter("n_dropped = 0 OR n_dropped < n_lines")
+    return left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document with the smallest id stays; of rows that repeat an id, one."""
+    found = cut(ngram_join.link_components(docs), "pipeline-components")
+    rest = without(docs, "doc_id", found.filter("component_id <> doc_id").select("doc_id").distinct())
+    repeated = cut(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "pipeline-repeated")
+    if not repeated.isEmpty():
+        once = rest.join(repeated, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+        rest = without(rest, "doc_id", repeated).select(docs.columns).unionByName(once)
+    return rest.select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(with_packing_columns(docs), capacity=1024, length_col="n_words")
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("quality_rules", apply_quality_rules),
+    ("line_dedup", drop_site_lines),
+    ("ngram_jaccard", drop_near_copies),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Compression, robust estimates and packing are beyond SQL; tests compare with brute force instead.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -44,19 +44,33 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def perhaps_in(df: DataFrame, key: str, members: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """Rows of ``df`` whose key may be in ``members`` (which has the same column), with few others.
+def _flagged(df: DataFrame, key: str, members: DataFrame, bits: int) -> DataFrame:
+    """``df`` with _in: 0 if the key is certainly not in ``members`` (a table with the same column).
 
-    A bitmap of fixed size (``bits`` / 8 bytes, 1 MB by default, whatever the number of members) is
-    broadcast, so an exact join that follows need not shuffle the rest. With many more members than
-    bits it stops filtering, and only that.
+    Decided by a bitmap of fixed size (``bits`` / 8 bytes whatever the number of members, 1 MB by
+    default), which is why it can be broadcast. With many more members than bits nearly all rows
+    get 1; results stay the same, as an exact join follows.
     """
     place = lambda name: F.pmod(F.xxhash64(F.col(name)), F.lit(bits)) + 1
     bitmap = members.select(place(key).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map"))
-    byte = F.conv(F.hex(F.substring("_map", (F.bitmap_bit_position("_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.expr("shiftright({0}, cast(bitmap_bit_position(_p) % 8 AS int)) & 1".format("_byte"))
-    joined = df.withColumn("_p", place(key)).join(F.broadcast(bitmap), F.bitmap_bucket_number("_p") == F.col("_bucket"))
-    return joined.withColumn("_byte", byte).filter(bit == 1).drop("_p", "_bucket", "_map", "_byte")
+    at = F.bitmap_bit_position("_p").cast("int")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2, F.lit(0))
+    joined = df.withColumn("_p", place(key)).join(F.broadcast(bitmap), F.bitmap_bucket_number("_p") == F.col("_bucket"), "left")
+    return joined.withColumn("_in", bit).drop("_p", "_bucket", "_map")
+
+
+def perhaps_in(df: DataFrame, key: str, members: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """All rows of ``df`` whose key is in ``members`` and few others, so the exact join that follows need not shuffle the rest."""
+    return _flagged(df, key, members, bits).filter("_in = 1").drop("_in")
+
+
+def without(df: DataFrame, key: str, members: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """The rows of ``df`` whose key (null is a value) is not in ``members``. Only rows that may be are shuffled."""
+    flagged = _flagged(df, key, members, bits)
+    gone = members.select(F.col(key).alias("_gone"))
+    doubtful = flagged.filter("_in = 1").join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    return flagged.filter("_in = 0").unionByName(doubtful).drop("_in")
 
 
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
