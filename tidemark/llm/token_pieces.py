@@ -8,16 +8,20 @@ encoded once for a worker. Texts with any other white space go the ordinary way
 
 from __future__ import annotations
 
-import re
-
-_IRREGULAR = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z|[\x00\x1c-\x1f]")
+#: White space other than single spaces and newlines, and what could be taken for a cut.
+_IRREGULAR = ["  ", "\n\n", " \n", "\n ", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 
 
 def chunks(text: str) -> list[str] | None:
     """The chunks, which join to ``text``; None if it has to be taken whole."""
-    if _IRREGULAR.search(text):
+    if not text:
+        return []
+    if text[0] in " \n" or text[-1] in " \n":
         return None
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
+    for odd in _IRREGULAR:  # much faster than a pattern
+        if odd in text:
+            return None
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
 class Cache(dict):
@@ -31,6 +35,6 @@ class Cache(dict):
         """Makes what the texts need and the cache lacks, in one call."""
         if len(self) > self.limit:
             self.clear()
-        missing = list({c for t in texts for c in t if c not in self})
+        missing = [c for c in set().union(*texts) if c not in self]
         if missing:
             self.update(zip(missing, self.make(missing)))
