@@ -7,10 +7,12 @@ Texts with the same shingle set are one class; classes are searched. Every step
    the first |A| - ceil(t |A|) + l(A) shingles of A and of B then share l = min(l(A), l(B)) or more.
    Only these are shuffled, about a third of all.
 2. *T-occurrence bound.* Of a signature, only shingles that other classes' signatures hold too can
-   be shared; a class with fewer than m(A) = l(ceil(t |A|)) of them links with nothing. So texts that
-   have just a passage in common leave here.
-3. *Blocks.* Rarest first, all but the last m(A) - 1 shingles of what is left must meet; connected
-   components over these are blocks, and every linked pair lies within one.
+   be shared; a class with fewer than l(ceil(t |A|)) of them links with nothing. For what is left the
+   bound is taken again over whole sets: ceil(t |A|) shingles must be held by others too. So texts
+   that have just a passage in common leave here.
+3. *Blocks.* Of these shingles, all but the ceil(t |A|) - 1 most frequent are looked at: of a linked
+   pair at least one of them is shared. Connected components over them are blocks, and every linked
+   pair lies within one.
 4. *Search.* In a cell (a block, or a part of a large one) neighbours by size are compared first;
    what is then outside the largest component queries an inverted index of the cell: the longest
    lists are set aside, the short ones are merged by a heap with skips, and candidates with enough
@@ -29,10 +31,11 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, perhaps_in
+from .common import by_slices, components, cut, perhaps_in
 
 CELL = 128
 LEADERS = 8
@@ -42,7 +45,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -202,7 +205,7 @@ def _search(cells: DataFrame, percent: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (r for pdf in frames for r in zip(pdf["block"], pdf["cell"], pdf["id"], pdf["component"], pdf["hashes"], pdf["query"]))
         for _, group in groupby(rows, key=lambda r: r[:2]):
-            found = link_cell([(int(i), int(c), np.frombuffer(h, np.int64), bool(q)) for _, _, i, c, h, q in group], percent)
+            found = link_cell([(int(i), int(c), np.asarray(h, np.int64), bool(q)) for _, _, i, c, h, q in group], percent)
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
@@ -212,25 +215,36 @@ def _search(cells: DataFrame, percent: int) -> DataFrame:
 
 
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for pdf in frames:
-            sets = [shingles(t, size) for t in pdf["_text"]]
-            yield pd.DataFrame({
-                "id": pdf["id"], "n": [len(s) for s in sets], "class": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "signature": [s[: signature_length(len(s), percent)] for s in sets],
-            })
+        for batch in by_slices(batches):
+            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            classes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+            signatures = pa.array([s[: signature_length(len(s), percent)] for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), classes, signatures], ["id", "n", "class", "signature"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).mapInPandas(run, "id long, n long, class binary, signature array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).mapInArrow(run, "id long, n long, class binary, signature array<long>")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf.assign(_text=[shingles(t, size).tobytes() for t in pdf["_text"]]).rename(columns={"_text": "hashes"})[["block", "members", "id", "hashes"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_slices(batches):
+            sets = pa.array([shingles(t, size) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "hashes"])
 
-    return texts.select("block", "members", "id", "_text").mapInPandas(run, "block long, members long, id long, hashes binary")
+    return texts.select("id", "_text").mapInArrow(run, "id long, hashes array<long>")
+
+
+def _repeated(tokens: DataFrame, must: Column, name: str) -> DataFrame:
+    """From (id, n, h): the ids with ``must`` shingles or more that others hold too, and the rarest of these (df, h), all but must - 1.
+
+    Counting and looking up are two shuffles, so that a shingle that very many hold is pre-aggregated
+    in the one and can be split in the other; a bitmap of fixed size keeps the unrepeated out of the latter.
+    """
+    met = cut(tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), name)
+    held = perhaps_in(tokens, "h", met, bits=1 << 26).join(met, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("held")).filter(F.size("held") >= must)
+    return held.select("id", F.slice("held", F.lit(1), (F.size("held") - must + 1).cast("int")).alias("rarest"))
 
 
 def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -245,19 +259,19 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     copies = prints.select("class", "id").join(classes.filter("rows > 1"), "class").filter("id <> rep").select("id")
     signatures = prints.filter("class IS NOT NULL AND id IS NOT NULL").join(cut(copies, "ngram-copies"), "id", "left_anti").select("id", "n", F.explode("signature").alias("h"))
 
-    met = cut(signatures.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "ngram-met")
     least = F.ceil(F.lit(percent) * F.col("n") / 100)
-    must = 1 + F.floor(least / 12)
-    held = signatures.join(met, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("held")).filter(F.size("held") >= must)
-    searched = cut(held.select("id", F.explode(F.slice("held", F.lit(1), (F.size("held") - must + 1).cast("int"))).alias("x")).select("id", F.col("x.h").alias("h")), "ngram-searched")
+    survivors = cut(_repeated(signatures, 1 + F.floor(least / 12), "ngram-met").select("id"), "ngram-survivors")
+    texts = perhaps_in(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")), "id", survivors)
+    sets = cut(_sets(texts.join(survivors, "id"), size), "ngram-sets")
+    whole = sets.select("id", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("h"))
+    held = _repeated(whole, least, "ngram-met")
+    searched = cut(held.select("id", F.explode("rarest").alias("x")).select("id", F.col("x.h").alias("h")), "ngram-searched")
     first = cut(searched.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("holders")).filter("holders > 1").select("h", "first"), "ngram-first")
     blocks = components(searched.join(first, "h").select(F.col("id").alias("a"), F.col("first").alias("b")), "ngram-blocks")
     blocks = cut(blocks.select(F.col("node").alias("id"), F.col("component").alias("block")), "ngram-blocks")
     sizes = cut(blocks.groupBy("block").agg(F.count("*").alias("members")), "ngram-sizes")
     members = cut(blocks.join(sizes, "block"), "ngram-members")
-
-    texts = perhaps_in(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")), "id", members.select("id"))
-    sets = cut(_sets(texts.join(members, "id"), size), "ngram-sets")
+    sets = cut(sets.join(members, "id"), "ngram-sets")
     parts = F.ceil(F.col("members") / CELL).cast("int")
     own = F.when(F.col("members") <= CELL, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), parts)).cast("int")
     leads = (F.col("members") > CELL) & (F.pmod(F.xxhash64("id", F.lit(7)), F.col("members")) < LEADERS)
