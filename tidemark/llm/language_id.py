@@ -13,11 +13,11 @@ import re
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import by_slices, cut
 
 #: Result for a text without a letter.
 UNDETERMINED = "und"
@@ -94,18 +94,16 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], *, min_margin: flo
     shipped = docs.sparkSession.sparkContext.broadcast(dictionaries)  # dict_bytes for each language
     text = docs[text_col].alias("_text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Classifier(shipped.value, level)
-        for pdf in batches:
-            found = [of(t) for t in pdf.pop("_text")]
-            pdf["lang_pred"] = [lang for lang, _ in found]
-            pdf["score"] = [float(s) for _, s in found]
-            pdf["accepted"] = [lang != UNDETERMINED and s >= min_margin for lang, s in found]
-            yield pdf
+        for batch in by_slices(batches):
+            found = [of(t) for t in batch.column(0).to_pylist()]
+            made = [[lang for lang, _ in found], [float(s) for _, s in found], [lang != UNDETERMINED and s >= min_margin for lang, s in found]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, made)], [*keep, "lang_pred", "score", "accepted"])
 
     columns = [docs[c] for c in keep]
     schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    return docs.select(*columns, text).mapInPandas(run, schema)
+    return docs.select(text, *columns).mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", **params) -> DataFrame:

@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import by_slices, cut
 
 SYMBOLS = "#*$%&|<>"
 #: Transformed statistics, and the smallest standard deviation assumed for each: below it a
@@ -86,12 +87,13 @@ def statistics(docs: DataFrame, *, text_col: str = "text", keep: list[str]) -> D
     for c in STATS:
         schema = schema.add(c, "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = pd.DataFrame([measure(t) for t in pdf.pop("_text")], columns=COUNTS + STATS, index=pdf.index)
-            yield pd.concat([pdf, found], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_slices(batches):
+            made = list(zip(*[measure(t) for t in batch.column(0).to_pylist()]))
+            kinds = [pa.int64()] * len(COUNTS) + [pa.float64()] * len(STATS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(x, k) for x, k in zip(made, kinds))], [*keep, *COUNTS, *STATS])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    return docs.select(F.col(text_col).alias("_text"), *keep).mapInArrow(run, schema)
 
 
 def chi2_cdf(x: float, k: int) -> float:
