@@ -57,9 +57,20 @@ class LibraryEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_chunks(self, found: list[str], together: int = 256) -> list[bytes]:
+    def _encode_chunks(self, found: list[str]) -> list[bytes]:
+        """Ids of each chunk. A comma or full stop after letters is a piece of its own, so such chunks share their words' ids."""
+        parts = {c: (c[:-1], c[-1]) for c in found if c[-1] in ",." and c[:-1].lstrip(" ").isalpha()}
+        heads = {p for pair in parts.values() for p in pair}
+        plain = [c for c in heads.union(found) if c not in parts and c not in self.cache and c != "\n"]
+        made = dict(zip(plain, self._encode_together(plain)))
+        made["\n"] = self.newline
+        known = lambda c: made[c] if c in made else self.cache[c]
+        out = [known(parts[c][0]) + known(parts[c][1]) if c in parts else made[c] for c in found]
+        self.cache.update(made)
+        return out
+
+    def _encode_together(self, plain: list[str], together: int = 256) -> list[bytes]:
         """Chunks without a newline in them, ``together`` a call: a newline between two is a token of its own, at which the ids are cut."""
-        plain = [c for c in found if c != "\n"]
         joined = ["\n".join(plain[k : k + together]) for k in range(0, len(plain), together)]
         out = []
         for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
@@ -71,8 +82,7 @@ class LibraryEncoder:
             out.append(data[at:])
         if len(out) != len(plain):
             raise ValueError("this vocabulary does not keep newlines apart")
-        values = iter(out)
-        return [self.newline if c == "\n" else next(values) for c in found]
+        return out
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         cut = [chunks(t) for t in texts]
