@@ -19,6 +19,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from .token_pieces import Cache, chunks
 
@@ -235,7 +236,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
                 out += [[int(i) for i in ids.split()] for ids, _, _ in encoder.encode_batch(part)]
             yield pdf.assign(ids=out)
 
-    return kept.mapInPandas(run, kept.schema.add("ids", "array<int>"))
+    return kept.mapInPandas(run, StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode(tokens: DataFrame, ranks_path: str, *, ids_col: str = "ids") -> DataFrame:
@@ -247,4 +248,4 @@ def decode(tokens: DataFrame, ranks_path: str, *, ids_col: str = "ids") -> DataF
         for pdf in frames:
             yield pdf.assign(decoded=[None if ids is None else b"".join(of[int(i)] for i in ids) for ids in pdf[ids_col]])
 
-    return kept.mapInPandas(run, kept.schema.add("decoded", "binary"))
+    return kept.mapInPandas(run, StructType([*kept.schema.fields, StructField("decoded", BinaryType())]))

@@ -24,13 +24,13 @@ def _has_word(line: Column) -> Column:
 
 
 def frequent_lines(pages: DataFrame, *, ratio: float, min_pages: int, host_col: str, text_col: str) -> DataFrame:
-    """One row for each host with such lines: _host and their keys (array)."""
+    """One row for each host with such lines: _host and their _keys (array)."""
     lines = F.array_distinct(F.transform(F.filter(F.split(text_or_empty(text_col), "\n"), _has_word), _key))
     counted = pages.select(F.col(host_col).alias("_host"), F.explode(lines).alias("key")).groupBy("_host", "key").agg(F.count("*").alias("pages"))
     counted = cut(counted.filter(F.col("pages") >= min_pages), "line-counts")
     totals = cut(pages.groupBy(F.col(host_col).alias("_total_host")).agg(F.count("*").alias("total")), "line-totals")
     over = counted.join(totals, F.col("_host").eqNullSafe(F.col("_total_host"))).filter(F.col("pages") > ratio * F.col("total"))
-    return cut(over.groupBy("_host").agg(F.collect_set("key").alias("keys")), "line-frequent")
+    return cut(over.groupBy("_host").agg(F.collect_set("key").alias("_keys")), "line-frequent")
 
 
 def drop_frequent_lines(pages: DataFrame, *, ratio: float = 0.05, min_pages: int = 5, host_col: str = "host", text_col: str = "text") -> DataFrame:
@@ -44,11 +44,11 @@ def drop_frequent_lines(pages: DataFrame, *, ratio: float = 0.05, min_pages: int
     frequent = frequent_lines(pages, ratio=ratio, min_pages=min_pages, host_col=host_col, text_col=text_col)
     joined = pages.join(frequent, F.col(host_col).eqNullSafe(F.col("_host")), "left")
     lines = F.split(F.col(text_col), "\n")
-    stays = lambda x: ~(_has_word(x) & F.array_contains(F.col("keys"), _key(x)))
-    kept = F.when(F.col("keys").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
+    stays = lambda x: ~(_has_word(x) & F.array_contains(F.col("_keys"), _key(x)))
+    kept = F.when(F.col("_keys").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
     rest = joined.withColumn("_lines", lines).withColumn("_kept", kept)
     counts = {"n_lines": F.coalesce(F.size(F.filter("_lines", _has_word)), F.lit(0)), "n_dropped": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0))}
-    out = rest.withColumns({text_col: F.when(F.col("keys").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")), **counts})
+    out = rest.withColumns({text_col: F.when(F.col("_keys").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")), **counts})
     return out.select(*dict.fromkeys([*pages.columns, "n_lines", "n_dropped"]))
 
 
