@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows_of
+from compare import rows_of
 
 from tidemark.plans import book, ingest, market
 
