@@ -128,3 +128,55 @@ def order_intents(orders: DataFrame, decision: str = "decision_id") -> DataFrame
     ident = content_id({"decision": F.col(decision), "code": F.col("code"), "side": F.col("side")})
     made = orders.withColumn("signal_id", ident).withColumn("intent_id", content_id({"signal": ident, "kind": F.lit("intent")}))
     return made.dropDuplicates(["signal_id"])
+
+
+def _checks(rows: DataFrame, key: str, checks: dict[str, object]) -> DataFrame:
+    """(key, check) for every check that holds on a row."""
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()]))
+    return rows.select(key, F.explode(found).alias("check")).distinct()
+
+
+def trace_violations(decisions: DataFrame, stages: DataFrame) -> DataFrame:
+    """Decisions whose stored stages don't fit: (decision_id, check).
+
+    decisions: decision_id, snapshot_id, as_of; stages: decision_id, stage_snapshot_id, prior_as_of. A stage
+    belongs to its decision's snapshot, and the state it started from is earlier.
+    """
+    joined = stages.join(decisions, "decision_id", "left")
+    return _checks(joined, "decision_id", {"unknown_decision": F.col("snapshot_id").isNull(), "other_snapshot": F.col("stage_snapshot_id") != F.col("snapshot_id"), "prior_not_earlier": F.col("prior_as_of") >= F.col("as_of")})
+
+
+def observation_violations(observations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Forward observations to refuse: (trading_date, check).
+
+    observations: trading_date, base_id, shadow_id, returns (array), cost_rate; decisions: decision_id, snapshot_id,
+    track, decision_date. Both decisions exist, share snapshot and day, stand on their tracks; returns are finite and
+    not below -1, costs lie in [0, 1]. Different contents for one day conflict, equal ones are replays.
+    """
+    of = lambda p: decisions.select(F.col("decision_id").alias(f"{p}_id"), F.col("snapshot_id").alias(f"{p}_snapshot"), F.col("track").alias(f"{p}_track"), F.col("decision_date").alias(f"{p}_date"))
+    content = content_id({c: F.col(c) for c in ("base_id", "shadow_id", "returns", "cost_rate")})
+    days = observations.withColumn("_c", content).groupBy("trading_date").agg(F.countDistinct("_c").alias("contents"))
+    joined = observations.join(of("base"), "base_id", "left").join(of("shadow"), "shadow_id", "left").join(days, "trading_date")
+    return _checks(joined, "trading_date", {
+        "conflict": F.col("contents") > 1, "unknown_decision": F.col("base_snapshot").isNull() | F.col("shadow_snapshot").isNull(), "other_snapshot": F.col("base_snapshot") != F.col("shadow_snapshot"),
+        "track": (F.col("base_track") != "base") | (F.col("shadow_track") != "shadow"), "date": (F.col("base_date") != F.col("trading_date")) | (F.col("shadow_date") != F.col("trading_date")),
+        "return": F.exists("returns", lambda r: r.isNull() | F.isnan(r) | (r < -1)), "cost": ~F.col("cost_rate").between(0, 1),
+    })
+
+
+def latest_allocation(states: DataFrame, before: str, schema: str = "active_strategy string, weights map<string,double>") -> DataFrame:
+    """Of each track the last state before a moment, its stored JSON parsed. states: track, as_of, seq, payload."""
+    last = states.filter(F.col("as_of") < F.to_timestamp(F.lit(before))).groupBy("track").agg(F.max_by(F.struct("as_of", "payload"), F.struct("as_of", "seq")).alias("s"))
+    return last.select("track", "s.as_of", F.from_json("s.payload", schema).alias("state")).select("track", "as_of", "state.*")
+
+
+def run_violations(runs: DataFrame) -> DataFrame:
+    """Overlay runs whose record contradicts itself: (run_id, check).
+
+    runs: run_id, base_snapshot, shadow_snapshot, requested_at, completed_at, deadline, status, outcome, weight_sum.
+    """
+    applied = F.col("outcome") == "applied"
+    return _checks(runs, "run_id", {
+        "other_snapshot": F.col("base_snapshot") != F.col("shadow_snapshot"), "completed_before_request": F.col("completed_at") < F.col("requested_at"), "applied_after_deadline": applied & (F.col("completed_at") >= F.col("deadline")),
+        "applied_without_success": applied & (F.col("status") != "succeeded"), "weights": applied & (F.abs(F.col("weight_sum") - 1) > 1e-9),
+    })

@@ -449,3 +449,50 @@ def overlay_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = market._weights(spark, sf_dir)
     mix = F.when(F.col("strategy") == "momentum", 0.5).when(F.col("strategy") == "defensive_low_volatility", 0.3).otherwise(0.2)
     return overlay.blend(weights.withColumn("mix", mix), ["trade_date"], risk_scale=0.9).select("trade_date", "code", F.col("rank").cast("long").alias("rank"), F.round("weight", 8).alias("weight"))
+
+
+# -- consistency of stored records ---------------------------------------------------------------------------
+
+
+@query("""
+    SELECT DISTINCT l_orderkey AS decision_id, unnest(list_filter([CASE WHEN o_orderkey IS NULL THEN 'unknown_decision' END, CASE WHEN (l_orderkey + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) % 7 <> o_orderkey % 7 THEN 'other_snapshot' END,
+           CASE WHEN l_shipdate >= o_orderdate THEN 'prior_not_earlier' END], lambda x: x IS NOT NULL)) AS "check" FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 50 <> 3) o ON l_orderkey = o_orderkey
+""")
+def trace_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decisions = S.table(spark, sf_dir, "orders").filter("o_orderkey % 50 <> 3").select(F.col("o_orderkey").alias("decision_id"), (F.col("o_orderkey") % 7).alias("snapshot_id"), F.col("o_orderdate").alias("as_of"))
+    stages = S.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("decision_id"), ((F.col("l_orderkey") + (F.col("l_linenumber") == 7).cast("int")) % 7).alias("stage_snapshot_id"), F.col("l_shipdate").alias("prior_as_of"))
+    return ledger.trace_violations(decisions, stages)
+
+
+@query("""
+    WITH d AS (SELECT o_orderkey AS id, o_custkey % 3 AS snap, CASE WHEN o_orderkey % 2 = 0 THEN 'base' ELSE 'shadow' END AS track, CAST(o_orderdate AS DATE) AS day FROM orders),
+    o AS (SELECT CAST(o_orderdate AS DATE) AS trading_date, min(o_orderkey) AS b, max(o_orderkey) AS s, max(o_totalprice) / 100000 - 2 AS r, min(o_totalprice) / 100000 AS c FROM orders GROUP BY 1)
+    SELECT DISTINCT trading_date, unnest(list_filter([CASE WHEN x.snap <> y.snap THEN 'other_snapshot' END, CASE WHEN x.track <> 'base' OR y.track <> 'shadow' THEN 'track' END, CASE WHEN r < -1 THEN 'return' END, CASE WHEN NOT c BETWEEN 0 AND 1 THEN 'cost' END], lambda v: v IS NOT NULL)) AS "check"
+    FROM o JOIN d x ON b = x.id JOIN d y ON s = y.id
+""")
+def observation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, day = S.table(spark, sf_dir, "orders"), F.col("o_orderdate").cast("date")
+    decisions = orders.select(F.col("o_orderkey").alias("decision_id"), (F.col("o_custkey") % 3).alias("snapshot_id"), F.when(F.col("o_orderkey") % 2 == 0, "base").otherwise("shadow").alias("track"), day.alias("decision_date"))
+    seen = orders.groupBy(day.alias("trading_date")).agg(F.min("o_orderkey").alias("base_id"), F.max("o_orderkey").alias("shadow_id"), F.array(F.max("o_totalprice") / 100000 - 2).alias("returns"), (F.min("o_totalprice") / 100000).alias("cost_rate"))
+    return ledger.observation_violations(seen, decisions)
+
+
+@query("""
+    SELECT user_id AS track, arg_max(ts, (ts, event_id)) AS as_of, CAST(arg_max(json_extract(props, '$.k'), (ts, event_id)) AS BIGINT) AS k FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1
+""")
+def latest_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = S.table(spark, sf_dir, "events").select(F.col("user_id").alias("track"), F.col("ts").alias("as_of"), F.col("event_id").alias("seq"), F.col("props").alias("payload"))
+    return ledger.latest_allocation(states, "2024-01-15 00:00:00", "k long")
+
+
+@query("""
+    WITH r AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS moved, o_orderkey % 3 AS days, o_orderkey % 2 = 0 AS applied, o_orderpriority LIKE '1%' AS failed FROM orders)
+    SELECT run_id, unnest(list_filter([CASE WHEN moved = 1 THEN 'other_snapshot' END, CASE WHEN applied AND days >= 2 THEN 'applied_after_deadline' END, CASE WHEN applied AND failed THEN 'applied_without_success' END], lambda v: v IS NOT NULL)) AS "check" FROM r
+""")
+def run_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    runs = S.table(spark, sf_dir, "orders").select(
+        k.alias("run_id"), (k % 5).alias("base_snapshot"), ((k + (F.col("o_orderstatus") == "P").cast("int")) % 5).alias("shadow_snapshot"), F.col("o_orderdate").cast("date").alias("requested_at"), F.date_add(F.col("o_orderdate").cast("date"), (k % 3).cast("int")).alias("completed_at"),
+        F.date_add(F.col("o_orderdate").cast("date"), 2).alias("deadline"), F.when(F.col("o_orderpriority").startswith("1"), "failed").otherwise("succeeded").alias("status"), F.when(k % 2 == 0, "applied").otherwise("fallback").alias("outcome"), F.lit(1.0).alias("weight_sum"),
+    )
+    return ledger.run_violations(runs)
