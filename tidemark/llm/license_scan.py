@@ -83,14 +83,15 @@ def _starts(phrase: list[str], df: dict[str, int]) -> Column:
     return F.filter(begins, whole)
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare_words: int = 10, looked_up: int = 12, min_coverage: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare_words: int = 10, max_share: float = 0.2, looked_up: int = 12, min_coverage: float = 0.6) -> DataFrame:
     """One row for each row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts all places of the base phrases; first_word and last_word are the smallest and
     largest start among them, in words from 0. labels adds the templates with coverage of min_coverage
     or more and all key phrases. score is the best coverage among the labels, 0 without one. Null
-    texts count as empty: no words, no labels ('' in both), null places. rare_words are kept of each
-    template, and of each file its looked_up words with the highest IDF propose templates.
+    texts count as empty: no words, no labels ('' in both), null places. Of each template rare_words are
+    kept, none (beyond two) that over max_share of the files hold: common words would propose templates
+    everywhere. Of each file its looked_up words with the highest IDF propose templates.
     """
     templates = [(label, text.split(), [p.split() for p in phrases]) for label, text, phrases in TEMPLATES]
     phrases = [p.split() for p in BASE_PHRASES] + [p for _, _, keys in templates for p in keys]
@@ -99,7 +100,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rar
     idf = {w: math.log((rows + 1) / (df.get(w, 0) + 1)) + 1e-6 for w in vocabulary}
 
     # the index: postings of each template's rarest words, the first place of a word
-    rare = [sorted({w: words.index(w) for w in words}.items(), key=lambda x: (-idf[x[0]], x[1]))[:rare_words] for _, words, _ in templates]
+    rare = []
+    for _, words, _ in templates:
+        ordered = sorted({w: words.index(w) for w in words}.items(), key=lambda x: (-idf[x[0]], x[1]))[:rare_words]
+        rare.append([x for n, x in enumerate(ordered) if n < 2 or df.get(x[0], 0) <= max_share * rows])
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, kept in enumerate(rare):
         for w, p in kept:
