@@ -69,7 +69,7 @@ def _shard(rows: list[tuple], capacity: int, distinct_sources: bool) -> list[tup
     return out
 
 
-def pack(docs: DataFrame, *, capacity: int, length_col: str, id_col: str = "doc_id", source_col: str = "source", cluster_col: str = "cluster", distinct_sources: bool = True, shard_docs: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int, length_col: str, id_col: str = "doc_id", source_col: str = "source", cluster_col: str = "cluster", distinct_sources: bool = True, shard_docs: int = 2048) -> DataFrame:
     """One row for each piece: id, piece, start, length, shard, bin (within the shard), place (in the bin).
 
     A document longer than capacity is cut into pieces of capacity and a rest. Documents with null or
