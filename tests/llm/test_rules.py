@@ -65,6 +65,33 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert quality_rules.apply_rules(df.limit(0)).count() == 0
 
 
+def test_quality_rejects_the_junk_of_the_tables(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    r = random.Random(11)
+    ok = {x.doc_id: x.text for x in rows if x.text and len(x.text.split()) >= 60}
+    plain = {i: t for i, t in ok.items() if not quality_rules.measure(t)[2] and not quality_rules.measure(t)[3] and not quality_rules.measure(t)[4]}
+    symbols = {x.doc_id for x in rows if x.text and quality_rules.measure(x.text)[2] > len(x.text.split())}
+    shouted = set(r.sample(sorted(plain), 12))
+    again = set(r.sample(sorted(set(plain) - shouted), 12))
+
+    def junk(i, t):
+        if i in shouted:
+            return t.upper()
+        if i in again:  # one line in five is a copy of the first, under the base rule's limit
+            words = t.split()
+            lines = [" ".join(words[k : k + 6]) for k in range(0, len(words), 6)]
+            return "\n".join(lines[0] if k % 5 == 4 else x for k, x in enumerate(lines))
+        return t
+
+    df = spark.createDataFrame([(x.doc_id, junk(x.doc_id, x.text), x.lang, x.source) for x in rows], "doc_id long, text string, lang string, source string")
+    out = [x for x in quality_rules.apply_rules(df).collect() if not x.base_failed and x.distance is not None]
+    kept = lambda ids: [x.doc_id for x in out if x.doc_id in ids and x.kept]
+    assert len([x for x in out if x.doc_id in symbols]) > 20
+    assert kept(symbols) == [] and kept(shouted) == [] and kept(again) == []
+    clean = [x for x in out if x.doc_id in plain and x.doc_id not in shouted | again]
+    assert len(clean) > 400 and sum(x.kept for x in clean) >= 0.97 * len(clean)
+
+
 def test_chi_square():
     assert abs(quality_rules.chi2_quantile(0.95, 3) - 7.8147) < 1e-3 and abs(quality_rules.chi2_cdf(7.0, 7) - 0.5711) < 1e-3
 

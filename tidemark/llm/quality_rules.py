@@ -3,7 +3,8 @@
 Each text becomes a vector of transformed statistics. For every (language, source) group the
 minimum covariance determinant is estimated: starting from medians and median deviations,
 concentration steps take the ``share`` of the group's rows with the smallest Mahalanobis distance
-and estimate mean and covariance from those again. Rows far outside the final ellipsoid go.
+and estimate mean and covariance from those again; a last step takes all rows within a chi-square
+quantile (the usual reweighting). Rows outside the final ellipsoid go.
 
 All sums and quantiles run over all rows as partial aggregates, so a hot group costs no more than
 its rows; what is kept for each group is one row of estimates.
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import by_slices, cut
 
 SYMBOLS = "#*$%&|<>"
-#: Transformed statistics, and the smallest standard deviation assumed for each: below it a
-#: difference means nothing, whatever a group's own spread is.
-FLOORS = {"log_words": 1.0, "log_word_length": 0.12, "symbol_rate": 1.0, "upper_rate": 0.7, "dup_line_rate": 1.0, "repeat_rate": 1.0, "log_distinct": 0.25}
+#: Transformed statistics, and the least standard deviation of each. A floor takes the place of a
+#: smaller spread only (most groups have no symbol or repeat at all); it never widens a larger one.
+FLOORS = {"log_words": 0.3, "log_word_length": 0.05, "symbol_rate": 0.5, "upper_rate": 0.1, "dup_line_rate": 0.5, "repeat_rate": 0.5, "log_distinct": 0.01}
 STATS = list(FLOORS)
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -163,7 +164,8 @@ def _estimates(sums: DataFrame, share: float) -> DataFrame:
                 cov = np.zeros((d, d))
                 cov[lower] = np.asarray(second, float) - np.outer(mean, mean)[lower]
                 cov = np.tril(cov) + np.tril(cov, -1).T
-                cov = cov * consistent + np.diag(floors**2)
+                cov = cov * consistent
+                cov += np.diag(np.maximum(0.0, floors**2 - np.diag(cov)) + 1e-9)  # the last term for collinear statistics
                 factors.append(np.linalg.inv(np.linalg.cholesky(cov))[lower])
             yield pd.DataFrame({"grp": pdf["grp"], "m": pdf["m"], "w": factors})
 
@@ -177,8 +179,12 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("grp").agg(mean.alias("m"), second.alias("second"))
 
 
-def determinant_estimates(rows: DataFrame, *, share: float = 0.75, steps: int = 3) -> DataFrame:
-    """Centre m and whitening w of each group (columns grp and STATS) after ``steps`` concentration steps."""
+def determinant_estimates(rows: DataFrame, *, share: float = 0.75, steps: int = 3, inside: float = 0.975) -> DataFrame:
+    """Centre m and whitening w of each group (columns grp and STATS) after ``steps`` concentration steps.
+
+    A last step takes the rows within the chi-square quantile ``inside``: the core of 75 % alone
+    understates the spread of clean rows whose tails aren't normal.
+    """
     d = len(STATS)
     quantile = lambda c: F.percentile_approx(c, 0.5, 2000)
     centre = rows.groupBy("grp").agg(F.array(*[quantile(F.col(c)) for c in STATS]).alias("m"))
@@ -192,10 +198,13 @@ def determinant_estimates(rows: DataFrame, *, share: float = 0.75, steps: int =
         limit = cut(near.groupBy("grp").agg(F.percentile_approx("d2", share, 2000).alias("limit")), "quality-limit")
         core = near.join(limit, "grp").filter(F.col("d2") <= F.col("limit"))
         now = cut(_estimates(_moments(core), share), f"quality-step{step}")
-    return now
+    within = rows.join(now, "grp").withColumn("d2", _whitened(d)).filter(F.col("d2") <= chi2_quantile(inside, d)).select("grp", *STATS)
+    # a group without a row within keeps its last estimate
+    final = cut(_estimates(_moments(within), inside), "quality-reweighted")
+    return final.unionByName(now.select(final.columns).join(final.select("grp"), "grp", "left_anti"))
 
 
-def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, share: float = 0.75, steps: int = 3, tail: float = 1e-7, min_rows: int = 120) -> DataFrame:
+def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, share: float = 0.75, steps: int = 3, tail: float = 1e-3, min_rows: int = 120) -> DataFrame:
     """One row for each row of ``docs``: id, COUNTS, base_failed, distance (Mahalanobis), kept.
 
     kept is false if base_failed (fewer than min_words words, or over max_repeat_percent of the words
