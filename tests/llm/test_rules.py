@@ -35,6 +35,19 @@ def test_licences(docs):
     assert license_scan.scan(docs([])).count() == 0
 
 
+def test_licences_of_files_with_several_notices(docs):
+    notices = [wording for _, wording, _ in license_scan.TEMPLATES]
+    every = {label for label, _, _ in license_scan.TEMPLATES}
+    mit, bsd, nc, rights = notices[1], notices[8], notices[11], notices[14]
+    texts = [" between these ".join(notices), " between these ".join(reversed(notices)), f"{mit}. {bsd}. {rights}", f"{mit}. {bsd}. {nc}", *(f"{mit}. {bsd}. {n}" for n in notices)]
+    df = docs(texts + ["plain words of a page"] * 400)
+    rows = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert set(rows[0].labels.split(",")) == set(rows[1].labels.split(",")) == every
+    assert rows[2].labels == "all-rights-reserved,bsd,mit" and rows[3].labels == "bsd,cc-by-nc,mit"
+    for i, (label, _, _) in enumerate(license_scan.TEMPLATES):
+        assert label in rows[4 + i].labels.split(",") and rows[4 + i].score == 1
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall("[^\x20\x09-\x0d]+", text)

@@ -1,9 +1,9 @@
 """Licence scan with a positional rare-token index, all of it column expressions.
 
 The templates' words get their document frequencies from the whole corpus. The index holds, for the
-rarest words of each template, their postings (template, position). Of each file, the places of its
-highest-IDF licence words are looked up; a word at place i with a posting (t, p) proposes template t
-from i - p, and postings intersect by that relative position: a proposal's coverage is the IDF share
+rarest words of each template, their postings (template, position). Of each file, the places of all
+indexed words are looked up; a word at place i with a posting (t, p) proposes template t from i - p,
+so no place where a template has coverage is missed however many notices a file holds. Postings intersect by that relative position: a proposal's coverage is the IDF share
 of the template's rare words that stand where they should. A label needs coverage and its mandatory
 key phrases word for word. Key phrases are found from their own rarest word, so none is missed.
 
@@ -83,7 +83,7 @@ def _starts(phrase: list[str], df: dict[str, int]) -> Column:
     return F.filter(begins, whole)
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare_words: int = 10, max_share: float = 0.2, looked_up: int = 12, min_coverage: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare_words: int = 10, max_share: float = 0.2, min_coverage: float = 0.6) -> DataFrame:
     """One row for each row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts all places of the base phrases; first_word and last_word are the smallest and
@@ -91,7 +91,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rar
     or more and all key phrases. score is the best coverage among the labels, 0 without one. Null
     texts count as empty: no words, no labels ('' in both), null places. Of each template rare_words are
     kept, none (beyond two) that over max_share of the files hold: common words would propose templates
-    everywhere. Of each file its looked_up words with the highest IDF propose templates.
+    everywhere.
     """
     templates = [(label, text.split(), [p.split() for p in phrases]) for label, text, phrases in TEMPLATES]
     phrases = [p.split() for p in BASE_PHRASES] + [p for _, _, keys in templates for p in keys]
@@ -117,22 +117,23 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rar
     found = split.withColumns({f"_p{k}": _starts(p, df) for k, p in enumerate(phrases)}).withColumns({"_lead": lead, "n_words": (F.size("_w") - lead - trail).cast("long")})
     found = found.withColumn("_base", F.concat(*[F.col(f"_p{k}") for k in range(len(BASE_PHRASES))]))
 
-    order = {w: k for k, w in enumerate(sorted(postings, key=lambda w: (-idf[w], w)))}
+    order = {w: k for k, w in enumerate(sorted(postings))}
     rank_of = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    ranks = F.array_sort(F.array_distinct(F.filter(F.transform("_hits", lambda i: F.try_element_at(rank_of, _low(F.get("_w", i)))), lambda r: r.isNotNull())))
-    found = found.withColumn("_ranks", F.slice(ranks, 1, looked_up))
-    by_rank = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]) for w in order])
+    # a proposal is one long, since distinct longs are hashed and distinct structs compared in pairs
+    many, before = len(templates), max(len(words) for _, words, _ in templates)
+    by_rank = F.array(*[F.array(*[F.lit((before - p) * many + t).cast("long") for t, p in postings[w]]) for w in order])
 
     def proposals(i: Column) -> Column:
         rank = F.try_element_at(rank_of, _low(F.get("_w", i)))
-        return F.when(F.array_contains("_ranks", rank), F.transform(F.get(by_rank, rank), lambda x: F.struct(x["t"].alias("t"), (i - x["p"]).alias("at"))))
+        return F.transform(F.get(by_rank, rank), lambda x: i.cast("long") * many + x)
 
     proposed = F.array_distinct(F.flatten(F.filter(F.transform("_hits", proposals), lambda x: x.isNotNull())))
     shapes = F.array(*[F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p"), F.lit(idf[w] / sum(idf[v] for v, _ in kept)).alias("share")) for w, p in kept]) for kept in rare])
 
     def coverage(x: Column) -> Column:
-        inside = lambda total, s: total + F.when(_low(F.get("_w", x["at"] + s["p"])) == s["w"], s["share"]).otherwise(F.lit(0.0))
-        return F.struct(x["t"].alias("t"), F.aggregate(F.get(shapes, x["t"]), F.lit(0.0), inside).alias("share"))
+        t, at = (x % many).cast("int"), (F.floor(x / many) - before).cast("int")
+        inside = lambda total, s: total + F.when(_low(F.get("_w", at + s["p"])) == s["w"], s["share"]).otherwise(F.lit(0.0))
+        return F.struct(t.alias("t"), F.aggregate(F.get(shapes, t), F.lit(0.0), inside).alias("share"))
 
     found = found.withColumn("_aligned", F.transform(proposed, coverage))
 
