@@ -27,8 +27,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document's source is its site. What has no word left goes."""
-    rest = line_dedup.drop_frequent_lines(docs, host_col="source")
+    """A document's source is its site; copies count once, near dedup chooses among them. What has no word left goes."""
+    rest = line_dedup.drop_frequent_lines(docs, host_col="source", copies_count=False)
     left = rest.filter("n_dropped = 0 OR n_dropped < n_lines")
     return left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 

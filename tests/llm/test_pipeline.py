@@ -24,6 +24,17 @@ def test_near_copies_leave_one(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 9]
 
 
+def test_copies_are_not_site_lines(spark):
+    copy = "\n".join(" ".join(f"c{i}x{j}" for j in range(12)) for i in range(5))
+    page = lambda n: "\n".join(["site menu home about", *(" ".join(f"p{n}l{i}w{j}" for j in range(12)) for i in range(4))])
+    rows = [(i, copy, "en", "s", len(copy)) for i in range(30)] + [(100 + i, page(i), "en", "s", len(page(i))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rest = cut(corpus_pipeline.drop_site_lines(spark, docs, ""), "test-copies")
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_near_copies(spark, rest, "").collect()}
+    assert sorted(left) == [0, *range(100, 160)] and left[0] == copy
+    assert not any("menu" in t for t in left.values())
+
+
 def test_empty_input(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:

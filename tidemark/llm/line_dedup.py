@@ -23,25 +23,29 @@ def _has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def frequent_lines(pages: DataFrame, *, ratio: float, min_pages: int, host_col: str, text_col: str) -> DataFrame:
+def frequent_lines(pages: DataFrame, *, ratio: float, min_pages: int, host_col: str, text_col: str, copies_count: bool = True) -> DataFrame:
     """One row for each host with such lines: _host and their _keys (array)."""
     lines = F.array_distinct(F.transform(F.filter(F.split(text_or_empty(text_col), "\n"), _has_word), _key))
-    counted = pages.select(F.col(host_col).alias("_host"), F.explode(lines).alias("key")).groupBy("_host", "key").agg(F.count("*").alias("pages"))
+    keyed = pages.select(F.col(host_col).alias("_host"), lines.alias("_lines"))
+    if not copies_count:
+        keyed = cut(keyed.distinct(), "line-texts")  # only hashes are shuffled, copies are merged before that
+    counted = keyed.select("_host", F.explode("_lines").alias("key")).groupBy("_host", "key").agg(F.count("*").alias("pages"))
     counted = cut(counted.filter(F.col("pages") >= min_pages), "line-counts")
-    totals = cut(pages.groupBy(F.col(host_col).alias("_total_host")).agg(F.count("*").alias("total")), "line-totals")
+    totals = cut(keyed.groupBy(F.col("_host").alias("_total_host")).agg(F.count("*").alias("total")), "line-totals")
     over = counted.join(totals, F.col("_host").eqNullSafe(F.col("_total_host"))).filter(F.col("pages") > ratio * F.col("total"))
     return cut(over.groupBy("_host").agg(F.collect_set("key").alias("_keys")), "line-frequent")
 
 
-def drop_frequent_lines(pages: DataFrame, *, ratio: float = 0.05, min_pages: int = 5, host_col: str = "host", text_col: str = "text") -> DataFrame:
+def drop_frequent_lines(pages: DataFrame, *, ratio: float = 0.05, min_pages: int = 5, host_col: str = "host", text_col: str = "text", copies_count: bool = True) -> DataFrame:
     """``pages`` with text_col rewritten, and n_lines and n_dropped (lines with a word).
 
     A line goes if at least min_pages pages of its host and more than ``ratio`` of them contain it; a
     page counts once for a line however often it repeats it, and repeated rows are pages of their
-    own. Lines without a word stay. Null hosts form one host. Null texts stay null. The other columns
+    own. Without copies_count, pages of a host with the same lines are one page in these counts: a
+    document's copies aren't boilerplate. Lines without a word stay. Null hosts form one host. Null texts stay null. The other columns
     are untouched; columns called n_lines or n_dropped are replaced.
     """
-    frequent = frequent_lines(pages, ratio=ratio, min_pages=min_pages, host_col=host_col, text_col=text_col)
+    frequent = frequent_lines(pages, ratio=ratio, min_pages=min_pages, host_col=host_col, text_col=text_col, copies_count=copies_count)
     joined = pages.join(frequent, F.col(host_col).eqNullSafe(F.col("_host")), "left")
     lines = F.split(F.col(text_col), "\n")
     stays = lambda x: ~(_has_word(x) & F.array_contains(F.col("_keys"), _key(x)))
