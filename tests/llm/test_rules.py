@@ -71,7 +71,7 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     rows = [(i, " ".join(word() for _ in range(r.randrange(30, 400))), "en" if i % 3 else "de", "hot") for i in range(900)]
     rows += [(1000 + i, " ".join(word() + "###" for _ in range(100)), "en", "hot") for i in range(20)] + [(2000, None, None, None), (2001, "", "en", None), (2002, "short text", "xx", "rare")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("grp", F.lit("clash"))
-    out = {x.doc_id: x for x in quality_rules.apply_rules(df, min_rows=100).collect()}
+    out = {x.doc_id: x for x in quality_rules.apply_rules(df).collect()}
     assert len(out) == len(rows)
     assert not any(out[1000 + i].kept for i in range(20)) and sum(out[i].kept for i in range(900)) >= 897
     assert all(out[i].base_failed and not out[i].kept for i in (2000, 2001, 2002))
@@ -97,7 +97,8 @@ def test_quality_rejects_the_junk_of_the_tables(spark):
         return t
 
     df = spark.createDataFrame([(x.doc_id, junk(x.doc_id, x.text), x.lang, x.source) for x in rows], "doc_id long, text string, lang string, source string")
-    out = [x for x in quality_rules.apply_rules(df).collect() if not x.base_failed and x.distance is not None]
+    out = [x for x in quality_rules.apply_rules(df).collect() if not x.base_failed]
+    assert all(x.distance is not None for x in out)
     kept = lambda ids: [x.doc_id for x in out if x.doc_id in ids and x.kept]
     assert len([x for x in out if x.doc_id in symbols]) > 20
     assert kept(symbols) == [] and kept(shouted) == [] and kept(again) == []
@@ -105,6 +106,63 @@ def test_quality_rejects_the_junk_of_the_tables(spark):
     assert len(clean) > 400 and sum(x.kept for x in clean) >= 0.97 * len(clean)
 
 
+def brute_determinant(points, keep):
+    """The subset of ``keep`` points whose covariance has the lowest determinant, by trying them all."""
+    import itertools
+
+    import numpy as np
+
+    best = min(itertools.combinations(range(len(points)), keep), key=lambda s: np.linalg.det(np.cov(points[list(s)].T, bias=True)))
+    return np.log(np.linalg.det(np.cov(points[list(best)].T, bias=True))), set(best)
+
+
+def test_estimates_reach_the_lowest_determinant(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows, clouds = [], {}
+    for g in range(5):
+        base = r.normal(size=(14, 2)) @ np.array([[1.0, 0.8 * (g % 2)], [0.0, 0.6]])
+        base[:3] += [9.0, -7.0]  # outliers, which a plain covariance would swallow
+        clouds[g] = base
+        rows += [(g, 0, float(a), float(b)) for a, b in base]
+    df = spark.createDataFrame(rows, "grp long, parent long, x double, y double")
+    groups = df.groupBy("grp", "parent").agg(F.count("*").alias("n"))
+    share, floors = 11 / 14, {"x": 1e-3, "y": 1e-3}
+    # inside=1 - 1e-12: the last step takes every row, so the estimate before it is compared by its core
+    core = {x.grp: x for x in quality_rules.determinant_estimates(df, groups, floors=floors, share=share, prior=0.0, inside=share).collect()}
+    for g, points in clouds.items():
+        lowest, subset = brute_determinant(points, 11)
+        m, w = np.array(core[g].m), np.array(core[g].w)
+        z = (points - m) @ np.array([[w[0], w[1]], [0.0, w[2]]])
+        nearest = set(np.argsort((z**2).sum(1))[:11].tolist())
+        assert subset == set(range(3, 14)) and nearest == subset
+        assert np.log(np.linalg.det(np.cov(points[sorted(nearest)].T, bias=True))) <= lowest + 1e-9
+
+
+def test_groups_of_few_rows_are_drawn_to_their_language():
+    import numpy as np
+
+    wide, own = (1000, np.array([2000.0]), np.array([5000.0])), (3, np.array([30.0]), np.array([300.0]))
+    mean, cov = quality_rules.shrunk([wide, own], 30.0, 1.0)
+    assert abs(mean[0] - (3 * 10 + 30 * 2) / 33) < 1e-12 and abs(cov[0, 0] - (3 * 0 + 30 * 1) / 33) < 1e-12
+    assert quality_rules.shrunk([wide, (0, own[1] * 0, own[2] * 0)], 30.0, 1.0)[0][0] == 2.0
+    assert quality_rules.shrunk([(0, own[1] * 0, own[2] * 0)] * 2, 30.0, 1.0) is None
+
+
+def test_quality_long_and_repeated_rows(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(200)), "en", f"site{i % 40}") for i in range(120)]
+    rows += [(500, " ".join(word() for _ in range(60_000)), "en", "site1")] * 2 + [(501, "a " * 5, "zz", "alone"), (502, " ".join(word() for _ in range(150)), "yy", "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"n": F.lit("clash"), "start": F.lit("clash"), "m": F.lit(1)})
+    out = quality_rules.apply_rules(df).collect()
+    assert len(out) == len(rows) and all(x.distance is not None for x in out)
+    twice = [x for x in out if x.doc_id == 500]
+    assert len(twice) == 2 and twice[0] == twice[1] and twice[0].n_words == 60_000
+    assert [x.kept for x in out if x.doc_id == 502] == [True] and [x.kept for x in out if x.doc_id == 501] == [False]
+
+
 def test_chi_square():
     assert abs(quality_rules.chi2_quantile(0.95, 3) - 7.8147) < 1e-3 and abs(quality_rules.chi2_cdf(7.0, 7) - 0.5711) < 1e-3
 
