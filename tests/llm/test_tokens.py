@@ -9,9 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import byte_bpe, token_files
-from tidemark.llm.token_pieces import chunks
+from tidemark.llm.token_pieces import chunks, spelled
 
-ODD = ["", " ", "\n", "a", "  a  b\n\n c", "\t\tx\ty z ", "it's we'll 'tis  ", "a" * 3000, "ab" * 700 + " !!!!" * 50 + "   ", "x\x1cy \x85z\r\nq", "日本語 テキスト 😀😀", " lead", "trail \n", "123 45", "\x00a b", "<|endoftext|> a", "word, word. word"]
+ODD = ["", " ", "\n", "a", "  a  b\n\n c", "\t\tx\ty z ", "it's we'll 'tis  ", "a" * 3000, "ab" * 700 + " !!!!" * 50 + "   ", "x\x1cy \x85z\r\nq", "日本語 テキスト 😀😀", " lead", "trail \n", "123 45", "\x00a b", "<|endoftext|> a", "word, word. word", "x <|endoftext|>\ny", "a<|endoftext|>b, c.\nd", "two\nlines, of.\nthree words. <|endoftext", "|> z"]
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +54,7 @@ def test_heap_and_matrix_agree(encoder):
 def test_chunks_join_to_the_text():
     for text in ODD:
         c = chunks(text)
-        assert c is None or "".join(c) == text
+        assert c is None or "".join(map(spelled, c)) == text
 
 
 def test_query_decodes_and_handles_null_and_empty(spark, docs):
@@ -70,7 +70,6 @@ def test_files_equal_the_library(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = ODD + [None] + ["more words, and some. " * 20 + "x"]
     df = docs(texts).repartition(5)
     folder, shape = f"file://{tmp_path}/tokens", {"vocabulary": 50_257, "end_id": 2}
@@ -88,3 +87,35 @@ def test_no_files_for_no_documents(spark, docs, tmp_path):
     folder, shape = f"file://{tmp_path}/none", {"vocabulary": 50_257, "end_id": 2}
     parts = token_files.write(docs([]), folder, P.path("byte_bpe_50k.json"), **shape)
     assert parts == [] and token_files.read(spark, folder, parts, **shape).count() == 0
+
+
+def test_files_keep_null_and_large_ids_repeated_rows_and_long_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    big, long_ = (1 << 53) + 1, " ".join(f"w{i % 977}" for i in range(40_000))
+    rows = [(None, "no id", "x", 1), (big, "a b", "x", 1), (big + 2, "c", "x", 1), (5, "same", "x", 1), (5, "same", "x", 1), (6, long_, "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, part int").coalesce(1)
+    folder, shape = f"file://{tmp_path}/edge", {"vocabulary": 50_257, "end_id": 2}
+    parts = token_files.write(df, folder, P.path("byte_bpe_50k.json"), **shape)
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.start, list(r.tokens)) for r in token_files.read(spark, folder, parts, with_tokens=True, **shape).collect())
+    ordered, start = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1])), 0
+    for (doc, text, _, _), (i, at, tokens) in zip(ordered, got):
+        ids = t.encode(text, add_special_tokens=False).ids + [2]
+        assert (i, at, tokens) == (-1 if doc is None else doc, start, ids)
+        start += len(ids)
+    assert len(got) == len(rows)
+
+
+def test_digests_keep_null_and_large_ids_and_repeated_rows(spark, reference):
+    import hashlib
+
+    big, long_ = (1 << 53) + 1, "wörd " * 5000 + "x" * 700
+    rows = [(None, "no id"), (big, "a b"), (big, "a b"), (7, long_)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS n_tokens", "1 AS _text").coalesce(1)
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256) for r in byte_bpe.digests(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()]
+    want = []
+    for i, text in rows:
+        ids = reference.encode_ordinary(text)
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()))
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -16,12 +16,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .token_pieces import Cache, chunks
+from .common import by_slices
+from .token_pieces import Cache, chunks, spelled
 
 MATRIX_BYTES = 512
 NONE = np.int64(1) << 40
@@ -83,7 +85,7 @@ class Encoder:
         self.ranks, self.pairs, self.table = ranks, pairs, PairTable(pairs)
         # the tokenisers' \s is the White_Space property
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.cache = Cache(self._chunks)
+        self.cache = Cache(lambda found: self._chunks(list(map(spelled, found))))
 
     def _matrix(self, pieces: list[bytes]) -> list[list[int]]:
         width = max(map(len, pieces))
@@ -176,12 +178,12 @@ class Encoder:
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
         """For each text: ids as text, their number, the decoded bytes."""
         cut = [chunks(t) for t in texts]
-        self.cache.fill([c for c in cut if c])
+        value = self.cache.of([c for c in cut if c]).__getitem__
         for text, c in zip(texts, cut):
             if c is None:
                 yield self._chunks([text])[0]
             else:
-                of = list(map(self.cache.__getitem__, c))
+                of = list(map(value, c))
                 yield " ".join([x[0] for x in of]), sum([x[1] for x in of]), b"".join([x[2] for x in of])
 
 
@@ -207,21 +209,22 @@ def batches_of(texts: list[str], most_chars: int = 4_000_000) -> Iterator[list[s
 def digests(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, n_tokens, ids_sha256 (of the decimal ids joined by spaces), decoded_sha256.
 
-    Whole texts; null and empty texts have no ids. The file of ranks must lie at the same path on
-    every executor.
+    Whole texts; null and empty texts have no ids. Repeated rows and null ids are kept as they are,
+    an empty table gives an empty result, other columns are not read. The file of ranks must lie at
+    the same path on every executor.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(ranks_path, pattern)
-        for pdf in frames:
-            texts = [t or "" for t in pdf.pop("_text")]
+        for batch in by_slices(batches):
             rows = []
-            for part in batches_of(texts):
+            for part in batches_of([t or "" for t in batch.column(1).to_pylist()]):
                 rows += [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()) for ids, n, plain in encoder.encode_batch(part)]
-            yield pd.concat([pdf, pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=pdf.index)], axis=1)
+            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = docs.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return docs.select(id_col, F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text") -> DataFrame:

@@ -274,7 +274,7 @@ def determinant_estimates(rows: DataFrame, groups: DataFrame, *, floors: dict[st
     def step(now: DataFrame, starts: list[int]) -> DataFrame:
         near = rows.join(now.select("grp", "start", "m", "w"), "grp").withColumn("d2", _whitened(columns)).select("grp", "start", "d2", *columns)
         own = near.groupBy("grp", "start").agg(F.percentile_approx("d2", share, 2000).alias("own"), F.count("*").alias("n"))
-        limit = own.select("grp", "start", ((F.col("n") * F.col("own") + prior * q) / (F.col("n") + prior)).alias("limit"))
+        limit = cut(own.select("grp", "start", ((F.col("n") * F.col("own") + prior * q) / (F.col("n") + prior)).alias("limit")), "quality-limit")  # a small table: the rows stay where they are
         return moments(near.join(limit, ["grp", "start"]).filter(F.col("d2") <= F.col("limit")), share, starts)
 
     for _ in range(first_steps):

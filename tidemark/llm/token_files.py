@@ -22,16 +22,19 @@ from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import batches_of
-from .token_pieces import Cache, chunks
+from .common import by_slices
+from .token_pieces import Cache, chunks, spelled
 
 PART_SCHEMA = "part int, docs long, tokens long"
 _FLUSH = 8 << 20
+#: How a null id is stored.
+NO_ID = -(1 << 63)
 
 
 def _storage(uri: str):
@@ -41,16 +44,17 @@ def _storage(uri: str):
 
 
 class LibraryEncoder:
-    """Ids as bytes, by the tokenizers library. Lives inside tasks; each distinct chunk is encoded once."""
+    """Ids as bytes, by the tokenizers library with its own settings. Lives inside tasks; each distinct chunk is encoded once."""
 
-    def __init__(self, tokenizer_path: str, dtype: str):
+    def __init__(self, tokenizer_path: str, dtype: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: the library finds these anywhere in a text, whatever stands around them
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype(dtype)
-        self.cache = Cache(self._encode_chunks)
+        self.cache, self.pieces, self.limit = Cache(self._encode_chunks, limit), {}, limit
         self.newline = self._encode(["\n"])[0]
         self.separator = int(np.frombuffer(self.newline, self.dtype)[0]) if len(self.newline) == self.dtype.itemsize else None
 
@@ -59,18 +63,19 @@ class LibraryEncoder:
 
     def _encode_chunks(self, found: list[str]) -> list[bytes]:
         """Ids of each chunk. A comma or full stop after letters is a piece of its own, so such chunks share their words' ids."""
-        parts = {c: (c[:-1], c[-1]) for c in found if c[-1] in ",." and c[:-1].lstrip(" ").isalpha()}
-        heads = {p for pair in parts.values() for p in pair}
-        plain = [c for c in heads.union(found) if c not in parts and c not in self.cache and c != "\n"]
-        made = dict(zip(plain, self._encode_together(plain)))
-        made["\n"] = self.newline
-        known = lambda c: made[c] if c in made else self.cache[c]
-        out = [known(parts[c][0]) + known(parts[c][1]) if c in parts else made[c] for c in found]
-        self.cache.update(made)
-        return out
+        texts = list(map(spelled, found))
+        parts = {t: (t[:-1], t[-1]) for t in texts if t[-1] in ",." and t[:-1].lstrip(" ").isalpha()}
+        if len(self.pieces) > self.limit:
+            self.pieces.clear()
+        self.pieces["\n"] = self.newline
+        new = {t for t in texts if t not in parts}.union(*parts.values())
+        new = [t for t in new if t not in self.pieces]
+        self.pieces.update(zip(new, self._encode_together(new)))
+        of = self.pieces.__getitem__
+        return [of(t) if (p := parts.get(t)) is None else of(p[0]) + of(p[1]) for t in texts]
 
     def _encode_together(self, plain: list[str], together: int = 256) -> list[bytes]:
-        """Chunks without a newline in them, ``together`` a call: a newline between two is a token of its own, at which the ids are cut."""
+        """Pieces without a newline in them, ``together`` a call: a newline between two is a token of its own, at which the ids are cut."""
         joined = ["\n".join(plain[k : k + together]) for k in range(0, len(plain), together)]
         out = []
         for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
@@ -85,10 +90,10 @@ class LibraryEncoder:
         return out
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [chunks(t) for t in texts]
-        self.cache.fill([c for c in cut if c])
+        cut = [None if any(a in t for a in self.added) else chunks(t) for t in texts]
+        value = self.cache.of([c for c in cut if c]).__getitem__
         for text, c in zip(texts, cut):
-            yield self._encode([text])[0] if c is None else b"".join(map(self.cache.__getitem__, c))
+            yield self._encode([text])[0] if c is None else b"".join(map(value, c))
 
 
 @lru_cache(maxsize=2)
@@ -102,23 +107,24 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int, voc
 
     Documents stand in ascending id order (null ids first, stored as the smallest 64-bit integer;
     rows with the same id in the order of their texts). Null and empty texts are the end id alone.
-    An empty table gives no part. Only the totals of the parts reach the driver.
+    Texts are encoded as the library does by default: an added token's string in a text is that token.
+    An empty table gives no part; other columns are not read. Only the totals of the parts reach the driver.
     """
     dtype = dtype_of(vocabulary, end_id)
     end = np.array([end_id], dtype).tobytes()
     width = len(end)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         storage, root = _storage(folder)
         storage.create_dir(root, recursive=True)
         encoder, out, held, size = None, None, [], 0
         ids, offsets = [], [0]
-        for pdf in frames:
+        for slice_ in by_slices(rows):
             if encoder is None:
                 encoder, out = _encoder(tokenizer_path, dtype), storage.open_output_stream(f"{root}/_{own}.bin")
-            ids += [np.iinfo(np.int64).min if i is None or i != i else int(i) for i in pdf["_id"].tolist()]
-            for batch in batches_of([t or "" for t in pdf["_text"]]):
+            ids += [NO_ID if i is None else i for i in slice_.column(0).to_pylist()]
+            for batch in batches_of([t or "" for t in slice_.column(1).to_pylist()]):
                 for data in encoder(batch):
                     held += [data, end]
                     size += len(data) + width
@@ -135,11 +141,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int, voc
                 f.write(np.array(values, "<i8").tobytes())
         for kind in ("bin", "idx", "doc"):
             storage.move(f"{root}/_{own}.{kind}", f"{root}/part-{part:05d}.{kind}")
-        yield pd.DataFrame({"part": [part], "docs": [len(ids)], "tokens": [offsets[-1]]})
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([offsets[-1]], pa.int64())], ["part", "docs", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     ordered = rows.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
-    parts = sorted(tuple(r) for r in ordered.mapInPandas(run, PART_SCHEMA).collect())  # one row for each partition
+    parts = sorted(tuple(r) for r in ordered.mapInArrow(run, PART_SCHEMA).collect())  # one row for each partition
     bases = accumulate((t for _, _, t in parts), initial=0)
     return [(*p, base) for p, base in zip(parts, bases)]
 
@@ -164,21 +170,20 @@ def read(spark: SparkSession, folder: str, parts: list[tuple[int, int, int, int]
     dtype = dtype_of(vocabulary, end_id)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", tokens array<int>" if with_tokens else "")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         storage, root = _storage(folder)
         for frame in frames:
-            for part, base in zip(frame["part"], frame["base"]):
+            for part, base in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
                 tokens, offsets, ids = (_open(storage, f"{root}/part-{part:05d}.{kind}", t) for kind, t in (("bin", dtype), ("idx", "<i8"), ("doc", "<i8")))
                 at = 0
                 while at < len(ids):
                     to = min(len(ids), max(at + 1, int(np.searchsorted(offsets, offsets[at] + batch_tokens))))
                     slices = [np.asarray(tokens[offsets[i] : offsets[i + 1]]) for i in range(at, to)]
-                    out = pd.DataFrame({"doc_id": pd.array(ids[at:to], "Int64"), "start": offsets[at:to] + base, "n_tokens": np.diff(offsets[at : to + 1]), "ids_crc32": [zlib.crc32(s.astype("<u4").tobytes()) for s in slices]})
-                    out["doc_id"] = out["doc_id"].mask(out["doc_id"] == np.iinfo(np.int64).min)
+                    made = [pa.array(ids[at:to], mask=np.asarray(ids[at:to]) == NO_ID), pa.array(offsets[at:to] + base), pa.array(np.diff(offsets[at : to + 1])), pa.array([zlib.crc32(s.astype("<u4").tobytes()) for s in slices], pa.int64())]
                     if with_tokens:
-                        out["tokens"] = [s.astype(np.int32) for s in slices]
-                    yield out
+                        made.append(pa.array([s.astype(np.int32) for s in slices], pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(made, ["doc_id", "start", "n_tokens", "ids_crc32", "tokens"][: len(made)])
                     at = to
 
     table = spark.createDataFrame([(p, base) for p, _, _, base in parts], "part int, base long")
-    return table.repartition(max(1, len(parts))).mapInPandas(run, schema)
+    return table.repartition(max(1, len(parts))).mapInArrow(run, schema)

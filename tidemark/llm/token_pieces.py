@@ -2,18 +2,18 @@
 
 With the pre-tokenising pattern of the public byte-level vocabularies, a single space between two
 other characters always begins a new piece, and a single newline between two of them is a piece of
-its own. So most texts can be cut at those places without the pattern, and each distinct chunk be
+its own. So most texts can be cut there without the pattern, and each distinct chunk be
 encoded once for a worker. Texts with any other white space go the ordinary way as a whole.
 """
 
 from __future__ import annotations
 
-#: White space other than single spaces and newlines, and what could be taken for a cut.
-_IRREGULAR = ["  ", "\n\n", " \n", "\n ", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
+#: White space other than single spaces and newlines, and what marks a line's first chunk.
+_IRREGULAR = ["  ", "\n\n", " \n", "\n ", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0", *map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 
 
 def chunks(text: str) -> list[str] | None:
-    """The chunks, which join to ``text``; None if it has to be taken whole."""
+    """The text cut at its spaces and newlines, a line's first chunk marked by a null character; None if it has to be taken whole."""
     if not text:
         return []
     if text[0] in " \n" or text[-1] in " \n":
@@ -21,20 +21,27 @@ def chunks(text: str) -> list[str] | None:
     for odd in _IRREGULAR:  # much faster than a pattern
         if odd in text:
             return None
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    return ("\0" + text.replace("\n", " \n \0")).split(" ")
+
+
+def spelled(chunk: str) -> str:
+    """What a chunk stands for: the space before it belongs to it, unless it begins a line or is a newline."""
+    return chunk[1:] if chunk[0] == "\0" else chunk if chunk == "\n" else " " + chunk
 
 
 class Cache(dict):
     """Values by chunk, filled by ``make``; emptied when ``limit`` entries are reached, so a worker's memory is bounded."""
 
-    def __init__(self, make, limit: int = 600_000):
+    def __init__(self, make, limit: int = 500_000):
         super().__init__()
         self.make, self.limit = make, limit
 
-    def fill(self, texts: list[list[str]]) -> None:
-        """Makes what the texts need and the cache lacks, in one call."""
+    def of(self, texts: list[list[str]]) -> dict:
+        """The values of these texts' chunks; what is missing is made in one call. A small table is quicker to look up than the whole cache."""
+        found = set().union(*texts)
         if len(self) > self.limit:
             self.clear()
-        missing = [c for c in set().union(*texts) if c not in self]
+        missing = list(found.difference(self))
         if missing:
             self.update(zip(missing, self.make(missing)))
+        return {c: self[c] for c in found}
