@@ -70,14 +70,45 @@ def test_ngram_null_ids_repeated_rows_and_no_rows(spark, docs):
     assert ngram_join.link_components(docs([])).count() == 0
 
 
+def test_ngram_one_id_with_several_texts(spark):
+    text = lambda k, n: " ".join(f"t{k}w{i}" for i in range(n))
+    a, b, tail = text("a", 40), text("b", 40), text("b", 40) + " tail"
+    rows = [(3, a), (5, a), (5, b), (9, tail), (5, ""), (5, None), (11, text("c", 30)), (12, text("c", 30) + " x"), (12, text("d", 30)), (12, text("d", 30)), (13, text("d", 31)), (20, text("e", 20)), (21, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = ngram_join.link_components(df).collect()
+    want = {3: 3, 5: 3, 9: 3, 11: 11, 12: 11, 13: 11, 20: 20, 21: 21}
+    assert len(out) == len(rows) and all(r.component_id == want[r.doc_id] for r in out)
+
+
+def test_ngram_outside_members_ask_the_parts_of_a_large_block(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "VOLUME", 1500)
+    monkeypatch.setattr(ngram_join, "QUERIES", 7)
+    monkeypatch.setattr(ngram_join, "CELL", 16)
+    texts = planted(9, 12, 40, words=70)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(docs(texts).repartition(3)).collect()}
+    assert got == brute_components(dict(enumerate(texts)))
+
+
+def test_ngram_long_texts(docs):
+    r = random.Random(8)
+    long_ = [f"w{r.randrange(5000)}" for _ in range(30_000)]
+    near = list(long_)
+    for i in range(0, 30_000, 400):
+        near[i] = "changed"
+    texts = [" ".join(long_), " ".join(near), " ".join(long_[:15_000]), "short one"]
+    got = [x.component_id for x in sorted(ngram_join.link_components(docs(texts)).collect())]
+    assert got == [0, 0, 2, 3]
+
+
 def test_divide_skip_counts_like_a_scan():
     import numpy as np
 
     r = random.Random(2)
     sets = sorted((np.unique([r.randrange(200) for _ in range(r.randrange(5, 60))]).astype(np.int64) for _ in range(60)), key=len)
     index = ngram_join.Index(sets)
-    for q in sets:
+    for at, q in enumerate(sets):
         found = dict(index.search(q, 75, lambda p: True))
+        assert {p: c for p, c in index.search(q, 75, lambda p: True, at) if p != at} == {p: c for p, c in found.items() if p != at}
         for i, s in enumerate(sets):
             k = len(np.intersect1d(q, s))
             if ngram_join.linked(k, len(q), len(s), 75):

@@ -17,10 +17,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where a session names none (tests on one machine) a temporary folder is set.
+    Where a session on one machine (tests) names none, a temporary folder is set; on a cluster that would be
+    a folder others can't read, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -53,13 +56,26 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def _flagged(df: DataFrame, key: str, members: DataFrame, bits: int) -> DataFrame:
-    """``df`` with _in: 0 if the key is certainly not in ``members`` (a table with the same column).
+#: A bitmap has 16 bits for each member, within these bounds: 128 KB and 128 MB.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 
-    Decided by a bitmap of fixed size (``bits`` / 8 bytes whatever the number of members, 1 MB by
-    default), which is why it can be broadcast. With many more members than bits nearly all rows
-    get 1; results stay the same, as an exact join follows.
+
+def bits_for(members: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * members - 1).bit_length() if members else 0))
+
+
+def _flagged(df: DataFrame, key: str, members: DataFrame, bits: int | None) -> DataFrame:
+    """``df`` with _in: 0 if the key is certainly not in ``members`` (a written table with the same column).
+
+    Decided by a bitmap sized by the number of members (bits_for), whose upper bound is why it can be
+    broadcast. Beyond 64 million members it holds less than 16 bits for each, beyond a billion nearly
+    all rows get 1 and the bitmap saves nothing; then it is left out and the exact join that follows in any case does the work.
     """
+    if bits is None:
+        n = members.count()
+        if n > MOST_BITS:
+            return df.withColumn("_in", F.lit(1))
+        bits = bits_for(n)
     place = lambda name: F.pmod(F.xxhash64(F.col(name)), F.lit(bits)) + 1
     bitmap = members.select(place(key).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map"))
     at = F.bitmap_bit_position("_p").cast("int")
@@ -69,12 +85,12 @@ def _flagged(df: DataFrame, key: str, members: DataFrame, bits: int) -> DataFram
     return joined.withColumn("_in", bit).drop("_p", "_bucket", "_map")
 
 
-def perhaps_in(df: DataFrame, key: str, members: DataFrame, bits: int = 1 << 23) -> DataFrame:
+def perhaps_in(df: DataFrame, key: str, members: DataFrame, bits: int | None = None) -> DataFrame:
     """All rows of ``df`` whose key is in ``members`` and few others, so the exact join that follows need not shuffle the rest."""
     return _flagged(df, key, members, bits).filter("_in = 1").drop("_in")
 
 
-def without(df: DataFrame, key: str, members: DataFrame, bits: int = 1 << 23) -> DataFrame:
+def without(df: DataFrame, key: str, members: DataFrame, bits: int | None = None) -> DataFrame:
     """The rows of ``df`` whose key (null is a value) is not in ``members``. Only rows that may be are shuffled."""
     flagged = _flagged(df, key, members, bits)
     gone = members.select(F.col(key).alias("_gone"))

@@ -19,7 +19,9 @@ Texts with the same shingle set are one class; classes are searched. Every step
    occurrences are looked up in the long ones by binary search. Components already joined are not
    compared again, so a group of near copies costs about its size, not its square.
 5. *Large blocks* are dealt into cells by hash; a few members stand in all cells and join them.
-   Whatever stays outside the block's largest component then queries all its cells.
+   Whatever stays outside the block's largest component then queries the block's parts: members of
+   one size band and like components, about VOLUME shingles in each. A query goes to a part only if
+   the part's band can hold a partner and some member shares one of the looked-at shingles.
 """
 
 from __future__ import annotations
@@ -39,6 +41,9 @@ from .common import by_slices, components, cut, perhaps_in
 
 CELL = 128
 LEADERS = 8
+#: Shingles in a part of a large block, and the queries one copy of it answers.
+VOLUME = 1 << 19
+QUERIES = 2048
 
 
 class _WordHashes(dict):
@@ -123,13 +128,16 @@ class Index:
         tokens = np.concatenate(sets)
         places = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(tokens, kind="stable")
-        self.places, tokens = places[order], tokens[order]
-        self.tokens, self.starts = np.unique(tokens, return_index=True)
-        self.ends = np.append(self.starts[1:], len(tokens))
+        self.places = places[order]
+        self.tokens, inverse = np.unique(tokens[order], return_inverse=True)
+        self.keys = inverse * len(sets) + self.places  # ascending: a list's part within a range of sizes is found by bisection
 
-    def search(self, query: np.ndarray, percent: int, wanted) -> Iterator[tuple[int, int]]:
-        """DivideSkip: (place, shared shingles) of the members that may link with the query. wanted(place): whether it is still of interest."""
-        n = len(query)
+    def search(self, query: np.ndarray, percent: int, wanted, own: int | None = None) -> Iterator[tuple[int, int]]:
+        """DivideSkip: (place, shared shingles) of the members that may link with the query.
+
+        wanted(place): whether it is still of interest. own: the query's place, if it is a member.
+        """
+        n, count = len(query), len(self.sizes)
         least = least_overlap(n, percent)
         at = np.searchsorted(self.tokens, query)
         at = at[at < len(self.tokens)]
@@ -137,30 +145,30 @@ class Index:
         if len(at) < least:
             return
         low, high = bisect_left(self.sizes, least), bisect_left(self.sizes, 100 * n // percent + 1)
-        lists = []
-        for k in at:
-            x = self.places[self.starts[k] : self.ends[k]]
-            x = x[np.searchsorted(x, low) : np.searchsorted(x, high)].tolist()
-            if x:
-                lists.append(x)
-        if len(lists) < least:
+        begin, end = np.searchsorted(self.keys, at * count + low), np.searchsorted(self.keys, at * count + high)
+        shared = end - begin > (0 if own is None else 1)  # a list of the query alone says nothing
+        if shared.sum() < least:
             return
-        lists.sort(key=len)
-        longest = len(lists[-1])
+        begin, end = begin[shared], end[shared]
+        order = np.argsort(end - begin, kind="stable")
+        begin, end = begin[order], end[order]
+        longest = int(end[-1] - begin[-1])
         n_long = min(least - 1, int(least / (0.01 * np.log2(longest + 1) + 1)))
-        short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        for place, count in merge_skip(short, least - n_long):
+        split = len(begin) - n_long
+        short = [self.places[b:e].tolist() for b, e in zip(begin[:split], end[:split])]
+        long_ = [self.places[b:e] for b, e in zip(begin[split:], end[split:])]
+        for place, found in merge_skip(short, least - n_long):
             if not wanted(place):
                 continue
             need = -(-percent * (n + self.sizes[place]) // (100 + percent))
             left = len(long_)
             for x in long_:
-                if count + left < need:
+                if found + left < need:
                     break
-                k = bisect_left(x, place)
-                count += k < len(x) and x[k] == place
+                k = int(np.searchsorted(x, place))
+                found += k < len(x) and int(x[k]) == place
                 left -= 1
-            yield place, count
+            yield place, found
 
 
 class _Union:
@@ -193,7 +201,7 @@ def link_cell(members: list[tuple[int, int, np.ndarray, bool]], percent: int) ->
         index = Index([m[2] for m in members])
         for i in queries:
             own, size = members[i][1], len(members[i][2])
-            for place, shared in index.search(members[i][2], percent, lambda p: union.root(members[p][1]) != union.root(own)):
+            for place, shared in index.search(members[i][2], percent, lambda p: union.root(members[p][1]) != union.root(own), i):
                 if union.root(members[place][1]) != union.root(own) and linked(shared, size, len(members[place][2]), percent):
                     union.join(own, members[place][1])
     return sorted({(m[1], union.root(m[1])) for m in members if union.root(m[1]) != m[1]})
@@ -209,8 +217,10 @@ def _search(cells: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    # ranges of cells even out what hashing would not: a cell is never divided
-    dealt = cells.repartitionByRange("block", "cell").sortWithinPartitions("block", "cell")
+    # ranges of cells even out what hashing would not: a cell is never divided. The work goes by comparisons, not by bytes,
+    # so the number of tasks is not left to be merged by their size
+    tasks = 2 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.repartitionByRange(tasks, "block", "cell").sortWithinPartitions("block", "cell")
     return dealt.mapInPandas(run, "a long, b long")
 
 
@@ -228,41 +238,88 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, percen
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """The sets of (node, only, _text); where ``only`` names a class, just that of its text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in by_slices(batches):
-            sets = pa.array([shingles(t, size) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "hashes"])
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            sets = [(node, s) for node, only, t in rows for s in [shingles(t, size)] if only is None or only == xxhash.xxh3_128_digest(s.tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.list_(pa.int64()))], ["id", "hashes"])
 
-    return texts.select("id", "_text").mapInArrow(run, "id long, hashes array<long>")
+    return texts.select("node", "only", "_text").mapInArrow(run, "id long, hashes array<long>")
 
 
 def _repeated(tokens: DataFrame, must: Column, name: str) -> DataFrame:
     """From (id, n, h): the ids with ``must`` shingles or more that others hold too, and the rarest of these (df, h), all but must - 1.
 
     Counting and looking up are two shuffles, so that a shingle that very many hold is pre-aggregated
-    in the one and can be split in the other; a bitmap of fixed size keeps the unrepeated out of the latter.
+    in the one and can be split in the other; a bitmap keeps the unrepeated out of the latter.
     """
     met = cut(tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), name)
-    held = perhaps_in(tokens, "h", met, bits=1 << 26).join(met, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("held")).filter(F.size("held") >= must)
+    held = perhaps_in(tokens, "h", met).join(met, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("held")).filter(F.size("held") >= must)
     return held.select("id", F.slice("held", F.lit(1), (F.size("held") - must + 1).cast("int")).alias("rarest"))
 
 
+def _ask_parts(rows: DataFrame, searched: DataFrame, percent: int) -> DataFrame:
+    """Edges between the members outside their block's largest component and all others of the block.
+
+    rows: id, hashes, block, component, largest. searched: (id, h), the looked-at shingles.
+    """
+    # sizes of a linked pair lie within a factor of 100 / percent: in one band or two neighbouring ones
+    band = F.floor(F.log(F.size("hashes").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    sized = cut(rows.select("id", "block", "component", (F.col("component") != F.col("largest")).alias("asks"), F.size("hashes").cast("long").alias("n"), band.alias("band")), "ngram-sized")
+    volumes = sized.groupBy("block", "band", "component").agg(F.sum("n").alias("volume"))
+    small = volumes.filter(F.col("volume") < VOLUME).groupBy("block", "band").agg(F.sum("volume").alias("rest"))
+    placed = sized.join(volumes, ["block", "band", "component"]).join(small, ["block", "band"], "left")
+    of = lambda key, total: F.pmod(F.xxhash64(key, F.lit(17)), F.ceil(F.col(total) / VOLUME).cast("long"))
+    part = F.when(F.col("volume") < VOLUME, F.xxhash64("block", "band", of("component", "rest"))).otherwise(F.xxhash64("block", "band", "component", of("id", "volume")))
+    placed = cut(placed.select("id", "block", "component", "asks", "band", part.alias("part")), "ngram-placed")
+    held = cut(searched.join(placed.select("id", "asks", "band", "part"), "id"), "ngram-routes")
+    stands = held.select("h", "part", F.col("band").alias("at")).distinct()
+    asked = held.filter("asks").select("h", "id", "band").join(stands, "h").filter(F.abs(F.col("band") - F.col("at")) <= 1).select("id", "part").distinct()
+    asked = cut(asked, "ngram-asked")
+    copies = cut(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies")), "ngram-copies")
+    sets = rows.select("id", "hashes")
+    index = placed.join(copies, "part").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("part", "cell", "id", "component", F.lit(False).alias("query"))
+    queries = asked.join(copies, "part").join(placed.select("id", "component"), "id").select("part", F.pmod(F.xxhash64("id", F.lit(11)), "copies").cast("int").alias("cell"), "id", "component", F.lit(True).alias("query"))
+    cells = index.unionByName(queries).join(sets, "id")
+    return _search(cells.select(F.col("part").alias("block"), "cell", "id", "component", "hashes", "query"), percent)
+
+
 def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """For each row: id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
     Two documents link when 100 * shared >= percent * united shingles. Null texts, empty ones and
-    such without words have no shingle and link with nothing. Rows that repeat an id are one node.
-    A null id gets a null component. Other columns are not read.
+    such without words have no shingle and link with nothing. Rows that repeat an id are one node,
+    whatever their texts: it has the links of each of them. A null id gets a null component. An empty
+    table gives an empty result. Other columns are not read.
     """
     prints = cut(_fingerprints(docs, id_col, text_col, size, percent), "ngram-prints")
-    classes = cut(prints.filter("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "ngram-classes")
-    copies = prints.select("class", "id").join(classes.filter("rows > 1"), "class").filter("id <> rep").select("id")
-    signatures = prints.filter("class IS NOT NULL AND id IS NOT NULL").join(cut(copies, "ngram-copies"), "id", "left_anti").select("id", "n", F.explode("signature").alias("h"))
+    rows = prints.filter("class IS NOT NULL AND id IS NOT NULL")
+    classes = cut(rows.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "ngram-classes")
+    # a class is known by its smallest id; where an id has several texts, by a hash of its own
+    mark = F.xxhash64("class")
+    several = cut(rows.groupBy("id").agg(F.min(mark).alias("one"), F.max(mark).alias("other")).filter("one <> other").select("id"), "ngram-several")
+    shared_ids = not several.isEmpty()
+    first_rows = rows.join(cut(rows.select("class", "id").join(classes.filter("rows > 1"), "class").filter("id <> rep").select("id", "class").distinct(), "ngram-copies"), ["id", "class"], "left_anti")
+    if shared_ids:
+        known = several.select(F.col("id").alias("rep"), F.lit(True).alias("is_shared"))
+        classes = cut(classes.join(known, "rep", "left").withColumn("node", F.when(F.col("is_shared"), mark).otherwise(F.col("rep"))), "ngram-classes")
+        first_rows = first_rows.join(known.withColumnRenamed("rep", "id"), "id", "left").withColumn("node", F.when(F.col("is_shared"), mark).otherwise(F.col("id")))
+    else:
+        classes, first_rows = classes.withColumn("node", F.col("rep")), first_rows.withColumn("node", F.col("id"))
+    signatures = first_rows.select(F.col("node").alias("id"), "n", F.explode("signature").alias("h"))
 
     least = F.ceil(F.lit(percent) * F.col("n") / 100)
-    survivors = cut(_repeated(signatures, 1 + F.floor(least / 12), "ngram-met").select("id"), "ngram-survivors")
-    texts = perhaps_in(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")), "id", survivors)
-    sets = cut(_sets(texts.join(survivors, "id"), size), "ngram-sets")
+    survivors = cut(_repeated(signatures, 1 + F.floor(least / 12), "ngram-met").select(F.col("id").alias("node")), "ngram-survivors")
+    wanted = survivors.select("node", F.col("node").alias("id"), F.lit(None).cast("binary").alias("only"))
+    if shared_ids:
+        named = classes.filter("is_shared").select("node", "rep", "class")
+        wanted = cut(survivors.join(named, "node", "left").select("node", F.coalesce("rep", "node").alias("id"), F.col("class").alias("only")), "ngram-wanted")
+    texts = perhaps_in(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")), "id", wanted)
+    sets = cut(_sets(texts.join(wanted, "id"), size), "ngram-sets")
     whole = sets.select("id", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("h"))
     held = _repeated(whole, least, "ngram-met")
     searched = cut(held.select("id", F.explode("rarest").alias("x")).select("id", F.col("x.h").alias("h")), "ngram-searched")
@@ -285,16 +342,19 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         labelled = cut(labelled, "ngram-labelled")
         counts = labelled.groupBy("block", "component").agg(F.count("*").alias("k"))
         largest = cut(counts.groupBy("block").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), (F.sum("k") - F.max("k")).alias("outside")).filter("outside > 0"), "ngram-largest")
-        rows = cut(large.select("id", "hashes").join(labelled, "id").join(largest, "block"), "ngram-outside")
-        groups = F.ceil(F.col("outside") / CELL).cast("int")
-        group = F.pmod(F.xxhash64("id", F.lit(11)), groups).cast("int")
-        index = rows.withColumn("group", F.explode(F.sequence(F.lit(0), groups - 1))).withColumn("part", own).withColumn("query", F.lit(False))
-        queries = rows.filter("component <> largest").withColumn("group", group).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("query", F.lit(True))
-        again = index.unionByName(queries).withColumn("cell", F.col("part") * groups + F.col("group"))
-        more = _search(again.select("block", "cell", "id", "component", "hashes", "query"), percent)
-        edges = edges.unionByName(cut(more, "ngram-edges"))
-    joined = components(edges, "ngram-components")
-    answer = classes.select("class", "rep").join(joined, F.col("rep") == F.col("node"), "left")
-    answer = cut(answer.select("class", F.coalesce("component", "rep").alias("component")), "ngram-answer")
+        rows_outside = cut(large.select("id", "hashes").join(labelled, "id").join(largest, "block"), "ngram-outside")
+        edges = edges.unionByName(cut(_ask_parts(rows_outside, searched.join(first.select("h"), "h"), percent), "ngram-edges"))
+    if shared_ids:
+        nodes = cut(rows.select("id", "class").join(several, "id").join(classes.select("class", "node"), "class").select("id", "node").distinct(), "ngram-nodes")
+        edges = edges.unionByName(nodes.join(nodes.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b"))
+    joined = cut(components(edges, "ngram-components").select(F.col("node").alias("_node"), "component"), "ngram-components")
+    answer = classes.join(joined, F.col("node") == F.col("_node"), "left").select("class", "rep", F.coalesce("component", "node").alias("component"))
+    if shared_ids:  # from nodes to the smallest id of the component
+        answer = cut(answer, "ngram-answer")
+        answer = answer.join(answer.groupBy("component").agg(F.min("rep").alias("smallest")), "component").select("class", F.col("smallest").alias("component"))
+    answer = cut(answer.select("class", "component"), "ngram-answer")
     out = prints.select("id", "n", "class").join(answer, "class", "left")
+    if shared_ids:  # an id's row without a shingle belongs to its other rows
+        ids = cut(out.filter("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("of_id")), "ngram-ids")
+        out = out.join(ids, "id", "left").withColumn("component", F.coalesce("component", "of_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
