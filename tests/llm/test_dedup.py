@@ -154,6 +154,26 @@ def test_exact_dedup(spark, docs, stored):
     assert sum(r.kept for r in rows) == 4 and sum(r.kept for r in by[6]) == 0
 
 
+def test_exact_dedup_when_digests_clash(docs, stored):
+    texts = ["aa", "bb", "aa", "c", "bb", "a  a", "a a", "long " * 40_000, "long " * 40_000]
+    path, schema = stored(docs(texts), files=3)
+    rows = exact_dedup.deduplicate(docs(texts).sparkSession, path, schema, digest=lambda norm: F.least(F.length(norm), F.lit(3)).cast("string")).collect()
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in rows}
+    assert got == {0: (0, 2, True), 1: (1, 2, True), 2: (0, 2, False), 3: (3, 1, True), 4: (1, 2, False), 5: (5, 2, True), 6: (5, 2, False), 7: (7, 2, True), 8: (7, 2, False)}
+
+
+def test_exact_dedup_goes_on_from_its_state(spark, docs, tmp_path):
+    path, work = str(tmp_path / "in.parquet"), f"file://{tmp_path}/work"
+    docs(["x", "y", "x"]).coalesce(1).write.parquet(path)
+    schema = docs(["x"]).schema
+    first = {r.doc_id: r.keep_id for r in exact_dedup.deduplicate(spark, path, schema, work=work).collect()}
+    assert first == {0: 0, 1: 1, 2: 0}
+    docs(["y", "x", "z"], start=10).coalesce(1).write.mode("append").parquet(path)
+    both = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.deduplicate(spark, path, schema, work=work).collect()}
+    assert both == {0: (0, 3), 1: (1, 2), 2: (0, 3), 10: (1, 2), 11: (0, 3), 12: (12, 1)}
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.deduplicate(spark, path, schema, work=work).collect()} == both
+
+
 def test_exact_dedup_of_nothing(spark, docs, stored):
     path, schema = stored(docs([]))
     assert exact_dedup.deduplicate(spark, path, schema).count() == 0
@@ -167,3 +187,13 @@ def test_site_lines(spark):
     assert len(rows) == 15 and got[3, "h"].text == "own 3\n" and got[3, "h"].n_dropped == 3 and got[3, "h"].n_lines == 4
     assert got[10, "h"].text is None and got[10, "h"].n_lines == 0 and got[12, "other"].text == "menu\nx" and got[13, None].text == "menu"
     assert line_dedup.drop_frequent_lines(df.limit(0)).count() == 0
+
+
+def test_site_lines_by_ratio_alone_and_long_pages(spark):
+    rows = [(i, "h", f"own {i}\nboth" if i < 2 else f"own {i}") for i in range(10)] + [(20 + i, "big", "\n".join(f"l{j}" for j in range(i % 2, 20_000, 2))) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, host string, text string")
+    got = {r.page_id: r for r in line_dedup.drop_frequent_lines(df, ratio=0.15).collect()}
+    assert got[0].text == "own 0" and got[0].n_dropped == 1 and got[5].n_dropped == 0
+    assert all(got[20 + i].n_dropped == 10_000 and got[20 + i].text == "" for i in range(4))
+    assert all(r.n_dropped == r.n_lines for r in line_dedup.drop_frequent_lines(df, ratio=0.05).collect())  # one page of ten is over it
+    assert {r.page_id: r.n_dropped for r in line_dedup.drop_frequent_lines(df, ratio=0.05, min_pages=2).collect() if r.page_id < 20} == {i: int(i < 2) for i in range(10)}

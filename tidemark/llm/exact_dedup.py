@@ -9,19 +9,21 @@ Two chained streams and one check, all of them DataFrame operations:
    copies of a hot group one row for each map task before the shuffle.
 3. *full bytes*: rows whose digest was hit (count over 1) are read again through their locators;
    the smallest and largest normalised text of each such digest must be the same bytes. A digest
-   for which they differ is split by the text itself.
+   for which they differ is split by the text itself. Only rows that a bitmap of the hits' locators
+   lets through are shuffled with their text.
 
 A restart with the same ``work`` folder continues from the streams' checkpoints.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, scratch, text_or_empty
+from .common import SPACE, cut, perhaps_in, scratch, text_or_empty
 
 #: State on disk with a bound on RocksDB's own memory in each executor.
 STATE_CONF = {
@@ -55,8 +57,12 @@ def with_locator(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return with_locator(docs).select(F.sha2(normalised(text_col), 256).alias("digest"), F.col(id_col).alias("id"), "_file", "_row")
+def sha256(norm: Column) -> Column:
+    return F.sha2(norm, 256)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    return with_locator(docs).select(digest(normalised(text_col)).alias("digest"), F.col(id_col).alias("id"), "_file", "_row")
 
 
 def first_holders(prints: DataFrame) -> DataFrame:
@@ -69,18 +75,20 @@ def _drain(writer, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def deduplicate(spark: SparkSession, path: str, schema, *, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int = 64, work: str | None = None) -> DataFrame:
+def deduplicate(spark: SparkSession, path: str, schema, *, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int = 64, work: str | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row for each row under ``path``: id, keep_id, group_size, kept, text_sha256.
 
     path: a Parquet glob. Null and empty texts are equal to each other. Of equal texts the row with
     the smallest id stays, of rows that repeat an id too exactly one; null ids come last. An empty
     table gives an empty result. Columns besides the two named are not read.
-    files_per_trigger bounds a micro-batch; ``work`` (a shared folder) is where state and progress live.
+    files_per_trigger bounds a micro-batch; ``work`` (a shared folder) is where state and progress live:
+    a call with the work of an earlier one goes on from there and takes in the files that are new.
+    digest: a column of the normalised text; whatever it is, texts are only equal if their bytes are.
     """
     work = work or scratch(spark, "exact-dedup")
     with _settings(spark, STATE_CONF):
         docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-        _drain(fingerprints(docs, id_col, text_col).writeStream.format("parquet").option("path", f"{work}/prints"), f"{work}/prints-progress")
+        _drain(fingerprints(docs, id_col, text_col, digest).writeStream.format("parquet").option("path", f"{work}/prints"), f"{work}/prints-progress")
         print_schema = "digest string, id long, _file string, _row long"
         stream = spark.readStream.schema(print_schema).option("maxFilesPerTrigger", 4 * files_per_trigger).parquet(f"{work}/prints")
 
@@ -94,9 +102,10 @@ def deduplicate(spark: SparkSession, path: str, schema, *, id_col: str = "doc_id
     last = changes.groupBy("digest").agg(F.max_by(F.struct("holder", "copies"), "batch").alias("s"))
     groups = cut(last.select("digest", F.col("s.copies").alias("copies"), F.col("s.holder.id").alias("keep_id"), F.col("s.holder._file").alias("keep_file"), F.col("s.holder._row").alias("keep_row")), "dedup-groups")
 
-    content = with_locator(spark.read.schema(schema).parquet(path)).select(text_col, "_file", "_row")
-    hits = prints.join(groups.filter("copies > 1").select("digest"), "digest").select("digest", "id", "_file", "_row")
-    hit_texts = content.join(cut(hits, "dedup-hits"), ["_file", "_row"]).withColumn("norm", normalised(text_col))
+    at = F.xxhash64("_file", "_row").alias("_at")
+    hits = cut(prints.join(groups.filter("copies > 1").select("digest"), "digest").select("digest", "id", "_file", "_row", at), "dedup-hits")
+    content = with_locator(spark.read.schema(schema).parquet(path)).select(F.col(text_col).alias("_text"), "_file", "_row", at)
+    hit_texts = perhaps_in(content, "_at", hits).drop("_at").join(hits.drop("_at"), ["_file", "_row"]).withColumn("norm", normalised("_text"))
     differing = cut(hit_texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).filter("a <> b").select("digest"), "dedup-differing")
 
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("_file") == F.col("keep_file")) & (F.col("_row") == F.col("keep_row"))
