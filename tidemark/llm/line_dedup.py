@@ -3,7 +3,9 @@
 Of each host, the share of its pages that contain a line is counted; lines whose share exceeds a
 ratio are dropped from every page of that host. Lines travel as 64-bit hashes and are pre-aggregated
 before the shuffle. What survives the ratio is small: a host cannot have more such lines than its
-mean number of lines divided by the ratio, so they fit an array for each host.
+mean number of lines divided by the ratio, so they fit an array for each host. A page's own lines are
+first intersected with that array by hashing, so its length doesn't multiply with the page's. Lines
+are compared by 64-bit hashes, within one host.
 """
 
 from __future__ import annotations
@@ -36,23 +38,29 @@ def frequent_lines(pages: DataFrame, *, ratio: float, min_pages: int, host_col:
     return cut(over.groupBy("_host").agg(F.collect_set("key").alias("_keys")), "line-frequent")
 
 
-def drop_frequent_lines(pages: DataFrame, *, ratio: float = 0.05, min_pages: int = 5, host_col: str = "host", text_col: str = "text", copies_count: bool = True) -> DataFrame:
+def drop_frequent_lines(pages: DataFrame, *, ratio: float = 0.05, min_pages: int = 1, host_col: str = "host", text_col: str = "text", copies_count: bool = True) -> DataFrame:
     """``pages`` with text_col rewritten, and n_lines and n_dropped (lines with a word).
 
-    A line goes if at least min_pages pages of its host and more than ``ratio`` of them contain it; a
+    A line goes if more than ``ratio`` of its host's pages contain it. That takes a host of under
+    1 / ratio pages all its lines, as one page is over the ratio by itself; min_pages (1 unless asked
+    for) is the least number of pages that have to contain a line for it to go. A
     page counts once for a line however often it repeats it, and repeated rows are pages of their
     own. Without copies_count, pages of a host with the same lines are one page in these counts: a
-    document's copies aren't boilerplate. Lines without a word stay. Null hosts form one host. Null texts stay null. The other columns
-    are untouched; columns called n_lines or n_dropped are replaced.
+    document's copies aren't boilerplate. Lines without a word stay. Null hosts form one host. Null
+    texts stay null, empty ones empty; an empty table gives an empty result. The other columns are
+    untouched; columns called n_lines or n_dropped are replaced.
     """
     frequent = frequent_lines(pages, ratio=ratio, min_pages=min_pages, host_col=host_col, text_col=text_col, copies_count=copies_count)
     joined = pages.join(frequent, F.col(host_col).eqNullSafe(F.col("_host")), "left")
     lines = F.split(F.col(text_col), "\n")
-    stays = lambda x: ~(_has_word(x) & F.array_contains(F.col("_keys"), _key(x)))
-    kept = F.when(F.col("_keys").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
-    rest = joined.withColumn("_lines", lines).withColumn("_kept", kept)
+    # keys as the lines stand, null for a line without a word; of these the page's own boilerplate
+    own = F.when(F.col("_keys").isNotNull(), F.transform("_lines", lambda x: F.when(_has_word(x), _key(x))))
+    rest = joined.withColumn("_lines", lines).withColumn("_own", own).withColumn("_gone", F.array_compact(F.array_intersect("_own", "_keys")))
+    stays = lambda x, i: ~F.coalesce(F.array_contains(F.col("_gone"), F.get("_own", i)), F.lit(False))
+    kept = F.when(F.col("_keys").isNull() | (F.size("_gone") == 0), F.col("_lines")).otherwise(F.filter("_lines", stays))
+    rest = rest.withColumn("_kept", kept)
     counts = {"n_lines": F.coalesce(F.size(F.filter("_lines", _has_word)), F.lit(0)), "n_dropped": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0))}
-    out = rest.withColumns({text_col: F.when(F.col("_keys").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")), **counts})
+    out = rest.withColumns({text_col: F.when(F.col("_keys").isNull() | (F.size("_gone") == 0), F.col(text_col)).otherwise(F.array_join("_kept", "\n")), **counts})
     return out.select(*dict.fromkeys([*pages.columns, "n_lines", "n_dropped"]))
 
 
