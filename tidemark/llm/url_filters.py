@@ -1,9 +1,10 @@
 """URL lists in time.
 
 Dated additions to and removals from lists become validity intervals, and every capture is judged
-by the entries that were active when it was fetched. An interval is keyed by its pattern and each
-month it touches, which spreads a long-listed or much-fetched host over time. Captures are first
-reduced to their distinct (host, first path segment, day), so a hot host costs no more than its days.
+by the entries that were active when it was fetched: an as-of join, as a union of intervals and
+questions and a running last value. Questions are the distinct (pattern, day) of the captures, so a
+window over a list's pattern holds at most its entries and the days: a hot host costs no more than
+that. No table that grows with the data is broadcast.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ def intervals(entries: DataFrame, horizon: str) -> DataFrame:
     """From dated entries (list, pattern, action add or remove, listed_on): list, pattern, since, until.
 
     until is the day of the next entry of the same list and pattern, or ``horizon``. Of several on
-    one day a removal counts. Entries without pattern or day are ignored.
+    one day a removal counts. Entries without pattern or day are ignored. Intervals of a list and
+    pattern don't overlap.
     """
     day = entries.filter("pattern IS NOT NULL AND listed_on IS NOT NULL").groupBy("list", "pattern", "listed_on").agg(F.max("action").alias("action"))
     following = F.lead("listed_on").over(W.partitionBy("list", "pattern").orderBy("listed_on"))
@@ -27,10 +29,6 @@ def intervals(entries: DataFrame, horizon: str) -> DataFrame:
     return spans.filter("action = 'add' AND until > listed_on").select("list", "pattern", F.col("listed_on").alias("since"), "until")
 
 
-def _month(day: Column) -> Column:
-    return F.year(day) * 12 + F.month(day)
-
-
 def patterns_of(host: Column, segment: Column) -> Column:
     """The patterns that cover a URL: each suffix of its host with two labels or more, alone and with the first path segment."""
     labels = F.split(host, r"\.")
@@ -39,28 +37,35 @@ def patterns_of(host: Column, segment: Column) -> Column:
     return F.array_distinct(F.concat(suffixes, F.transform(suffixes, lambda s: F.concat(s, F.lit("/"), segment))))
 
 
+def active_on(questions: DataFrame, spans: DataFrame) -> DataFrame:
+    """(pattern, day, list, since) for each question (pattern, day) and list whose interval holds that day."""
+    asked = questions.join(spans.select("list", "pattern").distinct().hint("merge"), "pattern")
+    moments = spans.select("list", "pattern", F.col("since").alias("day"), F.struct("since", "until").alias("span"), F.lit(0).alias("asks"))
+    moments = moments.unionByName(asked.select("list", "pattern", "day", F.lit(None).cast("struct<since:date,until:date>").alias("span"), F.lit(1).alias("asks")))
+    upto = W.partitionBy("list", "pattern").orderBy("day", "asks").rowsBetween(W.unboundedPreceding, W.currentRow)
+    latest = moments.withColumn("span", F.last("span", ignorenulls=True).over(upto))
+    return latest.filter("asks = 1 AND day < span.until").select("pattern", "day", "list", F.col("span.since").alias("since"))
+
+
 def judge(captures: DataFrame, entries: DataFrame, *, horizon: str = "2100-01-01") -> DataFrame:
     """``captures`` (with host, segment, fetched_on) and n_active, decided_by, decided_list, since, blocked.
 
     The longest active pattern decides, of equal ones the first list by name; blocked unless that list
     is called allow. Captures without an active entry, or without host or day, are not blocked. Every
-    row of captures is returned once; result columns that captures has already are replaced.
+    row of captures is returned once, repeated ones too; empty tables on either side are allowed;
+    result columns that captures has already are replaced.
     """
     result = ["n_active", "decided_by", "decided_list", "since", "blocked"]
     captures = captures.drop(*result)
-    spans = intervals(entries, horizon)
-    # no further than the captures reach
-    last = captures.agg(F.max("fetched_on").alias("last"))
-    months = F.sequence(_month(F.col("since")), F.least(_month(F.col("until")), F.greatest(_month(F.col("last")), _month(F.col("since")))))
-    spans = spans.crossJoin(F.broadcast(last)).withColumn("month", F.explode(months)).drop("last")  # last is one row
-    probes = captures.filter("host <> '' AND fetched_on IS NOT NULL").select("host", "segment", "fetched_on").distinct()
-    keyed = probes.withColumn("pattern", F.explode(patterns_of(F.col("host"), F.coalesce("segment", F.lit(""))))).withColumn("month", _month(F.col("fetched_on")))
-    active = keyed.join(spans, ["pattern", "month"]).filter("fetched_on >= since AND fetched_on < until")
+    probes = captures.filter("host <> '' AND fetched_on IS NOT NULL").select(F.col("host").alias("_h"), F.coalesce("segment", F.lit("")).alias("_s"), F.col("fetched_on").alias("day")).distinct()
+    keyed = cut(probes.withColumn("pattern", F.explode(patterns_of(F.col("_h"), F.col("_s")))), "url-questions")
+    active = active_on(keyed.select("pattern", "day").distinct(), cut(intervals(entries, horizon), "url-intervals"))
+    found = keyed.join(active.hint("merge"), ["pattern", "day"])
     order = F.struct(-F.length("pattern"), "list", "pattern", "since")
-    best = active.groupBy("host", "segment", "fetched_on").agg(F.count("*").alias("n_active"), F.min_by(F.struct("pattern", "list", "since"), order).alias("best"))
-    best = cut(best.select(F.col("host").alias("_h"), F.col("segment").alias("_s"), F.col("fetched_on").alias("_d"), "n_active", "best"), "url-verdicts")
-    joined = captures.join(best, (F.col("host") == F.col("_h")) & F.col("segment").eqNullSafe(F.col("_s")) & (F.col("fetched_on") == F.col("_d")), "left")
+    best = found.groupBy("_h", "_s", "day").agg(F.count("*").alias("_n"), F.min_by(F.struct("pattern", "list", "since"), order).alias("_best"))
+    best = cut(best.withColumnRenamed("day", "_d"), "url-verdicts")
+    joined = captures.join(best.hint("merge"), (F.col("host") == F.col("_h")) & (F.coalesce(F.col("segment"), F.lit("")) == F.col("_s")) & (F.col("fetched_on") == F.col("_d")), "left")
     return joined.select(
-        *captures.columns, F.coalesce("n_active", F.lit(0)).alias("n_active"), F.col("best.pattern").alias("decided_by"), F.col("best.list").alias("decided_list"),
-        F.col("best.since").alias("since"), (F.coalesce(F.col("best.list"), F.lit("allow")) != "allow").alias("blocked"),
+        *[captures[c] for c in captures.columns], F.coalesce("_n", F.lit(0)).alias("n_active"), F.col("_best.pattern").alias("decided_by"), F.col("_best.list").alias("decided_list"),
+        F.col("_best.since").alias("since"), (F.coalesce(F.col("_best.list"), F.lit("allow")) != "allow").alias("blocked"),
     )
