@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into fixed-length sequences.
 
-Documents are dealt to shards of bounded size by a hash of their id, and every shard is packed by
-itself. Within a shard, pieces come in order of decreasing length. Bins are kept ordered by what room
+Documents are dealt to shards of bounded size by a hash, and every shard is packed by itself; what
+stands in bins of all shards that stayed too empty is dealt and packed once more. Within a shard, pieces come in order of decreasing length. Bins are kept ordered by what room
 they have left, each with a bitmap of its sources and one of its duplicate clusters; from the first
 bin with enough room the search goes to its successors until one is compatible, which is the tightest
 that is. Sharing a duplicate cluster is never allowed, sharing a source unless ``distinct_sources`` is
@@ -11,13 +11,16 @@ off. A hot source is spread over all shards; it can only cost room, never tasks.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> list[int]:
     """The bin of each piece (length, source bit, cluster bit; bits of 0 conflict with nothing).
@@ -47,51 +50,66 @@ def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> list[int]:
     return out
 
 
-def _shard(rows: list[tuple], capacity: int, distinct_sources: bool) -> list[tuple]:
-    """Packs one shard. rows: (doc_id, length, source, cluster). Gives (doc_id, piece, from, length, bin, place in bin)."""
-    pieces = []
-    for n, (doc, length, source, cluster) in enumerate(rows):
-        for piece, start in enumerate(range(0, max(length, 0), capacity)):
-            pieces.append((min(capacity, length - start), n, doc, piece, start, source, cluster))
-    pieces.sort(key=lambda p: (-p[0], p[2] is None, p[2] or 0, p[3], p[1]))
-    source_bits = {s: 1 << i for i, s in enumerate(sorted({p[5] for p in pieces if p[5] is not None}))} if distinct_sources else {}
-    seen: dict = {}
-    for p in pieces:
-        if p[6] is not None:
-            seen.setdefault(p[6], set()).add(p[1])
-    cluster_bits = {c: 1 << i for i, c in enumerate(sorted(c for c, docs in seen.items() if len(docs) > 1))}  # single ones can't conflict
-    bins = best_fit([(p[0], source_bits.get(p[5], 0), cluster_bits.get(p[6], 0)) for p in pieces], capacity)
+def _shard(pieces: list[tuple], capacity: int, distinct_sources: bool) -> list[tuple]:
+    """Packs one shard. pieces: (id, piece, start, length, source, cluster). Gives each with its bin, place in the bin and the bin's content.
+
+    A document has at most one piece shorter than a bin, so its own pieces never conflict.
+    """
+    pieces = sorted(pieces, key=lambda p: (-p[3], p[0] is None, p[0] or 0, p[1], p[4] or "", p[5] or ""))
+    source_bits = {s: 1 << i for i, s in enumerate(sorted({p[4] for p in pieces if p[4] is not None}))} if distinct_sources else {}
+    often = Counter(p[5] for p in pieces if p[5] is not None and p[3] < capacity)
+    cluster_bits = {c: 1 << i for i, c in enumerate(sorted(c for c, n in often.items() if n > 1))}  # single ones can't conflict
+    bins = best_fit([(p[3], source_bits.get(p[4], 0), cluster_bits.get(p[5], 0)) for p in pieces], capacity)
     filled: dict[int, int] = {}
     out = []
     for p, b in zip(pieces, bins):
-        out.append((p[2], p[3], p[4], p[0], b, filled.get(b, 0)))
-        filled[b] = filled.get(b, 0) + p[0]
-    return out
+        out.append((*p, b, filled.get(b, 0)))
+        filled[b] = filled.get(b, 0) + p[3]
+    return [(*r, filled[r[6]]) for r in out]
+
+
+_PIECE = ["id", "piece", "start", "length", "source", "cluster"]
+
+
+def _packed(dealt: DataFrame, shards: int, capacity: int, distinct_sources: bool) -> DataFrame:
+    """dealt: _PIECE and shard. Every shard is one unit of work, and the number of tasks is set: merging tasks by bytes would leave few."""
+    spark = dealt.sparkSession
+    tasks = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 16))))
+    ordered = dealt.select("shard", *_PIECE).repartition(tasks, "shard").sortWithinPartitions("shard")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for shard, group in groupby(rows, key=lambda r: r[0]):
+            packed = _shard([r[1:] for r in group], capacity, distinct_sources)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*packed), kinds)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([shard] * len(packed), pa.int32())], [*_PIECE, "bin", "place", "content", "shard"])
+
+    return ordered.mapInArrow(run, "id long, piece int, start long, length long, source string, cluster string, bin int, place long, content long, shard int")
 
 
-def pack(docs: DataFrame, *, capacity: int, length_col: str, id_col: str = "doc_id", source_col: str = "source", cluster_col: str = "cluster", distinct_sources: bool = True, shard_docs: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int, length_col: str, id_col: str = "doc_id", source_col: str = "source", cluster_col: str = "cluster", distinct_sources: bool = True, shard_docs: int = 2048, full: float = 0.95) -> DataFrame:
     """One row for each piece: id, piece, start, length, shard, bin (within the shard), place (in the bin).
 
     A document longer than capacity is cut into pieces of capacity and a rest. Documents with null or
     no length give no piece. Null sources and clusters conflict with nothing. Rows that repeat an id
-    are documents of their own. Only id, length, source and cluster are shuffled, never texts.
+    are documents of their own. Ties in length are packed by id, piece, source and cluster. An empty
+    table gives an empty result; other columns are not read. Only id, length, source and cluster are
+    shuffled, never texts. Bins don't reach across shards of about shard_docs pieces; the pieces in
+    bins less than ``full`` go into shards of a second round, numbered after those of the first.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("length"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster")).filter("length > 0")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("_all"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster")).filter("_all > 0")
+    piece = F.explode(F.sequence(F.lit(0), F.ceil(F.col("_all") / capacity).cast("int") - 1))
+    pieces = slim.withColumn("piece", piece).withColumn("start", F.col("piece").cast("long") * capacity).withColumn("length", F.least(F.col("_all") - F.col("start"), F.lit(capacity).cast("long")))
+    # rows without an id are dealt by what they have
+    by = F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("length", "source", "cluster", "piece"))
     shards = max(1, -(-docs.select(id_col).count() // shard_docs))
-    dealt = slim.withColumn("shard", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(shards)).cast("int"))
-    ordered = dealt.repartition(F.col("shard")).sortWithinPartitions("shard", "id", "length", "source", "cluster")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows():
-            for pdf in frames:
-                clean = pdf.astype(object).where(pdf.notna(), None)
-                yield from zip(clean["shard"], clean["id"], clean["length"], clean["source"], clean["cluster"])
-
-        for shard, group in groupby(rows(), key=lambda r: r[0]):
-            packed = _shard([(None if r[1] is None else int(r[1]), int(r[2]), r[3], r[4]) for r in group], capacity, distinct_sources)
-            out = pd.DataFrame(packed, columns=["id", "piece", "start", "length", "bin", "place"])
-            out["id"] = pd.array(out["id"], "Int64")
-            yield out.assign(shard=shard)[["id", "piece", "start", "length", "shard", "bin", "place"]]
-
-    packed = ordered.mapInPandas(run, "id long, piece int, start long, length long, shard int, bin int, place long")
-    return packed.withColumnRenamed("id", id_col)
+    first = cut(_packed(pieces.withColumn("shard", F.pmod(by, F.lit(shards)).cast("int")), shards, capacity, distinct_sources), "packed")
+    out = ["id", "piece", "start", "length", "shard", "bin", "place"]
+    loose = first.filter(F.col("content") < full * capacity)
+    if shards > 1 and (n := loose.count()):
+        more = max(1, -(-n // shard_docs))
+        again = loose.select(*_PIECE, F.pmod(F.xxhash64("shard", "bin", F.lit(3)), F.lit(more)).cast("int").alias("shard"))
+        second = _packed(again, more, capacity, distinct_sources).withColumn("shard", F.col("shard") + shards)
+        first = first.filter(F.col("content") >= full * capacity).select(*out).unionByName(second.select(*out))
+    return first.select(F.col("id").alias(id_col), *out[1:])
