@@ -229,6 +229,25 @@ def test_language_edge_cases(docs):
     assert language_id.classify(docs([]), dictionaries).count() == 0 and language_id.fit(docs([])) == {}
 
 
+def test_language_dictionaries_are_whole_texts_up_to_their_size(docs):
+    texts = [f"wort{chr(97 + i % 26)}x wort{chr(97 + i // 26 % 26)}y " * 40 for i in range(200)] + ["langer text " * 5000]
+    made = language_id.fit(docs(texts), dict_bytes=20_000, row_chars=4000)
+    assert list(made) == ["en"] and 19_000 < len(made["en"]) <= 20_000 and b"langer" not in made["en"]
+    only_long = language_id.fit(docs([None, "", "lang genug " * 5000]), dict_bytes=1000, row_chars=100)
+    assert len(only_long["en"]) <= 1000
+
+
+def test_language_margin_does_not_sink_with_length(spark, docs):
+    r = random.Random(9)
+    pick = {"aa": ["the", "of", "and", "house", "water", "little", "where"], "bb": ["der", "die", "und", "haus", "wasser", "kleine", "wohin"]}
+    said = lambda k, n: " ".join(r.choice(pick[k]) + r.choice(["", "s", "ly", "ed"]) for _ in range(n))
+    dictionaries = {k: language_id.words_only(said(k, 4000)) for k in pick}
+    got = {x.doc_id: x for x in language_id.classify(docs([said("aa", 3000), said("aa", 300_000), "zz zz", "same"]), dictionaries).collect()}
+    assert got[0].lang_pred == got[1].lang_pred == "aa" and got[1].accepted and got[1].score > 0.3 * got[0].score
+    tie = {k: b" same words " for k in ("cc", "dd")}
+    assert [(x.lang_pred, x.accepted) for x in language_id.classify(docs(["same words"]), tie).collect()] == [("cc", False)]
+
+
 def brute_pack(pieces, capacity):
     bins, out = [], []
     for length, s, c in pieces:
@@ -271,6 +290,33 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), capacity=100, length_col="n").count() == 0
 
 
+def test_packing_query_equals_brute_force_by_shard(spark, sf):
+    out = queries.op8_best_fit_packing(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    squeezed = lambda t: re.sub("[ \t\n\x0b\x0c\r]+", "", t).lower()
+    pieces = []
+    for d in docs:  # one shard at this size: the whole table against a plain best fit
+        n = len(re.findall("[^\x20\x09-\x0d]+", d.text or ""))
+        pieces += [(min(1024, n - k), d.doc_id, k // 1024, d.source, squeezed(d.text or "")) for k in range(0, n, 1024)]
+    pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
+    sources = {s: 1 << i for i, s in enumerate(sorted({p[3] for p in pieces}))}
+    clusters = {c: 1 << i for i, c in enumerate(sorted({p[4] for p in pieces}))}
+    want = brute_pack([(p[0], sources[p[3]], clusters[p[4]]) for p in pieces], 1024)
+    assert sorted((r.doc_id, r.piece, r.length, r.bin) for r in out) == sorted((p[1], p[2], p[0], b) for p, b in zip(pieces, want))
+    assert {r.shard for r in out} == {0}
+
+
+def test_packing_second_round_saves_bins(spark):
+    r = random.Random(6)
+    rows = [(i, r.randrange(20, 70), f"s{i % 9}", None) for i in range(600)] + [(None, 30, f"s{i}", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, n long, source string, cluster string")
+    count = lambda **k: len({(x.shard, x.bin) for x in packing.pack(df, capacity=100, length_col="n", **k).collect()})
+    one, sharded, again = count(), count(shard_docs=40, full=0.0), count(shard_docs=40)
+    assert one <= again <= sharded
+    out = packing.pack(df, capacity=100, length_col="n", shard_docs=40).collect()
+    assert sum(x.length for x in out) == sum(x[1] for x in rows) and len(out) == len(rows)
+
+
 def test_url_lists(spark):
     import datetime as dt
 
@@ -283,6 +329,8 @@ def test_url_lists(spark):
     got = {r.page_id: r for r in out}
     assert len(out) == 10 and [got[i].blocked for i in range(1, 10)] == [True, False, False, False, True, False, False, False, False]
     assert got[4].decided_by == "x.b.com" and got[4].n_active == 2 and got[5].since == d(6)
+    far = spark.createDataFrame([(1, ".".join(f"l{i}" for i in range(200)) + ".b.com", "s" * 5000, d(2))], c.schema.fieldNames()[:4])
+    assert [(x.blocked, x.decided_by) for x in url_filters.judge(far, e).collect()] == [(True, "b.com")]
     assert url_filters.judge(c.limit(0), e).count() == 0 and url_filters.judge(c, e.limit(0)).filter("blocked").count() == 0
 
 

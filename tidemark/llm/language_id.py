@@ -1,8 +1,9 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is cut from labelled text. A text is
-compressed with every dictionary; the language whose dictionary makes it smallest wins, and a
-decision is rejected when the two smallest sizes lie close together. What is compressed is the
+For each language a raw-content zstandard dictionary is made of labelled texts. A text is
+compressed with every dictionary, block by block, so that a long text profits from a dictionary as
+much as a short one; the language whose dictionary makes the sum smallest wins, and a decision is
+rejected when the two smallest sums lie close together. What is compressed is the
 text's words in lower case: digits, punctuation and immediate repeats of a word say nothing about
 the language, but would decide between two close sizes.
 """
@@ -13,6 +14,7 @@ import re
 from collections.abc import Iterator
 from itertools import groupby
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,37 +38,47 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, *, docs_per_lang: int = 400, passage_chars: int = 2000, dict_bytes: int = 131072, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+def fit(docs: DataFrame, *, docs_per_lang: int = 400, row_chars: int = 4000, dict_bytes: int = 131072, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionaries by language, from a bounded sample of the labelled rows that are not held out.
 
-    The sample: of each language about three times docs_per_lang rows drawn by a hash of the id,
-    of which the docs_per_lang with the smallest hash count; at most passage_chars of each and
-    dict_bytes in all. The bound holds for each language, whatever its share of the rows.
-    Rows without text or language are not used; without labelled rows the result is empty.
+    The sample: of the rows of a language with at most row_chars characters, about three times
+    docs_per_lang drawn by a hash of the id. In the order of that hash whole texts fill the dictionary
+    until the next would take it over dict_bytes; so a dictionary has whole texts only and at most
+    that size. If all rows of a language are longer, the first dict_bytes of one of the shortest serve.
+    Rows without text or language are not used; without labelled rows the result is empty. Repeated
+    rows and ids count as they come, other columns are not read. Each dictionary is made in a task of
+    its own from that bounded sample; the driver gets dict_bytes for each language.
     """
     hashed = F.xxhash64(F.col(id_col).cast("string"))
     rows = docs.filter(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull() & ~held_out(id_col))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, passage_chars).alias("passage"), hashed.alias("h"))
-    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")  # a table of known, small size: rows stay where they are
-    share = F.least(F.lit(1.0), F.lit(3.0 * docs_per_lang) / F.col("n"))
-    drawn = rows.join(counts, "lang").filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    out: dict[str, list] = {}
-    for r in drawn.select("lang", "h", "passage").collect():
-        out.setdefault(r.lang, []).append((r.h, r.passage))
-    made = {}
-    for lang, found in sorted(out.items()):
-        made[lang] = b"".join(words_only(p) for _, p in sorted(found)[:docs_per_lang])[-dict_bytes:]
-    return made
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("passage"), hashed.alias("h"), F.length(text_col).alias("n"))
+    short = F.col("n") <= row_chars
+    # a table of known, small size: rows stay where they are
+    counts = cut(rows.groupBy("lang").agg(F.count(F.when(short, 1)).alias("short"), F.min("n").alias("least")), "language-counts")
+    share = F.least(F.lit(1.0), 3.0 * docs_per_lang / F.greatest("short", F.lit(1)))
+    drawn = rows.join(counts, "lang").filter((short & (F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))) | ((F.col("short") == 0) & (F.col("n") == F.col("least"))))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        made = b""
+        for passage in pdf.sort_values(["h", "passage"])["passage"]:
+            words = words_only(passage)
+            if made and len(made) + len(words) > dict_bytes:
+                break
+            made += words[:dict_bytes]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "content": [made]})
+
+    made = drawn.select("lang", "h", "passage").groupBy("lang").applyInPandas(run, "lang string, content binary")
+    return {r.lang: bytes(r.content) for r in made.collect()}
 
 
 class Classifier:
     """Compresses one text with every dictionary. Lives inside tasks."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 3):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 3, block_bytes: int = 16384):
         import zstandard
 
         params = zstandard.ZstdCompressionParameters.from_level(level, min_match=4, write_content_size=False, write_dict_id=False, write_checksum=False)
-        self.made = []
+        self.made, self.block_bytes = [], block_bytes
         for lang, content in sorted(dictionaries.items()):
             raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(compression_params=params)
@@ -77,7 +89,8 @@ class Classifier:
         if not text or not self.made or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         data = words_only(text)
-        sizes = sorted((len(c.compress(data)), lang) for lang, c in self.made)
+        blocks = [data[k : k + self.block_bytes] for k in range(0, len(data), self.block_bytes)]
+        sizes = sorted((sum([len(c.compress(x)) for x in blocks]), lang) for lang, c in self.made)
         if len(sizes) == 1:
             return sizes[0][1], 1.0
         return sizes[0][1], 1.0 - sizes[0][0] / sizes[1][0]
@@ -88,7 +101,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], *, min_margin: flo
 
     Whole texts are compressed. Null, empty and letterless texts get ``und``, score 0, not accepted.
     accepted: a language was found and the margin is min_margin or more. Ties go to the smaller
-    language name. With no dictionary at all every row is ``und``.
+    language name. With no dictionary at all every row is ``und``. Repeated rows are rows of their own,
+    an empty table gives an empty result; columns of docs called like the three results are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "accepted")]
     shipped = docs.sparkSession.sparkContext.broadcast(dictionaries)  # dict_bytes for each language
