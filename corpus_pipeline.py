@@ -14,37 +14,75 @@ from tidemark.llm.common import cut, documents, without
 from tidemark.llm.queries import with_packing_columns
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of names that no operator uses, and those names by the original ones."""
+    names = {c: f"doc_{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _row_key(docs: DataFrame) -> DataFrame:
+    """Adds _row_key: equal for rows with the same id, text, language and source, of which all get the same verdict."""
+    return docs.withColumn("_row_key", F.xxhash64(*[x for c in ("doc_id", "text", "lang", "source") for x in (F.col(c).isNull(), F.col(c))]))
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those between two languages, go."""
-    judged = language_id.classify(docs, language_id.fit(docs))
-    return judged.filter("accepted").select(docs.columns)
+    """Documents without a letter (null and empty ones too), and those between two languages, go.
+
+    Rows are judged one by one: repeated ones and null ids are kept or dropped by their text alone.
+    Without labelled rows there is nothing to judge by and everything goes; no rows give no rows.
+    Columns of any name pass unchanged.
+    """
+    made = language_id.fit(docs)
+    plain, names = _plain(docs)
+    judged = language_id.classify(plain, made, text_col=names["text"]).filter("accepted")
+    return judged.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failures of the rules and robust outliers go; rows that repeat an id go if one of them does."""
-    verdicts = quality_rules.apply_rules(docs)
-    return without(docs, "doc_id", cut(verdicts.filter("NOT kept").select("doc_id").distinct(), "pipeline-rejected")).select(docs.columns)
+    """Failures of the rules (null and empty texts too) and robust outliers go.
+
+    Verdicts are joined by a hash of id, text, language and source, so neither a null nor a repeated id
+    takes another row with it. No rows give no rows. Columns of any name but _row_key pass unchanged.
+    """
+    keyed = _row_key(docs)
+    verdicts = quality_rules.apply_rules(keyed, id_col="_row_key")
+    gone = cut(verdicts.filter("NOT kept").select("_row_key").distinct(), "pipeline-rejected")
+    return without(keyed, "_row_key", gone).select(docs.columns)
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document's source is its site; copies count once, near dedup chooses among them. What has no word left goes."""
-    rest = line_dedup.drop_frequent_lines(docs, host_col="source", copies_count=False)
+    """A document's source is its site; a line goes if five different texts and over 5 % of them hold it.
+
+    Copies count once, near dedup chooses among them. A document goes only if all its lines do; null
+    and empty texts stay, as do repeated rows. n_chars follows a text that changed, where there is
+    such a column. Columns of any name pass unchanged.
+    """
+    plain, names = _plain(docs)
+    rest = line_dedup.drop_frequent_lines(plain, ratio=0.05, min_pages=5, host_col=names["source"], text_col=names["text"], copies_count=False)
     left = rest.filter("n_dropped = 0 OR n_dropped < n_lines")
-    return left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    chars = F.when(F.col("n_dropped") > 0, F.length(names["text"]).cast("long")).otherwise(F.col(names.get("n_chars", names["text"])))
+    return left.select(*[(chars if c == "n_chars" else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; of rows that repeat an id, one."""
+    """Of each component the document with the smallest id stays, one row of it.
+
+    Rows that repeat an id are one document; of those the row with the smallest hash of its text stays
+    (equal hashes: equal texts, any of them). Rows without an id stay, as do those without a word.
+    Columns of any name but _row_key pass unchanged.
+    """
     found = cut(ngram_join.link_components(docs), "pipeline-components")
-    rest = without(docs, "doc_id", found.filter("component_id <> doc_id").select("doc_id").distinct())
+    rest = without(docs, "doc_id", cut(found.filter("component_id <> doc_id").select("doc_id").distinct(), "pipeline-linked"))
     repeated = cut(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "pipeline-repeated")
     if not repeated.isEmpty():
-        once = rest.join(repeated, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
-        rest = without(rest, "doc_id", repeated).select(docs.columns).unionByName(once)
+        own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        of = rest.join(repeated, "doc_id").groupBy("doc_id").agg(F.min_by(own, F.xxhash64(F.coalesce("text", F.lit("")))).alias("_row_key"))
+        rest = without(rest, "doc_id", repeated).select(docs.columns).unionByName(of.select("_row_key.*").select(docs.columns))
     return rest.select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 words; documents without a word (null texts too) give no piece. Only id, source and text are read."""
     return packing.pack(with_packing_columns(docs), capacity=1024, length_col="n_words")
 
 
