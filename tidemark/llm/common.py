@@ -77,7 +77,9 @@ def _flagged(df: DataFrame, key: str, members: DataFrame, bits: int | None) -> D
             return df.withColumn("_in", F.lit(1))
         bits = bits_for(n)
     place = lambda name: F.pmod(F.xxhash64(F.col(name)), F.lit(bits)) + 1
-    bitmap = members.select(place(key).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map"))
+    # the places are dealt by bucket before the maps are made: partial maps of every task would outweigh them by far
+    places = members.select(place(key).alias("_p")).select("_p", F.bitmap_bucket_number("_p").alias("_bucket")).repartition("_bucket")
+    bitmap = places.groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map"))
     at = F.bitmap_bit_position("_p").cast("int")
     byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2, F.lit(0))
