@@ -1,10 +1,10 @@
 import pytest
 from compare import rows_of
 
-from tidemark.plans import book, ingest, market, readings
+from tidemark.plans import book, ingest, market, readings, records
 
-PLANS = {**market.QUERIES, **book.QUERIES, **readings.QUERIES, **ingest.QUERIES}
-SQL = {**market.SQL, **book.SQL, **readings.SQL, **ingest.SQL}
+PLANS = {**market.QUERIES, **book.QUERIES, **readings.QUERIES, **records.QUERIES, **ingest.QUERIES}
+SQL = {**market.SQL, **book.SQL, **readings.SQL, **records.SQL, **ingest.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -66,6 +66,12 @@ def split_ratio(stock: Column, capitalization: Column) -> Column:
     return 1 + F.coalesce(stock, F.lit(0)) + F.coalesce(capitalization, F.lit(0))
 
 
+def dividend_terms(announced: Column, recorded: Column, ex: Column, paid: Column, cash: Column) -> dict[str, Column]:
+    """A cash dividend's dates, each with its fallback, and the cash of a share; the closure follows the record day."""
+    record = F.coalesce(recorded, ex)
+    return {"announced_on": F.coalesce(announced, record), "book_closed_on": record, "ex_on": F.coalesce(ex, record), "payable_on": F.coalesce(paid, ex, record), "cash_per_share": F.coalesce(cash, F.lit(0.0))}
+
+
 def clamp(value: Column, bound: float = 2.0) -> Column:
     return F.least(F.greatest(value, F.lit(-bound)), F.lit(bound))
 

@@ -102,6 +102,12 @@ def replay(regimes: DataFrame, desired: DataFrame, scenarios: DataFrame) -> Data
     return rows.groupBy("scenario").applyInPandas(run, "scenario int, trade_date date, active_strategy string, code string, weight double, turnover double")
 
 
+def cash_violations(targets: DataFrame, cash: DataFrame, keys: list[str]) -> DataFrame:
+    """Targets whose stated cash is not what their weights leave: (keys, cash, left)."""
+    left = targets.groupBy(*keys).agg((1 - F.sum("weight")).alias("left"))
+    return cash.join(left, keys, "left").withColumn("left", F.coalesce("left", F.lit(1.0))).filter(F.abs(F.col("cash") - F.col("left")) > 1e-9)
+
+
 def target_violations(targets: DataFrame, keys: list[str], cap: float = CAP, gross: float = GROSS) -> DataFrame:
     """Targets that break a limit: (keys, check)."""
     sums = targets.groupBy(*keys).agg(F.sum("weight").alias("s"), F.max("weight").alias("hi"), F.min("weight").alias("lo"), F.count("code").alias("n"), F.countDistinct("code").alias("d"))

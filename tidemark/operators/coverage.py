@@ -167,9 +167,9 @@ def checkpoint_violations(opening: DataFrame, at: str = "09:35:00", zone: str =
     opening: decision_date, code, timestamp, previous_close, prior_close (of the daily bar before).
     """
     local = F.from_utc_timestamp("timestamp", zone)
-    repeated = F.count("*").over(W.partitionBy("decision_date", "code"))
+    opening = opening.withColumn("_rows", F.count("*").over(W.partitionBy("decision_date", "code")))
     checks = F.array_compact(F.array(
         F.when((F.date_format(local, "HH:mm:ss") != at) | (F.to_date(local) != F.col("decision_date")), F.lit("not_the_checkpoint")),
-        F.when(~F.col("previous_close").eqNullSafe(F.col("prior_close")), F.lit("previous_close")), F.when(repeated > 1, F.lit("repeated")),
+        F.when(~F.col("previous_close").eqNullSafe(F.col("prior_close")), F.lit("previous_close")), F.when(F.col("_rows") > 1, F.lit("repeated")),
     ))
     return opening.select(F.explode(checks).alias("check"), "decision_date", "code")

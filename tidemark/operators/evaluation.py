@@ -85,6 +85,17 @@ def value_periods(values: DataFrame, costs: DataFrame, keys: list[str], initial:
     return rows.withColumns({"net_return": F.col("total_value") / F.col("_before") - 1, "cost_rate": F.coalesce("cost", F.lit(0.0)) / F.col("_before")}).withColumn("gross_return", F.col("net_return") + F.col("cost_rate")).drop("_before")
 
 
+def evaluation_periods(values: DataFrame, trades: DataFrame, benchmark: DataFrame, regimes: DataFrame, keys: list[str], initial: float) -> DataFrame:
+    """Periods with costs summed from the day's trades, the benchmark's return and the regime; ``missing`` names what a day lacks.
+
+    trades: keys, traded_at, cost; benchmark: as_of, benchmark_return; regimes: as_of, regime.
+    """
+    costs = trades.groupBy(*keys, F.to_date("traded_at").alias("as_of")).agg(F.sum("cost").alias("cost"))
+    rows = value_periods(values, costs, keys, initial).join(benchmark, "as_of", "left").join(regimes, "as_of", "left")
+    lacking = F.array_compact(F.array(F.when(F.col("benchmark_return").isNull(), F.lit("benchmark")), F.when(F.col("regime").isNull(), F.lit("regime"))))
+    return rows.withColumn("missing", lacking)
+
+
 def block_starts(spark, samples: int, blocks: int, starts: int, seed: int) -> DataFrame:
     """(sample, block, start): where each block of each sample begins, from a hash, so any task can make its own."""
     cells = spark.range(samples).withColumnRenamed("id", "sample").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -68,11 +68,16 @@ def strategy_pool(features: DataFrame, most: int = 10) -> DataFrame:
 
 
 def history_window(bars: DataFrame, decisions: DataFrame, most: int) -> DataFrame:
-    """For each decision (code, decision_date): its last ``most`` priced bars, and the current bar if that has no price."""
-    counted = bars.withColumn("k", F.count(F.when(F.col("trade_status"), 1)).over(by_code()))
+    """For each decision (code, decision_date): its last ``most`` priced bars, and the current bar if that has no price.
+
+    Priced bars are numbered and meet decisions by blocks of ``most`` numbers, so a decision meets at most
+    two blocks whatever the code's history.
+    """
+    counted = bars.withColumn("k", F.count(F.when(F.col("trade_status"), 1)).over(by_code())).withColumn("_block", F.floor(F.col("k") / most))
     at = counted.select("code", F.col("trade_date").alias("decision_date"), F.col("k").alias("k_now")).join(decisions.select("code", "decision_date"), ["code", "decision_date"], "left_semi")
-    joined = counted.join(at, "code").filter((F.col("trade_date") <= F.col("decision_date")) & (F.col("k_now") - F.col("k") < most))
-    return joined.filter(F.col("trade_status") | (F.col("trade_date") == F.col("decision_date"))).drop("k", "k_now")
+    at = at.withColumn("_block", F.explode(F.array(F.floor(F.col("k_now") / most), F.floor(F.col("k_now") / most) - 1)))
+    joined = counted.join(at, ["code", "_block"]).filter((F.col("trade_date") <= F.col("decision_date")) & (F.col("k_now") - F.col("k") < most))
+    return joined.filter(F.col("trade_status") | (F.col("trade_date") == F.col("decision_date"))).drop("k", "k_now", "_block").select("code", *[c for c in bars.columns if c != "code"], "decision_date")
 
 
 def last_bars(bars: DataFrame, n: int, skip_suspended: bool = True, at: str | None = None) -> DataFrame:

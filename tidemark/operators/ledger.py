@@ -146,6 +146,11 @@ def trace_violations(decisions: DataFrame, stages: DataFrame) -> DataFrame:
     return _checks(joined, "decision_id", {"unknown_decision": F.col("snapshot_id").isNull(), "other_snapshot": F.col("stage_snapshot_id") != F.col("snapshot_id"), "prior_not_earlier": F.col("prior_as_of") >= F.col("as_of")})
 
 
+def proposals_outside_pool(proposals: DataFrame, pool: DataFrame) -> DataFrame:
+    """Proposed codes that no strategy of their decision's pool names: (decision_id, code)."""
+    return proposals.select("decision_id", "code").distinct().join(pool.select("decision_id", "code").distinct(), ["decision_id", "code"], "left_anti")
+
+
 def observation_violations(observations: DataFrame, decisions: DataFrame) -> DataFrame:
     """Forward observations to refuse: (trading_date, check).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,27 +26,55 @@ def parse_drafts(texts: DataFrame, column: str = "content") -> DataFrame:
     return parsed.withColumn("errors", errors).drop("_keys")
 
 
+def proposal_rules(approved: list[str], max_change: float) -> dict[str, dict[str, Column]]:
+    """What makes a draft unusable, by kind of rule. A condition that is null does not hold.
+
+    window: the draft was made for this decision's time and is still good when its answer is there; identity: it
+    speaks of this decision; mix: approved strategies, each once, that sum to one and move little; evidence: all of it known.
+    """
+    draft, done, start = (lambda f: F.col(f"draft.{f}")), F.col("completed_at"), F.col("as_of")
+    names = F.transform("draft.strategy_weights", lambda x: x["strategy"])
+    total = F.aggregate("draft.strategy_weights", F.lit(0.0), lambda a, x: a + x["weight"].cast("double"))
+    given = lambda s: F.aggregate(F.filter("draft.strategy_weights", lambda x: x["strategy"] == s), F.lit(0.0), lambda a, x: a + x["weight"].cast("double"))
+    moves = F.greatest(F.lit(0.0), *[F.abs(given(s) - F.coalesce(F.try_element_at(F.col("base_weights"), F.lit(s)), F.lit(0.0))) for s in approved])
+    cited = F.transform("draft.evidence", lambda e: e["evidence_id"])
+    not_within = lambda t, low, high: (t < low) | (t > high)
+    return {
+        "identity": {"decision": draft("decision_id") != F.col("base_decision_id"), "snapshot": draft("snapshot_id") != F.col("base_snapshot_id")},
+        "window": {
+            "asked": not_within(F.col("requested_at"), start, F.col("deadline")), "made": not_within(draft("generated_at"), F.when(F.col("cache_hit"), start).otherwise(F.greatest(start, F.col("requested_at"))), done),
+            "answered": ~(done < F.least(F.col("deadline"), draft("valid_until"))), "validity": draft("valid_until") > F.col("deadline"),
+        },
+        "mix": {"repeated": F.size(F.array_distinct(names)) < F.size(names), "unknown": F.size(F.array_except(names, F.array(*map(F.lit, approved)))) > 0, "sum": F.abs(total - 1) > 1e-9, "change": moves > max_change + 1e-12},
+        "evidence": {"unknown": F.size(F.array_except(cited, F.col("known_evidence"))) > 0},
+    }
+
+
 def proposal_errors(drafts: DataFrame, approved: list[str], max_change: float = 0.20) -> DataFrame:
-    """Adds errors (array) to parsed drafts that stand beside their context.
+    """Adds errors (array of kind.rule) to parsed drafts that stand beside their context; one bad draft is an error of its own row.
 
     drafts: draft, base_decision_id, base_snapshot_id, as_of, requested_at, completed_at, deadline, cache_hit,
     base_weights map<strategy, double>, known_evidence array<string>.
     """
-    w = F.map_from_entries(F.transform("draft.strategy_weights", lambda x: F.struct(x["strategy"], x["weight"].cast("double"))))
-    names = F.map_keys(F.col("_w"))
-    allowed = F.array(*[F.lit(s) for s in approved])
-    total = F.aggregate(F.map_values(F.col("_w")), F.lit(0.0), lambda a, x: a + x)
-    change = F.array_max(F.transform(allowed, lambda s: F.abs(F.coalesce(F.try_element_at(F.col("_w"), s), F.lit(0.0)) - F.coalesce(F.try_element_at(F.col("base_weights"), s), F.lit(0.0)))))
-    c = lambda condition, name: F.when(condition, F.lit(name))
-    g, done = F.col("draft.generated_at"), F.col("completed_at")
-    errors = F.array_compact(F.array(
-        c(F.col("draft.decision_id") != F.col("base_decision_id"), "other_decision"), c(F.col("draft.snapshot_id") != F.col("base_snapshot_id"), "other_snapshot"),
-        c(F.col("requested_at") < F.col("as_of"), "requested_too_early"), c((g < F.col("as_of")) | (g > done), "generated_outside_window"), c(~F.col("cache_hit") & (g < F.col("requested_at")), "generated_before_request"),
-        c(done >= F.col("deadline"), "after_deadline"), c(F.col("draft.valid_until") > F.col("deadline"), "valid_beyond_deadline"), c(done >= F.col("draft.valid_until"), "no_longer_valid"),
-        c(F.size(F.array_except(names, allowed)) > 0, "strategy_not_approved"), c(F.abs(total - 1) > 1e-9, "weights_not_one"), c(change > max_change + 1e-12, "change_over_limit"),
-        c(F.size(F.array_except(F.transform("draft.evidence", lambda e: e["evidence_id"]), F.col("known_evidence"))) > 0, "unknown_evidence"),
-    ))
-    return drafts.withColumn("_w", w).withColumn("errors", errors).drop("_w")
+    rules = proposal_rules(approved, max_change)
+    broken = [F.when(F.coalesce(condition, F.lit(False)), F.lit(f"{kind}.{name}")) for kind, group in rules.items() for name, condition in group.items()]
+    return drafts.withColumn("errors", F.array_compact(F.array(*broken)))
+
+
+def overlay_outcomes(drafts: DataFrame, blended: DataFrame, base: DataFrame, moved: DataFrame, refused: DataFrame, keys: list[str], max_turnover: float = 0.10) -> DataFrame:
+    """One row for each decision: outcome (unchanged, applied or fallback) and its reasons.
+
+    drafts: keys, errors, unchanged (the base's mix at risk scale 1); refused: keys and code of targets that hard
+    risk or order planning won't let through. A base target is kept unless everything holds.
+    """
+    gross = lambda t, name: t.groupBy(*keys).agg(F.sum("weight").alias(name))
+    blocked = refused.groupBy(*keys).agg(F.count("*").alias("blocked"))
+    rows = drafts.join(gross(blended, "gross"), keys, "left").join(gross(base, "base_gross"), keys, "left").join(moved.select(*keys, "turnover"), keys, "left").join(blocked, keys, "left")
+    reasons = F.concat("errors", F.array_compact(F.array(
+        F.when(F.coalesce("gross", F.lit(0.0)) > F.coalesce("base_gross", F.lit(0.0)) + 1e-12, F.lit("gross")), F.when(F.coalesce("turnover", F.lit(0.0)) > max_turnover, F.lit("turnover")), F.when(F.col("blocked") > 0, F.lit("blocked_orders")),
+    )))
+    outcome = F.when((F.size("errors") == 0) & F.col("unchanged"), "unchanged").when(F.size("reasons") == 0, "applied").otherwise("fallback")
+    return rows.withColumn("reasons", reasons).withColumn("outcome", outcome).select(*keys, "outcome", "reasons")
 
 
 def blend(weights: DataFrame, keys: list[str], risk_scale: float = 1.0, cap: float = CAP, most: int = POSITIONS) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.catalog import ContractError
+from ..sources.scratch import written
 
 
 def _content(columns: list[str]):
@@ -14,32 +15,47 @@ def _content(columns: list[str]):
     return F.struct(*[F.col(c) for c in columns])
 
 
+def _settle(disputed: DataFrame, keys: list[str], payload: str, order: str) -> DataFrame:
+    """The payloads among ``disputed`` (keys, payload, order, _new) that disagree with an accepted earlier one.
+
+    In rounds over written tables: a payload with no earlier undecided one against it is accepted, one that
+    disagrees with an accepted one is refused. The earliest undecided payload is settled in every round, and
+    a round settles all that don't depend on each other; a key's rows meet by aggregates, never in pairs.
+    """
+    place = F.struct(order, payload)
+    undecided = written(disputed, "payloads-undecided")
+    accepted = written(disputed.limit(0).select(*keys, F.col("_new").alias("_held")), "payloads-accepted")
+    refused = written(disputed.limit(0).select(payload), "payloads-refused")
+    while not undecided.isEmpty():
+        contents = undecided.groupBy(*keys, "_new").agg(F.min(place).alias("_m"))
+        first = contents.groupBy(*keys).agg(F.min(F.struct("_m", "_new")).alias("_a"))
+        second = contents.join(first, keys).filter(~F.col("_new").eqNullSafe(F.col("_a._new"))).groupBy(*keys).agg(F.min("_m").alias("_b"))
+        rows = undecided.join(first, keys).join(second, keys, "left").join(accepted, keys, "left")
+        against = F.when(F.col("_new").eqNullSafe(F.col("_a._new")), F.col("_b")).otherwise(F.col("_a._m"))
+        flags = rows.groupBy(payload).agg(F.bool_or(F.col("_held").isNotNull() & ~F.col("_new").eqNullSafe(F.col("_held"))).alias("_no"), F.bool_or(F.coalesce(against < place, F.lit(False))).alias("_wait"))
+        settled = written(flags.filter("_no OR NOT _wait"), "payloads-settled")
+        refused = written(refused.unionByName(settled.filter("_no").select(payload)), "payloads-refused")
+        now = undecided.join(settled.filter("NOT _no").select(payload), payload, "left_semi").select(*keys, F.col("_new").alias("_held"))
+        accepted = written(accepted.unionByName(now).groupBy(*keys).agg(F.min("_held").alias("_held")), "payloads-accepted")  # accepted payloads agree
+        undecided = written(undecided.join(settled.select(payload), payload, "left_anti"), "payloads-undecided")
+    return refused
+
+
 def payload_verdicts(rows: DataFrame, stored: DataFrame, keys: list[str], values: list[str], payload: str = "source_payload_sha256", order: str = "raw_artifact") -> DataFrame:
     """(payload, verdict): seen, repeated_key, conflict or accepted.
 
     A payload stored before is skipped; one that repeats a key in itself, or disagrees with stored rows or
-    with an accepted earlier payload, is refused as a whole. Which of two disagreeing new payloads is
-    earlier is resolved in path order on the list of disagreeing payloads alone.
+    with an accepted earlier payload (in path order), is refused as a whole.
     """
     seen = rows.select(payload).distinct().join(stored.select(payload).distinct(), payload, "left_semi")
-    fresh = rows.join(seen, payload, "left_anti").persist()  # read several times below
-    repeated = fresh.groupBy(payload, *keys).count().filter("count > 1").select(payload).distinct()
-    usable = fresh.join(repeated, payload, "left_anti")
-    content = usable.select(payload, order, *keys, _content(values).alias("_new"))
-    against = content.join(stored.select(*keys, _content(values).alias("_old")), keys).filter(~F.col("_new").eqNullSafe(F.col("_old"))).select(payload).distinct()
+    fresh = written(rows.join(seen, payload, "left_anti"), "payloads-fresh")  # read several times below
+    repeated = written(fresh.groupBy(payload, *keys).count().filter("count > 1").select(payload).distinct(), "payloads-repeated")
+    content = fresh.join(repeated, payload, "left_anti").select(payload, order, *keys, _content(values).alias("_new"))
+    against = written(content.join(stored.select(*keys, _content(values).alias("_old")), keys).filter(~F.col("_new").eqNullSafe(F.col("_old"))).select(payload).distinct(), "payloads-against")
     rest = content.join(against, payload, "left_anti")
     # keys with more than one content: only these payloads can disagree with each other
-    unclear = rest.groupBy(*keys).agg(F.countDistinct("_new").alias("c")).filter("c > 1").select(*keys)
-    marked = rest.join(unclear, keys).persist()  # rows of the few keys that new payloads disagree on
-    a, b = (marked.select(*keys, F.col(payload).alias(f"p{i}"), F.col(order).alias(f"o{i}"), F.col("_new").alias(f"v{i}")) for i in (1, 2))
-    pairs = a.join(b, keys).filter((F.struct("o1", "p1") < F.struct("o2", "p2")) & ~F.col("v1").eqNullSafe(F.col("v2"))).select("p1", "p2", "o2").distinct()
-    refused: set[str] = set()
-    for r in sorted(pairs.collect(), key=lambda r: (r.o2, r.p2, r.p1)):  # pairs of disagreeing payloads, not rows
-        if r.p1 not in refused:
-            refused.add(r.p2)
-    spark = rows.sparkSession
-    late = spark.createDataFrame([(p,) for p in sorted(refused)], f"{payload} string")
-    conflict = against.unionByName(late)
+    unclear = rest.groupBy(*keys).agg(F.min("_new").alias("_lo"), F.max("_new").alias("_hi")).filter(~F.col("_lo").eqNullSafe(F.col("_hi"))).select(*keys)
+    conflict = against.unionByName(_settle(rest.join(unclear, keys), keys, payload, order))
     return (
         seen.withColumn("verdict", F.lit("seen")).unionByName(repeated.withColumn("verdict", F.lit("repeated_key"))).unionByName(conflict.withColumn("verdict", F.lit("conflict")))
         .unionByName(fresh.select(payload).distinct().join(repeated, payload, "left_anti").join(conflict, payload, "left_anti").withColumn("verdict", F.lit("accepted")))
@@ -87,16 +103,61 @@ def pending(requests: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return requests.join(stored.select(key).distinct(), key, "left_anti")
 
 
-def publish_segments(frames: dict[str, DataFrame], staging: str, root: str, most_rows: int = 1_000_000) -> dict[str, int]:
-    """Appends several data sets: all are staged and counted before the first is published, in files of at most most_rows rows."""
-    counts = {}
-    for name, frame in frames.items():
-        frame.write.option("maxRecordsPerFile", most_rows).option("compression", "zstd").mode("errorifexists").parquet(f"{staging}/{name}")
-    for name, frame in frames.items():
-        staged = frame.sparkSession.read.schema(frame.schema).parquet(f"{staging}/{name}")
-        counts[name] = staged.count()
+def request_status(requests: DataFrame, stored: DataFrame, key: str, by: str = "operation") -> DataFrame:
+    """For each operation how many requests are stored and how many are pending."""
+    known = stored.select(key).distinct().withColumn("_there", F.lit(True))
+    return requests.join(known, key, "left").groupBy(by).agg(F.count("_there").alias("stored"), F.count_if(F.col("_there").isNull()).alias("pending"))
+
+
+def quarantine(merged: DataFrame, path: str) -> DataFrame:
+    """Appends the conflicts of a strict merge to the quarantine table and gives the rows that may go on."""
+    merged.filter("action = 'conflict'").drop("action").write.mode("append").parquet(path)
+    return merged.filter("action <> 'conflict'")
+
+
+def audit_stored(expected: DataFrame, actual: DataFrame, keys: list[str], values: list[str], *, provenance: list[str], day: str, as_of, payload: str = "source_payload_sha256") -> DataFrame:
+    """One row: what the stored table lacks of the raw payloads, holds against them, or holds from the future or without provenance."""
+    parts = [
+        expected.select(payload).distinct().join(actual.select(payload).distinct(), payload, "left_anti").agg(F.count("*").alias("n")).withColumn("what", F.lit("missing_payloads")),
+        actual.filter(F.col(day) > as_of).agg(F.count("*").alias("n")).withColumn("what", F.lit("future_rows")),
+        actual.filter(F.greatest(*[F.col(c).isNull().cast("int") for c in provenance]) == 1).agg(F.count("*").alias("n")).withColumn("what", F.lit("lost_provenance")),
+    ]
+    counts = reconcile(expected, actual, keys, values)
+    parts.append(counts.unpivot([], counts.columns, "what", "n").select("n", "what"))
+    every = parts[0]
+    for one in parts[1:]:
+        every = every.unionByName(one)
+    names = ["missing_payloads", *counts.columns, "future_rows", "lost_provenance"]
+    return every.agg(*[F.sum(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in names])
+
+
+#: No stored file may be larger.
+MOST_BYTES = 2 << 30
+
+
+def publish_segments(frames: dict[str, DataFrame], staging: str, root: str, most_rows: int = 1_000_000, most_bytes: int = MOST_BYTES) -> dict[str, int]:
+    """Appends several data sets: all are staged (and counted while they are written) before the first file moves.
+
+    Files hold at most most_rows rows; one over most_bytes stops everything. Files are moved, not written again,
+    under names that no other call gives. The folders are URIs of one file system.
+    """
+    from pyarrow import fs
+
+    counts, moves = {}, []
     for name, frame in frames.items():
-        frame.sparkSession.read.schema(frame.schema).parquet(f"{staging}/{name}").write.option("maxRecordsPerFile", most_rows).option("compression", "zstd").mode("append").parquet(f"{root}/{name}")
+        seen = Observation(f"staged-{name}")
+        frame.observe(seen, F.count("*").alias("rows")).write.option("maxRecordsPerFile", most_rows).option("compression", "zstd").mode("errorifexists").parquet(f"{staging}/{name}")
+        counts[name] = seen.get["rows"]
+        storage, folder = fs.FileSystem.from_uri(f"{staging}/{name}" if "://" in staging else f"file://{staging}/{name}")
+        for file in storage.get_file_info(fs.FileSelector(folder)):
+            if file.path.endswith(".parquet"):
+                if file.size > most_bytes:
+                    raise ContractError(f"{file.path} has {file.size} bytes, over {most_bytes}")
+                moves.append((name, file.path))
+    storage, target = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    for name, path in moves:
+        storage.create_dir(f"{target}/{name}", recursive=True)
+        storage.move(path, f"{target}/{name}/{path.rsplit('/', 1)[1]}")
     return counts
 
 

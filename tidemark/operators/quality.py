@@ -90,15 +90,19 @@ def quality_issues(bars: DataFrame, calendar: DataFrame) -> DataFrame:
 def provenance_bounds(tables: list[DataFrame]) -> DataFrame:
     """Distinct payloads of several tables, a hash of their sorted list, first and last receipt.
 
-    The list is hashed through a digest of digests, so no task holds it whole.
+    The list is hashed in two levels, so no task holds it whole: the sorted payloads of each of 4096
+    ranges of hashes, then the digests of the ranges in their order.
     """
     slim = [t.select("source_payload_sha256", "source_received_at") for t in tables]
     every = slim[0]
     for t in slim[1:]:
         every = every.unionByName(t)
     once = every.groupBy("source_payload_sha256").agg(F.min("source_received_at").alias("a"), F.max("source_received_at").alias("b"))
-    one = F.xxhash64("source_payload_sha256").cast("decimal(38,0)")
-    return once.agg(F.count("*").alias("payloads"), F.sha2(F.sum(one).cast("string"), 256).alias("payload_set_hash"), F.min("a").alias("first_received"), F.max("b").alias("last_received"))
+    part = once.groupBy(F.substring(F.sha2("source_payload_sha256", 256), 1, 3).alias("part")).agg(
+        F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("source_payload_sha256")), "\n"), 256).alias("digest"), F.min("a").alias("a"), F.max("b").alias("b")
+    )
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), "\n")
+    return part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("payloads"), F.sha2(ordered, 256).alias("payload_set_hash"), F.min("a").alias("first_received"), F.max("b").alias("last_received"))
 
 
 def opening_coverage(expected: DataFrame, covered: DataFrame) -> DataFrame:
@@ -130,8 +134,8 @@ def coverage_report(counts: dict[str, DataFrame], issues: list[str], measured: s
     return out.withColumn("status", F.when(ok, "passed").otherwise("failed"))
 
 
-def snapshot_violations(bars: DataFrame, checkpoint: str = "09:35:00") -> DataFrame:
-    """Rows of a decision's bars that break its contract: (check, decision_date, code).
+def snapshot_violations(bars: DataFrame) -> DataFrame:
+    """Rows of a decision's bars that break its contract: (check, decision_date, code). Opening bars: ``coverage.checkpoint_violations``.
 
     bars: decision_date, as_of, code, trade_date, available_at, trade_status, signal_close, execution_close, previous_close.
     """

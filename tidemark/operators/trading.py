@@ -47,6 +47,27 @@ def equity(positions: DataFrame, keys: list[str]) -> DataFrame:
     return positions.groupBy(*keys).agg((F.max("cash") + F.sum(F.col("quantity") * F.col("price"))).alias("equity"))
 
 
+def current_weights(positions: DataFrame, equities: DataFrame, keys: list[str]) -> DataFrame:
+    """Each position's share of its portfolio's equity; null without a price, an error row if equity is not positive."""
+    rows = positions.join(equities, keys)
+    return rows.withColumns({"weight": F.when(F.col("equity") > 0, F.col("quantity") * F.col("price") / F.col("equity")), "no_equity": F.col("equity") <= 0})
+
+
+def available_range(bars: DataFrame) -> DataFrame:
+    """For each code its first and last bar and their number."""
+    return bars.groupBy("code").agg(F.min("trade_date").alias("first_bar"), F.max("trade_date").alias("last_bar"), F.count("*").alias("bars"))
+
+
+def tradable_instruments(instruments: DataFrame, ids: list[str] | None = None, types: list[str] | None = None, last: str = "2099-12-31") -> DataFrame:
+    """Shares (security_type 1), by id or type where asked; an open end of listing is ``last``."""
+    rows = instruments.filter("security_type = '1'")
+    if ids is not None:
+        rows = rows.filter(F.col("code").isin(ids))
+    if types is not None:
+        rows = rows.filter(F.col("kind").isin(types))
+    return rows.withColumn("de_listed_date", F.coalesce("out_date", F.to_date(F.lit(last))))
+
+
 def hard_risk(targets: DataFrame, positions: DataFrame, states: DataFrame, equities: DataFrame) -> DataFrame:
     """Per (trade_date, code): requested and approved weight and why a change was refused.
 
@@ -130,3 +151,9 @@ def pair_tracks(signal: DataFrame, execution: DataFrame) -> DataFrame:
         .when(F.col("s_trade_status") != F.col("e_trade_status"), "status").when(F.col("s_is_st") != F.col("e_is_st"), "st").otherwise("paired")
     )
     return both.select(*keys, F.col("s_close").alias("signal_close"), F.col("e_close").alias("execution_close"), F.col("s_volume").alias("volume"), F.col("s_trade_status").alias("trade_status"), F.col("s_is_st").alias("is_st"), pairing.alias("pairing"))
+
+
+def pair_available_at(signal: DataFrame, execution: DataFrame) -> DataFrame:
+    """When a paired bar could be seen: the later of its two rows."""
+    keys = ["code", "trade_date"]
+    return signal.select(*keys, F.col("available_at").alias("_s")).join(execution.select(*keys, F.col("available_at").alias("_e")), keys).select(*keys, F.greatest("_s", "_e").alias("available_at"))

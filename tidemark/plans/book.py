@@ -80,9 +80,13 @@ def fifo_remaining_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + FILLS + """,
-    cum AS (SELECT *, sum(quantity) OVER (PARTITION BY track, code, side ORDER BY occurred_on, seq ROWS UNBOUNDED PRECEDING) AS hi FROM fill)
-    SELECT b.track, b.code, b.fill_id AS buy, s.fill_id AS sell, CAST(least(b.hi, s.hi) - greatest(b.hi - b.quantity, s.hi - s.quantity) AS BIGINT) AS quantity
-    FROM cum b JOIN cum s ON b.track = s.track AND b.code = s.code AND b.side = 'buy' AND s.side = 'sell' AND b.hi - b.quantity < s.hi AND s.hi - s.quantity < b.hi
+    cum AS (SELECT track, code, side, fill_id, sum(quantity) OVER w AS hi, sum(quantity) OVER w - quantity AS lo FROM fill WINDOW w AS (PARTITION BY track, code, side ORDER BY occurred_on, seq ROWS UNBOUNDED PRECEDING)),
+    mark AS (
+        SELECT track, code, lo, lead(lo) OVER o AS next, last_value(CASE WHEN side = 'buy' THEN fill_id END IGNORE NULLS) OVER u AS buy, last_value(CASE WHEN side = 'buy' THEN hi END IGNORE NULLS) OVER u AS b_hi,
+               last_value(CASE WHEN side = 'sell' THEN fill_id END IGNORE NULLS) OVER u AS sell, last_value(CASE WHEN side = 'sell' THEN hi END IGNORE NULLS) OVER u AS s_hi
+        FROM cum WINDOW o AS (PARTITION BY track, code ORDER BY lo, side), u AS (PARTITION BY track, code ORDER BY lo, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    )
+    SELECT track, code, buy, sell, CAST(least(coalesce(next, b_hi), b_hi, s_hi) - lo AS BIGINT) AS quantity FROM mark WHERE buy IS NOT NULL AND sell IS NOT NULL AND least(coalesce(next, b_hi), b_hi, s_hi) > lo
 """)
 def fifo_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.matched_lots(fills(spark, sf_dir))
