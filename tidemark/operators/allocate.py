@@ -86,7 +86,9 @@ def replay(regimes: DataFrame, desired: DataFrame, scenarios: DataFrame) -> Data
     by_day = held.groupBy("trade_date").agg(F.map_from_entries(F.collect_list(F.struct("strategy", "w"))).alias("desired"))
     days = regimes.join(by_day, "trade_date", "left").withColumn("desired", F.to_json("desired"))
     names = [c for c in days.columns if c.startswith("p_")]
-    rows = days.select("trade_date", "selected", "emergency", "desired", *names).crossJoin(scenarios)  # days x scenarios is the result's own size
+    days = days.select("trade_date", "selected", "emergency", "desired", *names)
+    # one row a trading day goes to where the scenarios are; dealt before, their copies of the days are never shuffled
+    rows = scenarios.repartition("scenario").crossJoin(F.broadcast(days))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out, state = [], None

@@ -436,7 +436,23 @@ def planned_sells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sells.select("trade_date", "code", "side", "quantity", F.round("price", 2).alias("price"), F.col("fees").cast("double").alias("fees"))
 
 
-@query(None)
+@query("WITH RECURSIVE " + RISK + """,
+    d AS (SELECT *, CAST(floor(equity * requested_weight / execution_close) AS BIGINT) AS shares FROM risk WHERE reason IS NULL AND trade_status AND execution_close IS NOT NULL AND NOT up),
+    a AS (SELECT *, shares - shares % 100 - coalesce(quantity, 0) AS delta FROM d),
+    o AS MATERIALIZED (
+        SELECT * FROM (SELECT trade_date, code, delta - delta % 100 AS asked, CAST(execution_close AS DECIMAL(12, 2)) AS price, row_number() OVER (PARTITION BY trade_date ORDER BY rank, code) AS k FROM a WHERE delta - delta % 100 > 0) WHERE k <= 8
+    ),
+    r AS (
+        SELECT DISTINCT trade_date, 0::BIGINT AS k, CAST(400000 AS DECIMAL(24, 2)) AS cash, NULL::VARCHAR AS code, 0::BIGINT AS quantity, CAST(0 AS DECIMAL(12, 2)) AS price, CAST(0 AS DECIMAL(20, 2)) AS fees FROM o
+        UNION ALL
+        SELECT trade_date, k, CAST(cash - CASE WHEN q > 0 THEN q * price + f ELSE 0 END AS DECIMAL(24, 2)), code, q, price, CAST(f AS DECIMAL(20, 2)) FROM (
+            SELECT *, CAST(round(greatest(q * price * 0.0003, 5) + q * price * 0.00001, 2) AS DECIMAL(20, 2)) AS f FROM (
+                SELECT o.trade_date, o.k, r.cash, o.code, o.price, coalesce(list_filter(list_transform(range(0, 4 + CAST(ceil(10 / (o.price * 100)) AS BIGINT)), lambda i: least(o.asked, CAST(floor(r.cash / (o.price * 100)) AS BIGINT) * 100) - i * 100),
+                       lambda n: n > 0 AND n * o.price + round(greatest(n * o.price * 0.0003, 5) + n * o.price * 0.00001, 2) <= r.cash)[1], 0) AS q
+                FROM r JOIN o ON o.trade_date = r.trade_date AND o.k = r.k + 1)))
+    SELECT trade_date, row_number() OVER (PARTITION BY trade_date ORDER BY k) - 1 AS place, 'buy' AS side, code, quantity, price, fees, last_cash AS cash_after
+    FROM (SELECT *, min(cash) OVER (PARTITION BY trade_date) AS last_cash FROM r) WHERE quantity > 0
+""")
 def planned_buys(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets, positions, states, equities, cash = _decisions(spark, sf_dir)
     return trading.planned_buys(trading.hard_risk(targets, positions, states, equities), cash)
