@@ -120,3 +120,32 @@ def test_streams_equal_their_batch_twins(spark, sf, tmp_path):
     late = jobs.late_row_stream(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in").withColumn("seen", F.col("at") + F.expr("INTERVAL 1 HOUR")), ["event_id"], "at", "seen")
     late.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck3").trigger(availableNow=True).start().awaitTermination()
     assert all(r.late <= r.rows for r in spark.table("late").collect())
+
+
+def test_payload_conflicts_are_settled_in_order(spark, monkeypatch):
+    # b disagrees with a and goes; so c, which disagrees with b alone, stays; d disagrees with c and goes; e agrees with a
+    rows = [("a", 1, 10), ("b", 1, 11), ("b", 2, 20), ("c", 2, 21), ("c", 3, 30), ("d", 3, 31), ("e", 1, 10), ("f", 9, 90), ("g", 9, None), ("h", 8, 1), ("h", 8, 1)]
+    df = spark.createDataFrame([(p, p, k, v) for p, k, v in rows], "source_payload_sha256 string, raw_artifact string, k int, v int")
+    verdicts = {r[0]: r.verdict for r in publish.payload_verdicts(df, df.limit(0), ["k"], ["v"]).collect()}
+    assert verdicts == {"a": "accepted", "b": "conflict", "c": "accepted", "d": "conflict", "e": "accepted", "f": "accepted", "g": "conflict", "h": "repeated_key"}
+
+
+def test_segments_are_moved_and_bounded(spark, tmp_path):
+
+    from tidemark.sources.catalog import ContractError
+
+    df = spark.range(25).withColumn("text", F.lit("x"))
+    assert publish.publish_segments({"t": df}, f"{tmp_path}/s1", f"{tmp_path}/root", most_rows=10) == {"t": 25}
+    assert publish.publish_segments({"t": df}, f"{tmp_path}/s2", f"{tmp_path}/root") == {"t": 25}
+    assert spark.read.parquet(f"{tmp_path}/root/t").count() == 50
+    with pytest.raises(ContractError):
+        publish.publish_segments({"t": df}, f"{tmp_path}/s3", f"{tmp_path}/root", most_bytes=10)
+    assert spark.read.parquet(f"{tmp_path}/root/t").count() == 50
+
+
+def test_conflicts_go_to_quarantine(spark, tmp_path):
+    stored = spark.createDataFrame([(1, "a")], "k int, v string")
+    incoming = spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string")
+    merged = publish.strict_merge(stored, incoming, ["k"], ["v"])
+    assert [r.k for r in publish.quarantine(merged, f"{tmp_path}/q").collect()] == [2]
+    assert [r.k for r in spark.read.parquet(f"{tmp_path}/q").collect()] == [1]
