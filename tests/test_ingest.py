@@ -149,3 +149,47 @@ def test_conflicts_go_to_quarantine(spark, tmp_path):
     merged = publish.strict_merge(stored, incoming, ["k"], ["v"])
     assert [r.k for r in publish.quarantine(merged, f"{tmp_path}/q").collect()] == [2]
     assert [r.k for r in spark.read.parquet(f"{tmp_path}/q").collect()] == [1]
+
+
+def test_raw_files_become_a_data_set(spark, tmp_path):
+    def put(days, received, broken=False):
+        content = {"schema_version": 2, "source": "src", "operation": "trade_calendar", "query": {"start_date": "2024-01-01", "end_date": "2024-01-31"}, "fields": ["calendar_date", "is_trading_day"], "rows": [{"calendar_date": d, "is_trading_day": t} for d, t in days]}
+        sha = hashlib.sha256(envelopes.canonical(content)).hexdigest()
+        body = content | {"content_sha256": sha, "received_at": received}
+        whole = body | {"envelope_sha256": hashlib.sha256(envelopes.canonical(body)).hexdigest()}
+        if broken:
+            whole["rows"] = []
+        folder = tmp_path / "raw" / "src" / "trade_calendar"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{sha}-{received[:10]}.json").write_bytes(envelopes.canonical(whole))
+
+    def run():
+        jobs.ingest_raw(spark, f"{tmp_path}/raw", f"{tmp_path}/root", "trade_calendar", f"{tmp_path}/ck", f"{tmp_path}/refused").awaitTermination()
+        return {(str(r.calendar_date), r.is_trading_day) for r in catalog.read(spark, f"{tmp_path}/root", "trade_calendar").collect()}
+
+    put([("2024-01-02", "1"), ("2024-01-06", "0"), ("2024-01-08", "x")], "2024-02-01T00:00:00Z")
+    put([("2024-01-09", "1")], "2024-02-01T00:00:00Z", broken=True)
+    assert run() == {("2024-01-02", True), ("2024-01-06", False)}
+    assert spark.read.parquet(f"{tmp_path}/refused").count() == 1
+    put([("2024-01-02", "1"), ("2024-01-03", "1")], "2024-02-02T00:00:00Z")  # agrees and adds
+    put([("2024-01-06", "1"), ("2024-01-04", "1")], "2024-02-03T00:00:00Z")  # disagrees and is refused as a whole
+    assert run() == run() == {("2024-01-02", True), ("2024-01-06", False), ("2024-01-03", True)}
+
+
+def test_checks_are_recorded_or_refused(spark, tmp_path):
+    from tidemark.operators import ops
+
+    rows = [("a", "healthy", True, datetime(2024, 1, 1), 5), ("a", "degraded", True, datetime(2024, 1, 2), 7), ("b", "well", False, datetime(2024, 1, 1), 1), ("", "healthy", False, datetime(2024, 1, 1), 1), ("c", "healthy", False, datetime(2024, 1, 1), -1)]
+    df = spark.createDataFrame(rows, "provider string, state string, critical boolean, checked_at timestamp, latency_ms int")
+    assert sorted(r.reason for r in ops.record_health(df, f"{tmp_path}/health").collect()) == ["latency", "provider", "state"]
+    latest = ops.latest_per_key(spark.read.parquet(f"{tmp_path}/health"), ["provider"], ["checked_at"])
+    assert [(r.provider, r.state) for r in latest.collect()] == [("a", "degraded")]
+
+
+def test_bars_of_one_adjustment(spark):
+    at = datetime(2024, 1, 3, 8)
+    rows = [("sh.600000", date(2024, 1, 3), f, datetime(2024, 1, 3, 1, m), at) for f in "23" for m in (40, 35)] + [("sh.600001", date(2024, 1, 3), "3", at, at), ("sh.600000", date(2024, 1, 2), "3", at, datetime(2024, 2, 1))]
+    bars = spark.createDataFrame(rows, "code string, trade_date date, adjustment_flag string, timestamp timestamp, available_at timestamp")
+    span = (["sh.600000"], date(2024, 1, 1), date(2024, 1, 3), datetime(2024, 1, 4))
+    assert [r.timestamp.minute for r in catalog.five_minute_bars(bars, *span).collect()] == [35, 40]
+    assert catalog.daily_bars(bars, *span, flag="2").count() == 2 and catalog.rows_as_of(bars, at).count() == 5

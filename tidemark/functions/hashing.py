@@ -12,6 +12,16 @@ def content_id(columns: dict[str, Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*named), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}), 256)
 
 
+def configuration_id(settings: dict[str, object]) -> Column:
+    """The identity of a set of parameters."""
+    return content_id({k: F.lit(v) for k, v in settings.items()})
+
+
+def decision_id(stages: dict[str, Column], settings: dict[str, object]) -> Column:
+    """The identity of a decision: all its stages and the configuration they ran with."""
+    return content_id(stages | {"configuration_id": configuration_id(settings)})
+
+
 def row_hash(names: list[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in sorted(names)])
 

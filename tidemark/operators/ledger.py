@@ -76,6 +76,15 @@ def positions(lots: DataFrame, prices: DataFrame, as_of: str) -> DataFrame:
     return held.join(prices.select("code", F.col("price").alias("last_price")), "code", "left").withColumn("market_value", F.col("quantity") * F.col("last_price"))
 
 
+def latest_decision_prices(prices: DataFrame, as_of: str) -> DataFrame:
+    """Of each code the price stored with the latest decision up to a moment, of that decision the last day.
+
+    prices: code, decided_at, trade_date, price. One aggregate; rows without a price don't count.
+    """
+    seen = prices.filter(F.col("price").isNotNull() & (F.col("decided_at") <= F.to_timestamp(F.lit(as_of))))
+    return seen.groupBy("code").agg(F.max_by(F.struct("price", "trade_date", "decided_at"), F.struct("decided_at", "trade_date")).alias("p")).select("code", "p.*")
+
+
 def track_views(held: DataFrame, cash: DataFrame) -> DataFrame:
     """cash, market value and equity of each track; the latter two are null if any position lacks a price."""
     value = held.groupBy("track").agg(F.when(F.bool_and(F.col("last_price").isNotNull()), F.sum("market_value")).alias("market_value"), F.count("*").alias("positions"))

@@ -16,6 +16,17 @@ def latest_per_key(events: DataFrame, keys: list[str], order: list[str], as_of:
     return seen.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("e")).select(*keys, "e.*")
 
 
+HEALTH_STATES = ["healthy", "degraded", "unavailable", "not_configured"]
+
+
+def record_health(checks: DataFrame, path: str) -> DataFrame:
+    """Appends provider checks (provider, state, critical, checked_at, latency_ms) and gives the refused ones with the reason."""
+    reason = F.when(F.col("provider").isNull() | (F.trim("provider") == ""), "provider").when(~F.coalesce(F.col("state").isin(HEALTH_STATES), F.lit(False)), "state").when(F.coalesce(F.col("latency_ms") < 0, F.lit(True)), "latency").when(F.col("checked_at").isNull(), "checked_at")
+    judged = checks.withColumn("reason", reason)
+    judged.filter("reason IS NULL").drop("reason").write.mode("append").parquet(path)
+    return judged.filter("reason IS NOT NULL")
+
+
 def transitions(events: DataFrame, key: str, phase: str, order: list[str], closed: str) -> DataFrame:
     """Events that change the phase of their key; a key can't begin closed."""
     before = F.lag(phase).over(W.partitionBy(key).orderBy(*order))

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..functions import market as rules
 from ..operators import allocate, coverage, evaluation, ledger, overlay, publish, quality, regime, trading
 from ..sources import requests
@@ -230,6 +231,24 @@ def split_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.split_violations(splits)
 
 
+@query("WITH " + S.BARS + """,
+    p AS (SELECT code, trade_date, execution_close AS price, CAST(date_trunc('month', trade_date) + INTERVAL 1 MONTH AS TIMESTAMP) AS decided_at FROM bars WHERE volume % 6 <> 0)
+    SELECT code, arg_max(price, (decided_at, trade_date)) AS price, arg_max(trade_date, (decided_at, trade_date)) AS trade_date FROM p WHERE decided_at <= TIMESTAMP '1997-07-15 00:00:00' GROUP BY 1
+""")
+def latest_decision_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = F.add_months(F.trunc("trade_date", "month"), 1).cast("timestamp")
+    prices = S.paired_bars(spark, sf_dir).select("code", "trade_date", F.when(F.col("volume") % 6 != 0, F.col("execution_close")).alias("price"), decided.alias("decided_at"))
+    return ledger.latest_decision_prices(prices, "1997-07-15 00:00:00").select("code", "price", "trade_date")
+
+
+@query("WITH " + S.BARS + """
+    SELECT code, trade_date, sha256('{"code":"' || code || '","configuration_id":"' || sha256('{"cap":"0.2","positions":"8"}') || '","trade_date":"' || CAST(trade_date AS VARCHAR) || '","volume":' || volume || '}') AS decision_id FROM bars
+""")
+def decision_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = {c: F.col(c) for c in ("trade_date", "code", "volume")}
+    return S.paired_bars(spark, sf_dir).select("code", "trade_date", hashing.decision_id(stages, {"positions": "8", "cap": "0.2"}).alias("decision_id"))
+
+
 # -- overlay ---------------------------------------------------------------------------------------------
 
 DRAFTS = """

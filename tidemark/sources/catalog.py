@@ -76,3 +76,19 @@ def bar_series(bars: DataFrame, codes: Iterable[str], start: date, end: date, as
         raise ContractError(f"{end} lies after the as-of date {local}")
     seen = scan(bars, as_of=as_of, contained_in={"code": codes, "adjustment_flag": flags}, ranges={"trade_date": (start, end)})
     return seen.repartition("code", "adjustment_flag").sortWithinPartitions("code", "adjustment_flag", "trade_date")
+
+
+def daily_bars(bars: DataFrame, codes: Iterable[str], start: date, end: date, as_of: datetime, flag: str = "3") -> DataFrame:
+    """Daily bars of one adjustment, as seen at as_of."""
+    return bar_series(bars, codes, start, end, as_of, [flag])
+
+
+def five_minute_bars(bars: DataFrame, codes: Iterable[str], start: date, end: date, as_of: datetime, flag: str = "3") -> DataFrame:
+    """Five-minute bars of one adjustment, each series in the order of time."""
+    seen = bar_series(bars, codes, start, end, as_of, [flag])
+    return seen.sortWithinPartitions("code", "adjustment_flag", "timestamp")
+
+
+def rows_as_of(df: DataFrame, as_of: datetime) -> DataFrame:
+    """Everything a data set held that could be seen at as_of."""
+    return scan(df, as_of=as_of)

@@ -8,10 +8,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import normalize, publish
+from ..schemas import KEYS, SCHEMAS, business_columns
+from ..sources import envelopes
+from ..sources.scratch import written
+
 
 def ingest_stream(payloads: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str):
     """Feeds new payload files to ``process`` batch by batch; a batch that failed is run again with the same number.
@@ -21,6 +26,30 @@ def ingest_stream(payloads: DataFrame, process: Callable[[DataFrame, int], None]
     return payloads.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_raw(spark: SparkSession, raw_root: str, root: str, dataset: str, checkpoint: str, refused: str | None = None):
+    """The whole chain for one data set: new envelope files are verified, normalised and published under ``root``.
+
+    Invalid envelopes and rows with errors are left out; with ``refused`` the latter are appended there with
+    their reasons. Which payloads count is decided by content against what is stored, so a batch that runs
+    again, or a file that comes again, adds nothing.
+    """
+    target, keys = f"{root}/{dataset}", KEYS[dataset]
+    values = [c for c in business_columns(dataset) if c not in keys]
+    spark.createDataFrame([], SCHEMAS[dataset]).write.mode("append").parquet(target)  # so that it can be read
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(raw_root)
+
+    def process(batch: DataFrame, number: int) -> None:
+        raw = envelopes.raw_rows(written(envelopes.verify(batch), "ingest-envelopes"))
+        good, bad = normalize.split(normalize.normalize(raw, dataset), dataset)
+        good, stored = written(good, "ingest-normalised"), spark.read.schema(SCHEMAS[dataset]).parquet(target)
+        verdicts = written(publish.payload_verdicts(good, stored, keys, values), "ingest-verdicts")
+        written(publish.new_rows(good, verdicts, stored, keys).select(SCHEMAS[dataset].names), "ingest-new").write.mode("append").parquet(target)
+        if refused is not None:
+            bad.withColumn("batch", F.lit(number)).write.mode("append").parquet(refused)
+
+    return ingest_stream(found, process, checkpoint)
+
+
 def alert_stream(events: DataFrame, closed: str = "resolved") -> DataFrame:
     """Phase changes of each alert key: (key, event_id, phase). A key can't begin closed.
 
