@@ -92,11 +92,18 @@ def perhaps_in(df: DataFrame, key: str, members: DataFrame, bits: int | None = N
     return _flagged(df, key, members, bits).filter("_in = 1").drop("_in")
 
 
-def without(df: DataFrame, key: str, members: DataFrame, bits: int | None = None) -> DataFrame:
-    """The rows of ``df`` whose key (null is a value) is not in ``members``. Only rows that may be are shuffled."""
+def without(df: DataFrame, key: str, members: DataFrame, bits: int | None = None, on: list[str] | None = None) -> DataFrame:
+    """The rows of ``df`` whose key (null is a value) is not in ``members``. Only rows that may be are shuffled.
+
+    With ``on`` the key only marks such rows, and those columns decide.
+    """
     flagged = _flagged(df, key, members, bits)
-    gone = members.select(F.col(key).alias("_gone"))
-    doubtful = flagged.filter("_in = 1").join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    maybe = flagged.filter("_in = 1")
+    if on is None:
+        gone = members.select(F.col(key).alias("_gone"))
+        doubtful = maybe.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    else:
+        doubtful = maybe.join(members.select(*on), on, "left_anti").select(flagged.columns)
     return flagged.filter("_in = 0").unionByName(doubtful).drop("_in")
 
 

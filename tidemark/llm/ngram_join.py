@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, components, cut, perhaps_in
+from .common import by_slices, components, cut, perhaps_in, without
 
 CELL = 128
 LEADERS = 8
@@ -303,7 +303,9 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mark = F.xxhash64("class")
     several = cut(rows.groupBy("id").agg(F.min(mark).alias("one"), F.max(mark).alias("other")).filter("one <> other").select("id"), "ngram-several")
     shared_ids = not several.isEmpty()
-    first_rows = rows.join(cut(rows.select("class", "id").join(classes.filter("rows > 1"), "class").filter("id <> rep").select("id", "class").distinct(), "ngram-copies"), ["id", "class"], "left_anti")
+    marked = F.xxhash64("id", "class").alias("_copy")
+    copies = cut(rows.select("class", "id").join(classes.filter("rows > 1"), "class").filter("id <> rep").select("id", "class", marked).distinct(), "ngram-copies")
+    first_rows = without(rows.select("*", marked), "_copy", copies, on=["id", "class"]).drop("_copy")  # signatures stay where they are
     if shared_ids:
         known = several.select(F.col("id").alias("rep"), F.lit(True).alias("is_shared"))
         classes = cut(classes.join(known, "rep", "left").withColumn("node", F.when(F.col("is_shared"), mark).otherwise(F.col("rep"))), "ngram-classes")
