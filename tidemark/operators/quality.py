@@ -82,8 +82,8 @@ def dataset_summary(df: DataFrame, name: str, keys: list[str], provenance: list[
 def quality_issues(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Issue counts: bars off the trading calendar (days it lacks count; an empty calendar raises none) and invalid OHLC."""
     known = calendar.filter("is_trading_day").select(F.col("calendar_date").alias("trade_date"))
-    some = calendar.limit(1).select(F.lit(1).alias("some"))
-    off = bars.join(known, "trade_date", "left_anti").crossJoin(some).agg(F.lit("bar_on_non_trading_date").alias("issue"), F.count("*").alias("n"))
+    marks = bars.join(known, "trade_date", "left_anti").select(F.lit("off").alias("mark")).unionByName(calendar.limit(1).select(F.lit("some").alias("mark")))
+    off = marks.agg(F.lit("bar_on_non_trading_date").alias("issue"), F.when(F.count_if(F.col("mark") == "some") > 0, F.count_if(F.col("mark") == "off")).otherwise(0).alias("n"))
     return off.unionByName(bars.agg(F.lit("invalid_ohlc").alias("issue"), F.count_if(~valid_ohlc()).alias("n")))
 
 
@@ -123,11 +123,12 @@ def samples(issues: DataFrame, most: int = 100) -> DataFrame:
 
 
 def coverage_report(counts: dict[str, DataFrame], issues: list[str], measured: str) -> DataFrame:
-    """One row of counts, one column for each frame; passed if ``measured`` is positive and every issue is zero."""
-    out = None
+    """One row of counts, one column for each frame, by one aggregate; passed if ``measured`` is positive and every issue is zero."""
+    every = None
     for name, frame in counts.items():
-        one = frame.agg(F.count("*").alias(name))
-        out = one if out is None else out.crossJoin(one)  # one row each
+        one = frame.select(F.lit(name).alias("what"))
+        every = one if every is None else every.unionByName(one)
+    out = every.agg(*[F.count_if(F.col("what") == name).alias(name) for name in counts])
     ok = F.col(measured) > 0
     for name in issues:
         ok = ok & (F.col(name) == 0)
