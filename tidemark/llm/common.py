@@ -74,22 +74,22 @@ def _flagged(df: DataFrame, key: str, members: DataFrame, bits: int | None) -> D
     if bits is None:
         n = members.count()
         if n > MOST_BITS:
-            return df.withColumn("_in", F.lit(1))
+            return df.withColumn("_bitmap_in", F.lit(1))
         bits = bits_for(n)
     place = lambda name: F.pmod(F.xxhash64(F.col(name)), F.lit(bits)) + 1
     # the places are dealt by bucket before the maps are made: partial maps of every task would outweigh them by far
-    places = members.select(place(key).alias("_p")).select("_p", F.bitmap_bucket_number("_p").alias("_bucket")).repartition("_bucket")
-    bitmap = places.groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map"))
-    at = F.bitmap_bit_position("_p").cast("int")
-    byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    places = members.select(place(key).alias("_bitmap_place")).select("_bitmap_place", F.bitmap_bucket_number("_bitmap_place").alias("_bitmap_bucket")).repartition("_bitmap_bucket")
+    bitmap = places.groupBy("_bitmap_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bitmap_place")).alias("_bitmap_map"))
+    at = F.bitmap_bit_position("_bitmap_place").cast("int")
+    byte = F.conv(F.hex(F.substring("_bitmap_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2, F.lit(0))
-    joined = df.withColumn("_p", place(key)).join(F.broadcast(bitmap), F.bitmap_bucket_number("_p") == F.col("_bucket"), "left")
-    return joined.withColumn("_in", bit).drop("_p", "_bucket", "_map")
+    joined = df.withColumn("_bitmap_place", place(key)).join(F.broadcast(bitmap), F.bitmap_bucket_number("_bitmap_place") == F.col("_bitmap_bucket"), "left")
+    return joined.withColumn("_bitmap_in", bit).drop("_bitmap_place", "_bitmap_bucket", "_bitmap_map")
 
 
 def perhaps_in(df: DataFrame, key: str, members: DataFrame, bits: int | None = None) -> DataFrame:
     """All rows of ``df`` whose key is in ``members`` and few others, so the exact join that follows need not shuffle the rest."""
-    return _flagged(df, key, members, bits).filter("_in = 1").drop("_in")
+    return _flagged(df, key, members, bits).filter("_bitmap_in = 1").drop("_bitmap_in")
 
 
 def without(df: DataFrame, key: str, members: DataFrame, bits: int | None = None, on: list[str] | None = None) -> DataFrame:
@@ -98,13 +98,13 @@ def without(df: DataFrame, key: str, members: DataFrame, bits: int | None = None
     With ``on`` the key only marks such rows, and those columns decide.
     """
     flagged = _flagged(df, key, members, bits)
-    maybe = flagged.filter("_in = 1")
+    maybe = flagged.filter("_bitmap_in = 1")
     if on is None:
-        gone = members.select(F.col(key).alias("_gone"))
-        doubtful = maybe.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+        gone = members.select(F.col(key).alias("_bitmap_gone"))
+        doubtful = maybe.join(gone, F.col(key).eqNullSafe(F.col("_bitmap_gone")), "left_anti")
     else:
         doubtful = maybe.join(members.select(*on), on, "left_anti").select(flagged.columns)
-    return flagged.filter("_in = 0").unionByName(doubtful).drop("_in")
+    return flagged.filter("_bitmap_in = 0").unionByName(doubtful).drop("_bitmap_in")
 
 
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
