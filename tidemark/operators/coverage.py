@@ -161,6 +161,19 @@ def assemble(decisions: DataFrame, calendar: DataFrame, universe: DataFrame, pai
     return rows.select("decision_date", "code", "through", "signal_close", "execution_close", checks.alias("checks"))
 
 
+def universe_view(days: DataFrame, positions: DataFrame, calendar: DataFrame, universe: DataFrame, paired: DataFrame, *, members: DataFrame | None = None, fixed: DataFrame | None = None, opening: bool = False) -> DataFrame:
+    """What each decision day looks at: its members (or, with ``fixed``, the same codes every day) and what is held besides.
+
+    days: decision_date; positions and members: trade_date, code; fixed: code. Each row is assembled as in
+    ``assemble``; what is only held is there for valuation (is_candidate false). Histories: ``features.history_window``.
+    """
+    if fixed is not None:  # the same codes on every day: that grid is the view itself
+        codes = fixed.select("code").distinct().withColumn("_", F.lit(0))
+        members = days.select(F.col("decision_date").alias("trade_date")).withColumn("_", F.lit(0)).join(codes, "_").drop("_")
+    both = candidates(members, positions).withColumnRenamed("trade_date", "decision_date").join(days.select("decision_date").distinct(), "decision_date", "left_semi")
+    return assemble(both, calendar, universe, paired, opening=opening).join(both, ["decision_date", "code"])
+
+
 def checkpoint_violations(opening: DataFrame, at: str = "09:35:00", zone: str = "Asia/Shanghai") -> DataFrame:
     """Opening bars that break a snapshot's contract: (check, decision_date, code).
 

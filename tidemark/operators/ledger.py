@@ -194,3 +194,10 @@ def run_violations(runs: DataFrame) -> DataFrame:
         "other_snapshot": F.col("base_snapshot") != F.col("shadow_snapshot"), "completed_before_request": F.col("completed_at") < F.col("requested_at"), "applied_after_deadline": applied & (F.col("completed_at") >= F.col("deadline")),
         "applied_without_success": applied & (F.col("status") != "succeeded"), "weights": applied & (F.abs(F.col("weight_sum") - 1) > 1e-9),
     })
+
+
+def stage_differences(base: DataFrame, shadow: DataFrame, stages: list[str], key: str = "run_id") -> DataFrame:
+    """(key, stage) where a shadow run's stages before the overlay are not those of its base run; a run without base differs in all."""
+    both = shadow.select(key, *[F.col(c).alias(f"_s_{c}") for c in stages]).join(base.select(key, *[F.col(c).alias(f"_b_{c}") for c in stages], F.lit(True).alias("_there")), key, "left")
+    found = F.array_compact(F.array(*[F.when(F.col("_there").isNull() | ~F.col(f"_s_{c}").eqNullSafe(F.col(f"_b_{c}")), F.lit(c)) for c in stages]))
+    return both.select(key, F.explode(found).alias("stage"))

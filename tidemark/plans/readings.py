@@ -179,7 +179,10 @@ def benchmark_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.benchmark_returns(days, changes).select("trade_date", F.round("benchmark_return", 8).alias("benchmark_return"), "missing")
 
 
-def _assembly(through: str) -> str:
+ASKED = "SELECT snapshot_date, code, true AS is_candidate FROM universe WHERE snapshot_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'"
+
+
+def _assembly(through: str, asked: str = ASKED, more: str = "") -> str:
     return "WITH " + COVER + "," + S.UNIVERSE + f""",
     prev AS (SELECT calendar_date, lag(calendar_date) OVER (ORDER BY calendar_date) AS previous FROM cal WHERE is_trading_day),
     pairs AS (
@@ -188,11 +191,11 @@ def _assembly(through: str) -> str:
         FROM signal s FULL OUTER JOIN execution e ON s.code = e.code AND s.trade_date = e.trade_date
     ),
     j AS (
-        SELECT q.snapshot_date AS decision_date, q.code, {through} AS through, c.is_trading_day, u.trade_status AS t, p.* EXCLUDE (code, trade_date)
-        FROM (SELECT * FROM universe WHERE snapshot_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31') q LEFT JOIN cal c ON c.calendar_date = q.snapshot_date LEFT JOIN prev v ON v.calendar_date = q.snapshot_date
+        SELECT q.snapshot_date AS decision_date, q.code, {through} AS through, q.is_candidate, c.is_trading_day, u.trade_status AS t, p.* EXCLUDE (code, trade_date)
+        FROM ({asked}) q LEFT JOIN cal c ON c.calendar_date = q.snapshot_date LEFT JOIN prev v ON v.calendar_date = q.snapshot_date
         LEFT JOIN uni u ON u.trade_date = q.snapshot_date AND u.code = q.code LEFT JOIN pairs p ON p.trade_date = {through} AND p.code = q.code
     )
-    SELECT decision_date, code, through, signal_close, execution_close, array_to_string(list_filter([
+    SELECT decision_date, code, through, signal_close, execution_close{more}, array_to_string(list_filter([
         CASE WHEN is_trading_day IS NULL THEN 'calendar_missing' END, CASE WHEN NOT is_trading_day THEN 'not_a_trading_day' END, CASE WHEN through IS NULL AND is_trading_day THEN 'no_day_before' END,
         CASE WHEN t IS NULL THEN 'not_in_universe' END, CASE WHEN t AND pairing IS NULL THEN 'bar_missing' END, CASE WHEN pairing <> 'paired' THEN 'tracks_' || pairing END], lambda x: x IS NOT NULL), ',') AS checks FROM j
     """
@@ -215,6 +218,40 @@ def snapshot_assembly_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assembled(spark, sf_dir, True)
 
 
+HELD_TOO = """
+    SELECT coalesce(u.snapshot_date, h.snapshot_date) AS snapshot_date, coalesce(u.code, h.code) AS code, u.code IS NOT NULL AS is_candidate
+    FROM (SELECT * FROM universe WHERE snapshot_date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31') u
+    FULL JOIN (SELECT trade_date + 1 AS snapshot_date, code FROM bars WHERE volume % 7 = 0 AND trade_date + 1 IN (SELECT snapshot_date FROM universe WHERE snapshot_date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31')) h
+    ON u.snapshot_date = h.snapshot_date AND u.code = h.code
+"""
+FIXED = """
+    SELECT coalesce(u.snapshot_date, h.snapshot_date) AS snapshot_date, coalesce(u.code, h.code) AS code, u.code IS NOT NULL AS is_candidate
+    FROM (SELECT DISTINCT snapshot_date, c AS code FROM universe, (SELECT unnest(['brand#11', 'brand#12', 'brand#13']) AS c) WHERE snapshot_date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31') u
+    FULL JOIN (SELECT trade_date + 1 AS snapshot_date, code FROM bars WHERE volume % 7 = 0 AND trade_date + 1 IN (SELECT snapshot_date FROM universe WHERE snapshot_date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31')) h
+    ON u.snapshot_date = h.snapshot_date AND u.code = h.code
+"""
+
+
+def _view(spark: SparkSession, sf_dir: str, codes: list[str] | None) -> DataFrame:
+    bars = written(S.paired_bars(spark, sf_dir), "bars")
+    members = S.universe(spark, sf_dir).filter("snapshot_date BETWEEN DATE'1995-01-01' AND DATE'1995-12-31'").withColumnRenamed("snapshot_date", "trade_date")
+    held = bars.filter("volume % 7 = 0").select(F.date_add("trade_date", 1).alias("trade_date"), "code")
+    days = members.select(F.col("trade_date").alias("decision_date")).distinct()
+    fixed = None if codes is None else spark.createDataFrame([(c,) for c in codes], "code string")
+    out = coverage.universe_view(days, held, _calendar(bars), _universe(_span(bars)), trading.pair_tracks(*S.tracks(bars)), members=members, fixed=fixed)
+    return out.withColumn("checks", F.array_join("checks", ","))
+
+
+@query(_assembly("q.snapshot_date", HELD_TOO, ", is_candidate"))
+def daily_universe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, None)
+
+
+@query(_assembly("q.snapshot_date", FIXED, ", is_candidate"))
+def fixed_universe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, ["brand#11", "brand#12", "brand#13"])
+
+
 @query("WITH " + COVER + """,
     asked AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS calendar_date FROM orders), twice AS (SELECT * FROM cal UNION ALL SELECT * FROM cal WHERE date_diff('day', DATE '1970-01-01', calendar_date) % 23 = 0)
     SELECT a.calendar_date, count(c.calendar_date) AS rows, CASE WHEN count(c.calendar_date) = 1 THEN bool_and(is_trading_day) END AS is_trading_day FROM asked a LEFT JOIN twice c ON a.calendar_date = c.calendar_date GROUP BY 1

@@ -249,6 +249,19 @@ def decision_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.paired_bars(spark, sf_dir).select("code", "trade_date", hashing.decision_id(stages, {"positions": "8", "cap": "0.2"}).alias("decision_id"))
 
 
+@query("""
+    WITH b AS (SELECT o_orderkey AS run_id, o_orderpriority AS regime, o_orderstatus AS pool FROM orders WHERE o_orderkey % 31 <> 0),
+    s AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 9 = 0 THEN 'other' ELSE o_orderpriority END AS regime, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS pool FROM orders)
+    SELECT s.run_id, unnest(list_filter([CASE WHEN b.run_id IS NULL OR s.regime IS DISTINCT FROM b.regime THEN 'regime' END, CASE WHEN b.run_id IS NULL OR s.pool IS DISTINCT FROM b.pool THEN 'pool' END], lambda x: x IS NOT NULL)) AS stage FROM s LEFT JOIN b ON s.run_id = b.run_id
+""")
+def stage_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    orders = S.table(spark, sf_dir, "orders")
+    base = orders.filter(k % 31 != 0).select(k.alias("run_id"), F.col("o_orderpriority").alias("regime"), F.col("o_orderstatus").alias("pool"))
+    shadow = orders.select(k.alias("run_id"), F.when(k % 9 == 0, "other").otherwise(F.col("o_orderpriority")).alias("regime"), F.when(k % 5 != 0, F.col("o_orderstatus")).alias("pool"))
+    return ledger.stage_differences(base, shadow, ["regime", "pool"])
+
+
 # -- overlay ---------------------------------------------------------------------------------------------
 
 DRAFTS = """
