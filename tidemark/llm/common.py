@@ -48,6 +48,16 @@ def by_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa
             yield batch.slice(at, rows)
 
 
+def slices_of_words(data: bytes, table: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, about ``size`` bytes of it at a time. table: what each byte becomes; a space parts words."""
+    flat, at = data.translate(table), 0
+    while at < len(flat):
+        end = flat.find(b" ", at + size)
+        end = len(flat) if end < 0 else end
+        yield flat[at:end].split()
+        at = end
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, exact_dedup, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, token_files, url_filters
+from . import byte_bpe, divergence, exact_dedup, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, token_files, url_filters
 from .common import SPACE, documents, scratch, text_or_empty
 
 
@@ -88,6 +88,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_files": op2_token_files,
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filters": op9_url_filters,
     "op10_language_id": op10_language_id,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -155,4 +160,36 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c.page_id, c.host, c.segment, c.fetched_on, coalesce(n, 0) AS n_active, pattern AS decided_by, list AS decided_list, listed AS since, coalesce(list, 'allow') <> 'allow' AS blocked
         FROM c LEFT JOIN (SELECT * FROM m WHERE rn = 1) m ON c.page_id = m.page_id
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), c AS (
+            SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(words) AS term FROM d) GROUP BY ALL
+        ), k AS (
+            SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(docs) >= 10
+        ), v AS (
+            SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM k GROUP BY ALL
+        ), g AS (
+            SELECT DISTINCT lang, source FROM d
+        ), f AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, total::HUGEINT AS total
+            FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), s AS (
+            SELECT f.lang, f.source, f.term, f.n, 1 + (1000000000 * (f.n + 2)) // (sum(f.n) OVER (PARTITION BY f.lang, f.source) + 2 * v.v)::HUGEINT AS p,
+                   1 + (1000000000 * (f.total + 2)) // (v.n + 2 * v.v) AS q
+            FROM f JOIN v ON f.lang = v.lang
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+                SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+                FROM s x JOIN s y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+            ) t ON t.lang = a.lang AND t.source = a.source AND t.other = b.source
+        ), terms AS (
+            SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM s WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+        UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms) WHERE rank <= 10
+    """,
 }
