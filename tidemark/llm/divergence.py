@@ -77,12 +77,11 @@ def contribution(p: Column, q: Column) -> Column:
 
 
 def _cells(rows: pd.DataFrame) -> dict[tuple[str, str], int]:
-    """Sum of joint cells times f for each pair of sources of a block. rows: source, bit (-1: the source's count-0 row), n, p."""
-    width = int(rows["bit"].max()) + 1
-    words = -(-width // 64)
-    full = np.zeros(words, np.uint64)
-    held = np.unique(rows["bit"].to_numpy()[rows["bit"].to_numpy() >= 0])
-    np.bitwise_or.at(full, held // 64, np.uint64(1) << (held % 64).astype(np.uint64))
+    """Sum of joint cells times f for each pair of sources of a block. rows: source, bit, n, p; bit -1: the source's share at count 0, and the number of the block's terms as n."""
+    terms = int(rows["n"].to_numpy()[rows["bit"].to_numpy() < 0][0])
+    words = -(-terms // 64)
+    full = np.full(words, ~np.uint64(0))
+    full[-1] >>= np.uint64(64 * words - terms)
     names, bits, shares = [], [], []
     for name, own in rows.groupby("source", sort=True):
         zero = int(own["p"].to_numpy()[own["bit"].to_numpy() < 0][0])
@@ -114,7 +113,7 @@ def _cells(rows: pd.DataFrame) -> dict[tuple[str, str], int]:
 
 
 def _pairs(kept: DataFrame, groups: DataFrame, block_terms: int, tile: int) -> DataFrame:
-    """(lang, source, item, value) for each pair of sources of a language, from kept (lang, source, term, n, p, total)."""
+    """(lang, source, item, value) for each pair of sources of a language, from kept (lang, source, term, n, p, total, first: one row of each term)."""
     sizes = groups.groupBy("lang").agg(F.count("*").alias("sources"))
     kind = F.floor(F.log2("total")).cast("int")
     classes = kept.groupBy("lang", kind.alias("kind")).agg(F.count("*").alias("rows")).join(sizes, "lang")
@@ -124,8 +123,8 @@ def _pairs(kept: DataFrame, groups: DataFrame, block_terms: int, tile: int) -> D
     bit = (F.dense_rank().over(W.partitionBy("lang", "kind", "block").orderBy("term")) - 1).cast("int")
     terms = placed.withColumn("block", block).withColumn("bit", bit).select("lang", "kind", "block", "tiles", "source", "bit", "n", "p")
     # every source has a row of each block, with its share at count 0
-    zeros = groups.join(classes, "lang").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    zeros = zeros.select("lang", "kind", "block", "tiles", "source", F.lit(-1).alias("bit"), F.lit(0).cast("long").alias("n"), F.col("p0").alias("p"))
+    sized = cut(placed.filter("first").groupBy("lang", "kind", block.alias("block"), "tiles").agg(F.count("*").alias("n")), "divergence-blocks")
+    zeros = groups.join(sized, "lang").select("lang", "kind", "block", "tiles", "source", F.lit(-1).alias("bit"), "n", F.col("p0").alias("p"))
     own = F.pmod(F.xxhash64("source"), "tiles").cast("int")
     both = terms.unionByName(zeros).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = both.select("lang", "kind", "block", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "source", "bit", "n", "p")
@@ -170,7 +169,7 @@ def audit(docs: DataFrame, *, min_docs: int = 10, top: int = 10, lang_col: str =
     terms = terms.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).withColumn("part", F.lit("term"))
 
     some = groups.filter("terms > 0")
-    found = _pairs(shared.select("lang", "source", "term", "n", "p", "total"), some, block_terms, tile)
+    found = _pairs(shared.select("lang", "source", "term", "n", "p", "total", "first"), some, block_terms, tile)
     none = groups.filter("terms = 0")
     found = found.unionByName(none.alias("a").join(none.alias("b"), F.expr("a.lang = b.lang AND a.source <> b.source")).selectExpr("a.lang", "a.source", "b.source AS item", "0L AS value"))
     pairs = found.withColumn("rank", F.row_number().over(best)).withColumn("part", F.lit("pair"))
