@@ -1,10 +1,11 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, line_dedup, ngram_join
-from tidemark.llm.common import components, perhaps_in, without
+from tidemark.llm.common import Tables, components, perhaps_in, without
 
 
 def brute_components(texts):
@@ -127,10 +128,27 @@ def test_merge_skip():
         assert ngram_join.merge_skip(lists, t) == sorted((v, c) for v, c in count.items() if c >= t)
 
 
-def test_components_of_chains_and_hubs(spark):
+@pytest.mark.parametrize("files", [1, 7])
+def test_components_of_chains_and_hubs(spark, files):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(2, 40)] + [(7, 7), (500, 400)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long"), "t").collect()}
-    assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 1 for i in range(1, 40)) and got[500] == got[400] == 400
+    with Tables(spark) as tables:
+        got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long").repartition(files), "t", tables).collect()}
+    assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 1 for i in range(1, 40)) and got[500] == got[400] == 400 and len(got) == 102
+    with Tables(spark) as tables:
+        assert components(spark.createDataFrame([], "a long, b long"), "t", tables).count() == 0
+
+
+def test_tables_go_when_their_call_ends(spark, docs):
+    import os
+
+    from tidemark.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    texts = [" ".join(f"w{k}" for k in range(40)) + f" end{i}" for i in range(5)]
+    assert {r.component_id for r in ngram_join.link_components(docs(texts)).collect()} == {0}
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left == {"ngram-prints", "ngram-answer"}  # what the result itself reads
 
 
 def test_bitmap_filter_keeps_all_members(spark):
@@ -197,3 +215,12 @@ def test_site_lines_by_ratio_alone_and_long_pages(spark):
     assert all(got[20 + i].n_dropped == 10_000 and got[20 + i].text == "" for i in range(4))
     assert all(r.n_dropped == r.n_lines for r in line_dedup.drop_frequent_lines(df, ratio=0.05).collect())  # one page of ten is over it
     assert {r.page_id: r.n_dropped for r in line_dedup.drop_frequent_lines(df, ratio=0.05, min_pages=2).collect() if r.page_id < 20} == {i: int(i < 2) for i in range(10)}
+
+
+def test_site_lines_keep_columns_of_any_name(spark):
+    own = ["_lines", "_own", "_gone", "_kept", "_host", "_keys", "_total_host", "key", "doc_0", "doc_2", "total", "pages"]
+    df = spark.createDataFrame([(i, "h", f"menu\nown {i}") for i in range(10)], "page_id long, host string, text string")
+    for name in own:
+        df = df.withColumn(name, F.lit(f"my {name}"))
+    rows = line_dedup.drop_frequent_lines(df, ratio=0.3).collect()
+    assert {r.text for r in rows} == {f"own {i}" for i in range(10)} and all(r[name] == f"my {name}" for r in rows for name in own)

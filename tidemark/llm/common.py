@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,53 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a few numbers that a task writes at least, where the number of rows is known beforehand.
+TASK_ROWS = 20_000
+
+
+def _write(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again, which ends its lineage."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, scratch(df.sparkSession, name))
+
+
+class Tables:
+    """Tables in the shared folder that are deleted when the ``with`` block ends, or earlier by ``drop``.
+
+    What the block returns must not read them any more: write it with the module's ``cut``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.made: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*[df for df, _ in self.made])
+
+    def cut(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: about how many, if known; then there are no more tasks than these rows need."""
+        path = scratch(self.spark, name)
+        out = _write(df, path, rows)
+        self.made.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes the tables of ``frames``; frames of other origin are left alone."""
+        hadoop, conf = self.spark._jvm.org.apache.hadoop.fs.Path, self.spark._jsc.hadoopConfiguration()
+        for df, path in self.made:
+            if any(df is f for f in frames):
+                at = hadoop(path)
+                at.getFileSystem(conf).delete(at, True)
+        self.made = [(df, path) for df, path in self.made if not any(df is f for f in frames)]
 
 
 def by_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -62,6 +105,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of names that no operator uses, and those names by the original ones."""
+    names = {c: f"doc_{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -117,31 +166,65 @@ def without(df: DataFrame, key: str, members: DataFrame, bits: int | None = None
     return flagged.filter("_bitmap_in = 0").unionByName(doubtful).drop("_bitmap_in")
 
 
-def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components: of each task's edges, one from every node to the smallest it reaches there.
+
+    A task holds the nodes of so many edges at most, and goes on with the next.
+    """
+
+    def run(frames: Iterator[pd.DataFrame], most: int = 1_000_000) -> Iterator[pd.DataFrame]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        def flush() -> pd.DataFrame:
+            found = [(x, r) for x in list(up) if (r := root(x)) != x]
+            up.clear()
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+        for pdf in frames:
+            for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+                if (a := root(a)) != (b := root(b)):
+                    up[max(a, b)] = min(a, b)
+            if len(up) > most:
+                yield flush()
+        yield flush()
+
+    return edges.select("a", "b").mapInPandas(run, "a long, b long")
+
+
+def components(edges: DataFrame, name: str, tables: Tables, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable. ``edges``: a and b, long.
 
-    Alternating large-star and small-star steps. A node's smallest neighbour comes from a partial
-    aggregate and is joined back as a table of its own, so a hub's edges can be split.
+    Edges are contracted within each task first. What is left takes alternating large-star and
+    small-star steps. A node's smallest neighbour comes from a partial aggregate and is joined back as a
+    table of its own, so a hub's edges can be split. The result reads a table of ``tables``.
     """
 
-    def star(both: DataFrame, keep) -> DataFrame:
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
-        return both.join(least, "u").filter(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    def star(both: DataFrame, keep, rows: int) -> DataFrame:
+        least = tables.cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least", rows)
+        out = tables.cut(both.join(least, "u").filter(keep).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), f"{name}-edges", rows)
+        tables.drop(least)
+        return out
 
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
-    before = None
+    now = tables.cut(_contracted(edges.filter("a <> b")).distinct(), f"{name}-edges")
+    rows = now.count()
     for _ in range(most_rounds):
+        # settled: every node has one edge to a smallest one, which has none itself
+        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("from")), F.struct(F.col("b").alias("node"), F.lit(0).alias("from")))).alias("e"))
+        unsettled = ends.groupBy("e.node").agg(F.sum("e.from").alias("n"), F.min("e.from").alias("to")).filter("n > 1 OR (n = 1 AND to = 0)")
+        if unsettled.isEmpty():
+            break
         mirrored = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = star(mirrored, F.col("v") > F.col("u")).filter("a <> b").distinct()
+        large = star(mirrored, F.col("v") > F.col("u"), rows)
+        tables.drop(now)
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = star(down.unionByName(down.select("u", F.col("u").alias("v"))), F.lit(True)).filter("a <> b").distinct()
-        now = cut(small, f"{name}-edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
+        now = star(down.unionByName(down.select("u", F.col("u").alias("v"))), F.lit(True), rows)
+        tables.drop(large)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    least = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return least.unionByName(roots.join(least, "node", "left_anti"))
+    least = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return least.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, components, cut, perhaps_in, without
+from .common import Tables, by_slices, components, cut, perhaps_in, without
 
 CELL = 128
 LEADERS = 8
@@ -251,36 +251,36 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("node", "only", "_text").mapInArrow(run, "id long, hashes array<long>")
 
 
-def _repeated(tokens: DataFrame, must: Column, name: str) -> DataFrame:
+def _repeated(tokens: DataFrame, must: Column, tables: Tables) -> DataFrame:
     """From (id, n, h): the ids with ``must`` shingles or more that others hold too, and the rarest of these (df, h), all but must - 1.
 
     Counting and looking up are two shuffles, so that a shingle that very many hold is pre-aggregated
     in the one and can be split in the other; a bitmap keeps the unrepeated out of the latter.
     """
-    met = cut(tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), name)
+    met = tables.cut(tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "ngram-met")
     held = perhaps_in(tokens, "h", met).join(met, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("held")).filter(F.size("held") >= must)
     return held.select("id", F.slice("held", F.lit(1), (F.size("held") - must + 1).cast("int")).alias("rarest"))
 
 
-def _ask_parts(rows: DataFrame, searched: DataFrame, percent: int) -> DataFrame:
+def _ask_parts(rows: DataFrame, searched: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """Edges between the members outside their block's largest component and all others of the block.
 
     rows: id, hashes, block, component, largest. searched: (id, h), the looked-at shingles.
     """
     # sizes of a linked pair lie within a factor of 100 / percent: in one band or two neighbouring ones
     band = F.floor(F.log(F.size("hashes").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    sized = cut(rows.select("id", "block", "component", (F.col("component") != F.col("largest")).alias("asks"), F.size("hashes").cast("long").alias("n"), band.alias("band")), "ngram-sized")
+    sized = tables.cut(rows.select("id", "block", "component", (F.col("component") != F.col("largest")).alias("asks"), F.size("hashes").cast("long").alias("n"), band.alias("band")), "ngram-sized")
     volumes = sized.groupBy("block", "band", "component").agg(F.sum("n").alias("volume"))
     small = volumes.filter(F.col("volume") < VOLUME).groupBy("block", "band").agg(F.sum("volume").alias("rest"))
     placed = sized.join(volumes, ["block", "band", "component"]).join(small, ["block", "band"], "left")
     of = lambda key, total: F.pmod(F.xxhash64(key, F.lit(17)), F.ceil(F.col(total) / VOLUME).cast("long"))
     part = F.when(F.col("volume") < VOLUME, F.xxhash64("block", "band", of("component", "rest"))).otherwise(F.xxhash64("block", "band", "component", of("id", "volume")))
-    placed = cut(placed.select("id", "block", "component", "asks", "band", part.alias("part")), "ngram-placed")
-    held = cut(searched.join(placed.select("id", "asks", "band", "part"), "id"), "ngram-routes")
+    placed = tables.cut(placed.select("id", "block", "component", "asks", "band", part.alias("part")), "ngram-placed")
+    held = tables.cut(searched.join(placed.select("id", "asks", "band", "part"), "id"), "ngram-routes")
     stands = held.select("h", "part", F.col("band").alias("at")).distinct()
     asked = held.filter("asks").select("h", "id", "band").join(stands, "h").filter(F.abs(F.col("band") - F.col("at")) <= 1).select("id", "part").distinct()
-    asked = cut(asked, "ngram-asked")
-    copies = cut(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies")), "ngram-copies")
+    asked = tables.cut(asked, "ngram-asked")
+    copies = tables.cut(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies")), "ngram-copies")
     sets = rows.select("id", "hashes")
     index = placed.join(copies, "part").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("part", "cell", "id", "component", F.lit(False).alias("query"))
     queries = asked.join(copies, "part").join(placed.select("id", "component"), "id").select("part", F.pmod(F.xxhash64("id", F.lit(11)), "copies").cast("int").alias("cell"), "id", "component", F.lit(True).alias("query"))
@@ -288,73 +288,82 @@ def _ask_parts(rows: DataFrame, searched: DataFrame, percent: int) -> DataFrame:
     return _search(cells.select(F.col("part").alias("block"), "cell", "id", "component", "hashes", "query"), percent)
 
 
-def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """For each row: id, n_shingles, component_id (the smallest id reachable by links, its own included).
-
-    Two documents link when 100 * shared >= percent * united shingles. Null texts, empty ones and
-    such without words have no shingle and link with nothing. Rows that repeat an id are one node,
-    whatever their texts: it has the links of each of them. A null id gets a null component. An empty
-    table gives an empty result. Other columns are not read.
-    """
-    prints = cut(_fingerprints(docs, id_col, text_col, size, percent), "ngram-prints")
+def _answer(docs: DataFrame, prints: DataFrame, tables: Tables, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, bool]:
+    """(class, component) from the tables of this call, and whether an id has several texts."""
+    n = prints.count()
     rows = prints.filter("class IS NOT NULL AND id IS NOT NULL")
-    classes = cut(rows.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "ngram-classes")
+    classes = tables.cut(rows.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "ngram-classes", n)
     # a class is known by its smallest id; where an id has several texts, by a hash of its own
     mark = F.xxhash64("class")
-    several = cut(rows.groupBy("id").agg(F.min(mark).alias("one"), F.max(mark).alias("other")).filter("one <> other").select("id"), "ngram-several")
+    several = tables.cut(rows.groupBy("id").agg(F.min(mark).alias("one"), F.max(mark).alias("other")).filter("one <> other").select("id"), "ngram-several", n)
     shared_ids = not several.isEmpty()
     marked = F.xxhash64("id", "class").alias("_copy")
-    copies = cut(rows.select("class", "id").join(classes.filter("rows > 1"), "class").filter("id <> rep").select("id", "class", marked).distinct(), "ngram-copies")
+    copies = tables.cut(rows.select("class", "id").join(classes.filter("rows > 1"), "class").filter("id <> rep").select("id", "class", marked).distinct(), "ngram-copies", n)
     first_rows = without(rows.select("*", marked), "_copy", copies, on=["id", "class"]).drop("_copy")  # signatures stay where they are
     if shared_ids:
         known = several.select(F.col("id").alias("rep"), F.lit(True).alias("is_shared"))
-        classes = cut(classes.join(known, "rep", "left").withColumn("node", F.when(F.col("is_shared"), mark).otherwise(F.col("rep"))), "ngram-classes")
+        classes = tables.cut(classes.join(known, "rep", "left").withColumn("node", F.when(F.col("is_shared"), mark).otherwise(F.col("rep"))), "ngram-classes", n)
         first_rows = first_rows.join(known.withColumnRenamed("rep", "id"), "id", "left").withColumn("node", F.when(F.col("is_shared"), mark).otherwise(F.col("id")))
     else:
         classes, first_rows = classes.withColumn("node", F.col("rep")), first_rows.withColumn("node", F.col("id"))
     signatures = first_rows.select(F.col("node").alias("id"), "n", F.explode("signature").alias("h"))
 
     least = F.ceil(F.lit(percent) * F.col("n") / 100)
-    survivors = cut(_repeated(signatures, 1 + F.floor(least / 12), "ngram-met").select(F.col("id").alias("node")), "ngram-survivors")
+    survivors = tables.cut(_repeated(signatures, 1 + F.floor(least / 12), tables).select(F.col("id").alias("node")), "ngram-survivors")
     wanted = survivors.select("node", F.col("node").alias("id"), F.lit(None).cast("binary").alias("only"))
     if shared_ids:
         named = classes.filter("is_shared").select("node", "rep", "class")
-        wanted = cut(survivors.join(named, "node", "left").select("node", F.coalesce("rep", "node").alias("id"), F.col("class").alias("only")), "ngram-wanted")
+        wanted = tables.cut(survivors.join(named, "node", "left").select("node", F.coalesce("rep", "node").alias("id"), F.col("class").alias("only")), "ngram-wanted")
     texts = perhaps_in(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")), "id", wanted)
-    sets = cut(_sets(texts.join(wanted, "id"), size), "ngram-sets")
+    sets = tables.cut(_sets(texts.join(wanted, "id"), size), "ngram-sets")
     whole = sets.select("id", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("h"))
-    held = _repeated(whole, least, "ngram-met")
-    searched = cut(held.select("id", F.explode("rarest").alias("x")).select("id", F.col("x.h").alias("h")), "ngram-searched")
-    first = cut(searched.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("holders")).filter("holders > 1").select("h", "first"), "ngram-first")
-    blocks = components(searched.join(first, "h").select(F.col("id").alias("a"), F.col("first").alias("b")), "ngram-blocks")
-    blocks = cut(blocks.select(F.col("node").alias("id"), F.col("component").alias("block")), "ngram-blocks")
-    sizes = cut(blocks.groupBy("block").agg(F.count("*").alias("members")), "ngram-sizes")
-    members = cut(blocks.join(sizes, "block"), "ngram-members")
-    sets = cut(sets.join(members, "id"), "ngram-sets")
+    held = _repeated(whole, least, tables)
+    searched = tables.cut(held.select("id", F.explode("rarest").alias("x")).select("id", F.col("x.h").alias("h")), "ngram-searched")
+    first = tables.cut(searched.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("holders")).filter("holders > 1").select("h", "first"), "ngram-first")
+    blocks = components(searched.join(first, "h").select(F.col("id").alias("a"), F.col("first").alias("b")), "ngram-blocks", tables)
+    blocks = tables.cut(blocks.select(F.col("node").alias("id"), F.col("component").alias("block")), "ngram-blocks", n)
+    sizes = tables.cut(blocks.groupBy("block").agg(F.count("*").alias("members")), "ngram-sizes", n)
+    members = tables.cut(blocks.join(sizes, "block"), "ngram-members", n)
+    alone, sets = sets, tables.cut(sets.join(members, "id"), "ngram-sets")
+    tables.drop(alone)
     parts = F.ceil(F.col("members") / CELL).cast("int")
     own = F.when(F.col("members") <= CELL, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), parts)).cast("int")
     leads = (F.col("members") > CELL) & (F.pmod(F.xxhash64("id", F.lit(7)), F.col("members")) < LEADERS)
     cells = sets.withColumn("cell", F.explode(F.when(leads, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))))
-    edges = cut(_search(cells.select("block", "cell", "id", F.col("id").alias("component"), "hashes", F.lit(False).alias("query")), percent), "ngram-edges")
+    edges = tables.cut(_search(cells.select("block", "cell", "id", F.col("id").alias("component"), "hashes", F.lit(False).alias("query")), percent), "ngram-edges")
 
     large = sets.filter(F.col("members") > CELL)
     if not large.isEmpty():
-        found = cut(components(edges, "ngram-parts"), "ngram-parts")
+        found = tables.cut(components(edges, "ngram-parts", tables), "ngram-parts", n)
         labelled = large.select("block", "id", "members").join(found, F.col("id") == F.col("node"), "left").select("block", "id", "members", F.coalesce("component", "id").alias("component"))
-        labelled = cut(labelled, "ngram-labelled")
+        labelled = tables.cut(labelled, "ngram-labelled", n)
         counts = labelled.groupBy("block", "component").agg(F.count("*").alias("k"))
-        largest = cut(counts.groupBy("block").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), (F.sum("k") - F.max("k")).alias("outside")).filter("outside > 0"), "ngram-largest")
-        rows_outside = cut(large.select("id", "hashes").join(labelled, "id").join(largest, "block"), "ngram-outside")
-        edges = edges.unionByName(cut(_ask_parts(rows_outside, searched.join(first.select("h"), "h"), percent), "ngram-edges"))
+        largest = tables.cut(counts.groupBy("block").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), (F.sum("k") - F.max("k")).alias("outside")).filter("outside > 0"), "ngram-largest", n)
+        rows_outside = tables.cut(large.select("id", "hashes").join(labelled, "id").join(largest, "block"), "ngram-outside")
+        edges = edges.unionByName(tables.cut(_ask_parts(rows_outside, searched.join(first.select("h"), "h"), percent, tables), "ngram-edges"))
     if shared_ids:
-        nodes = cut(rows.select("id", "class").join(several, "id").join(classes.select("class", "node"), "class").select("id", "node").distinct(), "ngram-nodes")
+        nodes = tables.cut(rows.select("id", "class").join(several, "id").join(classes.select("class", "node"), "class").select("id", "node").distinct(), "ngram-nodes", n)
         edges = edges.unionByName(nodes.join(nodes.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b"))
-    joined = cut(components(edges, "ngram-components").select(F.col("node").alias("_node"), "component"), "ngram-components")
+    joined = tables.cut(components(edges, "ngram-components", tables).select(F.col("node").alias("_node"), "component"), "ngram-components", n)
     answer = classes.join(joined, F.col("node") == F.col("_node"), "left").select("class", "rep", F.coalesce("component", "node").alias("component"))
     if shared_ids:  # from nodes to the smallest id of the component
-        answer = cut(answer, "ngram-answer")
+        answer = tables.cut(answer, "ngram-answer")
         answer = answer.join(answer.groupBy("component").agg(F.min("rep").alias("smallest")), "component").select("class", F.col("smallest").alias("component"))
-    answer = cut(answer.select("class", "component"), "ngram-answer")
+    return answer.select("class", "component"), shared_ids
+
+
+def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """For each row: id, n_shingles, component_id (the smallest id reachable by links, its own included).
+
+    Two documents link when 100 * shared >= percent * united shingles. Null texts, empty ones and
+    such without words have no shingle and link with nothing. Rows that repeat an id are one node,
+    whatever their texts: it has the links of each of them. A null id gets a null component. An empty
+    table gives an empty result. Other columns are not read.
+    """
+    prints = cut(_fingerprints(docs, id_col, text_col, size, percent), "ngram-prints")
+    with Tables(docs.sparkSession) as tables:
+        answer, shared_ids = _answer(docs, prints, tables, id_col, text_col, size, percent)
+        answer = cut(answer, "ngram-answer")
     out = prints.select("id", "n", "class").join(answer, "class", "left")
     if shared_ids:  # an id's row without a shingle belongs to its other rows
         ids = cut(out.filter("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("of_id")), "ngram-ids")
