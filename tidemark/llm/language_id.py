@@ -18,8 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import by_slices, cut
+from .common import Tables, by_slices
 
 #: Result for a text without a letter.
 UNDETERMINED = "und"
@@ -38,25 +39,36 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, *, docs_per_lang: int = 400, row_chars: int = 4000, dict_bytes: int = 131072, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Dictionaries by language, from a bounded sample of the labelled rows that are not held out.
+def _drawn(docs: DataFrame, sample_rows: int, row_chars: int, id_col: str, text_col: str, lang_col: str, tables: Tables) -> DataFrame:
+    """(lang, h, passage): of each language the sample_rows distinct (id, text) with the smallest hash h, of those with row_chars characters at most.
 
-    The sample: of the rows of a language with at most row_chars characters, about three times
-    docs_per_lang drawn by a hash of the id. In the order of that hash whole texts fill the dictionary
-    until the next would take it over dict_bytes; so a dictionary has whole texts only and at most
-    that size. If all rows of a language are longer, the first dict_bytes of one of the shortest serve.
-    Rows without text or language are not used; without labelled rows the result is empty. Repeated
-    rows and ids count as they come, other columns are not read. Each dictionary is made in a task of
-    its own from that bounded sample; the driver gets dict_bytes for each language.
+    Where a language has only longer texts, the shortest of them. Only languages, hashes and lengths are
+    shuffled to choose; a task passes on sample_rows of each language.
     """
-    hashed = F.xxhash64(F.col(id_col).cast("string"))
+    hashed = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     rows = docs.filter(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull() & ~held_out(id_col))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("passage"), hashed.alias("h"), F.length(text_col).alias("n"))
-    short = F.col("n") <= row_chars
-    # a table of known, small size: rows stay where they are
-    counts = cut(rows.groupBy("lang").agg(F.count(F.when(short, 1)).alias("short"), F.min("n").alias("least")), "language-counts")
-    share = F.least(F.lit(1.0), 3.0 * docs_per_lang / F.greatest("short", F.lit(1)))
-    drawn = rows.join(counts, "lang").filter((short & (F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))) | ((F.col("short") == 0) & (F.col("n") == F.col("least"))))
+    rows = rows.select(F.col(lang_col).alias("lang"), hashed.alias("h"), F.length(text_col).alias("n"), F.col(text_col).alias("passage"))
+    over = F.when(F.col("n") > row_chars, F.col("n")).otherwise(0)
+    distinct = rows.select("lang", "h", over.alias("over")).groupBy("lang", "h").agg(F.min("over").alias("over"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("over", "h"))
+    chosen = distinct.withColumn("place", place).filter(F.col("place") <= sample_rows).filter("over = 0 OR place = 1")
+    chosen = tables.cut(chosen.select("lang", "h"), "language-sample")
+    # sample_rows rows of two columns for each language
+    return rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "passage").dropDuplicates(["lang", "h"])
+
+
+def fit(docs: DataFrame, *, sample_rows: int = 1200, row_chars: int = 4000, dict_bytes: int = 131072, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """Dictionaries by language, from a bounded sample of the labelled rows that are not held out.
+
+    The sample: of the rows of a language with at most row_chars characters, the sample_rows with the
+    smallest hash of id and text, rows that repeat both once; null and repeated ids are no different
+    from others. In the order of that hash whole texts fill the dictionary until the next would take it
+    over dict_bytes; so a dictionary has whole texts only and at most that size. If all rows of a
+    language are longer, the first dict_bytes of one of the shortest serve. Rows without text or
+    language are not used; without labelled rows the result is empty; other columns are not read. Each
+    dictionary is made in a task of its own from that sample; the driver gets dict_bytes for each
+    language.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         made = b""
@@ -67,8 +79,10 @@ def fit(docs: DataFrame, *, docs_per_lang: int = 400, row_chars: int = 4000, dic
             made += words[:dict_bytes]
         return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "content": [made]})
 
-    made = drawn.select("lang", "h", "passage").groupBy("lang").applyInPandas(run, "lang string, content binary")
-    return {r.lang: bytes(r.content) for r in made.collect()}
+    with Tables(docs.sparkSession) as tables:
+        drawn = _drawn(docs, sample_rows, row_chars, id_col, text_col, lang_col, tables)
+        made = drawn.groupBy("lang").applyInPandas(run, "lang string, content binary")
+        return {r.lang: bytes(r.content) for r in made.collect()}
 
 
 class Classifier:
