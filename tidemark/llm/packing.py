@@ -22,21 +22,32 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> list[int]:
+def best_fit(pieces: list[tuple[int, int, int]], capacity: int, often: int = 64) -> list[int]:
     """The bin of each piece (length, source bit, cluster bit; bits of 0 conflict with nothing).
 
     Pieces must come in the order of packing. Bins with equal room are tried in order of their number.
+    Of a source or cluster with more than ``often`` pieces, the bins without it are kept in an order of
+    their own, so that its pieces don't search among the bins that hold it.
     """
-    open_: list[tuple[int, int]] = []  # (room left, bin), ordered
     sources: list[int] = []
     clusters: list[int] = []
+    counts = Counter(x for _, s, c in pieces for x in ((0, s), (1, c)) if x[1])
+    # (room left, bin), ordered: of all open bins, and of those without a frequent source or cluster
+    every: list[tuple[int, int]] = []
+    without: dict[tuple[int, int], list[tuple[int, int]]] = {x: [] for x, n in counts.items() if n > often}
+
+    def orders(b: int) -> list[list[tuple[int, int]]]:
+        return [every, *(order for (kind, bit), order in without.items() if not (clusters if kind else sources)[b] & bit)]
+
     out = []
     for length, source, cluster in pieces:
-        at = bisect_left(open_, (length, -1))
-        for k in range(at, len(open_)):
-            room, b = open_[k]
+        own = max(((0, source), (1, cluster)), key=lambda x: counts[x] if x[1] else 0)
+        order = without.get(own, every)
+        for k in range(bisect_left(order, (length, -1)), len(order)):
+            room, b = order[k]
             if not (sources[b] & source or clusters[b] & cluster):
-                del open_[k]
+                for x in orders(b):
+                    del x[bisect_left(x, (room, b))]
                 break
         else:
             room, b = capacity, len(sources)
@@ -46,7 +57,8 @@ def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> list[int]:
         clusters[b] |= cluster
         out.append(b)
         if room > length:
-            insort(open_, (room - length, b))
+            for x in orders(b):
+                insort(x, (room - length, b))
     return out
 
 
@@ -88,27 +100,30 @@ def _packed(dealt: DataFrame, shards: int, capacity: int, distinct_sources: bool
     return ordered.mapInArrow(run, "id long, piece int, start long, length long, source string, cluster string, bin int, place long, content long, shard int")
 
 
-def pack(docs: DataFrame, *, capacity: int, length_col: str, id_col: str = "doc_id", source_col: str = "source", cluster_col: str = "cluster", distinct_sources: bool = True, shard_docs: int = 2048, full: float = 0.95) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int, length_col: str, id_col: str = "doc_id", source_col: str = "source", cluster_col: str = "cluster", distinct_sources: bool = True, shard_pieces: int = 4096, full: float = 0.95) -> DataFrame:
     """One row for each piece: id, piece, start, length, shard, bin (within the shard), place (in the bin).
 
     A document longer than capacity is cut into pieces of capacity and a rest. Documents with null or
     no length give no piece. Null sources and clusters conflict with nothing. Rows that repeat an id
     are documents of their own. Ties in length are packed by id, piece, source and cluster. An empty
     table gives an empty result; other columns are not read. Only id, length, source and cluster are
-    shuffled, never texts. Bins don't reach across shards of about shard_docs pieces; the pieces in
+    shuffled, never texts. Pieces are dealt by all they have and, of rows alike, by their number, so a
+    shard has about shard_pieces of them whatever repeats. Bins don't reach across shards; the pieces in
     bins less than ``full`` go into shards of a second round, numbered after those of the first.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("_all"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster")).filter("_all > 0")
+    alike = slim.groupBy("id", "_all", "source", "cluster").agg(F.count("*").alias("_rows"))
     piece = F.explode(F.sequence(F.lit(0), F.ceil(F.col("_all") / capacity).cast("int") - 1))
-    pieces = slim.withColumn("piece", piece).withColumn("start", F.col("piece").cast("long") * capacity).withColumn("length", F.least(F.col("_all") - F.col("start"), F.lit(capacity).cast("long")))
-    # rows without an id are dealt by what they have
-    by = F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("length", "source", "cluster", "piece"))
-    shards = max(1, -(-docs.select(id_col).count() // shard_docs))
+    pieces = alike.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).withColumn("piece", piece)
+    pieces = pieces.withColumn("start", F.col("piece").cast("long") * capacity).withColumn("length", F.least(F.col("_all") - F.col("start"), F.lit(capacity).cast("long")))
+    total = slim.agg(F.sum(F.ceil(F.col("_all") / capacity))).first()[0] or 0
+    shards = max(1, -(-total // shard_pieces))
+    by = F.xxhash64("id", "piece", "length", "source", "cluster", "_row")
     first = cut(_packed(pieces.withColumn("shard", F.pmod(by, F.lit(shards)).cast("int")), shards, capacity, distinct_sources), "packed")
     out = ["id", "piece", "start", "length", "shard", "bin", "place"]
     loose = first.filter(F.col("content") < full * capacity)
     if shards > 1 and (n := loose.count()):
-        more = max(1, -(-n // shard_docs))
+        more = max(1, -(-n // shard_pieces))
         again = loose.select(*_PIECE, F.pmod(F.xxhash64("shard", "bin", F.lit(3)), F.lit(more)).cast("int").alias("shard"))
         second = _packed(again, more, capacity, distinct_sources).withColumn("shard", F.col("shard") + shards)
         first = first.filter(F.col("content") >= full * capacity).select(*out).unionByName(second.select(*out))
