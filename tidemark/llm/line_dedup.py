@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, text_or_empty
+from .common import SPACE, Tables, cut, plain_names, text_or_empty
 
 
 def _key(line: Column) -> Column:
@@ -29,13 +29,14 @@ def frequent_lines(pages: DataFrame, *, ratio: float, min_pages: int, host_col:
     """One row for each host with such lines: _host and their _keys (array)."""
     lines = F.array_distinct(F.transform(F.filter(F.split(text_or_empty(text_col), "\n"), _has_word), _key))
     keyed = pages.select(F.col(host_col).alias("_host"), lines.alias("_lines"))
-    if not copies_count:
-        keyed = cut(keyed.distinct(), "line-texts")  # only hashes are shuffled, copies are merged before that
-    counted = keyed.select("_host", F.explode("_lines").alias("key")).groupBy("_host", "key").agg(F.count("*").alias("pages"))
-    counted = cut(counted.filter(F.col("pages") >= min_pages), "line-counts")
-    totals = cut(keyed.groupBy(F.col("_host").alias("_total_host")).agg(F.count("*").alias("total")), "line-totals")
-    over = counted.join(totals, F.col("_host").eqNullSafe(F.col("_total_host"))).filter(F.col("pages") > ratio * F.col("total"))
-    return cut(over.groupBy("_host").agg(F.collect_set("key").alias("_keys")), "line-frequent")
+    with Tables(pages.sparkSession) as tables:
+        if not copies_count:
+            keyed = tables.cut(keyed.distinct(), "line-texts")  # only hashes are shuffled, copies are merged before that
+        counted = keyed.select("_host", F.explode("_lines").alias("key")).groupBy("_host", "key").agg(F.count("*").alias("pages"))
+        counted = tables.cut(counted.filter(F.col("pages") >= min_pages), "line-counts")
+        totals = tables.cut(keyed.groupBy(F.col("_host").alias("_total_host")).agg(F.count("*").alias("total")), "line-totals")
+        over = counted.join(totals, F.col("_host").eqNullSafe(F.col("_total_host"))).filter(F.col("pages") > ratio * F.col("total"))
+        return cut(over.groupBy("_host").agg(F.collect_set("key").alias("_keys")), "line-frequent")
 
 
 def drop_frequent_lines(pages: DataFrame, *, ratio: float = 0.05, min_pages: int = 1, host_col: str = "host", text_col: str = "text", copies_count: bool = True) -> DataFrame:
@@ -47,21 +48,26 @@ def drop_frequent_lines(pages: DataFrame, *, ratio: float = 0.05, min_pages: int
     page counts once for a line however often it repeats it, and repeated rows are pages of their
     own. Without copies_count, pages of a host with the same lines are one page in these counts: a
     document's copies aren't boilerplate. Lines without a word stay. Null hosts form one host. Null
-    texts stay null, empty ones empty; an empty table gives an empty result. The other columns are
-    untouched; columns called n_lines or n_dropped are replaced.
+    texts stay null, empty ones empty; an empty table gives an empty result. Other columns of any name
+    are untouched, but those called n_lines or n_dropped are replaced.
     """
-    frequent = frequent_lines(pages, ratio=ratio, min_pages=min_pages, host_col=host_col, text_col=text_col, copies_count=copies_count)
-    joined = pages.join(frequent, F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    lines = F.split(F.col(text_col), "\n")
+    plain, names = plain_names(pages)
+    host_col, text = names[host_col], names[text_col]
+    frequent = frequent_lines(plain, ratio=ratio, min_pages=min_pages, host_col=host_col, text_col=text, copies_count=copies_count)
+    joined = plain.join(frequent, F.col(host_col).eqNullSafe(F.col("_host")), "left")
+    lines = F.split(F.col(text), "\n")
     # keys as the lines stand, null for a line without a word; of these the page's own boilerplate
     own = F.when(F.col("_keys").isNotNull(), F.transform("_lines", lambda x: F.when(_has_word(x), _key(x))))
     rest = joined.withColumn("_lines", lines).withColumn("_own", own).withColumn("_gone", F.array_compact(F.array_intersect("_own", "_keys")))
     stays = lambda x, i: ~F.coalesce(F.array_contains(F.col("_gone"), F.get("_own", i)), F.lit(False))
-    kept = F.when(F.col("_keys").isNull() | (F.size("_gone") == 0), F.col("_lines")).otherwise(F.filter("_lines", stays))
-    rest = rest.withColumn("_kept", kept)
-    counts = {"n_lines": F.coalesce(F.size(F.filter("_lines", _has_word)), F.lit(0)), "n_dropped": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0))}
-    out = rest.withColumns({text_col: F.when(F.col("_keys").isNull() | (F.size("_gone") == 0), F.col(text_col)).otherwise(F.array_join("_kept", "\n")), **counts})
-    return out.select(*dict.fromkeys([*pages.columns, "n_lines", "n_dropped"]))
+    untouched = F.col("_keys").isNull() | (F.size("_gone") == 0)
+    rest = rest.withColumn("_kept", F.when(untouched, F.col("_lines")).otherwise(F.filter("_lines", stays)))
+    made = {
+        text_col: F.when(untouched, F.col(text)).otherwise(F.array_join("_kept", "\n")),
+        "n_lines": F.coalesce(F.size(F.filter("_lines", _has_word)), F.lit(0)),
+        "n_dropped": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)),
+    }
+    return rest.select(*[made.get(c, F.col(names.get(c, c))).alias(c) for c in dict.fromkeys([*pages.columns, "n_lines", "n_dropped"])])
 
 
 def host_of(url: str) -> Column:

@@ -38,8 +38,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", line_dedup.host_of("url").alias("host"), line_dedup.html_text("html").alias("text"))
-    # a line on one page alone doesn't repeat, whatever its share of a small host
-    rest = line_dedup.drop_frequent_lines(pages, ratio=0.1, min_pages=2)
+    rest = line_dedup.drop_frequent_lines(pages, ratio=0.1)
     squeezed = F.trim(F.regexp_replace("text", SPACE, " "))
     return rest.select("page_id", "host", "n_lines", "n_dropped", F.sha2(squeezed, 256).alias("text_sha256"))
 
@@ -140,7 +139,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT host, line, count(*) AS pages FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM c) GROUP BY ALL
         ), f AS (
             SELECT n.host, list(line) AS keys FROM n JOIN (SELECT host, count(*) AS total FROM c GROUP BY 1) t ON n.host = t.host
-            WHERE pages >= 2 AND pages > 0.1 * total GROUP BY 1
+            WHERE pages > 0.1 * total GROUP BY 1
         ), r AS (
             SELECT page_id, c.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(keys, []), x)) AS kept FROM c LEFT JOIN f ON c.host = f.host
         )
