@@ -60,13 +60,16 @@ def test_stages_keep_clashing_columns_nulls_and_long_texts(spark):
     rows += [(None, said(70), "en", None, 1, "mine", "null id", False), (None, "bad", "en", None, 1, "mine", "null id, bad", False), (200, None, None, "s", None, "mine", "null", False), (201, "", "en", "s", 0, "mine", "empty", False)]
     rows += [(300, said(50_000), "en", "s", 1, "mine", "long", False), (5, said(60), "en", "s", 1, "mine", "again", False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, n_dropped string, accepted boolean")
+    own = ["_row_key", "_bitmap_place", "_bitmap_in", "_bitmap_gone", "_host", "_lines", "_text", "doc_3", "_row", "grp", "class"]
+    for name in own:
+        docs = docs.withColumn(name, F.concat("n_dropped", F.lit(f" {name}")))
     texts, after = {x[6]: x[1] for x in rows}, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = cut(stage(spark, docs, ""), f"test-{name}")
         assert out.schema == docs.schema
         after[name] = out.collect()
         for x in after[name]:
-            assert x.score == "mine" and x.accepted is False and texts[x.n_dropped] == x.text
+            assert all(x[c] == f"{x.n_dropped} {c}" for c in own) and x.score == "mine" and x.accepted is False and texts[x.n_dropped] == x.text
     kept = {x.n_dropped for x in after["quality_rules"]}
     assert "null id" in kept and "null id, bad" not in kept and "again" in kept and "null" not in kept
     left = [x.doc_id for x in after["ngram_jaccard"]]

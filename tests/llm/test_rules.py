@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, license_scan, packing, quality_rules, queries, url_filters
+from tidemark.llm.common import Tables
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -219,6 +220,56 @@ def test_language_accuracy_on_held_out_documents(spark, sf):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.95
 
 
+def test_prediction_equals_brute_force(spark):
+    """Every document against every dictionary, by another way through the library; and the dictionaries from the rows."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    made = language_id.fit(docs, sample_rows=20, dict_bytes=8000)
+    rows = docs.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "text")).collect()
+
+    def words(text):
+        out = []
+        for w in re.sub(r"[\W\d_]+", " ", text.lower()).split(" "):
+            out += [w] if not out or out[-1] != w else []
+        return f" {' '.join(out)} ".encode()
+
+    for lang in {r.lang for r in rows if r.lang}:
+        drawn = sorted((r.h, r.text) for r in rows if r.lang == lang and zlib.crc32(str(r.doc_id).encode()) % 5 and r.text and re.search(r"[^\W\d_]", r.text) and len(r.text) <= 4000)[:20]
+        want = b""
+        for _, text in drawn:
+            if want and len(want) + len(words(text)) > 8000:
+                break
+            want += words(text)[:8000]
+        assert made[lang] == want
+    params = zstandard.ZstdCompressionParameters.from_level(3, min_match=4, write_content_size=False, write_dict_id=False, write_checksum=False)
+    got = {r.doc_id: r for r in language_id.predict(docs, made).collect()}
+    for r in rows:
+        if not re.search(r"[^\W\d_]", r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        data, sizes = words(r.text), {}
+        for lang, content in made.items():
+            sizes[lang] = 0
+            for k in range(0, len(data), 16384):
+                fresh = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+                sizes[lang] += len(fresh.compress(data[k : k + 16384]))
+        best, second = sorted((n, x) for x, n in sizes.items())[:2]
+        assert (got[r.doc_id].lang_pred, round(got[r.doc_id].score, 9)) == (best[1], round(1 - best[0] / second[0], 9))
+
+
+def test_sample_is_bounded_for_null_and_repeated_ids(spark, docs):
+    texts = docs([f"some words {chr(97 + i % 26)}{chr(97 + i // 26)} here" for i in range(300)])
+    # 100,000 rows without an id, most of them different, and as many of one id and text
+    many = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("null id text "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("en").alias("lang"))
+    same = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text over and over").alias("text"), F.lit("fr").alias("lang"))
+    long = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.translate(F.concat(F.lit("x"), F.lpad("id", 4, "0")), "0123456789", "abcdefghij"), 40).alias("text"), F.lit("de").alias("lang"))
+    rows = texts.select("doc_id", "text", "lang").unionByName(many).unionByName(same).unionByName(long)
+    with Tables(spark) as tables:
+        drawn = {r.lang: r["count"] for r in language_id._drawn(rows, 400, 100, "doc_id", "text", "lang", tables).groupBy("lang").count().collect()}
+    assert drawn == {"en": 400, "fr": 1, "de": 1}
+
+
 def test_language_edge_cases(docs):
     dictionaries = {"aa": b" the of and ", "bb": b" der die das "}
     df = docs([None, "", "123 ...", "the of and", "der die das", "the of and " * 20000]).withColumn("score", F.lit("clash"))
@@ -269,11 +320,55 @@ def test_best_fit_equals_brute_force():
         assert packing.best_fit(pieces, 60) == brute_pack(pieces, 60)
 
 
+def test_best_fit_of_frequent_sources_and_clusters():
+    r = random.Random(4)
+    for often in (0, 2, 64):
+        for _ in range(60):
+            pieces = sorted(((r.randrange(1, 60), r.choice([1, 1, 1, 2, 4, 0]), r.choice([1, 1, 2, 4, 8, 0])) for _ in range(90)), reverse=True)
+            assert packing.best_fit(pieces, 60, often) == brute_pack(pieces, 60)
+
+
+def test_best_fit_of_copies_is_not_quadratic():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        assert len(set(packing.best_fit([(500, 1, 1)] * n, 1024))) == n
+        return time.process_time() - began
+
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.01)
+
+
+def test_packing_of_many_copies_of_one_id(spark):
+    df = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(300).alias("n"), F.lit("s").alias("source"), F.lit("c").alias("cluster"))
+    out = packing.pack(df, capacity=1024, length_col="n", shard_pieces=1000)
+    sizes = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 1300
+    assert out.select("shard", "bin").distinct().count() == 20_000  # no two copies in one bin
+
+
+def test_shards_equal_brute_force(spark):
+    r = random.Random(8)
+    rows = [(i, r.randrange(1, 250), f"s{i % 6}", f"c{i % 40}" if i % 3 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, n long, source string, cluster string")
+    facts = {x[0]: x for x in rows}
+    shards = {}
+    for x in packing.pack(df, capacity=100, length_col="n", shard_pieces=150, full=0.0).collect():
+        shards.setdefault(x.shard, []).append(x)
+    assert len(shards) > 3
+    for rows in shards.values():
+        rows.sort(key=lambda x: (-x.length, x.doc_id, x.piece))
+        sources, clusters = ({v: 1 << k for k, v in enumerate(sorted({facts[x.doc_id][c] for x in rows} - {None}))} for c in (2, 3))
+        # a cluster's pieces of full length are alone in any case
+        want = brute_pack([(x.length, sources[facts[x.doc_id][2]], clusters.get(facts[x.doc_id][3], 0)) for x in rows], 100)
+        assert [x.bin for x in rows] == want
+
+
 def test_packing(spark):
     rows = [(i, 1 + (i * 37) % 90, f"s{i % 5}" if i % 7 else "hot", None if i % 4 else f"c{i % 12}") for i in range(500)]
     rows += [(900, 250, "s", None), (901, 0, "s", None), (902, None, "s", "c"), (None, 10, None, None), (3, 1 + 111 % 90, "s3", None)]
     df = spark.createDataFrame(rows, "doc_id long, n long, source string, cluster string").withColumn("shard", F.lit("clash"))
-    out = packing.pack(df, capacity=100, length_col="n", shard_docs=128).collect()
+    out = packing.pack(df, capacity=100, length_col="n", shard_pieces=128).collect()
     assert sum(r.length for r in out) == sum(r[1] or 0 for r in rows) and [r.length for r in out if r.doc_id == 900] != [] and len([r for r in out if r.doc_id == 900]) == 3
     facts, filled, sources, clusters = {r[0]: r for r in rows}, {}, {}, {}
     for r in out:
@@ -311,9 +406,9 @@ def test_packing_second_round_saves_bins(spark):
     rows = [(i, r.randrange(20, 70), f"s{i % 9}", None) for i in range(600)] + [(None, 30, f"s{i}", None) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, n long, source string, cluster string")
     count = lambda **k: len({(x.shard, x.bin) for x in packing.pack(df, capacity=100, length_col="n", **k).collect()})
-    one, sharded, again = count(), count(shard_docs=40, full=0.0), count(shard_docs=40)
+    one, sharded, again = count(), count(shard_pieces=40, full=0.0), count(shard_pieces=40)
     assert one <= again <= sharded
-    out = packing.pack(df, capacity=100, length_col="n", shard_docs=40).collect()
+    out = packing.pack(df, capacity=100, length_col="n", shard_pieces=40).collect()
     assert sum(x.length for x in out) == sum(x[1] for x in rows) and len(out) == len(rows)
 
 
@@ -334,6 +429,18 @@ def test_url_lists(spark):
     assert url_filters.judge(c.limit(0), e).count() == 0 and url_filters.judge(c, e.limit(0)).filter("blocked").count() == 0
 
 
+def test_url_lists_keep_columns_of_any_name(spark):
+    import datetime as dt
+
+    e = spark.createDataFrame([("adult", "b.com", "add", dt.date(2024, 1, 1))], "list string, pattern string, action string, listed_on date")
+    c = spark.createDataFrame([(1, "b.com", "p", dt.date(2024, 2, 1)), (2, "c.com", "p", dt.date(2024, 2, 1))], "page_id long, host string, segment string, fetched_on date")
+    own = ["_n", "_h", "_s", "_d", "_best", "day", "pattern", "list", "doc_1", "doc_9", "asks", "span"]
+    for name in own:
+        c = c.withColumn(name, F.lit(f"my {name}"))
+    rows = url_filters.judge(c, e).collect()
+    assert sorted((r.page_id, r.blocked) for r in rows) == [(1, True), (2, False)] and all(r[name] == f"my {name}" for r in rows for name in own)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, sf, duck, name):
     from compare import rows_of

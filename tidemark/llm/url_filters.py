@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import Tables, cut, plain_names
 
 
 def intervals(entries: DataFrame, horizon: str) -> DataFrame:
@@ -52,20 +52,21 @@ def judge(captures: DataFrame, entries: DataFrame, *, horizon: str = "2100-01-01
 
     The longest active pattern decides, of equal ones the first list by name; blocked unless that list
     is called allow. Captures without an active entry, or without host or day, are not blocked. Every
-    row of captures is returned once, repeated ones too; empty tables on either side are allowed;
-    result columns that captures has already are replaced.
+    row of captures is returned once, repeated ones too; empty tables on either side are allowed.
+    Other columns of captures pass whatever their names; those called like a result are replaced.
     """
     result = ["n_active", "decided_by", "decided_list", "since", "blocked"]
-    captures = captures.drop(*result)
-    probes = captures.filter("host <> '' AND fetched_on IS NOT NULL").select(F.col("host").alias("_h"), F.coalesce("segment", F.lit("")).alias("_s"), F.col("fetched_on").alias("day")).distinct()
-    keyed = cut(probes.withColumn("pattern", F.explode(patterns_of(F.col("_h"), F.col("_s")))), "url-questions")
-    active = active_on(keyed.select("pattern", "day").distinct(), cut(intervals(entries, horizon), "url-intervals"))
-    found = keyed.join(active.hint("merge"), ["pattern", "day"])
+    plain, names = plain_names(captures)
+    host, segment, day = (F.col(names[c]) for c in ("host", "segment", "fetched_on"))
+    segment = F.coalesce(segment, F.lit(""))
+    probes = plain.filter((host != "") & day.isNotNull()).select(host.alias("_h"), segment.alias("_s"), day.alias("day")).distinct()
     order = F.struct(-F.length("pattern"), "list", "pattern", "since")
-    best = found.groupBy("_h", "_s", "day").agg(F.count("*").alias("_n"), F.min_by(F.struct("pattern", "list", "since"), order).alias("_best"))
-    best = cut(best.withColumnRenamed("day", "_d"), "url-verdicts")
-    joined = captures.join(best.hint("merge"), (F.col("host") == F.col("_h")) & (F.coalesce(F.col("segment"), F.lit("")) == F.col("_s")) & (F.col("fetched_on") == F.col("_d")), "left")
-    return joined.select(
-        *[captures[c] for c in captures.columns], F.coalesce("_n", F.lit(0)).alias("n_active"), F.col("_best.pattern").alias("decided_by"), F.col("_best.list").alias("decided_list"),
-        F.col("_best.since").alias("since"), (F.coalesce(F.col("_best.list"), F.lit("allow")) != "allow").alias("blocked"),
-    )
+    with Tables(captures.sparkSession) as tables:
+        keyed = tables.cut(probes.withColumn("pattern", F.explode(patterns_of(F.col("_h"), F.col("_s")))), "url-questions")
+        active = active_on(keyed.select("pattern", "day").distinct(), tables.cut(intervals(entries, horizon), "url-intervals"))
+        found = keyed.join(active.hint("merge"), ["pattern", "day"])
+        best = found.groupBy("_h", "_s", F.col("day").alias("_d")).agg(F.count("*").alias("_n"), F.min_by(F.struct("pattern", "list", "since"), order).alias("_best"))
+        best = cut(best, "url-verdicts")
+    joined = plain.join(best.hint("merge"), (host == F.col("_h")) & (segment == F.col("_s")) & (day == F.col("_d")), "left")
+    made = [F.coalesce("_n", F.lit(0)), F.col("_best.pattern"), F.col("_best.list"), F.col("_best.since"), F.coalesce(F.col("_best.list"), F.lit("allow")) != "allow"]
+    return joined.select(*[F.col(n).alias(c) for c, n in names.items() if c not in result], *[x.alias(c) for c, x in zip(result, made)])
