@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import normalize, publish
 from tidemark.schemas import KEYS, SCHEMAS, business_columns
 from tidemark.sources import catalog, envelopes, requests
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, state
 
 RAW = "path string, row_index int, operation string, query map<string,string>, row map<string,string>, source string, received_at timestamp, payload_sha256 string"
 DAILY = {"date": "2024-01-03", "code": "sh.600000", "open": "10", "high": "11", "low": "9.5", "close": "10.1234565", "preclose": "", "volume": "100", "amount": "1000", "adjustflag": "3", "turn": "", "tradestatus": "1", "pctChg": "", "isST": "0"}
@@ -110,7 +110,7 @@ def test_streams_equal_their_batch_twins(spark, sf, tmp_path):
 
     events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("key"), "event_id", F.when(F.col("event_type").isin("error", "purchase"), "open").otherwise("resolved").alias("phase"), F.col("ts").cast("timestamp").alias("at"))
     events.repartition(1).write.parquet(f"{tmp_path}/in")
-    stream = jobs.alert_stream(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"))
+    stream = state.alert_stream(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"))
     stream.writeStream.format("memory").queryName("alerts").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
     batch = ops.transitions(events, "key", "phase", ["at", "event_id"], "resolved")
     assert {r.event_id for r in spark.table("alerts").collect()} == {r.event_id for r in batch.collect()}

@@ -99,13 +99,22 @@ def reconciliation(held: DataFrame, tracks: list[str]) -> DataFrame:
     return filled.withColumns({f"{t}_minus_{tracks[0]}": F.col(t) - F.col(tracks[0]) for t in tracks[1:]})
 
 
-def signal_status(intents: DataFrame, fills: DataFrame, skips: DataFrame, as_of: str) -> DataFrame:
-    """Intents with filled and remaining quantity: skipped, filled, expired, partial or active, in this order."""
-    done = fills.groupBy("intent_id").agg(F.sum("quantity").alias("filled"))
-    out = intents.join(done, "intent_id", "left").join(skips.select("intent_id", "reason"), "intent_id", "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
-    status = (
-        F.when(F.col("reason").isNotNull(), "skipped").when(F.col("filled") >= F.col("quantity"), "filled").when(F.to_date(F.lit(as_of)) >= F.col("expires_on"), "expired").when(F.col("filled") > 0, "partial").otherwise("active")
-    )
+def filled_as_of(fills: DataFrame, as_of: str) -> DataFrame:
+    """(intent_id, track, filled): what was filled on each track up to a day."""
+    return fills.filter(F.col("occurred_on") <= F.to_date(F.lit(as_of))).groupBy("intent_id", "track").agg(F.sum("quantity").alias("filled"))
+
+
+def signal_status(intents: DataFrame, fills: DataFrame, skips: DataFrame, as_of: str, tracks: list[str]) -> DataFrame:
+    """Each intent known on a day, on each track it may be executed on: filled and remaining quantity and status.
+
+    In this order: skipped (on that track, up to the day), filled, expired, partial or active. intents:
+    intent_id, quantity, created_on, expires_on; skips: intent_id, track, skipped_on, reason; the earliest skip counts.
+    """
+    day = F.to_date(F.lit(as_of))
+    skipped = skips.filter(F.col("skipped_on") <= day).groupBy("intent_id", "track").agg(F.min_by("reason", F.struct("skipped_on", "reason")).alias("reason"))
+    known = intents.filter(F.col("created_on") <= day).withColumn("track", F.explode(F.array(*map(F.lit, tracks))))
+    out = known.join(filled_as_of(fills, as_of), ["intent_id", "track"], "left").join(skipped, ["intent_id", "track"], "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
+    status = F.when(F.col("reason").isNotNull(), "skipped").when(F.col("filled") >= F.col("quantity"), "filled").when(day >= F.col("expires_on"), "expired").when(F.col("filled") > 0, "partial").otherwise("active")
     return out.withColumn("status", status).withColumn("remaining", F.greatest(F.col("quantity") - F.col("filled"), F.lit(0)))
 
 
@@ -119,10 +128,10 @@ def admit(events: DataFrame, key: str, content: list[str], order: list[str]) ->
 
 
 def overfills(intents: DataFrame, fills: DataFrame) -> DataFrame:
-    """Fills that take their intent beyond its quantity, or come after it expired."""
-    w = W.partitionBy("intent_id").orderBy("occurred_on", "seq").rowsBetween(W.unboundedPreceding, 0)
+    """Fills that take their intent beyond its quantity on their track, or come after the day it expires."""
+    w = W.partitionBy("intent_id", "track").orderBy("occurred_on", "seq").rowsBetween(W.unboundedPreceding, 0)
     joined = fills.join(intents.select("intent_id", F.col("quantity").alias("wanted"), "expires_on"), "intent_id")
-    reason = F.when(F.sum("quantity").over(w) > F.col("wanted"), "over_intent").when(F.col("occurred_on") >= F.col("expires_on"), "after_expiry")
+    reason = F.when(F.sum("quantity").over(w) > F.col("wanted"), "over_intent").when(F.col("occurred_on") > F.col("expires_on"), "after_expiry")
     return joined.withColumn("reason", reason).filter("reason IS NOT NULL").select("fill_id", "intent_id", "reason")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_id
@@ -39,7 +38,8 @@ def signal_details(signals: DataFrame, prices: DataFrame, decisions: DataFrame,
 def dashboard(fills: DataFrame, intents: DataFrame, skips: DataFrame, prices: DataFrame, as_of: str, tracks: list[str]) -> dict[str, DataFrame]:
     """Tracks, signals and reconciliation as of a day, from the events up to it.
 
-    fills, as in ``ledger``; prices: code, price, priced_on; intents: intent_id, quantity, expires_on, created_on.
+    fills, as in ``ledger``; prices: code, price, priced_on; intents: intent_id, quantity, expires_on, created_on; skips:
+    intent_id, track, skipped_on, reason. Signals have a row for each track.
     The first of ``tracks`` is what the others are reconciled with.
     """
     day = F.to_date(F.lit(as_of))
@@ -48,7 +48,7 @@ def dashboard(fills: DataFrame, intents: DataFrame, skips: DataFrame, prices: Da
     held = ledger.positions(ledger.remaining_lots(seen), last, as_of)
     cash = ledger.cash_movements(seen).groupBy("track").agg(F.sum("amount").alias("cash"))
     views = ledger.track_views(held, cash)
-    signals = ledger.signal_status(intents.filter(F.col("created_on") <= day), seen, skips, as_of)
+    signals = ledger.signal_status(intents, fills, skips, as_of, tracks)
     first = views.filter(F.col("track") == tracks[0]).select(F.col("cash").alias("c"), F.col("equity").alias("e"), F.lit(True).alias("one"))
     differences = views.withColumn("one", F.lit(True)).join(first, "one").select("track", (F.col("cash") - F.col("c")).alias("cash_difference"), (F.col("equity") - F.col("e")).alias("equity_difference"))  # first is one row
     return {"tracks": views.join(differences, "track", "left"), "signals": signals, "reconciliation": ledger.reconciliation(held, tracks)}
@@ -114,47 +114,3 @@ def shadow_decisions(base: DataFrame, targets: DataFrame, versions: dict[str, st
     target = targets.groupBy("decision_id").agg(F.sort_array(F.collect_list(F.struct("code", F.round("weight", 8).alias("weight")))).alias("target"), F.max("outcome").alias("outcome"))  # at most the positions of one portfolio
     ident = {"base": F.col("decision_id"), "target": F.col("target"), "outcome": F.col("outcome"), **{k: F.lit(v) for k, v in versions.items()}}
     return base.join(target, "decision_id").withColumn("shadow_id", content_id(ident))
-
-
-def admission(fills: DataFrame, intents: DataFrame, skips: DataFrame, cash: DataFrame) -> DataFrame:
-    """One verdict for each fill event: accepted, replay, conflict or rejected, with the reason.
-
-    fills: key, fill_id, track, code, side, quantity, price, fees, intent_id, occurred_on, seq; intents: intent_id,
-    quantity, created_on, expires_on; skips: intent_id, skipped_on; cash: track, cash (before the first fill).
-    In this order: the key's first event or a repetition of it, a known intent, its window, no skip before, no more
-    than the intent (refused events don't count), and then, over all that passed so far, no negative cash
-    and no sale of what was bought the same day.
-    """
-    content = ["track", "code", "side", "quantity", "price", "fees", "intent_id", "occurred_on"]
-    keyed = ledger.admit(fills, "key", content, ["occurred_on", "seq"])
-    wanted = intents.select("intent_id", F.col("quantity").alias("_wanted"), "created_on", "expires_on")
-    rows = keyed.join(wanted, "intent_id", "left").join(skips.select("intent_id", "skipped_on"), "intent_id", "left")
-    reason = (
-        F.when(F.col("verdict") != "accepted", F.col("verdict")).when(F.col("_wanted").isNull(), "unknown_intent").when(F.col("occurred_on") < F.col("created_on"), "before_intent")
-        .when(F.col("occurred_on") > F.col("expires_on"), "after_expiry").when(F.col("skipped_on") <= F.col("occurred_on"), "after_skip")
-    )
-    rows = rows.withColumn("reason", reason)
-    # an intent's fills are few; they are folded in order, so that a refused one leaves room for the next
-    part = rows.filter("reason IS NULL").groupBy("intent_id").agg(F.max("_wanted").alias("wanted"), F.sort_array(F.collect_list(F.struct("occurred_on", "seq", "fill_id", F.col("quantity").cast("long").alias("quantity")))).alias("f"))
-    start = F.struct(F.lit(0).cast("long").alias("filled"), F.array().cast("array<string>").alias("over"))
-
-    def take(state: Column, x: Column) -> Column:
-        fits = state["filled"] + x["quantity"] <= F.col("wanted")
-        return F.struct((state["filled"] + F.when(fits, x["quantity"]).otherwise(0)).cast("long").alias("filled"), F.when(fits, state["over"]).otherwise(F.array_append(state["over"], x["fill_id"].cast("string"))).alias("over"))
-
-    over = part.select(F.explode(F.aggregate("f", start, take)["over"]).alias("fill_id"), F.lit(True).alias("_over"))
-    rows = rows.join(over, "fill_id", "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("_over"), "over_intent").otherwise(F.col("reason")))
-    passed = rows.filter("reason IS NULL")
-    amount = F.when(F.col("side") == "buy", -F.col("quantity") * F.col("price")).otherwise(F.col("quantity") * F.col("price")) - F.col("fees")
-    # days are summed first, so that the running balance has one row a day
-    daily = passed.groupBy("track", "occurred_on").agg(F.sum(amount).alias("moved"))
-    upto = W.partitionBy("track").orderBy("occurred_on").rowsBetween(W.unboundedPreceding, -1)
-    opened = daily.join(cash, "track", "left").select("track", "occurred_on", (F.coalesce("cash", F.lit(0.0)) + F.coalesce(F.sum("moved").over(upto), F.lit(0.0))).alias("_opened"))
-    inside = W.partitionBy("track", "occurred_on").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    left = passed.join(opened, ["track", "occurred_on"]).withColumn("_left", F.col("_opened") + F.sum(amount).over(inside))
-    short = left.filter("side = 'buy' AND _left < 0").select("fill_id", F.lit(True).alias("_short"))
-    early = ledger.settlement_violations(passed).select("fill_id", F.lit(True).alias("_early"))
-    out = rows.join(short, "fill_id", "left").join(early, "fill_id", "left")
-    final = F.coalesce("reason", F.when(F.col("_short"), F.lit("short_cash")), F.when(F.col("_early"), F.lit("t_plus_one")))
-    verdict = F.when(final.isNull(), "accepted").when(final.isin("replay", "conflict"), final).otherwise("rejected")
-    return out.select("fill_id", "key", verdict.alias("verdict"), F.when(~final.isin("replay", "conflict"), final).alias("reason"))

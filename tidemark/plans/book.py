@@ -144,29 +144,43 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INTENTS = """
-    intent AS (SELECT o_orderkey AS intent_id, CAST(60 + o_orderkey % 120 AS BIGINT) AS quantity, CAST(o_orderdate AS DATE) + 60 AS expires_on FROM orders),
-    skip AS (SELECT o_orderkey AS intent_id, o_orderpriority AS reason FROM orders WHERE o_orderkey % 41 = 0)"""
+    intent AS (SELECT o_orderkey AS intent_id, CAST(60 + o_orderkey % 120 AS BIGINT) AS quantity, CAST(o_orderdate AS DATE) AS created_on, CAST(o_orderdate AS DATE) + 60 AS expires_on FROM orders),
+    skip AS (
+        SELECT o_orderkey AS intent_id, 'F' AS track, CAST(o_orderdate AS DATE) + 20 AS skipped_on, o_orderpriority AS reason FROM orders WHERE o_orderkey % 41 = 0
+        UNION ALL SELECT o_orderkey, 'F', CAST(o_orderdate AS DATE) + 50, 'again' FROM orders WHERE o_orderkey % 82 = 0
+        UNION ALL SELECT o_orderkey, 'O', CAST(o_orderdate AS DATE) + 40, o_orderpriority FROM orders WHERE o_orderkey % 43 = 0
+    )"""
 
 
 def _intents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An intent for each order; some are skipped on one of the tracks, or twice on one."""
     orders = S.table(spark, sf_dir, "orders")
-    intents = orders.select(F.col("o_orderkey").alias("intent_id"), (60 + F.col("o_orderkey") % 120).alias("quantity"), F.date_add(F.col("o_orderdate").cast("date"), 60).alias("expires_on"))
-    return intents, orders.filter("o_orderkey % 41 = 0").select(F.col("o_orderkey").alias("intent_id"), F.col("o_orderpriority").alias("reason"))
+    made = F.col("o_orderdate").cast("date")
+    intents = orders.select(F.col("o_orderkey").alias("intent_id"), (60 + F.col("o_orderkey") % 120).alias("quantity"), made.alias("created_on"), F.date_add(made, 60).alias("expires_on"))
+    skip = lambda every, track, days, reason: orders.filter(f"o_orderkey % {every} = 0").select(F.col("o_orderkey").alias("intent_id"), F.lit(track).alias("track"), F.date_add(made, days).alias("skipped_on"), reason.alias("reason"))
+    priority = F.col("o_orderpriority")
+    return intents, skip(41, "F", 20, priority).unionByName(skip(82, "F", 50, F.lit("again"))).unionByName(skip(43, "O", 40, priority))
 
 
-@query("WITH " + FILLS + "," + INTENTS + """
-    SELECT i.intent_id, CAST(coalesce(filled, 0) AS BIGINT) AS filled, CAST(greatest(i.quantity - coalesce(filled, 0), 0) AS BIGINT) AS remaining,
-           CASE WHEN reason IS NOT NULL THEN 'skipped' WHEN coalesce(filled, 0) >= i.quantity THEN 'filled' WHEN DATE '1998-06-01' >= expires_on THEN 'expired' WHEN coalesce(filled, 0) > 0 THEN 'partial' ELSE 'active' END AS status
-    FROM intent i LEFT JOIN (SELECT intent_id, sum(quantity) AS filled FROM fill GROUP BY 1) f ON i.intent_id = f.intent_id LEFT JOIN skip s ON i.intent_id = s.intent_id
-""")
+def signal_status_sql(as_of: str) -> str:
+    return f"""
+        SELECT i.intent_id, t.track, CAST(coalesce(filled, 0) AS BIGINT) AS filled, CAST(greatest(i.quantity - coalesce(filled, 0), 0) AS BIGINT) AS remaining, reason,
+               CASE WHEN skipped_on IS NOT NULL THEN 'skipped' WHEN coalesce(filled, 0) >= i.quantity THEN 'filled' WHEN DATE '{as_of}' >= expires_on THEN 'expired' WHEN coalesce(filled, 0) > 0 THEN 'partial' ELSE 'active' END AS status
+        FROM intent i CROSS JOIN (SELECT unnest(['F', 'O']) AS track) t
+        LEFT JOIN (SELECT intent_id, track, sum(quantity) AS filled FROM fill WHERE occurred_on <= DATE '{as_of}' GROUP BY ALL) f ON i.intent_id = f.intent_id AND f.track = t.track
+        LEFT JOIN (SELECT intent_id, track, arg_min(reason, (skipped_on, reason)) AS reason, min(skipped_on) AS skipped_on FROM skip WHERE skipped_on <= DATE '{as_of}' GROUP BY ALL) s ON i.intent_id = s.intent_id AND s.track = t.track
+        WHERE created_on <= DATE '{as_of}'"""
+
+
+@query("WITH " + FILLS + "," + INTENTS + signal_status_sql("1996-06-30"))
 def signal_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     intents, skips = _intents(spark, sf_dir)
-    return ledger.signal_status(intents, fills(spark, sf_dir), skips, "1998-06-01").select("intent_id", "filled", "remaining", "status")
+    return ledger.signal_status(intents, fills(spark, sf_dir), skips, "1996-06-30", ["F", "O"]).select("intent_id", "track", "filled", "remaining", "reason", "status")
 
 
 @query("WITH " + FILLS + "," + INTENTS + """,
-    run AS (SELECT fill_id, f.intent_id, sum(f.quantity) OVER (PARTITION BY f.intent_id ORDER BY occurred_on, seq ROWS UNBOUNDED PRECEDING) AS total, i.quantity AS wanted, occurred_on, expires_on FROM fill f JOIN intent i ON f.intent_id = i.intent_id)
-    SELECT fill_id, intent_id, CASE WHEN total > wanted THEN 'over_intent' ELSE 'after_expiry' END AS reason FROM run WHERE total > wanted OR occurred_on >= expires_on
+    run AS (SELECT fill_id, f.intent_id, sum(f.quantity) OVER (PARTITION BY f.intent_id, f.track ORDER BY occurred_on, seq ROWS UNBOUNDED PRECEDING) AS total, i.quantity AS wanted, occurred_on, expires_on FROM fill f JOIN intent i ON f.intent_id = i.intent_id)
+    SELECT fill_id, intent_id, CASE WHEN total > wanted THEN 'over_intent' ELSE 'after_expiry' END AS reason FROM run WHERE total > wanted OR occurred_on > expires_on
 """)
 def overfills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.overfills(_intents(spark, sf_dir)[0], fills(spark, sf_dir))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import admission as gate
 from ..operators import coverage, features, ops, quality, trading, views
 from ..sources.scratch import written
 from . import book, market
@@ -318,7 +319,7 @@ def _board(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     fills = book.fills(spark, sf_dir)
     intents, skips = book._intents(spark, sf_dir)
     prices = fills.groupBy("code", F.col("occurred_on").alias("priced_on")).agg(F.max("price").alias("price"))
-    return views.dashboard(fills, intents.withColumn("created_on", F.date_sub("expires_on", 60)), skips, prices, AS_OF, ["F", "O"])
+    return views.dashboard(fills, intents, skips, prices, AS_OF, ["F", "O"])
 
 
 @query("WITH " + BOARD + """
@@ -329,13 +330,9 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _board(spark, sf_dir)["tracks"].select("track", r2("cash"), "positions", r2("market_value"), r2("equity"), r2("cash_difference"), r2("equity_difference"))
 
 
-@query("WITH " + BOARD + "," + book.INTENTS + f"""
-    SELECT i.intent_id, CAST(coalesce(filled, 0) AS BIGINT) AS filled,
-           CASE WHEN reason IS NOT NULL THEN 'skipped' WHEN coalesce(filled, 0) >= i.quantity THEN 'filled' WHEN DATE '{AS_OF}' >= expires_on THEN 'expired' WHEN coalesce(filled, 0) > 0 THEN 'partial' ELSE 'active' END AS status
-    FROM (SELECT * FROM intent WHERE expires_on - 60 <= DATE '{AS_OF}') i LEFT JOIN (SELECT intent_id, sum(quantity) AS filled FROM fill GROUP BY 1) f ON i.intent_id = f.intent_id LEFT JOIN skip s ON i.intent_id = s.intent_id
-""")
+@query("WITH " + BOARD + "," + book.INTENTS + book.signal_status_sql(AS_OF))
 def dashboard_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _board(spark, sf_dir)["signals"].select("intent_id", "filled", "status")
+    return _board(spark, sf_dir)["signals"].select("intent_id", "track", "filled", "remaining", "reason", "status")
 
 
 @query("WITH " + BOARD + """
@@ -356,49 +353,59 @@ def replay_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.replay_audit(fills, prices, str(boundary)).select("track", r2("cash"), "positions", r2("market_value"), r2("equity"))
 
 
-ADMISSION = book.FILLS + """,
-    ev AS (
+ADMISSION = book.FILLS.replace("l_linestatus AS track, l_partkey % 50 AS code", "l_linestatus || '-' || l_orderkey % 300 AS track, l_partkey % 3 AS code") + """,
+    sent AS (
         SELECT *, fill_id AS key, 0 AS copy FROM fill
         UNION ALL SELECT * REPLACE (fill_id || '-again' AS fill_id), fill_id, 1 FROM fill WHERE intent_id % 29 = 0
         UNION ALL SELECT * REPLACE (fill_id || '-other' AS fill_id, quantity + 1 AS quantity), fill_id, 2 FROM fill WHERE intent_id % 31 = 0
+        UNION ALL SELECT * REPLACE (fill_id || '-later' AS fill_id, occurred_on + 9 AS occurred_on), fill_id, 3 FROM fill WHERE intent_id % 5 = 0
     ),
-    ranked AS (SELECT *, row_number() OVER w AS n, first_value(quantity) OVER w AS q FROM ev WINDOW w AS (PARTITION BY key ORDER BY occurred_on, seq, copy)),
-    one AS (
-        SELECT r.*, 60 + o_orderkey % 120 AS wanted, CASE WHEN n > 1 AND r.quantity = q THEN 'replay' WHEN n > 1 THEN 'conflict' WHEN o_orderkey IS NULL THEN 'unknown_intent' WHEN occurred_on < CAST(o_orderdate AS DATE) + 5 THEN 'before_intent'
-               WHEN occurred_on > CAST(o_orderdate AS DATE) + 60 THEN 'after_expiry' WHEN o_orderkey % 7 = 0 AND occurred_on >= CAST(o_orderdate AS DATE) + 30 THEN 'after_skip' END AS reason
-        FROM ranked r LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 37 <> 0) o ON intent_id = o_orderkey
+    skip AS (
+        SELECT intent_id, side || '-' || intent_id % 300 AS track, min(skipped_on) AS skipped_on FROM (
+            SELECT o_orderkey AS intent_id, 'F' AS side, CAST(o_orderdate AS DATE) + 45 AS skipped_on FROM orders WHERE o_orderkey % 7 = 0
+            UNION ALL SELECT o_orderkey, 'F', CAST(o_orderdate AS DATE) + 30 FROM orders WHERE o_orderkey % 14 = 0
+            UNION ALL SELECT o_orderkey, 'O', CAST(o_orderdate AS DATE) + 30 FROM orders WHERE o_orderkey % 11 = 0) GROUP BY ALL
     ),
-    c AS (SELECT *, row_number() OVER (PARTITION BY intent_id ORDER BY occurred_on, seq, copy) AS k FROM one WHERE reason IS NULL),
-    f AS (
-        SELECT intent_id, k, fill_id, CASE WHEN quantity <= wanted THEN quantity ELSE 0 END AS filled, quantity <= wanted AS ok FROM c WHERE k = 1
-        UNION ALL SELECT c.intent_id, c.k, c.fill_id, f.filled + CASE WHEN f.filled + c.quantity <= c.wanted THEN c.quantity ELSE 0 END, f.filled + c.quantity <= c.wanted FROM f JOIN c ON c.intent_id = f.intent_id AND c.k = f.k + 1
-    ),
-    passed AS (
-        SELECT c.*, CASE WHEN track = 'F' THEN 5e7 ELSE 1e9 END + sum(CASE WHEN side = 'buy' THEN -quantity * price ELSE quantity * price END - fees) OVER (PARTITION BY track ORDER BY occurred_on, seq, copy ROWS UNBOUNDED PRECEDING) AS left_over,
-               coalesce(sum(CASE WHEN side = 'buy' THEN quantity ELSE 0 END) OVER (PARTITION BY track, code ORDER BY occurred_on RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING), 0) AS settled,
-               sum(CASE WHEN side = 'sell' THEN quantity ELSE 0 END) OVER (PARTITION BY track, code ORDER BY occurred_on, seq, copy ROWS UNBOUNDED PRECEDING) AS sold
-        FROM c SEMI JOIN (SELECT * FROM f WHERE ok) USING (fill_id)
+    ev AS (
+        SELECT s.*, skipped_on, o_orderkey AS known, 60 + o_orderkey % 120 AS wanted, CAST(o_orderdate AS DATE) - 700 AS created_on, CAST(o_orderdate AS DATE) + 600 AS expires_on,
+               (-1.0 * CASE WHEN side = 'buy' THEN quantity ELSE -quantity END * price)::DOUBLE - fees AS amount, row_number() OVER (PARTITION BY s.track ORDER BY occurred_on, seq, copy, fill_id) AS k
+        FROM sent s LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 37 <> 0) o ON intent_id = o_orderkey LEFT JOIN skip ON skip.intent_id = s.intent_id AND skip.track = s.track
     ),
-    final AS (
-        SELECT o.fill_id, o.key, coalesce(o.reason, CASE WHEN f.ok = false THEN 'over_intent' WHEN o.side = 'buy' AND left_over < 0 THEN 'short_cash' WHEN o.side = 'sell' AND sold > settled THEN 't_plus_one' END) AS reason
-        FROM one o LEFT JOIN f ON o.fill_id = f.fill_id LEFT JOIN passed p ON o.fill_id = p.fill_id
+    step AS (
+        SELECT DISTINCT track, 0::BIGINT AS k, NULL::VARCHAR AS fill_id, NULL::VARCHAR AS key, NULL::VARCHAR AS reason, 150000::DOUBLE AS cash,
+               []::STRUCT(key VARCHAR, intent_id BIGINT, code BIGINT, side VARCHAR, quantity BIGINT, occurred_on DATE)[] AS taken FROM ev
+        UNION ALL
+        SELECT track, k, fill_id, key, reason, CASE WHEN reason IS NULL THEN cash + amount ELSE cash END,
+               CASE WHEN reason IS NULL THEN list_append(taken, {'key': key, 'intent_id': intent_id::BIGINT, 'code': code::BIGINT, 'side': side, 'quantity': quantity::BIGINT, 'occurred_on': occurred_on}) ELSE taken END
+        FROM (
+            SELECT e.*, cash, taken, CASE
+                WHEN known IS NULL THEN 'unknown_intent' WHEN e.occurred_on < created_on THEN 'before_intent' WHEN e.occurred_on > expires_on THEN 'after_expiry'
+                WHEN len(list_filter(taken, lambda x: x.key = e.key AND x.quantity = e.quantity AND x.occurred_on = e.occurred_on)) > 0 THEN 'replay'
+                WHEN len(list_filter(taken, lambda x: x.key = e.key)) > 0 THEN 'conflict'
+                WHEN skipped_on <= e.occurred_on THEN 'after_skip'
+                WHEN coalesce(list_sum(list_transform(list_filter(taken, lambda x: x.intent_id = e.intent_id), lambda x: x.quantity)), 0) + e.quantity > wanted THEN 'over_intent'
+                WHEN cash + amount < 0 THEN 'short_cash'
+                WHEN e.side = 'sell' AND e.quantity > coalesce(list_sum(list_transform(list_filter(taken, lambda x: x.code = e.code), lambda x: CASE WHEN x.side = 'sell' THEN -x.quantity WHEN x.occurred_on < e.occurred_on THEN x.quantity ELSE 0 END)), 0) THEN 't_plus_one'
+                END AS reason
+            FROM step s JOIN ev e ON e.track = s.track AND e.k = s.k + 1)
     )"""
 
 
 @query("WITH RECURSIVE " + ADMISSION + """
-    SELECT fill_id, key, CASE WHEN reason IS NULL THEN 'accepted' WHEN reason IN ('replay', 'conflict') THEN reason ELSE 'rejected' END AS verdict, CASE WHEN reason NOT IN ('replay', 'conflict') THEN reason END AS reason FROM final
+    SELECT track, fill_id, key, CASE WHEN reason IS NULL THEN 'accepted' WHEN reason IN ('replay', 'conflict') THEN reason ELSE 'rejected' END AS verdict, CASE WHEN reason NOT IN ('replay', 'conflict') THEN reason END AS reason FROM step WHERE k > 0
 """)
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fills = book.fills(spark, sf_dir).withColumn("key", F.col("fill_id"))
-    numbered = lambda rows, copy: rows.withColumn("seq", F.struct("seq", F.lit(copy).alias("copy")))
-    again = fills.filter("intent_id % 29 = 0").withColumn("fill_id", F.concat("fill_id", F.lit("-again")))
-    other = fills.filter("intent_id % 31 = 0").withColumn("fill_id", F.concat("fill_id", F.lit("-other"))).withColumn("quantity", F.col("quantity") + 1)
+    """Order lines as events of 600 tracks; an intent's lines stand on two. Some come again: unchanged, changed, or nine days later."""
+    fills = book.fills(spark, sf_dir).withColumn("key", F.col("fill_id")).withColumn("code", F.col("seq.l_partkey") % 3).withColumn("track", F.concat_ws("-", "track", F.col("intent_id") % 300))
+    numbered = lambda every, copy, name: fills.filter(f"intent_id % {every} = 0").withColumn("fill_id", F.concat("fill_id", F.lit(name))).withColumn("seq", F.struct("seq", F.lit(copy).alias("copy")))
+    sent = numbered(1, 0, "").unionByName(numbered(29, 1, "-again")).unionByName(numbered(31, 2, "-other").withColumn("quantity", F.col("quantity") + 1)).unionByName(numbered(5, 3, "-later").withColumn("occurred_on", F.date_add("occurred_on", 9)))
     orders = S.table(spark, sf_dir, "orders")
     made = F.col("o_orderdate").cast("date")
-    intents = orders.filter("o_orderkey % 37 <> 0").select(F.col("o_orderkey").alias("intent_id"), (60 + F.col("o_orderkey") % 120).alias("quantity"), F.date_add(made, 5).alias("created_on"), F.date_add(made, 60).alias("expires_on"))
-    skips = orders.filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("intent_id"), F.date_add(made, 30).alias("skipped_on"))
-    cash = spark.sql("SELECT 'F' AS track, 5e7D AS cash UNION ALL SELECT 'O', 1e9D")
-    return views.admission(numbered(fills, 0).unionByName(numbered(again, 1)).unionByName(numbered(other, 2)), intents, skips, cash)
+    intents = orders.filter("o_orderkey % 37 <> 0").select(F.col("o_orderkey").alias("intent_id"), (60 + F.col("o_orderkey") % 120).alias("quantity"), F.date_sub(made, 700).alias("created_on"), F.date_add(made, 600).alias("expires_on"))
+    skip = lambda every, side, days: orders.filter(f"o_orderkey % {every} = 0").select(F.col("o_orderkey").alias("intent_id"), F.concat_ws("-", F.lit(side), F.col("o_orderkey") % 300).alias("track"), F.date_add(made, days).alias("skipped_on"))
+    skips = skip(7, "F", 45).unionByName(skip(14, "F", 30)).unionByName(skip(11, "O", 30))
+    cash = sent.select("track").distinct().withColumn("cash", F.lit(150_000.0))
+    return gate.admitted(sent, intents, skips, cash)
 
 
 @query("WITH " + market.POOL + """,

@@ -1,16 +1,14 @@
-"""Structured Streaming jobs: incremental ingest, alert transitions, late rows.
+"""Structured Streaming jobs: incremental ingest, late rows. Those with keyed state are in ``state``.
 
 Every job takes a checkpoint folder and can be restarted; none keeps anything on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import normalize, publish
 from ..schemas import KEYS, SCHEMAS, business_columns
@@ -50,26 +48,6 @@ def ingest_raw(spark: SparkSession, raw_root: str, root: str, dataset: str, chec
     return ingest_stream(found, process, checkpoint)
 
 
-def alert_stream(events: DataFrame, closed: str = "resolved") -> DataFrame:
-    """Phase changes of each alert key: (key, event_id, phase). A key can't begin closed.
-
-    events: key, event_id, phase, at. State of a key is its last phase. Within a micro-batch events are
-    taken in the order of (at, event_id).
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else closed
-        out = []
-        for r in pd.concat(list(frames)).sort_values(["at", "event_id"]).itertuples():
-            if r.phase != last:
-                out.append((key[0], r.event_id, r.phase))
-                last = r.phase
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["key", "event_id", "phase"])
-
-    return events.groupBy("key").applyInPandasWithState(step, "key long, event_id long, phase string", "last string", "append", GroupStateTimeout.NoTimeout)
-
-
 def late_row_stream(bars: DataFrame, keys: list[str], stamp: str, available: str, delay: str = "1 day") -> DataFrame:
     """For each local day, rows and late rows, every business key counted once within the watermark."""
     once = bars.withWatermark(stamp, delay).dropDuplicatesWithinWatermark(keys)
