@@ -149,3 +149,41 @@ def test_folds_are_complete_and_do_not_overlap(spark):
     assert [(r.fold, r.selected_parameter) for r in chosen.orderBy("fold").collect()] == [(k, "good") for k in range(4)]
     oos = evaluation.out_of_sample(tested, chosen)
     assert oos.count() == 40 and oos.select("as_of").distinct().count() == 40
+
+
+def test_normal_cdf_is_exact_to_twelve_digits(spark):
+    from statistics import NormalDist
+
+    from tidemark.operators import evaluation
+
+    xs = [k / 16 for k in range(-160, 161)] + [2.9999999, 3.0, -3.0, 8.5, -37.0, 60.0, -60.0, 1e-9]
+    rows = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "x double").withColumn("p", evaluation.normal_cdf(F.col("x"))).collect()
+    for x, p in rows[:-2]:
+        assert abs(p - NormalDist().cdf(x)) < 1e-13, x
+    assert rows[-2].p is None and rows[-1].p != rows[-1].p
+
+
+def test_fingerprint_of_rows_in_any_order(spark):
+    from tidemark.functions import hashing
+
+    df = spark.createDataFrame([(k, None if k % 3 else f"t{k}", k / 7) for k in range(200)], "a long, b string, x double")
+    read = lambda f: sorted(tuple(r) for r in f.collect())
+    whole = hashing.fingerprint(df)
+    assert read(whole) == read(hashing.fingerprint(df.repartition(5, "x"))) != read(hashing.fingerprint(df.unionByName(df.limit(1))))
+    assert read(whole.select("bucket", "rows", "first_sum", "second_sum")) == read(hashing.fingerprint_with(hashing.fingerprint(df.filter("a < 120")), hashing.fingerprint(df.filter("a >= 120"))))
+    changed = df.withColumn("x", F.when(F.col("a") == 7, 0.5).otherwise(F.col("x")))
+    found = {r.bucket for r in hashing.differing_buckets(whole, hashing.fingerprint(changed)).collect()}
+    assert 1 <= len(found) <= 2 and hashing.differing_buckets(whole, whole).count() == 0
+    # nulls and lengths count
+    texts = spark.createDataFrame([(None, "1"), ("1", None), ("ab", "c"), ("a", "bc"), ("", None), (None, "")], "a string, b string").select(hashing.row_text(df.select(F.lit("").alias("a"), F.lit("").alias("b"))).alias("t"))
+    assert texts.distinct().count() == 6
+
+
+def test_first_negative_balance(spark):
+    d = lambda k: __import__("datetime").date(2024, 1, k)
+    rows = [("a", "t", "buy", 10, 1.0, 0.0, d(1), 1), ("b", "t", "buy", 95, 1.0, 0.0, d(2), 1), ("c", "t", "sell", 50, 1.0, 0.0, d(2), 2), ("d", "u", "buy", 5, 1.0, 0.0, d(1), 1)]
+    fills = spark.createDataFrame(rows, "fill_id string, track string, side string, quantity long, price double, fees double, occurred_on date, seq long")
+    from tidemark.operators import ledger
+
+    got = ledger.first_negative(fills, spark.createDataFrame([("t", 100.0), ("u", 5.0)], "track string, cash double")).collect()
+    assert [(r.track, r.fill_id, r.balance) for r in got] == [("t", "b", -5.0)]

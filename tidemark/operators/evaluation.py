@@ -5,8 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -133,14 +132,24 @@ def deflated_sharpe(series: DataFrame, keys: list[str], trials: int, value: str
     return one.withColumn("statistic", statistic).select(*keys, "observations", "observed", "expected_max", "statistic")
 
 
-def with_probability(deflated: DataFrame) -> DataFrame:
-    """Adds the normal probability of the statistic, 0.5 without one. One row a group."""
+def normal_cdf(x: Column) -> Column:
+    """The standard normal distribution function, to about 1e-15, by column expressions; null for null, NaN for NaN.
+
+    Within 3 of 0 a series in odd powers over double factorials; beyond, the continued fraction of the tail.
+    """
+    x = x.cast("double")
+    size = F.least(F.abs(x), F.lit(40.0))
+    density = F.exp(-size * size / 2) / math.sqrt(2 * math.pi)
+    downward = lambda n: F.sequence(F.lit(n), F.lit(1), F.lit(-1))
+    near = density * size * F.aggregate(downward(50), F.lit(1.0), lambda t, k: 1 + size * size / (2 * k + 1) * t)
+    tail = density / F.aggregate(downward(80), size, lambda t, k: size + k / t)
+    above = F.when(size < 3, 0.5 - near).otherwise(tail)
+    return F.when(F.isnan(x), x).when(x < 0, above).when(x >= 0, 1 - above)
 
-    @F.pandas_udf("double")
-    def cdf(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: 0.5 if v is None or v != v else NormalDist().cdf(v))
 
-    return deflated.withColumn("probability", cdf("statistic"))
+def with_probability(deflated: DataFrame) -> DataFrame:
+    """Adds the normal probability of the statistic, 0.5 without one."""
+    return deflated.withColumn("probability", F.when(F.isnan("statistic"), 0.5).otherwise(F.coalesce(normal_cdf(F.col("statistic")), F.lit(0.5))))
 
 
 def forward_review(observations: DataFrame, returns: list[str], cost: str, minimum_days: int = 60) -> DataFrame:

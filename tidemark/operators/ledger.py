@@ -29,6 +29,33 @@ def running_cash(movements: DataFrame) -> DataFrame:
     return day.withColumn("balance", F.sum("amount").over(W.partitionBy("track").orderBy("occurred_on").rowsBetween(W.unboundedPreceding, 0)))
 
 
+def first_negative(fills: DataFrame, cash: DataFrame) -> DataFrame:
+    """Of each track the first event after which its cash is below 0: track, fill_id, occurred_on, seq, balance. cash: track, cash.
+
+    Days are summed first, so a window over a track has one row a day; then only the events of days are
+    looked at, each day by itself, whose lowest point can lie below 0. A long series has as many tasks as days.
+    """
+    amount = F.when(F.col("side") == "buy", -F.col("quantity") * F.col("price")).otherwise(F.col("quantity") * F.col("price")) - F.col("fees")
+    rows = fills.withColumn("_amount", amount)
+    day = rows.groupBy("track", "occurred_on").agg(F.sum("_amount").alias("_moved"), F.sum(F.least("_amount", F.lit(0.0))).alias("_down"))
+    before = F.coalesce(F.sum("_moved").over(W.partitionBy("track").orderBy("occurred_on").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    opened = day.join(cash.select("track", F.col("cash").cast("double").alias("_cash")), "track", "left").withColumn("_opened", F.coalesce("_cash", F.lit(0.0)) + before)
+    doubtful = opened.filter(F.col("_opened") + F.col("_down") < 0).select("track", "occurred_on", "_opened")
+    inside = W.partitionBy("track", "occurred_on").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    low = rows.join(doubtful, ["track", "occurred_on"]).withColumn("balance", F.col("_opened") + F.sum("_amount").over(inside)).filter("balance < 0")
+    first = low.groupBy("track").agg(F.min_by(F.struct("fill_id", "occurred_on", "seq", "balance"), F.struct("occurred_on", "seq")).alias("x"))
+    return first.select("track", "x.*")
+
+
+def latest_moment(tables: list[tuple[DataFrame, str]]) -> DataFrame:
+    """One row: the latest moment in any of the tables, each with its time column; null if there is none."""
+    latest = [df.agg(F.max(F.col(c).cast("timestamp")).alias("latest")) for df, c in tables]
+    out = latest[0]
+    for one in latest[1:]:
+        out = out.unionByName(one)
+    return out.agg(F.max("latest").alias("latest"))
+
+
 def cumulated(fills: DataFrame) -> DataFrame:
     """Adds lo and hi: the fill's interval in the cumulative quantity of its side."""
     w = W.partitionBy(*LOT, "side").orderBy("occurred_on", "seq").rowsBetween(W.unboundedPreceding, 0)

@@ -205,19 +205,46 @@ def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(ledger.orphans(orders, "o_custkey", S.table(spark, sf_dir, "customer").filter("c_mktsegment <> 'MACHINERY'"), "c_custkey", "orders.o_custkey"))
 
 
-@query(None)
+FINGERPRINTED = {
+    "lineitem": {"l_discount": "d", "l_extendedprice": "d", "l_linenumber": "", "l_linestatus": "", "l_orderkey": "", "l_partkey": "", "l_quantity": "d", "l_returnflag": "", "l_shipdate": "t", "l_suppkey": "", "l_tax": "d"},
+    "orders": {"o_custkey": "", "o_orderdate": "t", "o_orderkey": "", "o_orderpriority": "", "o_orderstatus": "", "o_totalprice": "d"},
+    "events": {"event_id": "", "event_type": "", "props": "", "ts": "t", "user_id": "", "value": "d"},
+}
+
+
+def _fingerprint_sql(table: str, columns: dict[str, str]) -> str:
+    of = {"d": "CAST(CAST({} AS DECIMAL(38,6)) AS VARCHAR)", "t": "CAST(epoch_us({}) AS VARCHAR)", "": "CAST({} AS VARCHAR)"}
+    texts = [of[kind].format(c) for c, kind in sorted(columns.items())]
+    row = " || ".join(f"coalesce(length({x}) || ':' || {x}, '-')" for x in texts)
+    return f"""
+        SELECT '{table}' AS "table", CAST(('0x' || substr(h, 25, 8))::BIGINT % 16 AS INT) AS bucket, count(*) AS rows, CAST(sum(('0x' || substr(h, 1, 12))::BIGINT) % 281474976710656 AS BIGINT) AS first_sum,
+               CAST(sum(('0x' || substr(h, 13, 12))::BIGINT) % 281474976710656 AS BIGINT) AS second_sum FROM (SELECT md5({row}) AS h FROM {table}) GROUP BY 2"""
+
+
+@query(" UNION ALL ".join(_fingerprint_sql(t, c) for t, c in FINGERPRINTED.items()))
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for name in ("lineitem", "orders", "events"):
-        one = hashing.fingerprint(S.table(spark, sf_dir, name)).withColumn("table", F.lit(name))
+    for name, columns in FINGERPRINTED.items():
+        one = hashing.fingerprint(S.table(spark, sf_dir, name), list(columns)).withColumn("table", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 @query("SELECT greatest((SELECT max(l_shipdate) FROM lineitem), (SELECT max(o_orderdate) FROM orders), (SELECT max(ts) FROM events)) AS boundary")
 def replay_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda name, c: S.table(spark, sf_dir, name).agg(F.max(F.col(c).cast("timestamp")).alias("t"))
-    return of("lineitem", "l_shipdate").union(of("orders", "o_orderdate")).union(of("events", "ts")).agg(F.max("t").alias("boundary"))
+    of = lambda name, c: (S.table(spark, sf_dir, name), c)
+    return ledger.latest_moment([of("lineitem", "l_shipdate"), of("orders", "o_orderdate"), of("events", "ts")]).withColumnRenamed("latest", "boundary")
+
+
+@query("WITH " + FILLS + """,
+    run AS (SELECT fill_id, track, occurred_on, row_number() OVER w AS place, 2000000 + sum(CASE WHEN side = 'buy' THEN -quantity * price ELSE quantity * price END - fees) OVER w AS balance FROM fill WINDOW w AS (PARTITION BY track ORDER BY occurred_on, seq ROWS UNBOUNDED PRECEDING)),
+    low AS (SELECT track, min(place) AS place FROM run WHERE balance < 0 GROUP BY 1)
+    SELECT r.track, r.fill_id, r.occurred_on, round(r.balance, 2) AS balance FROM run r JOIN low l ON l.track = r.track AND l.place = r.place
+""")
+def first_negative_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = fills(spark, sf_dir)
+    opening = every.select("track").distinct().withColumn("cash", F.lit(2_000_000.0))
+    return ledger.first_negative(every, opening).select("track", "fill_id", "occurred_on", F.round("balance", 2).alias("balance"))
 
 
 # -- operations ------------------------------------------------------------------------------------------
@@ -384,19 +411,28 @@ def out_of_sample_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.performance(_oos(spark, sf_dir)[1].withColumn("scope", F.lit("oos")), ["scope"]).select("scope", "observations", *[r6(c) for c in _FIGURES])
 
 
-@query("WITH " + PERIODS + """,
+DEFLATED = PERIODS + """,
     s AS (SELECT parameter_id, count(*) AS n, avg(net_return) AS m, stddev_samp(net_return) AS sd FROM period GROUP BY 1),
     k AS (SELECT p.parameter_id, any_value(n) AS n, any_value(m) / any_value(sd) AS o, avg(power(net_return - m, 3)) / power(avg(power(net_return - m, 2)), 1.5) AS sk, avg(power(net_return - m, 4)) / power(avg(power(net_return - m, 2)), 2) AS ku FROM period p JOIN s ON p.parameter_id = s.parameter_id GROUP BY 1),
-    e AS (SELECT *, sqrt((1 + o * o / 2) / n) * ((1 - 0.5772156649015329) * 0.6744897501960817 + 0.5772156649015329 * 1.3287219496247633) AS ex FROM k)
+    e AS (SELECT *, sqrt((1 + o * o / 2) / n) * ((1 - 0.5772156649015329) * 0.6744897501960817 + 0.5772156649015329 * 1.3287219496247633) AS ex FROM k)"""
+
+
+@query("WITH " + DEFLATED + """
     SELECT parameter_id, n AS observations, round(o, 6) AS observed, round(ex, 6) AS expected_max, round((o - ex) * sqrt(n - 1) / sqrt(1 - sk * o + (ku - 1) * o * o / 4), 5) AS statistic FROM e
 """)
 def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.deflated_sharpe(periods(spark, sf_dir), ["parameter_id"], trials=4).select("parameter_id", "observations", r6("observed"), r6("expected_max"), F.round("statistic", 5).alias("statistic"))
 
 
-@query(None)
+# the normal distribution function by Simpson's rule
+@query("WITH " + DEFLATED + """,
+    t AS (SELECT parameter_id, n, o, ex, (o - ex) * sqrt(n - 1) / sqrt(1 - sk * o + (ku - 1) * o * o / 4) AS z FROM e),
+    area AS (SELECT parameter_id, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power(z * i / 4000, 2) / 2)) * z / 12000 / sqrt(2 * pi()) AS a FROM t, (SELECT unnest(range(0, 4001)) AS i) GROUP BY parameter_id, z)
+    SELECT t.parameter_id, n AS observations, round(o, 6) AS observed, round(ex, 6) AS expected_max, round(z, 5) AS statistic, round(0.5 + a, 7) AS probability FROM t JOIN area ON t.parameter_id = area.parameter_id
+""")
 def deflated_sharpe_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.with_probability(evaluation.deflated_sharpe(periods(spark, sf_dir), ["parameter_id"], trials=4))
+    out = evaluation.with_probability(evaluation.deflated_sharpe(periods(spark, sf_dir), ["parameter_id"], trials=4))
+    return out.select("parameter_id", "observations", r6("observed"), r6("expected_max"), F.round("statistic", 5).alias("statistic"), F.round("probability", 7).alias("probability"))
 
 
 @query("WITH " + PERIODS + """,
