@@ -101,15 +101,61 @@ def test_regime_probabilities_and_emergency(spark):
     assert [r.selected for r in out] == ["risk_on", "risk_off", "risk_off"] and [list(r.reasons) for r in out] == [[], ["trend_and_breadth"], ["volatility", "opening_selloff"]]
 
 
-def test_fold_limits_turnover_and_switches_with_hysteresis():
-    day = {"selected": "risk_on", "emergency": False, "change_point": True, "p_risk_on": 0.5, "p_defensive": 0.2, "desired": {"momentum": {"a": 0.2, "b": 0.2}, "defensive_low_volatility": {"c": 0.2}}}
-    first = allocate._fold_step(None, day, 0.2, 0.08)
-    assert first == ("momentum", {"a": 0.2, "b": 0.2}, 0.4)
-    held = allocate._fold_step(first[:2], day | {"selected": "defensive", "p_risk_on": 0.4, "p_defensive": 0.45}, 0.2, 0.08)
-    assert held[0] == "momentum" and held[2] == 0
-    switched = allocate._fold_step(first[:2], day | {"selected": "defensive", "p_risk_on": 0.1, "p_defensive": 0.6}, 0.2, 0.08)
-    assert switched[0] == "defensive_low_volatility" and switched[2] <= 0.2 and set(switched[1]) == {"a", "b", "c"}
-    assert allocate._fold_step(first[:2], day | {"emergency": True}, 0.2, 0.08)[1] == {}
+def fold_step(state, day, most, hysteresis):
+    """(active, weights, moved) of a day in units of 1e-8, by plain Python."""
+    recommended = allocate.STRATEGY_OF[day["selected"]]
+    if state is None or state[0] == recommended:
+        active = recommended
+    elif not day["change"]:
+        active = state[0]
+    elif day["emergency"]:
+        active = "cash"
+    else:
+        label = next(k for k, s in allocate.STRATEGY_OF.items() if s == state[0])
+        active = recommended if day["p_" + day["selected"]] - day["p_" + label] >= hysteresis else state[0]
+    wanted = {} if day["emergency"] or active == "cash" else day["desired"].get(active, {})
+    old = {} if state is None else state[1]
+    codes = sorted({*old, *wanted})
+    moved = lambda new: sum(abs(new.get(c, 0) - old.get(c, 0)) for c in codes) + abs(sum(new.values()) - sum(old.values()))
+    full, way = moved(wanted), 2 * (most - len(codes) - 1)
+    if state is None or day["emergency"] or full <= 2 * most:
+        return active, wanted, full
+    if way <= 0:
+        return active, old, 0
+    blended = {c: w for c in codes if (w := (old.get(c, 0) * full + (wanted.get(c, 0) - old.get(c, 0)) * way) // full) > 0}
+    return active, blended, moved(blended)
+
+
+def test_replay_equals_a_plain_fold(spark):
+    r = random.Random(11)
+    labels, codes = list(allocate.STRATEGY_OF), ["a", "b", "c", "d", "e"]
+    days, desired = [], []
+    for k in range(90):
+        d = date(2024, 1, 1) + timedelta(days=k)
+        p = [r.random() for _ in labels]
+        days.append((d, r.choice(labels), r.random() < 0.05, *p))
+        for s in ("momentum", "short_term_reversal", "defensive_low_volatility"):
+            if r.random() < 0.9:
+                desired += [(d, s, c, round(r.uniform(0.01, 0.19), 8)) for c in r.sample(codes, r.randrange(0, 5))]
+    scenarios = [(i, [0.0, 0.05, 0.2, 1.0][i % 4], [0.0, 0.3][i % 2], 1 + i % 3) for i in range(12)]
+    regimes = spark.createDataFrame(days, "trade_date date, selected string, emergency boolean, " + ", ".join(f"p_{k} double" for k in labels))
+    targets = spark.createDataFrame(desired, "trade_date date, strategy string, code string, weight double")
+    out = allocate.replay(regimes.repartition(3), targets, spark.createDataFrame(scenarios, "scenario int, max_turnover double, hysteresis double, change_every int"))
+    got = {(x.scenario, x.trade_date): (x.active_strategy, x.weights, x.moved) for x in out.collect()}
+    for number, most, hysteresis, every in scenarios:
+        state = None
+        for n, row in enumerate(days):
+            by = {}
+            for d, s, c, w in desired:
+                if d == row[0]:
+                    by.setdefault(s, {})[c] = round(w * 10**8)
+            day = {"selected": row[1], "emergency": row[2], "change": n % every == 0, "desired": by, **{f"p_{k}": v for k, v in zip(labels, row[3:])}}
+            want = fold_step(state, day, round(most * 10**8), hysteresis)
+            state = want[:2]
+            assert got.pop((number, row[0])) == want
+    assert not got and allocate.replay(regimes.limit(0), targets, spark.createDataFrame(scenarios, "scenario int, max_turnover double, hysteresis double, change_every int")).count() == 0
+    wide = allocate.replayed_weights(out.filter("scenario = 2"))
+    assert wide.columns == ["scenario", "trade_date", "active_strategy", "code", "weight", "turnover"] and wide.agg(F.max("turnover")).first()[0] <= 1
 
 
 def test_market_rules(spark):

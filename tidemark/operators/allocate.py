@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CASH = "cash"
 # The strategy a regime recommends.
 STRATEGY_OF = {"risk_on": "momentum", "mean_reverting": "short_term_reversal", "defensive": "defensive_low_volatility", "risk_off": CASH}
-GROSS, CAP, POSITIONS, QUANTUM = 0.95, 0.20, 8, 1e-8
+GROSS, CAP, POSITIONS = 0.95, 0.20, 8
 
 
 def capped_weights(intents: DataFrame, keys: list[str], gross: float = GROSS, cap: float = CAP, most: int = POSITIONS) -> DataFrame:
@@ -45,63 +42,94 @@ def turnover(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys).agg(F.bround((F.sum(F.abs(a - b)) + F.abs(F.sum(a) - F.sum(b))) / 2, 8).alias("turnover"))
 
 
-def _fold_step(state, day, max_turnover: float, hysteresis: float):
-    """(active strategy, weights, turnover) of a day from the state before it; None before the first."""
-    recommended = STRATEGY_OF[day["selected"]]
-    if state is None or state[0] == recommended or not day["change_point"]:
-        active = recommended if state is None else state[0]
-    elif day["emergency"]:
-        active = CASH
-    else:
-        held = next(k for k, s in STRATEGY_OF.items() if s == state[0])
-        active = recommended if day["p_" + day["selected"]] - day["p_" + held] >= hysteresis else state[0]
-    wanted = {} if day["emergency"] or active == CASH else day["desired"].get(active, {})
-    old = {} if state is None else state[1]
-
-    def moved(new: dict) -> float:
-        return round((sum(abs(new.get(c, 0.0) - old.get(c, 0.0)) for c in {*old, *new}) + abs(sum(new.values()) - sum(old.values()))) / 2, 8)
-
-    full = moved(wanted)
-    if state is None or day["emergency"] or full <= max_turnover or full == 0:
-        return active, wanted, full
-    codes = sorted({*old, *wanted})
-    reserve = QUANTUM * (len(codes) + 1)
-    if max_turnover <= reserve:
-        return active, old, 0.0
-    scale = (max_turnover - reserve) / full
-    blended = {c: int((old.get(c, 0.0) + (wanted.get(c, 0.0) - old.get(c, 0.0)) * scale) * 1e8 + 1e-6) / 1e8 for c in codes}
-    blended = {c: w for c, w in blended.items() if w > 0}
-    return active, blended, moved(blended)
+#: Weights are carried as whole units of one of so many, so that every step is exact.
+UNITS = 100_000_000
+_MAP = "map<string,bigint>"
+#: Days that one row may hold; a decision a day for some centuries.
+MOST_DAYS = 100_000
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _moved(pairs: Column) -> Column:
+    """Twice the turnover between the weights a and b of each entry, cash included."""
+    add = lambda x, of: F.aggregate(F.map_values(x), F.lit(0).cast("bigint"), lambda t, v: t + of(v))
+    return add(pairs, lambda v: F.abs(v["b"] - v["a"])) + F.abs(add(pairs, lambda v: v["b"] - v["a"]))
+
+
+def _paired(old: Column, new: Column) -> Column:
+    zero = F.lit(0).cast("bigint")
+    return F.map_zip_with(old, new, lambda c, a, b: F.struct(F.coalesce(a, zero).alias("a"), F.coalesce(b, zero).alias("b")))
+
+
+def _active(state: Column, day: Column, hysteresis: Column, change: Column) -> Column:
+    """The strategy of a day. A change takes a change point and, without emergency, an advantage in probability."""
+    before, recommended = state["active"], day["recommended"]
+    advantage = day["p"][recommended] - day["p"][before]
+    switched = F.when(day["emergency"], F.lit(CASH)).when(advantage >= hysteresis, recommended).otherwise(before)
+    return F.when(before.isNull() | (before == recommended), recommended).when(~change, before).otherwise(switched)
+
+
+def _limited(old: Column, wanted: Column, most: Column, free: Column) -> Column:
+    """(weights, moved): ``wanted``, or as much of the way to it as a turnover of ``most`` units allows; ``free``: no limit."""
+
+    def blended(pairs: Column, full: Column) -> Column:
+        way = 2 * (most - F.size(pairs) - 1)  # a unit for each code and the cash is kept back for rounding
+        weights = F.map_filter(F.transform_values(pairs, lambda c, v: F.call_function("div", v["a"] * full + (v["b"] - v["a"]) * way, full)), lambda c, w: w > 0)
+        return F.when(way <= 0, F.struct(old.alias("weights"), F.lit(0).cast("bigint").alias("moved"))).otherwise(_let(weights, lambda w: F.struct(w.alias("weights"), _moved(_paired(old, w)).alias("moved"))))
+
+    def limited(pairs: Column) -> Column:
+        return _let(_moved(pairs), lambda full: F.when(free | (full <= 2 * most), F.struct(wanted.alias("weights"), full.alias("moved"))).otherwise(blended(pairs, full)))
+
+    return _let(_paired(old, wanted), limited)
 
 
 def replay(regimes: DataFrame, desired: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Folds the allocation rule over all days, for every scenario (scenario, max_turnover, hysteresis, change_every).
 
-    regimes: trade_date, selected, emergency, p_*; desired: trade_date, strategy, code, weight. A scenario
-    is one task's fold, of one row a day; scenarios run in parallel. The strategy changes on every
-    change_every-th day only. Result: scenario, trade_date, active_strategy, code, weight, turnover; days
-    in cash have one row without code.
+    regimes: trade_date, selected, emergency, p_*; desired: trade_date, strategy, code, weight. The days stand
+    once, in order, in one row (at most MOST_DAYS of them, a few weights each), which every scenario's row
+    gets; the fold is one expression over it, without Python. The strategy changes on every
+    change_every-th day only. Result: scenario, trade_date, active_strategy, weights (code to units of 1e-8), moved
+    (twice the turnover in units). Weights are rounded to units beforehand; a step towards a target is cut to units.
     """
-    held = desired.groupBy("trade_date", "strategy").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", "weight")))).alias("w"))
+    units = lambda c: F.round(c * UNITS).cast("bigint")
+    held = desired.groupBy("trade_date", "strategy").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", units(F.col("weight")))))).alias("w"))
     by_day = held.groupBy("trade_date").agg(F.map_from_entries(F.collect_list(F.struct("strategy", "w"))).alias("desired"))
-    days = regimes.join(by_day, "trade_date", "left").withColumn("desired", F.to_json("desired"))
-    names = [c for c in days.columns if c.startswith("p_")]
-    days = days.select("trade_date", "selected", "emergency", "desired", *names)
-    # one row a trading day goes to where the scenarios are; dealt before, their copies of the days are never shuffled
-    rows = scenarios.repartition("scenario").crossJoin(F.broadcast(days))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, state = [], None
-        for n, day in enumerate(pdf.sort_values("trade_date").to_dict("records")):
-            day["desired"] = json.loads(day["desired"]) if day["desired"] else {}
-            day["change_point"] = n % int(day["change_every"]) == 0
-            active, weights, moved = _fold_step(state, day, day["max_turnover"], day["hysteresis"])
-            state = (active, weights)
-            for code, w in sorted(weights.items()) or [(None, 0.0)]:
-                out.append((day["scenario"], day["trade_date"], active, code, w, moved))
-        return pd.DataFrame(out, columns=["scenario", "trade_date", "active_strategy", "code", "weight", "turnover"])
-
-    return rows.groupBy("scenario").applyInPandas(run, "scenario int, trade_date date, active_strategy string, code string, weight double, turnover double")
+    recommended = F.element_at(F.create_map(*[F.lit(x) for pair in STRATEGY_OF.items() for x in pair]), F.col("selected"))
+    p = F.create_map(*[x for label, strategy in STRATEGY_OF.items() for x in (F.lit(strategy), F.col(f"p_{label}"))])
+    nothing = F.create_map().cast(_MAP)
+    day = F.struct("trade_date", recommended.alias("recommended"), "emergency", p.alias("p"), F.coalesce("desired", F.create_map().cast(f"map<string,{_MAP}>")).alias("desired"))
+    every = F.array_sort(F.collect_list(day), lambda a, b: F.when(a["trade_date"] < b["trade_date"], -1).otherwise(1))
+    days = regimes.join(by_day, "trade_date", "left").agg(every.alias("days"), F.assert_true(F.count("*") <= MOST_DAYS, F.lit(f"more than {MOST_DAYS} days")).alias("bounded")).filter("bounded IS NULL").select("days")
+    start = F.struct(F.lit(None).cast("string").alias("active"), nothing.alias("weights"), F.lit(0).cast("bigint").alias("moved"))
+
+    def step(state: Column, d: Column, n: Column) -> Column:
+        def chosen(active: Column) -> Column:
+            wanted = F.when(d["emergency"] | (active == CASH), nothing).otherwise(F.coalesce(d["desired"][active], nothing))
+            made = _let(wanted, lambda w: _limited(state["weights"], w, F.col("most"), state["active"].isNull() | d["emergency"]))
+            return _let(made, lambda m: F.struct(active.alias("active"), m["weights"].alias("weights"), m["moved"].alias("moved")))
+
+        return _let(_active(state, d, F.col("hysteresis"), F.pmod(n, "change_every") == 0), chosen)
+
+    steps = F.aggregate(
+        F.sequence(F.lit(0), F.size("days") - 1), F.array(start),
+        lambda done, n: F.array_append(done, _let(F.element_at(done, -1), lambda state: _let(F.get("days", n), lambda d: step(state, d, n)))),
+    )
+    # a set number of tasks: by their bytes the scenarios would be merged into one
+    tasks = int(scenarios.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scenarios.withColumn("most", units(F.col("max_turnover"))).repartition(tasks, "scenario").crossJoin(F.broadcast(days)).filter(F.size("days") > 0)
+    rows = rows.select("scenario", F.posexplode(F.arrays_zip(F.transform("days", lambda d: d["trade_date"]).alias("trade_date"), F.slice(steps, 2, F.size("days")).alias("state"))).alias("n", "x"))
+    return rows.select("scenario", "x.trade_date", F.col("x.state.active").alias("active_strategy"), F.col("x.state.weights").alias("weights"), F.col("x.state.moved").alias("moved"))
+
+
+def replayed_weights(replayed: DataFrame) -> DataFrame:
+    """scenario, trade_date, active_strategy, code, weight, turnover: a row for each code; a day in cash has one without."""
+    rows = replayed.select("scenario", "trade_date", "active_strategy", F.explode_outer("weights").alias("code", "units"), (F.col("moved") / (2 * UNITS)).alias("turnover"))
+    return rows.select("scenario", "trade_date", "active_strategy", "code", (F.coalesce("units", F.lit(0)) / UNITS).alias("weight"), "turnover")
 
 
 def cash_violations(targets: DataFrame, cash: DataFrame, keys: list[str]) -> DataFrame:

@@ -368,12 +368,51 @@ def regime_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("trade_date", r8("p_risk_on"), r8("p_mean_reverting"), r8("p_defensive"), r8("p_risk_off"), "emergency", "selected")
 
 
-@query(None)
+REPLAY = f"""
+    label AS (
+        WITH {LABELS}
+        SELECT trade_date, emergency, round(p1, 8) AS p1, round(p2, 8) AS p2, round(p3, 8) AS p3, round(1 - (round(p1, 8) + round(p2, 8) + round(p3, 8)), 8) AS p4,
+               CASE WHEN emergency OR p4 >= greatest(p1, p2, p3) THEN 'cash' WHEN p1 >= greatest(p2, p3) THEN 'momentum' WHEN p2 >= p3 THEN 'short_term_reversal' ELSE 'defensive_low_volatility' END AS recommended FROM labels
+    ),
+    target AS (
+        SELECT trade_date, map_from_entries(list((strategy, m))) AS desired FROM (
+            SELECT trade_date, strategy, map_from_entries(list((code, CAST(round(weight * 1e8) AS BIGINT)))) AS m FROM (WITH {WEIGHTS} SELECT * FROM weights) GROUP BY ALL) GROUP BY 1
+    ),
+    d AS (
+        SELECT l.trade_date, emergency, recommended, desired, row_number() OVER (ORDER BY l.trade_date) AS n,
+               MAP {{'momentum': p1, 'short_term_reversal': p2, 'defensive_low_volatility': p3, 'cash': p4}} AS p
+        FROM label l LEFT JOIN target t ON t.trade_date = l.trade_date
+    ),
+    scenario AS (SELECT i AS scenario, 2000000 * (1 + i % 10) AS most, 0.02 * ((i // 10) % 5)::DOUBLE AS hysteresis, 1 + i // 50 AS change_every FROM (SELECT unnest(range(0, 200)) AS i)),
+    step AS (
+        SELECT scenario, most, hysteresis, change_every, 0::BIGINT AS n, NULL::VARCHAR AS active, MAP {{}}::MAP(VARCHAR, BIGINT) AS held, 0::BIGINT AS moved FROM scenario
+        UNION ALL
+        SELECT scenario, most, hysteresis, change_every, n, active, CASE WHEN whole THEN wanted WHEN way <= 0 THEN held ELSE blended END,
+               CASE WHEN whole THEN full_ WHEN way <= 0 THEN 0 ELSE list_sum(list_transform(z, lambda x: abs(greatest(part(x.a, x.b, full_, way), 0) - x.a))) + abs(list_sum(list_transform(z, lambda x: greatest(part(x.a, x.b, full_, way), 0) - x.a))) END::BIGINT
+        FROM (
+            SELECT *, map_from_entries(list_filter(list_transform(z, lambda x: (x.c, part(x.a, x.b, full_, way))), lambda e: e[2] > 0)) AS blended FROM (
+                SELECT *, first_ OR emergency OR full_ <= 2 * most AS whole, 2 * (most - len(z) - 1) AS way FROM (
+                    SELECT *, (coalesce(list_sum(list_transform(z, lambda x: abs(x.b - x.a))), 0) + abs(coalesce(list_sum(list_transform(z, lambda x: x.b - x.a)), 0)))::BIGINT AS full_ FROM (
+                        SELECT *, list_transform(list_sort(list_distinct(list_concat(map_keys(held), map_keys(wanted)))), lambda c: {{'c': c, 'a': coalesce(held[c], 0), 'b': coalesce(wanted[c], 0)}}) AS z FROM (
+                            SELECT *, CASE WHEN emergency OR active = 'cash' THEN MAP {{}}::MAP(VARCHAR, BIGINT) ELSE coalesce(desired[active], MAP {{}}::MAP(VARCHAR, BIGINT)) END AS wanted FROM (
+                                SELECT s.scenario, most, hysteresis, change_every, d.n, held, emergency, desired, s.active IS NULL AS first_,
+                                       CASE WHEN s.active IS NULL OR s.active = recommended THEN recommended WHEN (d.n - 1) % change_every <> 0 THEN s.active WHEN emergency THEN 'cash'
+                                            WHEN p[recommended] - p[s.active] >= hysteresis THEN recommended ELSE s.active END AS active
+                                FROM step s JOIN d ON d.n = s.n + 1))))))
+    )""".replace("part(x.a, x.b, full_, way)", "(x.a * full_ + (x.b - x.a) * way) // full_")
+
+
+@query("WITH RECURSIVE " + REPLAY + """
+    SELECT CAST(scenario AS INT) AS scenario, d.trade_date, active AS active_strategy, array_to_string(list_transform(list_sort(map_entries(held)), lambda e: e.key || ':' || e.value), ',') AS held, moved FROM step JOIN d ON d.n = step.n
+""")
 def scenario_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = S.paired_bars(spark, sf_dir)
-    labels = regime.regime_labels(regime.regime_features(bars)).select("trade_date", "selected", "emergency", *[f"p_{k}" for k in regime.LABELS])
-    scenarios = spark.range(24).select(F.col("id").cast("int").alias("scenario"), (0.05 + 0.05 * (F.col("id") % 4)).alias("max_turnover"), (0.02 * (F.col("id") % 3)).alias("hysteresis"), (1 + F.col("id") % 2 * 4).alias("change_every"))
-    return allocate.replay(labels, allocate.capped_weights(features.strategy_pool(features.price_features(bars)), ["trade_date", "strategy"]), scenarios)
+    labels = regime.regime_labels(regime.regime_features(bars)).select("trade_date", "selected", "emergency", *[r8(f"p_{k}") for k in regime.LABELS])
+    number = F.col("id")
+    scenarios = spark.range(200).select(number.cast("int").alias("scenario"), (0.02 * (1 + number % 10)).alias("max_turnover"), (0.02 * (F.floor(number / 10) % 5)).alias("hysteresis"), (1 + F.floor(number / 50)).alias("change_every"))
+    out = allocate.replay(labels, allocate.capped_weights(features.strategy_pool(features.price_features(bars)), ["trade_date", "strategy"]), scenarios)
+    written = F.array_join(F.transform(F.array_sort(F.map_entries("weights")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return out.select("scenario", "trade_date", "active_strategy", written.alias("held"), "moved")
 
 
 # -- risk and orders -----------------------------------------------------------------------------------
