@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import normalize, publish
 from tidemark.schemas import KEYS, SCHEMAS, business_columns
 from tidemark.sources import catalog, envelopes, requests
+from tidemark.sources.store import Store
 from tidemark.streaming import jobs, state
 
 RAW = "path string, row_index int, operation string, query map<string,string>, row map<string,string>, source string, received_at timestamp, payload_sha256 string"
@@ -130,25 +131,21 @@ def test_payload_conflicts_are_settled_in_order(spark, monkeypatch):
     assert verdicts == {"a": "accepted", "b": "conflict", "c": "accepted", "d": "conflict", "e": "accepted", "f": "accepted", "g": "conflict", "h": "repeated_key"}
 
 
-def test_segments_are_moved_and_bounded(spark, tmp_path):
-
-    from tidemark.sources.catalog import ContractError
-
+def test_segments_are_published_within_bounds(spark, tmp_path):
     df = spark.range(25).withColumn("text", F.lit("x"))
-    assert publish.publish_segments({"t": df}, f"{tmp_path}/s1", f"{tmp_path}/root", most_rows=10) == {"t": 25}
-    assert publish.publish_segments({"t": df}, f"{tmp_path}/s2", f"{tmp_path}/root") == {"t": 25}
-    assert spark.read.parquet(f"{tmp_path}/root/t").count() == 50
-    with pytest.raises(ContractError):
-        publish.publish_segments({"t": df}, f"{tmp_path}/s3", f"{tmp_path}/root", most_bytes=10)
-    assert spark.read.parquet(f"{tmp_path}/root/t").count() == 50
+    publish.publish_segments({"t": df, "u": df.limit(3)}, f"{tmp_path}/root", {"t": ["id"], "u": ["id"]}, most_rows=10)
+    publish.publish_segments({"t": df}, f"{tmp_path}/root", {"t": ["id"]})
+    store = Store(spark, f"{tmp_path}/root", {"t": ["id"]})
+    assert store.read("t", df.schema).count() == 50 and store.read("u", df.schema).count() == 3 and store.version().number == 2
 
 
-def test_conflicts_go_to_quarantine(spark, tmp_path):
+def test_conflicts_go_to_quarantine_once(spark, tmp_path):
     stored = spark.createDataFrame([(1, "a")], "k int, v string")
     incoming = spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string")
     merged = publish.strict_merge(stored, incoming, ["k"], ["v"])
-    assert [r.k for r in publish.quarantine(merged, f"{tmp_path}/q").collect()] == [2]
-    assert [r.k for r in spark.read.parquet(f"{tmp_path}/q").collect()] == [1]
+    for batch in (1, 1, 2):
+        assert [r.k for r in publish.quarantine(merged, f"{tmp_path}/q", batch).collect()] == [2]
+    assert sorted((r.batch, r.k) for r in spark.read.parquet(f"{tmp_path}/q").collect()) == [(1, 1), (2, 1)]
 
 
 def test_raw_files_become_a_data_set(spark, tmp_path):
@@ -163,17 +160,28 @@ def test_raw_files_become_a_data_set(spark, tmp_path):
         folder.mkdir(parents=True, exist_ok=True)
         (folder / f"{sha}-{received[:10]}.json").write_bytes(envelopes.canonical(whole))
 
+    store = jobs.raw_store(spark, f"{tmp_path}/root", "trade_calendar")
+
     def run():
-        jobs.ingest_raw(spark, f"{tmp_path}/raw", f"{tmp_path}/root", "trade_calendar", f"{tmp_path}/ck", f"{tmp_path}/refused").awaitTermination()
-        return {(str(r.calendar_date), r.is_trading_day) for r in catalog.read(spark, f"{tmp_path}/root", "trade_calendar").collect()}
+        jobs.ingest_raw(spark, f"{tmp_path}/raw", f"{tmp_path}/root", "trade_calendar", f"{tmp_path}/ck").awaitTermination()
+        return {(str(r.calendar_date), r.is_trading_day) for r in store.read("trade_calendar", SCHEMAS["trade_calendar"]).collect()}
+
+    def refused():
+        return sorted(list(r.reasons)[0].split(":")[-1].strip() for r in store.read("refused", "path string, source_payload_sha256 string, reasons array<string>").collect())
 
-    put([("2024-01-02", "1"), ("2024-01-06", "0"), ("2024-01-08", "x")], "2024-02-01T00:00:00Z")
+    put([("2024-01-02", "1"), ("2024-01-06", "0")], "2024-02-01T00:00:00Z")
+    put([("2024-01-07", "0"), ("2024-01-08", "x")], "2024-02-01T01:00:00Z")  # one bad row
     put([("2024-01-09", "1")], "2024-02-01T00:00:00Z", broken=True)
     assert run() == {("2024-01-02", True), ("2024-01-06", False)}
-    assert spark.read.parquet(f"{tmp_path}/refused").count() == 1
+    assert len(refused()) == 2 and "content hash" in refused()
     put([("2024-01-02", "1"), ("2024-01-03", "1")], "2024-02-02T00:00:00Z")  # agrees and adds
     put([("2024-01-06", "1"), ("2024-01-04", "1")], "2024-02-03T00:00:00Z")  # disagrees and is refused as a whole
     assert run() == run() == {("2024-01-02", True), ("2024-01-06", False), ("2024-01-03", True)}
+    assert len(refused()) == 3 and "conflict" in refused()
+    # a stream that begins anew finds all payloads known
+    version = store.version().number
+    jobs.ingest_raw(spark, f"{tmp_path}/raw", f"{tmp_path}/root", "trade_calendar", f"{tmp_path}/ck2").awaitTermination()
+    assert store.read("trade_calendar", SCHEMAS["trade_calendar"]).count() == 3 and store.version().number == version + 1
 
 
 def test_checks_are_recorded_or_refused(spark, tmp_path):

@@ -205,7 +205,7 @@ def split(normalized: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
     # reading _row keeps the filter above the parsing: pushed down, its conditions would repeat all of that
     parsed = F.col("_row") >= 0
     good = normalized.filter(parsed & (F.size("errors") == 0)).select(*[F.col(n).cast(SCHEMAS[dataset][n].dataType).alias(n) for n in names])
-    return good, normalized.filter(parsed & (F.size("errors") > 0)).select("path", "row_index", "operation", "errors")
+    return good, normalized.filter(parsed & (F.size("errors") > 0)).select("path", "row_index", "operation", "source_payload_sha256", "errors")
 
 
 def keys_of(dataset: str) -> list[str]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.catalog import ContractError
 from ..sources.scratch import written
+from ..sources.store import Store, Version
 
 
 def _content(columns: list[str]):
@@ -41,13 +42,15 @@ def _settle(disputed: DataFrame, keys: list[str], payload: str, order: str) -> D
     return refused
 
 
-def payload_verdicts(rows: DataFrame, stored: DataFrame, keys: list[str], values: list[str], payload: str = "source_payload_sha256", order: str = "raw_artifact") -> DataFrame:
+def payload_verdicts(rows: DataFrame, stored: DataFrame, keys: list[str], values: list[str], payload: str = "source_payload_sha256", order: str = "raw_artifact", known: DataFrame | None = None) -> DataFrame:
     """(payload, verdict): seen, repeated_key, conflict or accepted.
 
     A payload stored before is skipped; one that repeats a key in itself, or disagrees with stored rows or
-    with an accepted earlier payload (in path order), is refused as a whole.
+    with an accepted earlier payload (in path order), is refused as a whole. stored: of the stored rows at least
+    those with a key of ``rows``; known: the payloads stored before, where ``stored`` doesn't show them all.
     """
-    seen = rows.select(payload).distinct().join(stored.select(payload).distinct(), payload, "left_semi")
+    before = (stored if known is None else known).select(payload).distinct()
+    seen = rows.select(payload).distinct().join(before, payload, "left_semi")
     fresh = written(rows.join(seen, payload, "left_anti"), "payloads-fresh")  # read several times below
     repeated = written(fresh.groupBy(payload, *keys).count().filter("count > 1").select(payload).distinct(), "payloads-repeated")
     content = fresh.join(repeated, payload, "left_anti").select(payload, order, *keys, _content(values).alias("_new"))
@@ -109,9 +112,12 @@ def request_status(requests: DataFrame, stored: DataFrame, key: str, by: str = "
     return requests.join(known, key, "left").groupBy(by).agg(F.count("_there").alias("stored"), F.count_if(F.col("_there").isNull()).alias("pending"))
 
 
-def quarantine(merged: DataFrame, path: str) -> DataFrame:
-    """Appends the conflicts of a strict merge to the quarantine table and gives the rows that may go on."""
-    merged.filter("action = 'conflict'").drop("action").write.mode("append").parquet(path)
+def quarantine(merged: DataFrame, path: str, batch: int | str) -> DataFrame:
+    """Writes the conflicts of a strict merge to the quarantine table and gives the rows that may go on.
+
+    A batch has a folder of its own (``batch=...``), which a repeated run writes anew: nothing comes twice.
+    """
+    merged.filter("action = 'conflict'").drop("action").write.mode("overwrite").parquet(f"{path}/batch={batch}")
     return merged.filter("action <> 'conflict'")
 
 
@@ -131,34 +137,9 @@ def audit_stored(expected: DataFrame, actual: DataFrame, keys: list[str], values
     return every.agg(*[F.sum(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in names])
 
 
-#: No stored file may be larger.
-MOST_BYTES = 2 << 30
-
-
-def publish_segments(frames: dict[str, DataFrame], staging: str, root: str, most_rows: int = 1_000_000, most_bytes: int = MOST_BYTES) -> dict[str, int]:
-    """Appends several data sets: all are staged (and counted while they are written) before the first file moves.
-
-    Files hold at most most_rows rows; one over most_bytes stops everything. Files are moved, not written again,
-    under names that no other call gives. The folders are URIs of one file system.
-    """
-    from pyarrow import fs
-
-    counts, moves = {}, []
-    for name, frame in frames.items():
-        seen = Observation(f"staged-{name}")
-        frame.observe(seen, F.count("*").alias("rows")).write.option("maxRecordsPerFile", most_rows).option("compression", "zstd").mode("errorifexists").parquet(f"{staging}/{name}")
-        counts[name] = seen.get["rows"]
-        storage, folder = fs.FileSystem.from_uri(f"{staging}/{name}" if "://" in staging else f"file://{staging}/{name}")
-        for file in storage.get_file_info(fs.FileSelector(folder)):
-            if file.path.endswith(".parquet"):
-                if file.size > most_bytes:
-                    raise ContractError(f"{file.path} has {file.size} bytes, over {most_bytes}")
-                moves.append((name, file.path))
-    storage, target = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
-    for name, path in moves:
-        storage.create_dir(f"{target}/{name}", recursive=True)
-        storage.move(path, f"{target}/{name}/{path.rsplit('/', 1)[1]}")
-    return counts
+def publish_segments(frames: dict[str, DataFrame], root: str, keys: dict[str, list[str]], most_rows: int = 1_000_000, most_bytes: int = 2 << 30) -> Version:
+    """Adds rows to several data sets at once, in files within both bounds (sources.store)."""
+    return Store(next(iter(frames.values())).sparkSession, root, keys, most_rows, most_bytes).commit(frames)
 
 
 def write_report(report: DataFrame, folder: str) -> str:

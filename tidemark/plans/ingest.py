@@ -117,17 +117,16 @@ def payload_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     fresh = put(orders.filter(block % 3 == 1), F.concat(F.lit("b"), F.lpad(block.cast("string"), 9, "0")))
     # c overlaps b: every fifth block of c disagrees on one key
     other = put(orders.filter(block % 3 == 1).withColumn("v", F.col("v") + F.when((block % 5 == 0) & (n % 100 == 7), 1).otherwise(0)), F.concat(F.lit("c"), F.lpad(block.cast("string"), 9, "0")))
-    twice = put(orders.filter((block % 3 == 2) & (n % 100 < 3)).unionByName(orders.filter((block % 6 == 2) & (n % 100 == 0))), F.concat(F.lit("d"), F.lpad(block.cast("string"), 9, "0")))
+    twice = put(orders.filter(block % 3 == 2).unionByName(orders.filter((block % 6 == 2) & (n % 100 == 0))), F.concat(F.lit("d"), F.lpad(block.cast("string"), 9, "0")))
     return stored, again.unionByName(fresh).unionByName(other).unionByName(twice)
 
 
 @query("""
-    WITH b AS (SELECT DISTINCT o_orderkey // 100 AS block FROM orders), k AS (SELECT DISTINCT o_orderkey // 100 AS block FROM orders WHERE o_orderkey % 100 = 7),
-    t AS (SELECT DISTINCT o_orderkey // 100 AS block FROM orders WHERE o_orderkey % 100 < 3), z AS (SELECT DISTINCT o_orderkey // 100 AS block FROM orders WHERE o_orderkey % 100 = 0)
+    WITH b AS (SELECT DISTINCT o_orderkey // 100 AS block FROM orders), k AS (SELECT DISTINCT o_orderkey // 100 AS block FROM orders WHERE o_orderkey % 100 = 7), z AS (SELECT DISTINCT o_orderkey // 100 AS block FROM orders WHERE o_orderkey % 100 = 0)
     SELECT 'a' || lpad(block::VARCHAR, 9, '0') AS source_payload_sha256, 'seen' AS verdict FROM b WHERE block % 6 = 0
     UNION ALL SELECT 'b' || lpad(block::VARCHAR, 9, '0'), 'accepted' FROM b WHERE block % 3 = 1
     UNION ALL SELECT 'c' || lpad(block::VARCHAR, 9, '0'), CASE WHEN block % 5 = 0 AND block IN (SELECT block FROM k) THEN 'conflict' ELSE 'accepted' END FROM b WHERE block % 3 = 1
-    UNION ALL SELECT 'd' || lpad(block::VARCHAR, 9, '0'), CASE WHEN block % 6 = 2 AND block IN (SELECT block FROM z) THEN 'repeated_key' ELSE 'accepted' END FROM t WHERE block % 3 = 2
+    UNION ALL SELECT 'd' || lpad(block::VARCHAR, 9, '0'), CASE WHEN block % 6 = 2 AND block IN (SELECT block FROM z) THEN 'repeated_key' ELSE 'accepted' END FROM b WHERE block % 3 = 2
 """)
 def ingest_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, incoming = payload_rows(spark, sf_dir)
@@ -135,13 +134,13 @@ def ingest_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderkey AS k, CASE WHEN o_orderkey // 100 % 3 = 1 THEN 'b' ELSE 'd' END AS origin FROM orders
-    WHERE o_orderkey // 100 % 3 = 1 OR (o_orderkey // 100 % 3 = 2 AND o_orderkey % 100 < 3 AND NOT (o_orderkey // 100 % 6 = 2 AND o_orderkey // 100 IN (SELECT o_orderkey // 100 FROM orders WHERE o_orderkey % 100 = 0)))
+    SELECT o_orderkey AS k, CASE WHEN o_orderkey // 100 % 3 = 1 THEN 'b' ELSE 'd' END || lpad((o_orderkey // 100)::VARCHAR, 9, '0') AS source_payload_sha256 FROM orders
+    WHERE o_orderkey // 100 % 3 = 1 OR (o_orderkey // 100 % 3 = 2 AND NOT (o_orderkey // 100 % 6 = 2 AND o_orderkey // 100 IN (SELECT o_orderkey // 100 FROM orders WHERE o_orderkey % 100 = 0)))
 """)
 def ingest_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, incoming = payload_rows(spark, sf_dir)
     verdicts = publish.payload_verdicts(incoming, stored, ["k"], ["v"])
-    return publish.new_rows(incoming, verdicts, stored, ["k"]).select("k", F.substring("source_payload_sha256", 1, 1).alias("origin"))
+    return publish.new_rows(incoming, verdicts, stored, ["k"]).select("k", "source_payload_sha256")
 
 
 @query("WITH " + S.TRACKS + "," + S.UNIVERSE + """,

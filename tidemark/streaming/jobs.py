@@ -14,6 +14,10 @@ from ..operators import normalize, publish
 from ..schemas import KEYS, SCHEMAS, business_columns
 from ..sources import envelopes
 from ..sources.scratch import written
+from ..sources.store import Store
+
+#: The column that names a row's payload.
+PAYLOAD = "source_payload_sha256"
 
 
 def ingest_stream(payloads: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str):
@@ -24,26 +28,41 @@ def ingest_stream(payloads: DataFrame, process: Callable[[DataFrame, int], None]
     return payloads.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_raw(spark: SparkSession, raw_root: str, root: str, dataset: str, checkpoint: str, refused: str | None = None):
-    """The whole chain for one data set: new envelope files are verified, normalised and published under ``root``.
+def raw_store(spark: SparkSession, root: str, dataset: str) -> Store:
+    """The store that ingest_raw fills: the data set, the payloads in it, and what was refused."""
+    return Store(spark, root, {dataset: KEYS[dataset], "payloads": [PAYLOAD]})
+
+
+def ingest_raw(spark: SparkSession, raw_root: str, root: str, dataset: str, checkpoint: str):
+    """The whole chain for one data set: new envelope files are verified, normalised and committed to the store under ``root``.
 
-    Invalid envelopes and rows with errors are left out; with ``refused`` the latter are appended there with
-    their reasons. Which payloads count is decided by content against what is stored, so a batch that runs
-    again, or a file that comes again, adds nothing.
+    A payload with one bad row is refused whole, as is one that repeats a key or disagrees with what is
+    stored; an invalid envelope is refused by its file. All go to ``refused`` (path, payload, reasons) in the same commit as the
+    rows, so a batch that runs again adds nothing anywhere. A batch reads only stored files that may hold
+    one of its keys or payloads. ``root`` belongs to one data set.
     """
-    target, keys = f"{root}/{dataset}", KEYS[dataset]
+    keys = KEYS[dataset]
     values = [c for c in business_columns(dataset) if c not in keys]
-    spark.createDataFrame([], SCHEMAS[dataset]).write.mode("append").parquet(target)  # so that it can be read
+    store = raw_store(spark, root, dataset)
     found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(raw_root)
 
     def process(batch: DataFrame, number: int) -> None:
-        raw = envelopes.raw_rows(written(envelopes.verify(batch), "ingest-envelopes"))
-        good, bad = normalize.split(normalize.normalize(raw, dataset), dataset)
-        good, stored = written(good, "ingest-normalised"), spark.read.schema(SCHEMAS[dataset]).parquet(target)
-        verdicts = written(publish.payload_verdicts(good, stored, keys, values), "ingest-verdicts")
-        written(publish.new_rows(good, verdicts, stored, keys).select(SCHEMAS[dataset].names), "ingest-new").write.mode("append").parquet(target)
-        if refused is not None:
-            bad.withColumn("batch", F.lit(number)).write.mode("append").parquet(refused)
+        version = store.version()
+        if version.done.get(checkpoint, -1) >= number:
+            return
+        checked = written(envelopes.verify(batch), "ingest-envelopes")
+        rows = written(normalize.normalize(envelopes.raw_rows(checked), dataset), "ingest-normalised")
+        good, bad = normalize.split(rows, dataset)
+        faulty = bad.groupBy("path", PAYLOAD).agg(F.array_sort(F.collect_set(F.concat(F.col("row_index").cast("string"), F.lit(": "), F.array_join("errors", "; ")))).alias("reasons"))  # one payload's rows
+        faulty = written(faulty, "ingest-faulty")
+        good = written(good.join(faulty.select(PAYLOAD).distinct(), PAYLOAD, "left_anti").select(SCHEMAS[dataset].names), "ingest-good")
+        stored = store.holding(dataset, good.select(*keys), SCHEMAS[dataset], version)
+        known = store.holding("payloads", good.select(PAYLOAD), f"{PAYLOAD} string", version)
+        verdicts = written(publish.payload_verdicts(good, stored, keys, values, known=known), "ingest-verdicts")
+        judged = verdicts.filter("verdict IN ('repeated_key', 'conflict')").join(good.select(PAYLOAD, F.col("raw_artifact").alias("path")).distinct(), PAYLOAD)
+        refused = faulty.unionByName(judged.select("path", PAYLOAD, F.array("verdict").alias("reasons"))).unionByName(checked.filter("NOT valid").select("path", F.lit(None).cast("string").alias(PAYLOAD), F.array("reason").alias("reasons")))
+        accepted = verdicts.filter("verdict = 'accepted'").select(PAYLOAD)
+        store.commit({dataset: publish.new_rows(good, verdicts, stored, keys).select(SCHEMAS[dataset].names), "payloads": accepted, "refused": refused}, checkpoint, number)
 
     return ingest_stream(found, process, checkpoint)
 
