@@ -97,13 +97,23 @@ def samples(found: DataFrame, most: int = 100, issues: list[str] | None = None)
     return out
 
 
+#: Codes that one row may hold: a market's instruments, many times over.
+MOST_CODES = 1_000_000
+
+
+def _one_row(codes: DataFrame) -> DataFrame:
+    """All codes as one array, to be exploded where the days are; more than MOST_CODES are an error."""
+    one = codes.agg(F.sort_array(F.collect_set("code")).alias("codes"))
+    return F.broadcast(one.filter(F.assert_true(F.size("codes") <= MOST_CODES, F.lit(f"more than {MOST_CODES} codes")).isNull()))
+
+
 def opening_pairs(calendar: DataFrame, universe: DataFrame, codes: DataFrame) -> DataFrame:
     """The (trade_date, code) pairs that need an opening bar: tradable members of the universe, and all codes on trading days without one."""
     trading = calendar.filter("is_trading_day").select(F.col("calendar_date").alias("trade_date"))
     known = universe.select(F.col("snapshot_date").alias("trade_date"), "code", "trade_status").join(codes, "code", "left_semi")
     without = trading.join(known.select("trade_date").distinct(), "trade_date", "left_anti")
     # every code on such a day is what is expected there: the grid is the result itself
-    filled = without.withColumn("_", F.lit(0)).join(codes.select("code").distinct().withColumn("_", F.lit(0)), "_").select(*PAIR)
+    filled = without.crossJoin(_one_row(codes)).select("trade_date", F.explode("codes").alias("code"))
     return known.filter("trade_status").join(trading, "trade_date", "left_semi").select(*PAIR).unionByName(filled)
 
 
@@ -161,6 +171,51 @@ def assemble(decisions: DataFrame, calendar: DataFrame, universe: DataFrame, pai
     return rows.select("decision_date", "code", "through", "signal_close", "execution_close", checks.alias("checks"))
 
 
+def _prefix_counts(events: DataFrame, questions: DataFrame, by: list[str]) -> DataFrame:
+    """(by, day, upto): the sum of n over the events (by, day, n) up to each day asked for (by, day). One sorted pass, no pairs."""
+    both = events.select(*by, "day", "n", F.lit(0).alias("asks")).unionByName(questions.select(*by, "day", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asks")).distinct())
+    upto = F.sum("n").over(W.partitionBy(*by).orderBy("day", "asks").rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("upto", upto).filter("asks = 1").select(*by, "day", "upto")
+
+
+def history_gaps(decisions: DataFrame, calendar: DataFrame, universe: DataFrame, paired: DataFrame) -> DataFrame:
+    """``decisions`` with missing_dates, missing_bars and ``checks`` for the history each of them looks at.
+
+    decisions: decision_date, code, history_start, through. Every date from history_start to decision_date is in the
+    calendar, and every day up to ``through`` on which the code is a trading member has a bar on both tracks. A
+    range's gap is the difference of two running counts: of calendar days (one row a day), and of missing bars by code.
+    Null bounds have no gaps to count.
+    """
+    before = F.date_sub("history_start", 1)
+    dates = calendar.select(F.col("calendar_date").alias("day"), F.lit(1).cast("long").alias("n")).distinct()
+    spans = decisions.select("history_start", "decision_date").distinct()
+    asked = spans.select(F.col("decision_date").alias("day")).unionByName(spans.select(before.alias("day"))).filter("day IS NOT NULL")
+    known = _prefix_counts(dates.withColumn("one", F.lit(0)), asked.withColumn("one", F.lit(0)), ["one"])  # days of a calendar
+    count = lambda name: known.select(F.col("day").alias(f"_{name}_day"), F.col("upto").alias(f"_{name}"))
+    spans = spans.join(count("last"), F.col("decision_date") == F.col("_last_day"), "left").join(count("first"), before == F.col("_first_day"), "left")
+    spans = spans.select("history_start", "decision_date", (F.datediff("decision_date", "history_start") + 1 - (F.col("_last") - F.col("_first"))).cast("long").alias("missing_dates"))
+
+    there = paired.filter("pairing = 'paired'").select(F.col("trade_date").alias("day"), "code").distinct().withColumn("_there", F.lit(True))
+    gaps = universe.filter("trade_status").select(F.col("snapshot_date").alias("day"), "code").distinct().join(there, ["day", "code"], "left")
+    gaps = gaps.filter("_there IS NULL").select("code", "day", F.lit(1).cast("long").alias("n"))
+    asked = decisions.select("code", F.col("through").alias("day")).unionByName(decisions.select("code", before.alias("day"))).filter("day IS NOT NULL")
+    lacking = _prefix_counts(gaps, asked, ["code"])
+    lack = lambda name: lacking.select(F.col("code").alias(f"_{name}_code"), F.col("day").alias(f"_{name}_bar_day"), F.col("upto").alias(f"_{name}_bars"))
+    rows = decisions.join(spans, ["history_start", "decision_date"], "left")
+    rows = rows.join(lack("last"), (F.col("code") == F.col("_last_code")) & (F.col("through") == F.col("_last_bar_day")), "left").join(lack("first"), (F.col("code") == F.col("_first_code")) & (before == F.col("_first_bar_day")), "left")
+    missing = F.greatest(F.coalesce(F.col("_last_bars") - F.col("_first_bars"), F.lit(0)), F.lit(0))
+    rows = rows.withColumns({"missing_dates": F.coalesce("missing_dates", F.lit(0)), "missing_bars": missing})
+    checks = F.array_compact(F.array(F.when(F.col("missing_dates") > 0, F.lit("calendar_incomplete")), F.when(F.col("missing_bars") > 0, F.lit("history_bar_missing"))))
+    return rows.select(*decisions.columns, "missing_dates", "missing_bars", checks.alias("checks"))
+
+
+def required_missing(days: DataFrame, codes: list[str], universe: DataFrame) -> DataFrame:
+    """(decision_date, code, check): required codes that a decision day's universe lacks."""
+    wanted = days.select("decision_date").distinct().withColumn("code", F.explode(F.array(*map(F.lit, codes))))
+    known = universe.select(F.col("snapshot_date").alias("decision_date"), "code").distinct()
+    return wanted.join(known, ["decision_date", "code"], "left_anti").withColumn("check", F.lit("required_code_missing"))
+
+
 def universe_view(days: DataFrame, positions: DataFrame, calendar: DataFrame, universe: DataFrame, paired: DataFrame, *, members: DataFrame | None = None, fixed: DataFrame | None = None, opening: bool = False) -> DataFrame:
     """What each decision day looks at: its members (or, with ``fixed``, the same codes every day) and what is held besides.
 
@@ -168,8 +223,7 @@ def universe_view(days: DataFrame, positions: DataFrame, calendar: DataFrame, un
     ``assemble``; what is only held is there for valuation (is_candidate false). Histories: ``features.history_window``.
     """
     if fixed is not None:  # the same codes on every day: that grid is the view itself
-        codes = fixed.select("code").distinct().withColumn("_", F.lit(0))
-        members = days.select(F.col("decision_date").alias("trade_date")).withColumn("_", F.lit(0)).join(codes, "_").drop("_")
+        members = days.select(F.col("decision_date").alias("trade_date")).crossJoin(_one_row(fixed)).select("trade_date", F.explode("codes").alias("code"))
     both = candidates(members, positions).withColumnRenamed("trade_date", "decision_date").join(days.select("decision_date").distinct(), "decision_date", "left_semi")
     return assemble(both, calendar, universe, paired, opening=opening).join(both, ["decision_date", "code"])
 

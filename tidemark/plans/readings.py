@@ -180,7 +180,7 @@ def benchmark_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.benchmark_returns(days, changes).select("trade_date", F.round("benchmark_return", 8).alias("benchmark_return"), "missing")
 
 
-ASKED = "SELECT snapshot_date, code, true AS is_candidate FROM universe WHERE snapshot_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'"
+ASKED = "SELECT snapshot_date, code, true AS is_candidate FROM universe"
 
 
 def _assembly(through: str, asked: str = ASKED, more: str = "") -> str:
@@ -204,7 +204,7 @@ def _assembly(through: str, asked: str = ASKED, more: str = "") -> str:
 
 def _assembled(spark: SparkSession, sf_dir: str, opening: bool) -> DataFrame:
     bars = written(S.paired_bars(spark, sf_dir), "bars")
-    decisions = S.universe(spark, sf_dir).filter("snapshot_date BETWEEN DATE'1995-01-01' AND DATE'1996-12-31'").withColumnRenamed("snapshot_date", "decision_date")
+    decisions = S.universe(spark, sf_dir).withColumnRenamed("snapshot_date", "decision_date")
     out = coverage.assemble(decisions, _calendar(bars), _universe(_span(bars)), trading.pair_tracks(*S.tracks(bars)), opening=opening)
     return out.withColumn("checks", F.array_join("checks", ","))
 
@@ -219,23 +219,51 @@ def snapshot_assembly_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assembled(spark, sf_dir, True)
 
 
+@query("WITH " + COVER + "," + S.UNIVERSE + """,
+    q AS (SELECT snapshot_date AS decision_date, code, CAST(snapshot_date - INTERVAL 30 DAY AS DATE) AS history_start FROM universe),
+    span AS (SELECT decision_date, any_value(history_start) AS history_start, 31 - (SELECT count(*) FROM cal WHERE calendar_date BETWEEN any_value(history_start) AND decision_date) AS missing_dates FROM q GROUP BY 1),
+    gap AS (
+        SELECT u.trade_date, u.code FROM uni u WHERE trade_status AND NOT EXISTS (
+            SELECT 1 FROM signal s JOIN execution e ON s.code = e.code AND s.trade_date = e.trade_date WHERE s.volume = e.volume AND s.code = u.code AND s.trade_date = u.trade_date)
+    ),
+    m AS (SELECT q.decision_date, q.code, q.history_start, missing_dates, count(g.code) AS missing_bars FROM q JOIN span ON span.decision_date = q.decision_date LEFT JOIN gap g ON g.code = q.code AND g.trade_date BETWEEN q.history_start AND q.decision_date GROUP BY ALL)
+    SELECT *, array_to_string(list_filter([CASE WHEN missing_dates > 0 THEN 'calendar_incomplete' END, CASE WHEN missing_bars > 0 THEN 'history_bar_missing' END], lambda x: x IS NOT NULL), ',') AS checks FROM m
+""")
+def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = written(S.paired_bars(spark, sf_dir), "bars")
+    day = F.col("snapshot_date")
+    decisions = S.universe(spark, sf_dir).select(day.alias("decision_date"), "code", F.date_sub(day, 30).alias("history_start"), day.alias("through"))
+    out = coverage.history_gaps(decisions, _calendar(bars), _universe(_span(bars)), trading.pair_tracks(*S.tracks(bars)))
+    return out.select("decision_date", "code", "history_start", "missing_dates", "missing_bars", F.array_join("checks", ",").alias("checks"))
+
+
+@query("WITH " + COVER + "," + S.UNIVERSE + """
+    SELECT decision_date, code, 'required_code_missing' AS "check" FROM (SELECT DISTINCT snapshot_date AS decision_date FROM universe), (SELECT unnest(['brand#11', 'brand#23', 'index#1']) AS code) r
+    WHERE NOT EXISTS (SELECT 1 FROM uni u WHERE u.trade_date = decision_date AND u.code = r.code)
+""")
+def required_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = S.paired_bars(spark, sf_dir)
+    days = S.universe(spark, sf_dir).select(F.col("snapshot_date").alias("decision_date"))
+    return coverage.required_missing(days, ["brand#11", "brand#23", "index#1"], _universe(_span(bars)))
+
+
 HELD_TOO = """
     SELECT coalesce(u.snapshot_date, h.snapshot_date) AS snapshot_date, coalesce(u.code, h.code) AS code, u.code IS NOT NULL AS is_candidate
-    FROM (SELECT * FROM universe WHERE snapshot_date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31') u
-    FULL JOIN (SELECT trade_date + 1 AS snapshot_date, code FROM bars WHERE volume % 7 = 0 AND trade_date + 1 IN (SELECT snapshot_date FROM universe WHERE snapshot_date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31')) h
+    FROM universe u
+    FULL JOIN (SELECT trade_date + 1 AS snapshot_date, code FROM bars WHERE volume % 7 = 0 AND trade_date + 1 IN (SELECT snapshot_date FROM universe)) h
     ON u.snapshot_date = h.snapshot_date AND u.code = h.code
 """
 FIXED = """
     SELECT coalesce(u.snapshot_date, h.snapshot_date) AS snapshot_date, coalesce(u.code, h.code) AS code, u.code IS NOT NULL AS is_candidate
-    FROM (SELECT DISTINCT snapshot_date, c AS code FROM universe, (SELECT unnest(['brand#11', 'brand#12', 'brand#13']) AS c) WHERE snapshot_date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31') u
-    FULL JOIN (SELECT trade_date + 1 AS snapshot_date, code FROM bars WHERE volume % 7 = 0 AND trade_date + 1 IN (SELECT snapshot_date FROM universe WHERE snapshot_date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31')) h
+    FROM (SELECT DISTINCT snapshot_date, c AS code FROM universe, (SELECT unnest(['brand#11', 'brand#12', 'brand#13']) AS c)) u
+    FULL JOIN (SELECT trade_date + 1 AS snapshot_date, code FROM bars WHERE volume % 7 = 0 AND trade_date + 1 IN (SELECT snapshot_date FROM universe)) h
     ON u.snapshot_date = h.snapshot_date AND u.code = h.code
 """
 
 
 def _view(spark: SparkSession, sf_dir: str, codes: list[str] | None) -> DataFrame:
     bars = written(S.paired_bars(spark, sf_dir), "bars")
-    members = S.universe(spark, sf_dir).filter("snapshot_date BETWEEN DATE'1995-01-01' AND DATE'1995-12-31'").withColumnRenamed("snapshot_date", "trade_date")
+    members = S.universe(spark, sf_dir).withColumnRenamed("snapshot_date", "trade_date")
     held = bars.filter("volume % 7 = 0").select(F.date_add("trade_date", 1).alias("trade_date"), "code")
     days = members.select(F.col("trade_date").alias("decision_date")).distinct()
     fixed = None if codes is None else spark.createDataFrame([(c,) for c in codes], "code string")
