@@ -22,6 +22,9 @@ from pyspark.sql import Window as W
 
 from .common import Tables, by_slices
 
+#: Hashes of rows lie between 0 and this.
+SPAN = 1 << 62
+
 #: Result for a text without a letter.
 UNDETERMINED = "und"
 
@@ -43,16 +46,22 @@ def _drawn(docs: DataFrame, sample_rows: int, row_chars: int, id_col: str, text_
     """(lang, h, passage): of each language the sample_rows distinct (id, text) with the smallest hash h, of those with row_chars characters at most.
 
     Where a language has only longer texts, the shortest of them. Only languages, hashes and lengths are
-    shuffled to choose; a task passes on sample_rows of each language.
+    shuffled to choose. Hashes spread evenly, so a bound that about four times sample_rows of them fall
+    below leaves just these to be put in order.
     """
-    hashed = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    hashed = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(SPAN))
     rows = docs.filter(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull() & ~held_out(id_col))
     rows = rows.select(F.col(lang_col).alias("lang"), hashed.alias("h"), F.length(text_col).alias("n"), F.col(text_col).alias("passage"))
     over = F.when(F.col("n") > row_chars, F.col("n")).otherwise(0)
-    distinct = rows.select("lang", "h", over.alias("over")).groupBy("lang", "h").agg(F.min("over").alias("over"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy("over", "h"))
-    chosen = distinct.withColumn("place", place).filter(F.col("place") <= sample_rows).filter("over = 0 OR place = 1")
-    chosen = tables.cut(chosen.select("lang", "h"), "language-sample")
+    distinct = tables.cut(rows.select("lang", "h", over.alias("over")).groupBy("lang", "h").agg(F.min("over").alias("over")), "language-rows")
+    short = F.count(F.when(F.col("over") == 0, 1)).alias("short")
+    # a row for each language
+    counts = tables.cut(distinct.groupBy("lang").agg(short, F.min_by("h", F.struct("over", "h")).alias("shortest")), "language-counts")
+    share = F.least(F.lit(1.0), 4.0 * sample_rows / F.greatest("short", F.lit(1)))
+    low = (F.col("short") > 0) & (F.col("over") == 0) & ((share == 1.0) | (F.col("h") < share * SPAN))
+    near = distinct.join(counts, "lang").filter(low | ((F.col("short") == 0) & (F.col("h") == F.col("shortest"))))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    chosen = tables.cut(near.withColumn("place", place).filter(F.col("place") <= sample_rows).select("lang", "h"), "language-sample")
     # sample_rows rows of two columns for each language
     return rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "passage").dropDuplicates(["lang", "h"])
 
