@@ -79,12 +79,18 @@ def dataset_summary(df: DataFrame, name: str, keys: list[str], provenance: list[
     return by_key.agg(F.lit(name).alias("dataset"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_keys"), F.coalesce(F.sum("l"), F.lit(0)).alias("without_provenance"))
 
 
-def quality_issues(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Issue counts: bars off the trading calendar (days it lacks count; an empty calendar raises none) and invalid OHLC."""
+def quality_issues(bars: DataFrame, calendar: DataFrame, five_minute: DataFrame | None = None) -> DataFrame:
+    """(issue, n, status): bars off the trading calendar (days it lacks count; an empty calendar raises none), invalid OHLC of daily and of five-minute bars.
+
+    status is failed where there is an issue, else passed; the data are as good as their worst row here.
+    """
     known = calendar.filter("is_trading_day").select(F.col("calendar_date").alias("trade_date"))
     marks = bars.join(known, "trade_date", "left_anti").select(F.lit("off").alias("mark")).unionByName(calendar.limit(1).select(F.lit("some").alias("mark")))
     off = marks.agg(F.lit("bar_on_non_trading_date").alias("issue"), F.when(F.count_if(F.col("mark") == "some") > 0, F.count_if(F.col("mark") == "off")).otherwise(0).alias("n"))
-    return off.unionByName(bars.agg(F.lit("invalid_ohlc").alias("issue"), F.count_if(~valid_ohlc()).alias("n")))
+    found = off.unionByName(bars.agg(F.lit("invalid_ohlc").alias("issue"), F.count_if(~valid_ohlc()).alias("n")))
+    if five_minute is not None:
+        found = found.unionByName(five_minute.agg(F.lit("invalid_five_minute_ohlc").alias("issue"), F.count_if(~valid_ohlc()).alias("n")))
+    return found.withColumn("status", F.when(F.col("n") > 0, "failed").otherwise("passed"))
 
 
 def provenance_bounds(tables: list[DataFrame]) -> DataFrame:

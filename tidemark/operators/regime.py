@@ -52,6 +52,21 @@ def regime_features(bars: DataFrame, lookback: int = 20, annual: int = 252) -> D
     return kept.select("trade_date", "trend_return", "annualized_volatility", "breadth", "average_turnover", "concentration", F.lit(0.0).alias("opening_return"), "universe_size", "daily_coverage")
 
 
+def regime_gates(bars: DataFrame, lookback: int = 20) -> DataFrame:
+    """(trade_date, gate, value, least) for each day that has no features, and why: too few codes, or too few of them covered.
+
+    bars as in regime_features; value is what the day has of what the gate asks at least.
+    """
+    priced = bars.filter("trade_status AND signal_close IS NOT NULL AND amount IS NOT NULL AND turnover IS NOT NULL")
+    seen = priced.withColumn("before", F.lag("signal_close", lookback).over(by_code())).filter("before IS NOT NULL")
+    covered = seen.groupBy("trade_date").agg(F.count("*").alias("covered"))
+    days = bars.groupBy("trade_date").agg(F.count("*").alias("size")).join(covered, "trade_date", "left")
+    share = F.coalesce("covered", F.lit(0)) / F.col("size")
+    gate = lambda name, value, least: F.when(value < least, F.struct(F.lit(name).alias("gate"), value.cast("double").alias("value"), F.lit(float(least)).alias("least")))
+    failed = F.array_compact(F.array(gate("universe_size", F.col("size"), MINIMUM_UNIVERSE), gate("daily_coverage", share, MINIMUM_COVERAGE)))
+    return days.select("trade_date", F.explode(failed).alias("g")).select("trade_date", "g.*")
+
+
 def with_opening(features: DataFrame, opening: DataFrame) -> DataFrame:
     """Replaces opening_return by the amount-weighted return of the checkpoint bars; days under the coverage are left out.
 

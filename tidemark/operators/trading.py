@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.market import at_limit, fees, limit_ratio, lot_size, target_quantity
+from ..functions.market import at_limit, fees, limit_price, limit_ratio, lot_size, target_quantity
 from .features import by_code
 
 NO_RANK = 10_000
@@ -42,6 +42,17 @@ def market_lookup(requests: DataFrame, bars: DataFrame) -> DataFrame:
     return found.withColumn("suspended", F.coalesce(~F.col("trade_status"), F.lit(True))).withColumn("is_st", F.coalesce("is_st", F.lit(False)))
 
 
+def opening_auction(requests: DataFrame, bars: DataFrame) -> DataFrame:
+    """What is known of a day's opening auction: the open as last price, the day's limits, nothing traded yet.
+
+    requests: code, trade_date; bars: code, trade_date, open, previous_close. A request without a bar has no row.
+    """
+    limit = lambda upper: limit_price(F.col("previous_close"), limit_ratio(F.col("code")), upper)
+    known = requests.select("code", "trade_date").join(bars.select("code", "trade_date", "open", "previous_close"), ["code", "trade_date"])
+    nothing = F.lit(0.0)
+    return known.select("code", "trade_date", "open", F.col("open").alias("last"), limit(True).alias("limit_up"), limit(False).alias("limit_down"), nothing.alias("volume"), nothing.alias("total_turnover"))
+
+
 def equity(positions: DataFrame, keys: list[str]) -> DataFrame:
     """keys, equity: cash and priced quantities. positions: keys, cash, quantity, price."""
     return positions.groupBy(*keys).agg((F.max("cash") + F.sum(F.col("quantity") * F.col("price"))).alias("equity"))
@@ -119,7 +130,9 @@ def planned_buys(risk: DataFrame, cash: DataFrame, most: int = 8) -> DataFrame:
     delta = desired - F.coalesce("quantity", F.lit(0))
     asked = made.withColumn("asked", (delta - delta % F.col("lot")).cast("long")).filter((F.col("asked") > 0) & ~at_limit(F.col("execution_close"), F.col("previous_close"), ratio, True))
     order = F.struct("rank", "code", "asked", "lot", F.col("execution_close").cast("decimal(12,2)").alias("price"))
-    days = asked.groupBy("trade_date").agg(F.slice(F.sort_array(F.collect_list(order)), 1, most).alias("orders")).join(cash, "trade_date")
+    # ranked first: of a day's orders no more than ``most`` are ever held together
+    first = asked.withColumn("_n", F.row_number().over(W.partitionBy("trade_date").orderBy("rank", "code"))).filter(F.col("_n") <= most)
+    days = first.groupBy("trade_date").agg(F.sort_array(F.collect_list(order)).alias("orders")).join(cash, "trade_date")
     kind = "struct<cash:decimal(24,2),out:array<struct<code:string,quantity:bigint,price:decimal(12,2),fees:decimal(20,2)>>>"
 
     def step(state, o):

@@ -80,13 +80,18 @@ def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + S.CALENDAR + """
-    SELECT 'bar_on_non_trading_date' AS issue, count(*) AS n FROM bars b LEFT JOIN (SELECT * FROM calendar WHERE is_trading_day AND extract('isodow' FROM calendar_date) <= 5) c ON trade_date = calendar_date WHERE calendar_date IS NULL
-    UNION ALL SELECT 'invalid_ohlc', count(*) FROM bars WHERE NOT (high >= greatest(execution_close, low, signal_close) AND low <= least(execution_close, high, signal_close))
+    SELECT *, CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END AS status FROM (
+        SELECT 'bar_on_non_trading_date' AS issue, count(*) AS n FROM bars b LEFT JOIN (SELECT * FROM calendar WHERE is_trading_day AND extract('isodow' FROM calendar_date) <= 5) c ON trade_date = calendar_date WHERE calendar_date IS NULL
+        UNION ALL SELECT 'invalid_ohlc', count(*) FROM bars WHERE NOT (high >= greatest(execution_close, low, signal_close) AND low <= least(execution_close, high, signal_close))
+        UNION ALL SELECT 'invalid_five_minute_ohlc', count(*) FROM lineitem WHERE round(l_extendedprice / l_quantity, 2) <= 0 OR l_discount > 0.09)
 """)
 def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = S.paired_bars(spark, sf_dir)
     days = S.calendar(bars).withColumn("is_trading_day", F.col("is_trading_day") & (F.weekday("calendar_date") < 5))
-    return quality.quality_issues(bars.withColumn("open", F.col("execution_close")).withColumn("close", F.col("signal_close")), days)
+    # order lines as five-minute bars; those with the largest discount have a low above their close
+    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    short = S.table(spark, sf_dir, "lineitem").select(price.alias("open"), price.alias("high"), F.when(F.col("l_discount") > 0.09, price + 1).otherwise(price).alias("low"), price.alias("close"))
+    return quality.quality_issues(bars.withColumn("open", F.col("execution_close")).withColumn("close", F.col("signal_close")), days, short)
 
 
 @query("WITH " + S.CALENDAR + """
@@ -343,6 +348,15 @@ def regime_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("trade_date", r6("trend_return"), r6("annualized_volatility"), r6("breadth"), r6("average_turnover"), r6("concentration"), "universe_size", r6("daily_coverage"))
 
 
+@query("WITH " + REGIME + """,
+    c AS (SELECT s.trade_date, universe_size, coalesce(covered, 0) AS covered FROM size s LEFT JOIN (SELECT trade_date, count(*) AS covered FROM seen GROUP BY 1) k ON k.trade_date = s.trade_date)
+    SELECT trade_date, 'universe_size' AS gate, universe_size::DOUBLE AS value, 5.0::DOUBLE AS least FROM c WHERE universe_size < 5
+    UNION ALL SELECT trade_date, 'daily_coverage', round(covered / universe_size, 8), 0.8::DOUBLE FROM c WHERE covered / universe_size < 0.8
+""")
+def regime_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regime.regime_gates(S.paired_bars(spark, sf_dir)).select("trade_date", "gate", r8("value"), "least")
+
+
 LABELS = REGIME + """,
     terms AS (
         SELECT *, least(greatest(trend_return / 0.08, -2), 2) AS t, least(greatest((annualized_volatility - 0.2) / 0.15, -2), 2) AS v, least(greatest((breadth - 0.5) / 0.25, -2), 2) AS b,
@@ -506,6 +520,17 @@ def latest_price_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trading.latest_price(bars, bars.select("code", F.trunc("trade_date", "month").alias("as_of")).distinct())
 
 
+@query("WITH " + S.BARS + "," + S.UNIVERSE + """,
+    b AS (SELECT *, lag(execution_close) OVER (PARTITION BY code ORDER BY trade_date) AS previous_close FROM bars)
+    SELECT u.code, snapshot_date AS trade_date, execution_close AS open, execution_close AS last, round(CAST(previous_close AS DECIMAL(20,6)) * 1.10, 2)::DOUBLE AS limit_up, round(CAST(previous_close AS DECIMAL(20,6)) * 0.90, 2)::DOUBLE AS limit_down,
+           0.0::DOUBLE AS volume, 0.0::DOUBLE AS total_turnover FROM universe u JOIN b ON u.code = b.code AND snapshot_date = trade_date
+""")
+def opening_auction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = S.paired_bars(spark, sf_dir).withColumn("previous_close", F.lag("execution_close").over(features.by_code())).withColumn("open", F.col("execution_close"))
+    out = trading.opening_auction(S.universe(spark, sf_dir).withColumnRenamed("snapshot_date", "trade_date"), bars)
+    return out.withColumns({c: F.col(c).cast("double") for c in ("limit_up", "limit_down")})
+
+
 @query("WITH " + S.BARS + "," + S.UNIVERSE + """
     SELECT snapshot_date AS trade_date, u.code, coalesce(NOT trade_status, true) AS suspended, coalesce(is_st, false) AS is_st FROM universe u LEFT JOIN bars b ON u.code = b.code AND snapshot_date = trade_date
 """)
