@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import allocate, trading
 from .allocate import CAP, POSITIONS
 
 DRAFT_SCHEMA = "decision_id string, snapshot_id string, generated_at timestamp, valid_until timestamp, risk_scale string, strategy_weights array<struct<strategy:string,weight:string>>, evidence array<struct<evidence_id:string>>"
@@ -77,8 +78,9 @@ def overlay_outcomes(drafts: DataFrame, blended: DataFrame, base: DataFrame, mov
     return rows.withColumn("reasons", reasons).withColumn("outcome", outcome).select(*keys, "outcome", "reasons")
 
 
-def blend(weights: DataFrame, keys: list[str], risk_scale: float = 1.0, cap: float = CAP, most: int = POSITIONS) -> DataFrame:
-    """Targets of several strategies times their share (mix) and a risk scale: summed, capped, the largest few, cut to 8 digits."""
+def blend(weights: DataFrame, keys: list[str], risk_scale: float | str = 1.0, cap: float = CAP, most: int = POSITIONS) -> DataFrame:
+    """Targets of several strategies times their share (mix) and a risk scale (a number or a column of weights): summed, capped, the largest few, cut to 8 digits."""
+    risk_scale = F.col(risk_scale) if isinstance(risk_scale, str) else risk_scale
     summed = weights.groupBy(*keys, "code").agg(F.sum(F.col("weight") * F.col("mix") * risk_scale).alias("w"), F.min("rank").alias("rank")).filter(F.col("w") >= 1e-8)
     order = W.partitionBy(*keys).orderBy(F.desc(F.round("w", 12)), "code")
     kept = summed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
@@ -93,6 +95,32 @@ def accepted_targets(blended: DataFrame, base: DataFrame, moved: DataFrame, erro
     return mine.unionByName(base.join(good, keys, "left_anti").select(*keys, "code", "weight", "rank", F.lit("base").alias("origin")))
 
 
+def evaluate(drafts: DataFrame, pool: DataFrame, base: DataFrame, positions: DataFrame, states: DataFrame, equities: DataFrame, approved: list[str], *, max_change: float = 0.20, max_turnover: float = 0.10) -> tuple[DataFrame, DataFrame]:
+    """Outcomes and targets of a decision day's draft, from one plan: (trade_date, outcome, reasons) and (trade_date, code, weight, rank, origin).
+
+    drafts: trade_date and what proposal_errors reads, one a day; pool: trade_date, strategy, code, weight, rank;
+    base: the day's own target. Each draft's mix and risk scale make its target from the pool; that target's gross
+    and turnover are held against the base's, and the hard risk rules judge its changes against positions, states
+    and equities as in ``trading.hard_risk``. A base target is kept unless all of it holds, and when the draft is no change.
+    """
+    keys = ["trade_date"]
+    judged = proposal_errors(drafts, approved, max_change)
+    scale = F.col("draft.risk_scale").try_cast("double")
+    given = lambda s: F.aggregate(F.filter("draft.strategy_weights", lambda x: x["strategy"] == s), F.lit(0.0), lambda a, x: a + x["weight"].try_cast("double"))
+    same = scale == 1.0
+    for s in approved:
+        same = same & (F.abs(given(s) - F.coalesce(F.try_element_at(F.col("base_weights"), F.lit(s)), F.lit(0.0))) < 1e-12)
+    shares = judged.select(*keys, scale.alias("scale"), F.explode("draft.strategy_weights").alias("x")).select(*keys, "scale", F.col("x.strategy").alias("strategy"), F.col("x.weight").try_cast("double").alias("mix"))
+    blended = blend(pool.join(shares, [*keys, "strategy"]), keys, "scale")
+    moved = allocate.turnover(base, blended, keys)
+    refused = trading.hard_risk(blended, positions, states, equities).filter("reason IS NOT NULL")
+    outcomes = overlay_outcomes(judged.select(*keys, "errors", F.coalesce(same, F.lit(False)).alias("unchanged")), blended, base, moved, refused, keys, max_turnover)
+    mine = outcomes.filter("outcome = 'applied'").select(*keys)
+    names = [*keys, "code", "weight", "rank"]
+    targets = blended.join(mine, keys, "left_semi").select(*names, F.lit("overlay").alias("origin")).unionByName(base.join(mine, keys, "left_anti").select(*names, F.lit("base").alias("origin")))
+    return outcomes, targets
+
+
 def evidence_rows(labels: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Named values of a decision as rows."""
     return labels.select(*keys, *[F.col(n).cast("double").alias(n) for n in names]).unpivot(keys, names, "evidence", "value")

@@ -11,6 +11,7 @@ from ..functions import hashing
 from ..functions import market as rules
 from ..operators import allocate, coverage, evaluation, ledger, overlay, publish, quality, regime, trading
 from ..sources import requests
+from ..sources.scratch import written
 from . import ingest, market
 from . import standins as S
 
@@ -313,3 +314,61 @@ def overlay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     blended = weights(F.when(F.col("decision") % 5 == 0, 0.9).otherwise(0.5))
     out = overlay.overlay_outcomes(judged, blended, weights(F.lit(0.6)), moved, keys.filter("decision % 19 = 0").withColumn("code", F.lit("a")), ["decision"])
     return out.select("decision", "outcome", F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
+
+
+_BLENDED = """
+    day AS (SELECT DISTINCT trade_date, date_diff('day', DATE '1970-01-01', trade_date) AS d FROM weights),
+    draft AS (SELECT *, [0.5, 0.55, 0.6, 0.65, 0.7][d % 5 + 1]::DOUBLE AS m, [0.5, 0.45, 0.4, 0.35, 0.3][d % 5 + 1]::DOUBLE AS r, [1.0, 0.9, 0.8][d % 3 + 1]::DOUBLE AS scale FROM day),
+    both_ AS (SELECT w.trade_date, strategy, code, rank, weight, CASE strategy WHEN 'momentum' THEN m ELSE r END AS mix, CASE strategy WHEN 'momentum' THEN 0.6 ELSE 0.4 END::DOUBLE AS own, scale FROM weights w JOIN draft ON draft.trade_date = w.trade_date WHERE strategy IN ('momentum', 'short_term_reversal')),
+    summed AS (SELECT trade_date, code, sum(weight * mix * scale) AS w, sum(weight * own * 1.0::DOUBLE) AS b, min(rank) AS rank FROM both_ GROUP BY ALL),
+    blended AS (SELECT trade_date, code, rank, floor(least(w, 0.2) * 1e8 + 1e-6) / 1e8 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY round(w, 12) DESC, code) AS place FROM summed WHERE w >= 1e-8) WHERE place <= 8),
+    own AS (SELECT trade_date, code, rank, floor(least(b, 0.2) * 1e8 + 1e-6) / 1e8 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY round(b, 12) DESC, code) AS place FROM summed WHERE b >= 1e-8) WHERE place <= 8),
+    target AS (SELECT * FROM blended),"""
+_EVALUATED = market.RISK.replace("\n    target AS (SELECT trade_date, code, rank, weight FROM weights WHERE strategy = 'momentum'),", _BLENDED) + """,
+    sums AS (
+        SELECT trade_date, sum(a) AS base_gross, sum(b) AS gross, round((sum(abs(a - b)) + abs(sum(a) - sum(b))) / 2, 8) AS turnover FROM (
+            SELECT coalesce(o.trade_date, n.trade_date) AS trade_date, coalesce(o.weight, 0) AS a, coalesce(n.weight, 0) AS b FROM own o FULL JOIN blended n ON o.trade_date = n.trade_date AND o.code = n.code) GROUP BY 1
+    ),
+    stopped AS (SELECT trade_date, count(*) AS n FROM risk WHERE reason IS NOT NULL GROUP BY 1),
+    judged AS (
+        SELECT f.trade_date, f.d, list_filter([CASE WHEN f.d % 11 = 1 THEN 'identity.snapshot' END, CASE WHEN gross > base_gross + 1e-12 THEN 'gross' END, CASE WHEN turnover > 0.1 THEN 'turnover' END, CASE WHEN n > 0 THEN 'blocked_orders' END], lambda x: x IS NOT NULL) AS reasons
+        FROM draft f LEFT JOIN sums ON sums.trade_date = f.trade_date LEFT JOIN stopped ON stopped.trade_date = f.trade_date
+    ),
+    ruled AS (SELECT trade_date, reasons, CASE WHEN d % 11 <> 1 AND d % 5 = 2 AND d % 3 = 0 THEN 'unchanged' WHEN len(reasons) = 0 THEN 'applied' ELSE 'fallback' END AS outcome FROM judged)"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A draft for each day with targets: its mix and risk scale by the day's number, some for another snapshot."""
+    approved = ["momentum", "short_term_reversal"]
+    pool = written(market._weights(spark, sf_dir).filter(F.col("strategy").isin(approved)).select("trade_date", "strategy", "code", "weight", "rank"), "overlay-pool")
+    d = F.datediff("trade_date", F.lit("1970-01-01").cast("date"))
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), d % n)
+    item = lambda name, w: F.struct(F.lit(name).alias("strategy"), w.alias("weight"))
+    at = lambda minutes: F.to_timestamp(F.col("trade_date")) + F.make_dt_interval(F.lit(0), F.lit(7), F.lit(minutes))
+    snapshot = F.concat(F.lit("snapshot of "), F.col("trade_date").cast("string"))
+    days = market._weights(spark, sf_dir).select("trade_date").distinct()
+    mix = F.array(item("momentum", pick(["0.50", "0.55", "0.60", "0.65", "0.70"], 5)), item("short_term_reversal", pick(["0.50", "0.45", "0.40", "0.35", "0.30"], 5)))
+    draft = F.struct(
+        F.col("trade_date").cast("string").alias("decision_id"), F.when(d % 11 == 1, "another").otherwise(snapshot).alias("snapshot_id"), at(12).alias("generated_at"), at(50).alias("valid_until"), pick(["1", "0.9", "0.8"], 3).alias("risk_scale"),
+        mix.alias("strategy_weights"), F.array(F.struct(F.lit("x").alias("evidence_id"))).alias("evidence"),
+    )
+    drafts = days.select(
+        "trade_date", draft.alias("draft"), F.col("trade_date").cast("string").alias("base_decision_id"), snapshot.alias("base_snapshot_id"), at(0).alias("as_of"), at(10).alias("requested_at"), at(15).alias("completed_at"), at(60).alias("deadline"),
+        F.lit(False).alias("cache_hit"), F.create_map(F.lit("momentum"), F.lit(0.6), F.lit("short_term_reversal"), F.lit(0.4)).alias("base_weights"), F.array(F.lit("x")).alias("known_evidence"),
+    )
+    base = overlay.blend(pool.withColumn("mix", F.when(F.col("strategy") == "momentum", 0.6).otherwise(0.4)), ["trade_date"])
+    _, positions, states, equities, _ = market._decisions(spark, sf_dir)
+    return overlay.evaluate(drafts, pool, base, positions, states, equities, approved)
+
+
+@query("WITH " + _EVALUATED + "SELECT trade_date, outcome, array_to_string(list_sort(reasons), ',') AS reasons FROM ruled")
+def overlay_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir)[0].select("trade_date", "outcome", F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
+
+
+@query("WITH " + _EVALUATED + """
+    SELECT b.trade_date, code, round(weight, 8) AS weight, 'overlay' AS origin FROM blended b JOIN ruled r ON r.trade_date = b.trade_date WHERE outcome = 'applied'
+    UNION ALL SELECT o.trade_date, code, round(weight, 8), 'base' FROM own o JOIN ruled r ON r.trade_date = o.trade_date WHERE outcome <> 'applied'
+""")
+def overlay_final_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir)[1].select("trade_date", "code", F.round("weight", 8).alias("weight"), "origin")
