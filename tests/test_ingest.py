@@ -78,9 +78,11 @@ def test_publish_twice_is_a_no_op(spark, tmp_path):
     assert {r[0]: r[1] for r in verdicts.collect()} == {"p1": "accepted", "p2": "accepted", "p3": "conflict"}
     new = publish.new_rows(rows, verdicts, stored, ["k"])
     assert sorted((r.k, r.source_payload_sha256) for r in new.collect()) == [(1, "p1"), (2, "p1"), (3, "p2")]
-    assert publish.publish_segments({"t": new}, f"{tmp_path}/stage", f"{tmp_path}/root") == {"t": 3}
-    again = publish.payload_verdicts(rows.filter("raw_artifact <> 'c'"), spark.read.parquet(f"{tmp_path}/root/t"), ["k"], ["v"])
-    assert {r[1] for r in again.collect()} <= {"seen", "accepted"} and publish.new_rows(rows.filter("raw_artifact <> 'c'"), again, spark.read.parquet(f"{tmp_path}/root/t"), ["k"]).count() == 0
+    publish.publish_segments({"t": new}, f"{tmp_path}/root", {"t": ["k"]})
+    held = Store(spark, f"{tmp_path}/root", {"t": ["k"]}).read("t", new.schema)
+    assert held.count() == 3
+    again = publish.payload_verdicts(rows.filter("raw_artifact <> 'c'"), held, ["k"], ["v"])
+    assert {r[1] for r in again.collect()} <= {"seen", "accepted"} and publish.new_rows(rows.filter("raw_artifact <> 'c'"), again, held, ["k"]).count() == 0
     path = publish.write_report(spark.range(1).withColumn("n", F.lit(1)), f"{tmp_path}/reports")
     assert publish.write_report(spark.range(1).withColumn("n", F.lit(1)), f"{tmp_path}/reports") == path and json.loads(spark.read.text(path).first().value) == {"id": 0, "n": 1}
 
