@@ -22,7 +22,8 @@ def _key(line: Column) -> Column:
 
 
 def _has_word(line: Column) -> Column:
-    return line.rlike(r"[^\x20\x09-\x0D]")
+    """Whether anything but white space is in it: what is left without white space at the ends."""
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
 
 
 def frequent_lines(pages: DataFrame, *, ratio: float, min_pages: int, host_col: str, text_col: str, copies_count: bool = True) -> DataFrame:

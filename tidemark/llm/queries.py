@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import byte_bpe, divergence, exact_dedup, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, spelling, token_files, toxicity, url_filters
-from .common import SPACE, documents, scratch, text_or_empty
+from .common import SPACE, cut, documents, scratch, text_or_empty
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", line_dedup.host_of("url").alias("host"), line_dedup.html_text("html").alias("text"))
-    rest = line_dedup.drop_frequent_lines(pages, ratio=0.1)
+    rest = line_dedup.drop_frequent_lines(cut(pages, "page-texts"), ratio=0.1)  # the HTML is read once
     squeezed = F.trim(F.regexp_replace("text", SPACE, " "))
     return rest.select("page_id", "host", "n_lines", "n_dropped", F.sha2(squeezed, 256).alias("text_sha256"))
 
