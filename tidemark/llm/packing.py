@@ -112,6 +112,7 @@ def pack(docs: DataFrame, *, capacity: int, length_col: str, id_col: str = "doc_
     bins less than ``full`` go into shards of a second round, numbered after those of the first.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("_all"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster")).filter("_all > 0")
+    slim = cut(slim, "packing-lengths")  # lengths may come from whole texts
     alike = slim.groupBy("id", "_all", "source", "cluster").agg(F.count("*").alias("_rows"))
     piece = F.explode(F.sequence(F.lit(0), F.ceil(F.col("_all") / capacity).cast("int") - 1))
     pieces = alike.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).withColumn("piece", piece)
