@@ -63,6 +63,21 @@ def test_many_intents_are_forgotten_once_expired(spark):
     assert outcome(got) == ["accepted", "over_intent"] * 300
 
 
+def test_events_are_shuffled_once(spark):
+    rows = [("a", "base", "buy", 10, 1, D(2)), ("a", "base", "buy", 10, 1, D(3))]
+    shape = admission.admitted(*gates(spark, rows, [(1, "base", D(9))]))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    shuffled = [block for block in shape.split("\n\n") if " Exchange\n" in block]
+    assert len(shuffled) > 1 and sum("fill_id" in block for block in shuffled) == 1
+    assert sum("key#" in block for block in shuffled) == 1
+
+
+def test_large_ids_beside_null_ones_stay_apart(spark):
+    big = (1 << 53) + 1
+    events, _, skips, cash = gates(spark, [("a", "base", "buy", 10, big - 1, D(2)), ("b", "base", "buy", 10, big, D(2)), ("c", "base", "buy", 1, None, D(2)), (None, "base", "buy", 1, 3, D(2)), (None, "base", "buy", 1, 3, D(2))])
+    intents = spark.createDataFrame([(i, 10, D(1), D(9)) for i in (big - 1, big, 3)], "intent_id long, quantity long, created_on date, expires_on date")
+    assert outcome(admission.admitted(events, intents, skips, cash)) == ["accepted", "accepted", "unknown_intent", "accepted", "replay"]
+
+
 def run(stream, name, folder):
     stream.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-ck").outputMode("append").trigger(availableNow=True).start().awaitTermination()
 

@@ -15,7 +15,9 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What an event says; equal contents under one key are one event sent again.
@@ -120,7 +122,36 @@ class Event:
         return made
 
 
+#: What stands in a track's stream, in the order of a day: its opening cash, what is known of an intent, events.
+_CASH, _KNOWN, _EVENT = range(3)
+
 _RESULT = ["track", "fill_id", "key", "reason"]
+_UNKNOWN = (None,) * 5
+
+#: Events for which a task is made at least.
+TASK_ROWS = 250_000
+
+
+def _values(column: pa.Array) -> list:
+    """Python's own values; numbers without nulls the quick way."""
+    plain_numbers = column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type))
+    return column.to_numpy(zero_copy_only=False).tolist() if plain_numbers else column.to_pylist()
+
+
+def _notes(events: DataFrame, intents: DataFrame, skips: DataFrame, cash: DataFrame) -> DataFrame:
+    """Rows that a track's stream needs beside its events: ``known`` of each intent on the first day the track uses it, and its cash.
+
+    Only days by track and intent meet the intents here, not the events.
+    """
+    uses = events.groupBy("intent_id", "track").agg(F.min("occurred_on").alias("occurred_on"), F.max("occurred_on").alias("last"))
+    first = skips.groupBy("intent_id", "track").agg(F.min("skipped_on").alias("skipped_on"))
+    wanted = intents.select("intent_id", F.col("quantity").cast("long").alias("wanted"), "created_on", "expires_on")
+    used = uses.join(first, ["intent_id", "track"], "left").join(wanted, "intent_id")
+    days = [F.unix_date(c).alias(c) for c in ("created_on", "expires_on", "skipped_on", "last")]
+    known = used.select("track", "intent_id", "occurred_on", F.lit(_KNOWN).alias("kind"), F.struct("wanted", *days).alias("known"), F.lit(0.0).alias("price"))
+    opening = cash.filter("track IS NOT NULL").select("track", F.lit(_CASH).alias("kind"), F.coalesce(F.col("cash").cast("double"), F.lit(0.0)).alias("price"))
+    none = {"quantity": F.lit(0).cast("long"), "fees": F.lit(0.0)}
+    return known.unionByName(opening, allowMissingColumns=True).withColumns(none)
 
 
 def admitted(events: DataFrame, intents: DataFrame, skips: DataFrame, cash: DataFrame, most_intents: int = 200_000) -> DataFrame:
@@ -132,32 +163,46 @@ def admitted(events: DataFrame, intents: DataFrame, skips: DataFrame, cash: Data
     In this order: a known intent, its window, the key (replay of the accepted event, or conflict with it), no skip of
     the intent on the track before, no more than the intent on the track, cash not below 0, no sale of what was bought
     the same day. Keys belong to a track. A task remembers the keys that come again, lots by code, and of the intents that
-    haven't expired what is filled. Events without a track are one track without cash.
+    the track still uses what is known and filled; most_intents: how many more are kept before the others are forgotten.
+    Events without a track are one track without cash.
+
+    Events are shuffled once, by track, into tasks enough for their number (they are counted); what they need of
+    intents, skips and cash comes as rows of the same stream, and keys that come again are counted within the tasks.
     """
-    ids = dict(events.dtypes)
-    again = events.groupBy("track", "key").agg((F.count("*") > 1).alias("again"))  # null: without a track or key
-    rows = with_intents(events, intents, skips).join(again, ["track", "key"], "left").join(cash.select("track", F.col("cash").cast("double").alias("opening")), "track", "left")
-    needed = [*dict.fromkeys(["track", "fill_id", "again", "opening", *Event.__dataclass_fields__])]
-    ordered = rows.repartition("track").sortWithinPartitions("track", "occurred_on", "seq", "fill_id").select(*needed)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        track, gate, until, swept = object(), Gate(0.0), {}, 0
-        for pdf in frames:
-            out = []
-            for row in pdf.itertuples(index=False):
-                if row.track != track:
-                    track, gate, until, swept = row.track, Gate(float(plain(row.opening) or 0.0)), {}, 0
-                e = Event.of(row)
-                reason = gate.decide(e, row.again is not False)
-                out.append((row.track, row.fill_id, row.key, reason))
-                if reason is None:
-                    until[e.intent_id] = e.expires_on
-                    if len(until) > swept + most_intents:  # nothing more is filled on an expired intent
-                        for x in [x for x, day in until.items() if day < e.occurred_on]:
-                            del until[x], gate.filled[x]
-                        swept = len(until)
-            yield pd.DataFrame(out, columns=_RESULT)
-
-    made = ordered.mapInPandas(run, f"track {ids['track']}, fill_id {ids['fill_id']}, key {ids['key']}, reason string")
+    spark = events.sparkSession
+    own = ["track", "fill_id", "key", "code", "side", "intent_id", "occurred_on", "seq", F.col("quantity").cast("long"), F.col("price").cast("double"), F.col("fees").cast("double")]
+    stream = events.select(*own, F.lit(_EVENT).alias("kind")).unionByName(_notes(events, intents, skips, cash), allowMissingColumns=True)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-events.count() // TASK_ROWS))
+    same = Window.partitionBy("key", "track", "kind", F.when(F.col("kind") != _EVENT, F.col("intent_id")))
+    marked = stream.repartition(tasks, "track").withColumn("again", F.count("*").over(same) > 1)
+    read = ["track", "key", "kind", "again", "code", "side", "quantity", "price", "fees", "intent_id"]
+    ordered = marked.sortWithinPartitions("track", "occurred_on", "kind", "seq", "fill_id").select(*read, F.unix_date("occurred_on").alias("day"), "known", "fill_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, gate, known, swept = object(), Gate(0.0), {}, 0
+        for batch in batches:
+            kinds, reasons = batch.column("kind"), []
+            notes = zip(*map(_values, batch.column("known").filter(pc.equal(kinds, _KNOWN)).flatten()))
+            for of, key, kind, again, code, side, quantity, price, fees, intent, day in zip(*map(_values, batch.columns[:11])):
+                if of != track:
+                    track, gate, known, swept = of, Gate(0.0), {}, 0
+                if kind == _EVENT:
+                    e = Event(key, code, side, quantity, price, fees, intent, day, *known.get(intent, _UNKNOWN)[:4])
+                    reasons.append(gate.decide(e, again))
+                elif kind == _CASH:
+                    gate.cash = price
+                else:
+                    if len(known) > swept + most_intents:  # the track has no more events of these
+                        for x in [x for x, (*_, last) in known.items() if last < day]:
+                            del known[x]
+                            gate.filled.pop(x, None)
+                        swept = len(known)
+                    known[intent] = next(notes)
+            only = pc.equal(kinds, _EVENT)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(only) for c in ("track", "fill_id", "key")), pa.array(reasons, pa.string())], _RESULT)
+
+    schema = marked.select("track", "fill_id", "key").schema.add("reason", "string")
+    made = ordered.mapInArrow(run, schema)
     decided = F.when(F.col("reason").isNull(), "accepted").when(F.col("reason").isin("replay", "conflict"), F.col("reason")).otherwise("rejected")
     return made.select("track", "fill_id", "key", decided.alias("verdict"), F.when(~F.col("reason").isin("replay", "conflict"), F.col("reason")).alias("reason"))
+
