@@ -119,3 +119,27 @@ def test_digests_keep_null_and_large_ids_and_repeated_rows(spark, reference):
         ids = reference.encode_ordinary(text)
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()))
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_words_before_any_punctuation_share_their_ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    e = token_files.LibraryEncoder(P.path("byte_bpe_50k.json"), "<u2")
+    tails = ["", "###", ".%%%", "!?", "'", "'s", "s'", "'.", "$5", "_x", ",,", "-", ")", "\u2019s", "*\u00e9"]
+    texts = [f"{w}{tail} {w}{tail}\n{w}" for w in ("word", "\u00c9t\u00e9", "x1", "it's", "(a", "\u65e5\u672c") for tail in tails]
+    assert [np.frombuffer(x, "<u2").tolist() for x in e(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    plain = [t for t in e.pieces.young if "word" in t and "'" not in t]
+    assert set(plain) == {"word", " word", "word$5", " word$5", "word_x", " word_x", "word\u2019s", " word\u2019s", "word*\u00e9", " word*\u00e9"}
+
+
+def test_common_chunks_stay_in_the_cache():
+    from tidemark.llm.token_pieces import Cache
+
+    made = []
+    cache = Cache(lambda found: made.extend(found) or list(map(len, found)), limit=20)
+    for k in range(50):
+        got = cache.of([["common", f"rare {k}"], [f"another {k}", "common"]])
+        assert got["common"] == 6 and got[f"rare {k}"] == len(f"rare {k}")
+        assert len(cache.young) + len(cache.old) <= 20 + 2 * 3
+    assert made.count("common") == 1 and len(made) == 101

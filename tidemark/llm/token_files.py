@@ -15,6 +15,7 @@ under a name of its own and renames at the end: an attempt that runs again leave
 from __future__ import annotations
 
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ from .token_pieces import Cache, chunks, spelled
 
 PART_SCHEMA = "part int, docs long, tokens long"
 _FLUSH = 8 << 20
+#: Punctuation that is one piece after letters; an apostrophe may belong to the word.
+_TAIL = "".join(c for c in string.punctuation if c != "'")
 #: How a null id is stored.
 NO_ID = -(1 << 63)
 
@@ -46,7 +49,7 @@ def _storage(uri: str):
 class LibraryEncoder:
     """Ids as bytes, by the tokenizers library with its own settings. Lives inside tasks; each distinct chunk is encoded once."""
 
-    def __init__(self, tokenizer_path: str, dtype: str, limit: int = 500_000):
+    def __init__(self, tokenizer_path: str, dtype: str, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -54,7 +57,7 @@ class LibraryEncoder:
         #: the library finds these anywhere in a text, whatever stands around them
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype(dtype)
-        self.cache, self.pieces, self.limit = Cache(self._encode_chunks, limit), {}, limit
+        self.cache, self.pieces = Cache(self._encode_chunks, limit), Cache(self._encode_together, limit // 2)
         self.newline = self._encode(["\n"])[0]
         self.separator = int(np.frombuffer(self.newline, self.dtype)[0]) if len(self.newline) == self.dtype.itemsize else None
 
@@ -62,17 +65,15 @@ class LibraryEncoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_chunks(self, found: list[str]) -> list[bytes]:
-        """Ids of each chunk. A comma or full stop after letters is a piece of its own, so such chunks share their words' ids."""
-        texts = list(map(spelled, found))
-        parts = {t: (t[:-1], t[-1]) for t in texts if t[-1] in ",." and t[:-1].lstrip(" ").isalpha()}
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        self.pieces["\n"] = self.newline
-        new = {t for t in texts if t not in parts}.union(*parts.values())
-        new = [t for t in new if t not in self.pieces]
-        self.pieces.update(zip(new, self._encode_together(new)))
-        of = self.pieces.__getitem__
-        return [of(t) if (p := parts.get(t)) is None else of(p[0]) + of(p[1]) for t in texts]
+        """Ids of each chunk. What stands after a word's letters is a piece of its own, so such chunks share their words' ids."""
+        heads, tails = [], []
+        for t in map(spelled, found):
+            head = t.rstrip(_TAIL)
+            split = len(head) < len(t) and head.lstrip(" ").isalpha()
+            heads.append(head if split else t)
+            tails.append(t[len(head) :] if split else "")
+        of = self.pieces.of([[t for t in heads if t != "\n"], filter(None, tails)])
+        return [self.newline if h == "\n" else of[h] + of[t] if t else of[h] for h, t in zip(heads, tails)]
 
     def _encode_together(self, plain: list[str], together: int = 256) -> list[bytes]:
         """Pieces without a newline in them, ``together`` a call: a newline between two is a token of its own, at which the ids are cut."""

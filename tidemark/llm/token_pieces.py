@@ -29,19 +29,26 @@ def spelled(chunk: str) -> str:
     return chunk[1:] if chunk[0] == "\0" else chunk if chunk == "\n" else " " + chunk
 
 
-class Cache(dict):
-    """Values by chunk, filled by ``make``; emptied when ``limit`` entries are reached, so a worker's memory is bounded."""
+class Cache:
+    """Values by chunk, filled by ``make``, in two generations of ``limit`` entries together.
+
+    When the younger is full it becomes the older, and what has stayed in the older unasked for is dropped: common chunks
+    stay however many rare ones pass, and a worker's memory is bounded.
+    """
 
     def __init__(self, make, limit: int = 500_000):
-        super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.most, self.young, self.old = make, limit // 2, {}, {}
 
     def of(self, texts: list[list[str]]) -> dict:
-        """The values of these texts' chunks; what is missing is made in one call. A small table is quicker to look up than the whole cache."""
+        """A table with the values of these texts' chunks, good until the next call; what is missing is made in one call."""
         found = set().union(*texts)
-        if len(self) > self.limit:
-            self.clear()
-        missing = list(found.difference(self))
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = found.difference(young)
         if missing:
-            self.update(zip(missing, self.make(missing)))
-        return {c: self[c] for c in found}
+            if old:
+                young.update([(c, old[c]) for c in missing if c in old])
+            missing = list(missing.difference(old))
+            young.update(zip(missing, self.make(missing)))
+        return young
